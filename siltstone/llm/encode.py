@@ -17,7 +17,8 @@ import pyarrow as pa
 from siltstone.llm import words
 
 #: White space by Unicode that isn't ASCII's, and what only some libraries call white space.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
+_ODD_POINTS = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
+ODD = re.compile("[" + "".join(map(chr, _ODD_POINTS)) + "]")
 _MAYBE_ODD = np.zeros(256, bool)
 _MAYBE_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF, ord("<")]] = True
 _STOP = np.zeros(256, bool)
