@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.llm import mixing, topk
+from siltstone.llm.mixing import op4_mix_sources
 from siltstone.llm.packing import op10_best_fit_packing
 from siltstone.llm.tokencount import op2_token_counts
+from siltstone.llm.topk import op9_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_mix_sources": op4_mix_sources,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_mix_sources": mixing.SQL,
+    "op9_exact_top_k": topk.SQL,
+}
