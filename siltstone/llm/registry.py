@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import mixing, topk
+from siltstone.llm import linededup, mixing, topk
 from siltstone.llm.fingerprint import op7_fingerprints
+from siltstone.llm.linededup import op5_line_dedup
 from siltstone.llm.mixing import op4_mix_sources
 from siltstone.llm.packing import op10_best_fit_packing
 from siltstone.llm.tokencount import op2_token_counts
@@ -16,6 +17,7 @@ from siltstone.llm.topk import op9_exact_top_k
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op5_line_dedup": op5_line_dedup,
     "op7_fingerprints": op7_fingerprints,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -23,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op4_mix_sources": mixing.SQL,
+    "op5_line_dedup": linededup.SQL,
     "op9_exact_top_k": topk.SQL,
 }
