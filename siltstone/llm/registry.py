@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import linededup, mixing, topk
 from siltstone.llm.fingerprint import op7_fingerprints
+from siltstone.llm.jaccard import op3_ngram_jaccard
 from siltstone.llm.linededup import op5_line_dedup
 from siltstone.llm.mixing import op4_mix_sources
 from siltstone.llm.packing import op10_best_fit_packing
@@ -16,6 +17,7 @@ from siltstone.llm.topk import op9_exact_top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op7_fingerprints": op7_fingerprints,
