@@ -12,6 +12,7 @@ from siltstone.llm.jaccard import op3_ngram_jaccard
 from siltstone.llm.linededup import op5_line_dedup
 from siltstone.llm.mixing import op4_mix_sources
 from siltstone.llm.packing import op10_best_fit_packing
+from siltstone.llm.quality import op6_quality
 from siltstone.llm.tokencount import op2_token_counts
 from siltstone.llm.topk import op9_exact_top_k
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
