@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.llm import linededup, mixing, topk
 from siltstone.llm.fingerprint import op7_fingerprints
 from siltstone.llm.jaccard import op3_ngram_jaccard
+from siltstone.llm.langid import op8_language_id
 from siltstone.llm.linededup import op5_line_dedup
 from siltstone.llm.mixing import op4_mix_sources
 from siltstone.llm.packing import op10_best_fit_packing
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_quality": op6_quality,
     "op7_fingerprints": op7_fingerprints,
+    "op8_language_id": op8_language_id,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
