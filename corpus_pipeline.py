@@ -1,14 +1,68 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and reread."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread.
+
+Toxic documents go; later repeats of line runs go; one document of each group of near duplicates stays; sources are mixed
+to their targets (a document taken twice is two rows); what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltstone.llm import common, jaccard, linededup, mixing, packing, toxicity
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that op1's model, trained on the labels of its training rows, predicts to be toxic."""
+    cost = toxicity.train_characters(docs)
+    learn = F.coalesce(common.fold("doc_id", 3) != 1, F.lit(False))
+    lexicon = toxicity.train_lexicon(docs.where(learn), common.table(spark, sf_dir, "labels").where(learn), cost)
+    return toxicity.score_toxicity(docs, cost, lexicon).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without later repeats of runs of lines; no document goes, n_chars follows the text."""
+    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each component; texts without words stay."""
+    out = jaccard.near_duplicates(docs)
+    out = out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*COLUMNS)
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id"]) if again else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    out = mixing.mix_sources(docs.withColumn("size", mixing.word_count()))
+    copies = F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    return out.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in sequences."""
+    import public_tokenizers
+
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_jaccard", drop_near_duplicates),
+    ("mix_sources", mix),
+    ("best_fit_packing", pack),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.document_columns(common.table(spark, sf_dir, "documents"))
+    for _, stage in STAGES:
+        docs = common.settle(stage(spark, docs, sf_dir))
+    return docs

@@ -16,8 +16,10 @@ from siltstone.llm.packing import op10_best_fit_packing
 from siltstone.llm.quality import op6_quality
 from siltstone.llm.tokencount import op2_token_counts
 from siltstone.llm.topk import op9_exact_top_k
+from siltstone.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_mix_sources": op4_mix_sources,
