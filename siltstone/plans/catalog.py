@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import documents, images
+from siltstone.plans import chunks, documents, images, retrieval
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (documents, images):
+for _module in (documents, images, chunks, retrieval):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
