@@ -38,3 +38,12 @@ MARKDOWN_SQL = (
 
 def flat(c: Column) -> Column:
     return F.array_join(c, "|")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes, below the shared folder of the session (spark.checkpoint.dir) or else a temporary one."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-")
+    return f"{shared}/{name}-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from siltstone import schemas
 from siltstone.functions import text as X
 from siltstone.sources.files import extension
 
@@ -19,7 +20,7 @@ QUOTA = r"(?i)429|resource_exhausted|quota|rate limit"
 
 def landing_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """The files of a landing folder as a stream: path, name, ext, length, content."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
+    files = spark.readStream.format("binaryFile").schema(schemas.FILES).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     return files.select("path", name.alias("name"), extension(name).alias("ext"), "length", "content")
 
