@@ -134,9 +134,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     own_of = keyed.join(least, "key").join(sizes.withColumnRenamed("node", "rep"), "rep").select("node", "rep", "n")
     placed = own_of.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.when(F.col("n") == 0, F.col("node")).otherwise(F.coalesce("label", "rep"))
-    found = placed.select(F.col("node").alias("_node"), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
-    found = common.settle(found.groupBy("_node").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")))
-    out = docs.join(found, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_node")).drop("_node")
+    found = placed.select(F.col("node").alias("_near_node"), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
+    found = common.settle(found.groupBy("_near_node").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")))
+    out = docs.join(found, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_near_node")).drop("_near_node")
     return out.withColumn("component_id", F.nullif("component_id", F.lit(_NO_ID)))
 
 
@@ -167,3 +167,25 @@ def _apart(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT DISTINCT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS l FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(l) >= 5 THEN list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i : i + 4], ' ')) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] ELSE [] END) AS g FROM w
+), n AS (
+  SELECT doc_id, len(g) AS n_shingles FROM s
+), e AS (
+  SELECT doc_id, unnest(g) AS gram FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM e a JOIN e b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL
+), k AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 75 * (x.n_shingles + y.n_shingles - met)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a
+), c AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT d.doc_id, n.n_shingles, c.component_id FROM documents d JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""

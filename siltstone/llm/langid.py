@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import chars, common, words
 
-#: Bits of the trigram hash; smoothing; what a switch of language costs (in nats); share of a language's letters from which it uses a script.
-BITS, SMOOTH, SWITCH, SCRIPT_SHARE = 18, 0.5, 8.0, 0.01
+#: Bits of the trigram hash; letters of the background (all languages) mixed into each; what a switch of language costs (in nats); share of a language's letters from which it uses a script.
+BITS, SMOOTH, SWITCH, SCRIPT_SHARE = 18, 1000.0, 8.0, 0.01
 UNKNOWN = "und"
 
 
@@ -43,8 +43,10 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray):
         self.langs = langs
         total = counts.sum(axis=1, keepdims=True)
-        used = max(1, int((counts.sum(axis=0) > 0).sum()))
-        self.log = np.log((counts + SMOOTH) / (total + SMOOTH * used)).astype(np.float32).T.copy()
+        every = counts.sum(axis=0)
+        used = max(1, int((every > 0).sum()))
+        background = (every + 0.5) / (every.sum() + 0.5 * used)
+        self.log = np.log((counts + SMOOTH * background) / (total + SMOOTH)).astype(np.float32).T.copy()
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         allowed = (share >= SCRIPT_SHARE).T
         allowed[~allowed.any(axis=1)] = True
@@ -116,7 +118,9 @@ def train(docs: DataFrame) -> Model:
     got = known.groupBy("lang", "gram").agg(F.sum("k").alias("k")).toPandas()
     langs = sorted(got["lang"].unique())
     table = np.zeros((max(1, len(langs)), (1 << BITS) + 256))
-    table[got["lang"].map({name: i for i, name in enumerate(langs)}).to_numpy(int), got["gram"].to_numpy(int)] = got["k"]
+    for i, name in enumerate(langs):
+        own = got[got["lang"] == name]
+        table[i, own["gram"].to_numpy(int)] = own["k"]
     return Model(langs or [UNKNOWN], table[:, : 1 << BITS], table[:, 1 << BITS :])
 
 

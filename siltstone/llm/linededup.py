@@ -58,15 +58,15 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     equal = equal.withColumn("island", F.col("i") - F.row_number().over(track.orderBy("i")))
     runs = equal.withColumn("words", F.sum("w").over(Window.partitionBy("d", "h", "sd", "sh", "shift", "island")))
     gone = common.settle(runs.where(F.col("words") >= gram).select("d", "h", "pos").distinct())
-    gone_by = gone.groupBy("d", "h").agg(F.collect_list("pos").alias("_gone")).withColumnsRenamed({"d": "_d", "h": "_h"})
+    gone_by = gone.groupBy("d", "h").agg(F.collect_list("pos").alias("_dedup_gone")).withColumnsRenamed({"d": "_dedup_d", "h": "_dedup_h"})
     if gone.count() <= common.BROADCAST_ROWS:
         gone_by = F.broadcast(gone_by)
 
-    joined = kept.join(gone_by, (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col("_d")) & (hash60(F.col(text)) == F.col("_h")), "left")
-    cleaned = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("_gone", k)), "\n"))
+    joined = kept.join(gone_by, (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col("_dedup_d")) & (hash60(F.col(text)) == F.col("_dedup_h")), "left")
+    cleaned = F.when(F.col("_dedup_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("_dedup_gone", k)), "\n"))
     n_lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0).cast("bigint")
     names = [cleaned.alias(c) if c == text else F.col(c) for c in kept.columns]
-    return joined.select(*names, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_deleted"))
+    return joined.select(*names, n_lines.alias("n_lines"), F.coalesce(F.size("_dedup_gone"), F.lit(0)).cast("bigint").alias("n_deleted"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from siltstone.llm import common
 WEIGHTS, SHARE, COPIES = (5, 2, 1), 1.5, 2
 #: Documents whose running sum one task makes; ticks of a virtual time of 1; slots of one search pass.
 RUN, TICKS, SLOTS = 2000, 1 << 40, 4096
+OWN = tuple(f"_mix_{x}" for x in ("key", "run", "sum", "times", "source", "rows", "before", "r", "size"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
@@ -53,34 +54,34 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     by their size too; equal rows are exchangeable. Copies at the very tick of the cut are left out. An empty table
     gives an empty table; columns named like the new ones are replaced.
     """
-    new = ("source_size", "target", "taken", "_key", "_run", "_sum", "_times")
+    new = ("source_size", "target", "taken", *OWN)
     whole = docs.select(*[c for c in docs.columns if c not in new])
     names = whole.columns
     targets = common.settle(source_targets(whole.select("source", "size"), weights, share, copies))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    runs = F.ceil(F.col("source_rows") / RUN)
-    keyed = whole.withColumn("_key", key).join(common.small(targets.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    keyed = keyed.withColumn("_run", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") * runs / F.lit(2.0**32)))
-    run = Window.partitionBy("source", "_run")
-    keyed = keyed.withColumn("_sum", F.sum("size").over(run.orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = F.ceil(F.col("_mix_rows") / RUN)
+    keyed = whole.withColumn("_mix_key", key).join(common.small(targets.withColumnsRenamed({"source": "_mix_source", "source_rows": "_mix_rows"})), F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
+    keyed = keyed.withColumn("_mix_run", F.floor(F.conv(F.substring("_mix_key", 1, 8), 16, 10).cast("bigint") * runs / F.lit(2.0**32)))
+    run = Window.partitionBy("source", "_mix_run")
+    keyed = keyed.withColumn("_mix_sum", F.sum("size").over(run.orderBy("_mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)))
     keyed = common.settle(keyed)
 
-    sums = keyed.groupBy("source", "_run").agg(F.sum("size").alias("_run_size"))
-    before = F.coalesce(F.sum("_run_size").over(Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = common.settle(sums.select(F.col("source").alias("_source"), F.col("_run").alias("_r"), before.alias("_before")))
-    timed = keyed.join(common.small(sums), F.col("source").eqNullSafe(F.col("_source")) & (F.col("_run") == F.col("_r")))
-    tick = lambda k: F.floor(F.least((F.col("_before") + F.col("_sum") + F.col("source_size") * k) / F.col("target"), F.lit(float(1 << 22))) * TICKS)
+    sums = keyed.groupBy("source", "_mix_run").agg(F.sum("size").alias("_mix_size"))
+    before = F.coalesce(F.sum("_mix_size").over(Window.partitionBy("source").orderBy("_mix_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = common.settle(sums.select(F.col("source").alias("_mix_source"), F.col("_mix_run").alias("_mix_r"), before.alias("_mix_before")))
+    timed = keyed.join(common.small(sums), F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_run") == F.col("_mix_r")))
+    tick = lambda k: F.floor(F.least((F.col("_mix_before") + F.col("_mix_sum") + F.col("source_size") * k) / F.col("target"), F.lit(float(1 << 22))) * TICKS)
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), F.array(*[tick(k) for k in range(copies)])).otherwise(F.array().cast("array<bigint>"))
-    timed = timed.withColumn("_times", times)
+    timed = timed.withColumn("_mix_times", times)
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
     cut = _cut(timed, budget)
-    taken = F.col("size") * F.size(F.filter("_times", lambda t: t < cut))
+    taken = F.col("size") * F.size(F.filter("_mix_times", lambda t: t < cut))
     return timed.select(*names, "source_size", "target", taken.cast("bigint").alias("taken"))
 
 
 def _cut(timed: DataFrame, budget: float) -> int:
     """The first tick at which the words of all copies up to and including it pass the budget."""
-    ticks = timed.select("size", F.explode("_times").alias("t"))
+    ticks = timed.select("size", F.explode("_mix_times").alias("t"))
     lo, width, before = 0, SLOTS**5 << 2, 0
     while width > 1:
         width = max(1, width // SLOTS)

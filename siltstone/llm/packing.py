@@ -131,7 +131,7 @@ def pack(pieces: DataFrame, limit: int = LIMIT, items: int = ITEMS, rounds: int
     gives an empty table; columns named sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
-    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")]
+    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "open", "_part")]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
     pool, done = common.settle(pieces.select(names)), []

@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, unlabelled
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["known", "x"])
 
     got = sample.select("known", "text").mapInArrow(figures, "known boolean, x array<float>").toArrow()
-    x = np.array(got.column("x").to_pylist(), float).reshape(len(got), -1)
+    x = np.array(got.column("x").to_pylist(), float).reshape(len(got), FIGURES)
     known = np.array(got.column("known").to_pylist(), bool)
     if not known.any() or known.all():
         flat = np.zeros(FIGURES + 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import linededup, mixing, topk
+from siltstone.llm import jaccard, linededup, mixing, topk
 from siltstone.llm.fingerprint import op7_fingerprints
 from siltstone.llm.jaccard import op3_ngram_jaccard
 from siltstone.llm.langid import op8_language_id
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_ngram_jaccard": jaccard.SQL,
     "op4_mix_sources": mixing.SQL,
     "op5_line_dedup": linededup.SQL,
     "op9_exact_top_k": topk.SQL,
