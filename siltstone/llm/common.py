@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: The white space of the word contracts, as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
-#: Rows of an id list up to which it is broadcast; beyond it the join shuffles. 2 M longs are 16 MB.
-BROADCAST_ROWS = 2_000_000
+#: Rows of an id list up to which it is broadcast; beyond it the join shuffles. So many rows take up to about 60 MB on the driver.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

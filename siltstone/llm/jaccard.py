@@ -81,8 +81,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """docs with n_shingles and component_id: the smallest doc_id that links reach from the document, its own included.
 
     Two documents link when their sets of distinct shingles share at least `percent` per cent of their union. A text
-    without words (or null) has no shingles and no links. Rows of one id are one node; null ids count as the greatest
-    id, and a component of these alone is null. An empty table gives an empty table; columns with the new names are replaced.
+    without words (or null) has no shingles and no links. Rows of one id are one node (of the text whose hash is
+    least); null ids count as the greatest id, and a component of these alone is null. An empty table gives an empty table; columns with the new names are replaced.
 
     1. Equal texts become one node. 2. First prefix, in the order of the hashes: whoever shares too few of its tokens
     with anyone can't link and leaves. 3. Those left get their exact document frequencies; rare tokens come first, and
@@ -96,8 +96,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     common.arrow_rows(docs.sparkSession)
     own = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = common.settle(own.select("node", F.md5("text").alias("key")))
+    if keyed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        own = own.groupBy("node").agg(F.min_by("text", F.md5("text")).alias("text"))
+        keyed = common.settle(own.select("node", F.md5("text").alias("key")))
     least = common.settle(keyed.groupBy("key").agg(F.min("node").alias("rep")))
-    texts = own.join(common.small(least.select(F.col("rep").alias("node")).distinct()), "node", "left_semi")
+    copies = common.settle(keyed.join(least, "key").where("node <> rep").select("node"))
+    texts = own.join(common.small(copies), "node", "left_anti")
     sizes = common.settle(_sizes(texts, shingle).groupBy("node").agg(F.max("n").alias("n")))
 
     first = _tokens(texts, shingle, (percent, further)).withColumn("df", F.count("*").over(Window.partitionBy("h")))
