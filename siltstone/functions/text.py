@@ -287,8 +287,7 @@ def truncate_text(c: Column, n: int, tail: str = "") -> Column:
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of two characters or more that are no stopwords, in order."""
     found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})"), 1), F.lower)
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
 
 
 def l2_normalize(v: Column) -> Column:

@@ -16,18 +16,15 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """tok, chunk_id, tf of chunks (chunk_id, text)."""
-    return chunks.select("chunk_id", F.explode(X.tokenize(F.col("text"))).alias("tok")).groupBy("tok", "chunk_id").agg(F.count("*").alias("tf"))
+    """tok, chunk_id, len, tf of chunks (chunk_id, text): each text is tokenised once; len is its number of tokens."""
+    tokens = chunks.select("chunk_id", X.tokenize(F.col("text")).alias("toks"))
+    rows = tokens.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("tok"))
+    return rows.groupBy("tok", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """chunk_id, len: tokens of each chunk, those without any included."""
-    return chunks.select("chunk_id", F.size(X.tokenize(F.col("text"))).cast("bigint").alias("len"))
-
-
-def idf(posted: DataFrame, length: DataFrame) -> DataFrame:
+def idf(posted: DataFrame, chunks: DataFrame) -> DataFrame:
     """tok, df, idf: ln(N - df + .5) - ln(df + .5), or EPSILON of the mean over tokens where that is negative."""
-    n = length.agg(F.count("*").alias("n"))
+    n = chunks.agg(F.count("*").alias("n"))
     raw = posted.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
     raw = raw.select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -40,9 +37,9 @@ def bm25(tf: Column, length: Column, mean: Column, weight: Column) -> Column:
 
 def bm25_weights(chunks: DataFrame) -> DataFrame:
     """tok, chunk_id, weight: what one query token adds to a chunk's score. Rebuilt from whole chunks."""
-    posted, length = postings(chunks), lengths(chunks)
-    mean = length.agg(F.avg("len").alias("mean"))
-    whole = posted.join(idf(posted, length), "tok").join(length, "chunk_id").crossJoin(F.broadcast(mean))
+    posted = postings(chunks)
+    mean = posted.agg(F.sum("tf").alias("total")).crossJoin(chunks.agg(F.count("*").alias("n"))).select((F.col("total") / F.col("n")).alias("mean"))
+    whole = posted.join(idf(posted, chunks), "tok").crossJoin(F.broadcast(mean))
     return whole.select("tok", "chunk_id", bm25(F.col("tf"), F.col("len"), F.col("mean"), F.col("idf")).alias("weight"))
 
 

@@ -45,33 +45,34 @@ def sparse_topk(queries: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
 
 
 def dense_topk(queries: DataFrame, index: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, chunk_id, score, rank by cosine of queries (query_id, dense) and index (chunk_id, dense); a zero vector scores 0.
+    """query_id, chunk_id, score, rank by cosine of queries (query_id, dense) and index (chunk_id, dense); a zero vector scores 0, null vectors take no part.
 
     Queries are dealt into blocks and chunks into partitions; every task multiplies a block of queries by its
     chunks and hands on its k best, so what is shuffled is k rows for each query and task. Ids are bigints.
     """
+    queries, index = queries.where("dense is not null"), index.where("dense is not null")
     blocks = max(1, -(-queries.count() // block))
     asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", F.col("dense").cast("array<double>").alias("qv"))
     packed = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # at most about `block` queries a row
     parts = max(1, -(-index.count() // 8192))
     chunks = index.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), "chunk_id", F.col("dense").cast("array<double>").alias("v"))
     chunks = chunks.groupBy("part").agg(F.collect_list(F.struct("chunk_id", "v")).alias("cs"))  # about 8192 chunks a row
-    pairs = chunks.select("cs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(packed, "block")
+    pairs = chunks.select("cs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(packed, "block").select("cs", "qs")
 
-    def unit(rows: list[dict], name: str) -> np.ndarray:
-        v = np.array([r[name] for r in rows], float)
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, vectors = rows.flatten()
+        v = vectors.flatten().to_numpy().reshape(len(ids), -1)
+        return ids.to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["cs", "qs"]).to_pylist():
-                ids = np.array([c["chunk_id"] for c in row["cs"]])
-                asked_ids = np.array([q["query_id"] for q in row["qs"]])
-                score = unit(row["qs"], "qv") @ unit(row["cs"], "v").T
+            for cs, qs in zip(batch.column("cs"), batch.column("qs")):
+                (ids, v), (asked_ids, q) = unpack(cs.values), unpack(qs.values)
+                score = q @ v.T
                 n = min(k, len(ids))
                 bar = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
-                q, c = np.nonzero(score >= bar[:, None] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[q]), pa.array(ids[c]), pa.array(score[q, c])], ["query_id", "chunk_id", "score"])
+                i, j = np.nonzero(score >= bar[:, None] - 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i]), pa.array(ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
 
     return top_k(pairs.mapInArrow(search, "query_id bigint, chunk_id bigint, score double"), k, "chunk_id")
 

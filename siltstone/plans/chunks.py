@@ -135,7 +135,7 @@ def idx1_tokenize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BM25_SQL} SELECT tok, df, round(idf, 6) AS idf FROM i")
 def idx2_bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     c = chunks(spark, d)
-    return N.idf(N.postings(c), N.lengths(c)).select("tok", "df", F.round("idf", 6).alias("idf"))
+    return N.idf(N.postings(c), c).select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM25_SQL} SELECT tok, chunk_id, round(weight, 6) AS weight FROM g")
