@@ -24,7 +24,7 @@ _MAYBE_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF, ord("<")]] = T
 _STOP = np.zeros(256, bool)
 _STOP[[ord(","), ord(".")]] = True
 #: Bytes encoded together; distinct pieces kept by a worker before it starts anew.
-BATCH_BYTES, MOST_PIECES = 1 << 20, 1 << 21
+BATCH_BYTES, MOST_PIECES = 1 << 20, 1 << 20
 
 
 class Encoder:

@@ -45,7 +45,7 @@ def train_characters(docs: DataFrame) -> np.ndarray:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             data, offsets = words.utf8(batch.column(0))
-            for lo, hi in words.runs(offsets, 1 << 21):
+            for lo, hi in words.runs(offsets, 1 << 19):
                 own, at = chars.points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 s = np.insert(table[own], np.repeat(at, 2), 0).astype(np.int32)
                 total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -292,7 +292,7 @@ def score_toxicity(docs: DataFrame, cost: np.ndarray, lexicon: Lexicon, threshol
             data, offsets = words.utf8(batch)
             clear = np.zeros(len(batch))
             restored: list[list[str]] = [[] for _ in range(len(batch))]
-            for lo, hi in words.runs(offsets, 1 << 21):
+            for lo, hi in words.runs(offsets, 1 << 19):
                 own, at = chars.points(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 row, p = lexicon.of_words(own, at)
                 np.add.at(clear, lo + row, np.log1p(-np.minimum(p, 0.999)))
