@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     runs = equal.withColumn("words", F.sum("w").over(Window.partitionBy("d", "h", "sd", "sh", "shift", "island")))
     gone = common.settle(runs.where(F.col("words") >= gram).select("d", "h", "pos").distinct())
     gone_by = gone.groupBy("d", "h").agg(F.collect_list("pos").alias("_dedup_gone")).withColumnsRenamed({"d": "_dedup_d", "h": "_dedup_h"})
-    if gone.count() <= common.BROADCAST_ROWS:
+    n_lines, n_docs = gone.agg(F.count("*"), F.count_distinct("d", "h")).first()
+    if n_docs <= common.BROADCAST_ROWS and n_lines <= 5 * common.BROADCAST_ROWS:
         gone_by = F.broadcast(gone_by)
 
     joined = kept.join(gone_by, (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col("_dedup_d")) & (hash60(F.col(text)) == F.col("_dedup_h")), "left")
