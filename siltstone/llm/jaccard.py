@@ -147,8 +147,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 def _apart(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components whose groups meet in a prefix token and pass the filters.
 
-    In each token's bucket the rows of its most frequent label are never paired with one another. Sizes fall into
-    bands of the ratio that links allow, so only rows of the same or the next band meet.
+    In each token's bucket the rows of its most frequent label are never paired with one another. A group whose members
+    have different labels meets itself. Sizes fall into bands of the ratio that links allow, so only rows of the same or
+    the next band meet.
     """
     rows = tokens.join(members.select("group", "label").distinct(), "group")
     labels = rows.groupBy("h", "label").agg(F.count("*").alias("k")).groupBy("h").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("k", "label")).alias("most"))
@@ -159,13 +160,13 @@ def _apart(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     left = side("1").withColumn("band", F.explode(F.array(*[band("n1") + d for d in (-1, 0, 1)])))
     right = side("2").withColumn("band", band("n2"))
     left = left.where("label1 <> most1")
-    met = left.join(right, ["h", "band"]).where((F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most2")) | (F.col("group1") < F.col("group2"))))
+    met = left.join(right, ["h", "band"]).where((F.col("label1") != F.col("label2")) & ((F.col("label2") == F.col("most2")) | (F.col("group1") <= F.col("group2"))))
     reach = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
     met = met.where((100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")) & ((100 + percent) * reach >= percent * (F.col("n1") + F.col("n2"))))
     pairs = met.select("group1", "group2").distinct()
     a = members.select(F.col("group").alias("group1"), F.col("node").alias("a"), F.col("label").alias("la"))
     b = members.select(F.col("group").alias("group2"), F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(a, "group1").join(b, "group2").where("la <> lb").select("a", "b").distinct()
+    return pairs.join(a, "group1").join(b, "group2").where("la <> lb and (group1 <> group2 or a < b)").select("a", "b").distinct()
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,25 @@ def test_near_duplicates_with_large_groups_and_chains(spark):
     assert out == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_near_duplicates_within_a_group_of_equal_prefixes(spark):
+    """Documents 2 and 3 link, share size and prefix with 1, which links with neither, and 4 is the label most seen there."""
+    some = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    p, c = some("p", 5), some("c", 9)
+    sets = {1: p + c[:6] + some("m", 5), 2: p + c + some("x", 2), 3: p + c + some("y", 2), 4: p + some("z", 15)}
+    sets |= {k: c + some("m", 5) + some("x", 2) + some("y", 2) + some("z", 15) + [f"own{k}"] for k in range(10, 15)}
+    rng = random.Random(5)
+    for corpus in range(150):  # documents put together from few passages; each corpus has its own
+        size = rng.choice((12, 16, 20))
+        pool = [f"r{corpus}_{i}" for i in range(size + rng.randint(3, 10))]
+        sets |= {100 * (corpus + 1) + k: rng.sample(pool, size) for k in range(rng.randint(15, 40))}
+    rows = [(i, " ".join(s)) for i, s in sets.items()]
+    out = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), shingle=1).collect()}
+    assert out[2] == out[3] == 2 and out[1] == 1 and out[4] == 4
+    for corpus in range(151):
+        own = {i: set(s) for i, s in sets.items() if i // 100 == corpus}
+        assert {i: out[i] for i in own} == components(own)
+
+
 def test_line_dedup_runs(spark):
     line = lambda tag, n=12: " ".join(f"{tag}{j}" for j in range(n))
     passage = [line(f"p{k}_") for k in range(6)]
