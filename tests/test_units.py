@@ -98,6 +98,14 @@ def test_approximate_search_finds_neighbours(spark):
     assert found / exact.count() >= 0.8
 
 
+def test_approximate_search_asks_every_twentieth_vector(spark):
+    from siltstone.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    asked = {r.query_id for r in catalog.QUERIES["ret2_dense_topk_ann"](spark, sf).select("query_id").distinct().collect()}
+    assert asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+
+
 def test_diversify_and_rerank(spark):
     hits = spark.createDataFrame([(1, i + 1, d, f"c{i}", 1.0 - i / 10) for i, d in enumerate("aaabab")], "query_id int, rank int, doc_id string, chunk_id string, score double")
     assert [r.chunk_id for r in R.diversify(hits, 2).orderBy("place").collect()] == ["c0", "c3", "c1", "c5", "c2", "c4"]
