@@ -55,8 +55,8 @@ def hashed_embedding(texts: list[str], dims: int = 64) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = 32, most: int = 30_000) -> DataFrame:
-    """chunk_id, dense of chunks (chunk_id, text): the embedder gets `batch` texts of `most` characters at a time, made once per task."""
+def embed(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = 32, most: int | None = None) -> DataFrame:
+    """chunk_id, dense of chunks (chunk_id, text): the embedder gets `batch` whole texts at a time (their first `most` characters, if a remote one sets it), made once per task."""
     kind = chunks.schema["chunk_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +65,9 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashe
             vectors = [v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], ["chunk_id", "dense"])
 
-    cut = chunks.select("chunk_id", F.left(F.coalesce("text", F.lit("")), F.lit(most)).alias("text"))
-    return cut.mapInArrow(run, f"chunk_id {kind.simpleString()}, dense array<float>")
+    text = F.coalesce("text", F.lit(""))
+    given = chunks.select("chunk_id", (text if most is None else F.left(text, F.lit(most))).alias("text"))
+    return given.mapInArrow(run, f"chunk_id {kind.simpleString()}, dense array<float>")
 
 
 def to_sparse(weights: DataFrame) -> DataFrame:

@@ -59,7 +59,7 @@ def img2_image_block(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, doc_id % 4 = 0 OR doc_id % 4 = 1 AS decorative FROM documents")
 def img3_is_decorative(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % 4
-    told = F.concat(F.left("text", F.lit(50)), F.when(k == 0, " Page de Garde").when(k == 1, " un simple trait vert").when(k == 2, " page").otherwise(""))
+    told = F.concat("text", F.when(k == 0, " Page de Garde").when(k == 1, " un simple trait vert").when(k == 2, " page").otherwise(""))
     return read(spark, d, "documents").select("doc_id", X.is_decorative(told).alias("decorative"))
 
 

@@ -106,6 +106,20 @@ def test_approximate_search_asks_every_twentieth_vector(spark):
     assert asked == {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
 
 
+def test_embeddings_read_whole_texts(spark):
+    texts = ["word " * 7_000 + "last", "word " * 7_000]
+    out = {r.chunk_id: r.dense for r in N.embed(spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string")).collect()}
+    assert out[0] != out[1] and [out[i] for i in range(2)] == [pytest.approx(v.tolist()) for v in N.hashed_embedding(texts)]
+
+
+def test_decorative_reads_whole_texts(spark, tmp_path):
+    from siltstone.plans import catalog
+
+    rows = [(2, "x" * 60 + " page de garde"), (6, "x" * 60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.decorative for r in catalog.QUERIES["img3_is_decorative"](spark, str(tmp_path)).collect()} == {2: True, 6: False}
+
+
 def test_diversify_and_rerank(spark):
     hits = spark.createDataFrame([(1, i + 1, d, f"c{i}", 1.0 - i / 10) for i, d in enumerate("aaabab")], "query_id int, rank int, doc_id string, chunk_id string, score double")
     assert [r.chunk_id for r in R.diversify(hits, 2).orderBy("place").collect()] == ["c0", "c3", "c1", "c5", "c2", "c4"]
