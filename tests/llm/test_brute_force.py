@@ -168,6 +168,26 @@ def test_near_duplicates_within_a_group_of_equal_prefixes(spark):
         assert {i: out[i] for i in own} == components(own)
 
 
+def test_pipeline_keeps_documents_of_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    some = lambda tag: " ".join(f"{tag}{rng.randrange(10**6)}" for _ in range(30))
+    rows = [(i, some("a")) for i in range(10)] + [(None, some("b")) for _ in range(20)] + [(3, some("c")) for _ in range(5)]
+    rows += [(None, rows[0][1] + " more"), (4, rows[12][1] + " more"), (5, rows[5][1]), (None, rows[15][1]), (6, rows[31][1] + " end")]
+    rows += [(7, ""), (8, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' lang", "'s' source", "cast(length(text) as bigint) n_chars")
+    order = sorted({r for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    label = components({k: shingles(t) for k, (_, t) in enumerate(order)})
+    want = Counter(r for k, r in enumerate(order) if label[k] == k) + Counter([(None, "")])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.columns == list(corpus_pipeline.COLUMNS) and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0)], "doc_id bigint, toxic bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert packed.where("doc_id is null").count() >= 10
+
+
 def test_line_dedup_runs(spark):
     line = lambda tag, n=12: " ".join(f"{tag}{j}" for j in range(n))
     passage = [line(f"p{k}_") for k in range(6)]
