@@ -19,8 +19,8 @@ SYMBOLS = 1 + 26 + 33 + 1
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 SUBSTITUTE, REPEAT, GAP, DROP, BREAK = 1.0, 0.3, 0.2, 14.0, 5.0
 SEPARATORS = " .-_*"
-#: Decoded spans that a worker keeps; characters of a span that one lattice holds (longer spans are cut there).
-KEPT, SPAN = 200_000, 64
+#: Marks that also stand for the last letter of a word; decoded spans that a worker keeps.
+FINAL, KEPT = "$@+|", 200_000
 
 
 def _symbol_table() -> np.ndarray:
@@ -74,11 +74,12 @@ class Decoder:
         if (got := self.seen.get(span)) is None:
             if len(self.seen) >= KEPT:
                 self.seen.clear()
-            got = self.seen[span] = " ".join(" ".join(self._path(span[i : i + SPAN]) for i in range(0, len(span), SPAN)).split())
+            got = self.seen[span] = " ".join(self._path(span).split())
         return got
 
     def _path(self, span: str) -> str:
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # A path is (path before, symbol), so that paths share what they have in common and the cost stays linear.
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         span += "\n"
         for i, c in enumerate(span):
             run = c.isalpha() and i and c == span[i - 1] and (c == span[i + 1] or c == span[i - 2 : i - 1])
@@ -91,18 +92,23 @@ class Decoder:
                 options += [("", GAP), (" ", BREAK)]
             else:
                 options.append((" ", 0.0))
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (total, path) in states.items():
                 for out, price in options:
                     if out == "":
                         key, own = (a, b), (total + price, path)
                     else:
                         s = symbol(out)
-                        key, own = (b, s), (total + price + (self.cost[a][b][s] if s or b else 0.0), path + out)
-                    if key not in new or own < new[key]:
+                        key, own = (b, s), (total + price + (self.cost[a][b][s] if s or b else 0.0), (path, out))
+                    if key not in new or own[0] < new[key][0]:
                         new[key] = own
             states = new
-        return min(states.values())[1]
+        path = min(states.values(), key=lambda x: x[0])[1]
+        out = []
+        while path is not None:
+            path, c = path
+            out.append(c)
+        return "".join(reversed(out))
 
 
 def suspicious(own: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
@@ -118,11 +124,11 @@ def suspicious(own: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     left = np.append(False, is_letter[:-1]) & ~row_start[:-1]
     right = np.append(is_letter[1:], False) & ~row_start[1:]
     point = np.minimum(own, 127)
-    digit, mark, gap = (np.zeros(128, bool) for _ in range(3))
-    digit[[ord(c) for c in LEET if c.isdigit()]] = True
-    mark[[ord(c) for c in LEET if not c.isdigit()]] = True
+    both, mark, gap = (np.zeros(128, bool) for _ in range(3))
+    both[[ord(c) for c in LEET if c.isdigit() or c in FINAL]] = True
+    mark[[ord(c) for c in LEET if not c.isdigit() and c not in FINAL]] = True
     gap[[ord(c) for c in SEPARATORS]] = True
-    hit = digit[point] & (left | right) | mark[point] & right
+    hit = both[point] & (left | right) | mark[point] & right
     hit[2:] |= is_letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
     single = is_letter & ~left & ~right
     spaced = np.zeros(n, bool)

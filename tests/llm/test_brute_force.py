@@ -188,6 +188,18 @@ def test_pipeline_keeps_documents_of_null_and_repeated_ids(spark, tmp_path):
     assert packed.where("doc_id is null").count() >= 10
 
 
+def test_long_spans_and_final_marks_are_decoded(spark):
+    sentence = "the small dog is an idiot and runs home"
+    cost = toxicity.train_characters(spark.createDataFrame([(1, f"{sentence}. dumbass idea. " * 300)], "doc_id bigint, text string"))
+    decoder = toxicity.Decoder(cost)
+    spaced = " ".join(sentence.replace(" ", "") * 20)
+    assert len(spaced) > 1000 and decoder.decode(spaced).split() == sentence.split() * 20
+    for text, word in (("an idio+ runs", "idiot"), ("a dumba$$ runs", "dumbass"), ("the ide@ runs", "idea")):
+        own = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        (_, b, e), *more = toxicity.suspicious(own, np.array([0, len(own)]))
+        assert not more and decoder.decode(text[b:e]) == word
+
+
 def test_line_dedup_runs(spark):
     line = lambda tag, n=12: " ".join(f"{tag}{j}" for j in range(n))
     passage = [line(f"p{k}_") for k in range(6)]
