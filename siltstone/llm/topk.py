@@ -1,4 +1,4 @@
-"""Exact top-k inner products by no-random-access aggregation of sorted lists, in blocks."""
+"""Exact top-k inner products by no-random-access aggregation of sorted lists, in blocks of vectors."""
 
 from __future__ import annotations
 
@@ -9,104 +9,156 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import common
 
-#: Vectors of a candidate block and queries of a query block; shares of each sorted list read before bounds are compared.
-CANDIDATES, QUERIES, DEPTHS = 4096, 1024, (1 / 8, 1 / 4, 1 / 2)
+#: Vectors of a candidate block and queries of a query block: a block's lists take about 12 bytes a component and direction.
+CANDIDATES, QUERIES = 8192, 8192
+#: Shares of each list at which the bounds are compared; share of a block that may be left when a query stops.
+DEPTHS = (1 / 8, 5 / 16, 7 / 16, 1 / 2, 9 / 16, 5 / 8, 11 / 16, 3 / 4, 7 / 8, 1)
+FEW = 1 / 16
+LONG = (1 << 63) - 1
 
 
-def no_random_access(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the vectors (row numbers, integer scores) that may be among its k best, these included.
+class Lists:
+    """The sorted lists of a block of vectors, one for each dimension, read from either end.
 
-    Each dimension is one list, sorted by its contribution to the score (descending values where the query is
-    positive, ascending where it is negative), and all lists are read in step to the shares in DEPTHS. What is read
-    of a vector and the least a list can give make its lower bound; what is read and the list's frontier make its upper
-    bound. A query stops once few vectors have an upper bound that reaches its k-th lower bound; these are resolved.
-    own[i]: the vector that is query i itself, or -1.
+    place[j, i] is the place of vector j in list i, counted from the middle. Read from the greatest value on, the first
+    r entries of all lists are those with a place below r - middle; read from the least, those whose negated place is.
     """
-    top = max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(vectors).max(initial=0))) * max(1, vectors.shape[1])
-    if top >= 2**53:
-        raise ValueError("components are too large for exact integer scores")
-    kind = np.float32 if top < 2**24 else np.float64
-    x, q = vectors.astype(kind), queries.astype(kind)
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    out: list = [None] * len(q)
-    n = len(x)
-    waiting = np.arange(len(q))
-    low, high = x.min(axis=0), x.max(axis=0)
-    for depth in DEPTHS if n > 4 * k else ():
-        at = max(1, int(n * depth))
-        front_up, front_down = np.partition(x, n - at, axis=0)[n - at], np.partition(x, at - 1, axis=0)[at - 1]
-        upper = up[waiting] @ np.maximum(x, front_up).T + down[waiting] @ np.minimum(x, front_down).T
-        lower = up[waiting] @ np.where(x >= front_up, x, low).T + down[waiting] @ np.where(x <= front_down, x, high).T
-        rows = np.flatnonzero(own[waiting] >= 0)
-        lower[rows, own[waiting[rows]]] = upper[rows, own[waiting[rows]]] = -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k]
-        inside = upper >= bar[:, None]
-        few = inside.sum(axis=1) <= max(8 * k, n // 16)
-        for i in np.flatnonzero(few).tolist():
-            found = np.flatnonzero(inside[i])
-            out[waiting[i]] = found, x[found] @ q[waiting[i]]
-        waiting = waiting[~few]
-        if not len(waiting):
-            break
-    if len(waiting):  # these lists are read to the end: both bounds are the score
-        score = q[waiting] @ x.T
-        rows = np.flatnonzero(own[waiting] >= 0)
-        score[rows, own[waiting[rows]]] = -np.inf
-        bar = np.partition(score, max(0, n - k), axis=1)[:, max(0, n - k)]
-        for i, query in enumerate(waiting.tolist()):
-            found = np.flatnonzero((score[i] >= bar[i]) & (score[i] > -np.inf))
-            out[query] = found, score[i, found]
-    return out
+
+    def __init__(self, vectors: np.ndarray):
+        self.exact = vectors
+        self.unit = float(np.abs(vectors).max(initial=0)) or 1.0
+        x = vectors / self.unit
+        order = np.argsort(-x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, order, axis=0)
+        self.middle = (len(x) - 1) / 2
+        self.place = np.empty(order.shape, np.float32)
+        np.put_along_axis(self.place, order, (np.arange(len(x)) - self.middle).astype(np.float32)[:, None], axis=0)
+        self.value = x.astype(np.float32)
+        self.square = (x * x).sum(axis=1).astype(np.float32)
+
+    def search(self, query: np.ndarray, k: int, own: int = -1, bar: float = -np.inf) -> tuple[np.ndarray, int]:
+        """(the vectors that may be among the query's k best, entries read).
+
+        Lists of dimensions with a positive component are read from the greatest value on, the others from the least.
+        What no list has shown of a vector lies between the lists' worst ends and their frontiers, and (Cauchy-Schwarz)
+        within the product of what is left of both lengths. Vectors whose upper bound misses the k-th lower bound (or
+        bar, a bound known before) are dropped. A query stops once a vector that no list has shown can't
+        qualify and few others can; their scores are then resolved. own: the vector that is the query itself.
+        """
+        n, dims = self.exact.shape
+        unit = float(np.abs(query).max(initial=0)) or 1.0
+        q = query / unit
+        mine, used, every = q.astype(np.float32), np.flatnonzero(q), np.arange(dims)
+        live, place, value, square = np.arange(n), self.place * np.sign(mine), self.value, self.square
+        slack = 1e-5 * np.abs(q).sum() + 1e-12
+        told, bar, end = bar > -np.inf, bar / unit / self.unit, 0
+        worst = q * self.sorted[np.where(q > 0, n - 1, 0), every]
+        for share in DEPTHS if len(used) else ():
+            end = n if share == 1 else max(end + 1, int(n * share))
+            front = q * self.sorted[np.where(q > 0, end - 1, n - end), every]
+            if told and end < n and front.sum() >= bar - slack:
+                continue  # the frontiers alone tell that this is no place to stop
+            read = place < end - self.middle
+            shown = value * read
+            left = (~read).astype(np.float32) @ np.stack([front, worst, q * q], axis=1).astype(np.float32)
+            reach = np.sqrt(np.maximum(left[:, 2], 0) * np.maximum(square - np.einsum("ij,ij->i", shown, shown), 0))
+            total = shown @ mine
+            low, high = total + np.maximum(left[:, 1], -reach), total + np.minimum(left[:, 0], reach)
+            low[live == own] = high[live == own] = -np.inf
+            if len(low) > k:
+                bar = max(bar, float(np.partition(low, len(low) - k)[len(low) - k]))
+            still = high >= bar - slack
+            few = still.sum() <= max(4 * k, n * FEW)
+            if few or still.mean() < 0.8:
+                live, place, value, square = live[still], place[still], value[still], square[still]
+            if end == n or (few and front.sum() < bar - slack):
+                break
+        return live[live != own], end * len(used)
+
+    def scores(self, rows: np.ndarray, query: np.ndarray) -> list[int]:
+        """Exact integer inner products, of any size."""
+        if float(np.abs(query).max(initial=0)) * self.unit * max(1, len(query)) < 2**53:
+            return (self.exact[rows] @ query).astype(np.int64).tolist()
+        q = [int(x) for x in query.tolist()]
+        return [sum(int(a) * b for a, b in zip(v, q)) for v in self.exact[rows].tolist()]
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return table.column("v").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
 
 
 def _block(k: int):
+    """The k best of one query block in one candidate block; a row without vec_id tells how many entries were read of how many."""
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, own_ids = left.column("vec_id").to_numpy(), right.column("query_id").to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(ids) and len(own_ids):
-            order = np.argsort(ids, kind="stable")
-            ids = ids[order]
-            x = left.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
-            q = right.column("v").combine_chunks().flatten().to_numpy().reshape(len(own_ids), -1)
-            at = np.minimum(np.searchsorted(ids, own_ids), len(ids) - 1)
-            own = np.where(ids[at] == own_ids, at, -1)
-            for query, (rows, scores) in zip(own_ids.tolist(), no_random_access(q, x, own, k)):
-                apart = ids[rows] != query
-                rows, scores = rows[apart], scores[apart].astype(np.int64)
-                best = np.lexsort((ids[rows], -scores))[:k]
-                found.append((np.full(len(best), query, np.int64), ids[rows[best]], scores[best]))
-        cols = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, cols))))
+        cols: list[list] = [[] for _ in range(6)]
+        if len(left) and len(right):
+            left = left.sort_by("vec_id")
+            ids, lists = left.column("vec_id").to_numpy(), Lists(_matrix(left))
+            for query, q, bar in zip(right.column("query_id").to_pylist(), _matrix(right), right.column("bar").to_pylist()):
+                at = min(int(np.searchsorted(ids, query)), len(ids) - 1)
+                rows, read = lists.search(q, k + max(0, int((ids == query).sum()) - 1), at if ids[at] == query else -1, -np.inf if bar is None else bar)
+                rows = rows[ids[rows] != query]
+                best = sorted(zip((-s for s in lists.scores(rows, q)), ids[rows].tolist()))[:k]
+                best = [b for b in best if bar is None or -b[0] >= bar]
+                cols[0] += [query] * (len(best) + 1)
+                cols[1] += [*(i for _, i in best), None]
+                cols[2] += [*(max(-LONG, min(LONG, -s)) for s, _ in best), None]
+                cols[3] += [*(str(-s + 10**640).zfill(641) if abs(s) >= LONG else None for s, _ in best), None]
+                cols[4] += [0] * len(best) + [read]
+                cols[5] += [0] * len(best) + [q.size * len(ids)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score", "wide", "read", "held"), cols, kinds)})
 
     return search
 
 
-def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, query: str = "vec_id % 20 = 0") -> DataFrame:
-    """The k best vectors of each query by integer inner product: query_id, rank (from 1), vec_id, score.
+def exact_top_k(vectors: DataFrame, k: int = 20, scale: int = 64, query: str = "vec_id % 20 = 0", block: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+    """The k best vectors of each query by integer inner product: query_id, rank (from 1), vec_id, score, read_share.
 
     vectors: vec_id and embedding; each component x counts as floor(scale * x). Queries are the rows that fulfil
     `query`, candidates all rows of another vec_id and the same number of dimensions. Ties go to the smaller vec_id.
     Rows whose vec_id or vector is null or whose components hold a null or non-finite value take no part; equal rows
-    count once; an empty table gives no rows; other columns are ignored. Candidates and queries meet block by block
-    (candidates are copied once for each query block), each block pair in one task, and only its k best go on.
+    count once; an empty table gives no rows; other columns are ignored. Products are exact at any size (components from
+    2.6e306 on count as that); a score beyond the range of a bigint is shown as its end, its rank is that of the true score. read_share: entries of sorted lists read for
+    the query over all entries there are.
+
+    Vectors are dealt into blocks of about `block` by hash. A query first searches the block of its own vec_id; the k-th
+    score found there is a bound that lets the other blocks stop sooner, and they return nothing below it.
+    Candidates are copied once for each `queries` queries.
     """
     v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = v.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & finite)
-    v = common.settle(v.select("vec_id", F.transform("v", lambda x: F.floor(x * scale).cast("bigint")).alias("v")).dropDuplicates(["vec_id", "v"]))
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x * scale).cast("double")).otherwise(F.least(F.greatest(x * scale, F.lit(-1.7e308)), F.lit(1.7e308))))
+    v = common.settle(v.select("vec_id", whole.alias("v"), F.size("v").alias("dims")).dropDuplicates(["vec_id", "v"]))
     n, asked = v.agg(F.count("*"), F.count_if(F.expr(query))).first()
-    blocks, asks = max(1, -(-n // CANDIDATES)), max(1, -(-asked // QUERIES))
-    dims = F.size("v").alias("dims")
-    left = v.select("vec_id", "v", dims, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
-    right = v.where(query).select(F.col("vec_id").alias("query_id"), "v", dims, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asks)).cast("int").alias("ask"))
-    keys = ("dims", "block", "ask")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block(k), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks, asks = max(1, -(-n // block)), max(1, -(-asked // queries))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    turn = lambda c: F.pmod(F.xxhash64(c, F.lit(1)), F.lit(asks)).cast("int")
+    left = v.select("vec_id", "v", "dims", place("vec_id").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asks - 1))).alias("ask"))
+    asker = common.settle(v.where(query).select(F.col("vec_id").alias("query_id"), "v", "dims", place("vec_id").alias("home"), turn("vec_id").alias("ask")))
+
+    def met(right: DataFrame) -> DataFrame:
+        keys = ("dims", "block", "ask")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block(k), "query_id bigint, vec_id bigint, score bigint, wide string, read bigint, held bigint")
+        return common.settle(found)
+
+    best = met(asker.withColumn("block", F.col("home")).withColumn("bar", F.lit(None).cast("double")))
+    if blocks > 1:
+        sure = F.when((F.count("score") >= k) & (F.min("score") > -LONG), F.min("score").cast("double"))
+        bars = best.groupBy("query_id").agg(sure.alias("bar"))
+        other = asker.join(bars, "query_id", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("block <> home")
+        best = best.unionByName(met(other))
+    mine = Window.partitionBy("query_id")
+    order = mine.orderBy(F.desc_nulls_last("score"), F.desc("wide"), "vec_id")
+    best = best.withColumn("read_share", F.sum("read").over(mine) / F.sum("held").over(mine)).withColumn("rank", F.row_number().over(order))
+    return best.where((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "read_share")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_top_k(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    out = exact_top_k(common.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -245,18 +246,51 @@ def test_fingerprint_buckets(spark):
     assert one.equals(many) and len(one) == 500
 
 
-def test_exact_top_k_prunes_exactly(spark):
+def top_k_by_hand(rows, k, asked):
+    """Python integers throughout."""
+    v = {i: [math.floor(64 * Fraction(x)) for x in e] for i, e in rows}
+    out = {}
+    for i in v:
+        if asked(i):
+            scores = sorted((-sum(a * b for a, b in zip(v[i], v[j])), j) for j in v if j != i)[:k]
+            out[i] = [(r, j, -s) for r, (s, j) in enumerate(scores, 1)]
+    return out
+
+
+def test_exact_top_k_stops_early_and_is_exact():
     rng = np.random.default_rng(4)
-    centres = rng.normal(size=(6, 16)) * 4
-    x = (centres[rng.integers(0, 6, 3000)] + rng.normal(size=(3000, 16)))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = np.floor(64 * x).astype(np.int64)
-    found = topk.no_random_access(q[:50], q, np.arange(50), 20)
-    for i, (rows, scores) in enumerate(found):
-        want = q @ q[i]
-        want[i] = -(10**9)
-        bar = np.sort(want)[-20]
-        assert set(np.flatnonzero(want >= bar)) <= set(rows.tolist()) and (want[rows] == scores).all() and i not in rows
+    flat = rng.normal(size=(2000, 16))
+    skewed = flat * np.exp(-np.arange(16.0))  # few dimensions decide
+    centres = rng.normal(size=(40, 16)) * 8
+    copies = centres[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 16)) / 50
+    shares = []
+    for x in (flat, skewed, copies):
+        v = np.floor(64 * x)
+        lists, read = topk.Lists(v), 0
+        for i in range(0, 2000, 40):
+            rows, n = lists.search(v[i], 20, i)
+            read += n / v.size / 50
+            want = v @ v[i]
+            want[i] = -np.inf
+            assert set(np.flatnonzero(want >= np.sort(want)[-20])) <= set(rows.tolist()) and i not in rows
+            told, fewer = lists.search(v[i], 20, i, np.sort(want)[-20])
+            assert set(np.flatnonzero(want >= np.sort(want)[-20])) <= set(told.tolist()) and fewer <= n
+        shares.append(read)
+    assert shares[1] < 0.6 and shares[2] < 0.6 and max(shares) < 1, shares
+
+
+@pytest.mark.parametrize("size", [1.0, 3e4, 1e9, 1e120])
+def test_exact_top_k_by_blocks(spark, size):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.choice([-1, 0, 0.25, 1, 3], 5) * size + rng.integers(0, 3, 5)]) for i in range(300)]
+    out = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 7, block=64, queries=8)
+    found = defaultdict(list)
+    for r in out.collect():
+        found[r.query_id].append((r["rank"], r.vec_id, r.score))
+        assert 0 < r.read_share <= 1 or r.score == 0
+    want = top_k_by_hand(rows, 7, lambda i: i % 20 == 0)
+    clip = lambda s: max(-(2**63) + 1, min(2**63 - 1, s))
+    assert {i: sorted(x) for i, x in found.items()} == {i: [(r, j, clip(s)) for r, j, s in x] for i, x in want.items()}
 
 
 def test_char_lattice(spark, docs):
