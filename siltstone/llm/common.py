@@ -2,34 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the word contracts, as a regular-expression class body.
 WHITE = r"\x20\x09-\x0D"
 WORD = rf"[^{WHITE}]+"
-#: Rows of an id list up to which it is broadcast; beyond it the join shuffles. So many rows take up to about 60 MB on the driver.
-BROADCAST_ROWS = 200_000
+#: Measured bytes up to which a table is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = 1024) -> None:
-    """Sets the rows of an Arrow batch, so that a batch of long texts stays in tens of MB."""
+def arrow_batches(spark: SparkSession, rows: int = 2048, size: str = "8m") -> None:
+    """Sets the greatest rows and bytes of an Arrow batch, for all operators alike, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The folder that all executors share. It must be named in spark.checkpoint.dir: a machine-local one would lose rows on a cluster."""
     told = spark.conf.get("spark.checkpoint.dir", None)
-    if told is None:
-        told = tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", told)
+    if not told:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return told
 
 
@@ -38,12 +38,33 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
 
 
-def small(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """ids (settled or cheap to count) with a broadcast hint if it has at most `most` rows; else as it is, to be shuffled."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a column's value in memory, about."""
+    kind, c = field.dataType, F.col(f"`{field.name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType):
+        return F.greatest(F.size(c), F.lit(0)) * 16 + 32
+    return F.lit(48 if isinstance(kind, T.StructType) else 16)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (settled or cheap to read) with a broadcast hint if its measured bytes are at most `most`; else as it is, to be shuffled."""
+    size = sum((_width(f) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
 
 
 def fold(doc_id: Column | str, folds: int) -> Column:

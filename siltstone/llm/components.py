@@ -17,8 +17,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").where("a <> b")
     both = common.settle(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("label")))
-    while True:
+    new = common.settle(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.lit(-1).cast("bigint").alias("old"), F.least("a", "b").alias("label")))
+    moved = True
+    while moved:
+        last, labels = new, new.select("id", "label")
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("theirs")), "b").groupBy("a").agg(F.min("theirs").alias("least"))
         own = labels.join(near.withColumnRenamed("a", "id"), "id")
         told = own.select(F.col("id").alias("to"), "least").unionByName(own.select(F.col("label").alias("to"), "least"))
@@ -26,6 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         hooked = common.settle(labels.join(told, F.col("id") == F.col("to"), "left").select("id", "label", F.least("label", F.coalesce("least", "label")).alias("mid")))
         jumped = hooked.join(hooked.select(F.col("id").alias("at"), F.col("mid").alias("next")), F.col("mid") == F.col("at"), "left")
         new = common.settle(jumped.select("id", F.col("label").alias("old"), F.least("mid", F.coalesce("next", "mid")).alias("label")))
-        labels = new.select("id", "label")
-        if not new.where("label <> old").limit(1).count():
-            return labels
+        common.discard(last, hooked)
+        moved = new.where("label <> old").limit(1).count() > 0
+    common.discard(both)
+    labels = new.select("id", "label")
+    labels.settled_at = new.settled_at
+    return labels

@@ -134,7 +134,7 @@ def fingerprint_chain(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
-    common.arrow_rows(spark, 256)
+    common.arrow_batches(spark)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     n = min(MOST_BUCKETS, ids.count() // bucket)
     edges = sorted({float(x) for x in ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else [0.0]

@@ -113,7 +113,7 @@ def train(docs: DataFrame) -> Model:
             there = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(total[there])], ["lang", "gram", "k"])
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("lang", "text").mapInArrow(count, "lang string, gram int, k bigint")
     got = known.groupBy("lang", "gram").agg(F.sum("k").alias("k")).toPandas()
     langs = sorted(got["lang"].unique())
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             parts = [_predicted(model, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in words.runs(offsets, 1 << 23)]
             yield pa.concat_arrays(parts) if parts else _predicted(model, data, offsets)
 
-    common.arrow_rows(docs.sparkSession, 2048)
+    common.arrow_batches(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans", "_found")])
     found = kept.withColumn("_found", predict(F.coalesce("text", F.lit(""))))
     return found.select(*kept.columns, "_found.lang_pred", "_found.score", "_found.lang_spans")

@@ -45,8 +45,9 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     prints = common.settle(least.where("whole").select("d", "h", "m.g", "m.i").distinct())
 
     first = prints.groupBy("g").agg(F.min(F.struct("d", "h", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("fg"), "f")
+    first = common.settle(first)
     before = F.lag("i").over(Window.partitionBy("d", "h", "g").orderBy("i"))
-    met = prints.withColumn("before", before).join(common.small(common.settle(first)), F.col("g") == F.col("fg"))
+    met = prints.withColumn("before", before).join(common.small(first), F.col("g") == F.col("fg"))
     here = F.col("before").isNotNull()
     met = met.where(here | (F.struct("d", "h") != F.struct("f.d", "f.h")))
     pair = met.select("d", "h", F.when(here, F.col("d")).otherwise(F.col("f.d")).alias("sd"), F.when(here, F.col("h")).otherwise(F.col("f.h")).alias("sh"), (F.col("i") - F.when(here, F.col("before")).otherwise(F.col("f.i"))).alias("shift")).distinct()
@@ -59,9 +60,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     runs = equal.withColumn("words", F.sum("w").over(Window.partitionBy("d", "h", "sd", "sh", "shift", "island")))
     gone = common.settle(runs.where(F.col("words") >= gram).select("d", "h", "pos").distinct())
     gone_by = gone.groupBy("d", "h").agg(F.collect_list("pos").alias("_dedup_gone")).withColumnsRenamed({"d": "_dedup_d", "h": "_dedup_h"})
-    n_lines, n_docs = gone.agg(F.count("*"), F.count_distinct("d", "h")).first()
-    if n_docs <= common.BROADCAST_ROWS and n_lines <= 5 * common.BROADCAST_ROWS:
-        gone_by = F.broadcast(gone_by)
+    common.discard(lines, prints, first)
+    gone_by = common.small(gone_by)
 
     joined = kept.join(gone_by, (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col("_dedup_d")) & (hash60(F.col(text)) == F.col("_dedup_h")), "left")
     cleaned = F.when(F.col("_dedup_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("_dedup_gone", k)), "\n"))

@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end_id: in
                 names = [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession)
     schema = T.StructType([*PIECES.fields, T.StructField("ids", T.BinaryType())]) if with_ids else PIECES
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(cut, schema)
 

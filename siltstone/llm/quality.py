@@ -138,7 +138,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = GOOD) -> Dat
         for batch in batches:
             yield pa.array(model.score(features(batch)), pa.float64())
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted")])
     return kept.withColumn("score", scored(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
         for batch in batches:
             yield pa.array(own.encode(batch, want_ids=False)[0], pa.int64())
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession)
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = docs.select(*[c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")])
     counted = kept.withColumn("n_bytes", F.octet_length(whole).cast("bigint")).withColumn("n_tokens", lengths(whole))

@@ -52,7 +52,7 @@ def train_characters(docs: DataFrame) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], ["gram", "k"])
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession)
     got = docs.where("text is not null").select("text").mapInArrow(count, "gram int, k bigint").groupBy("gram").agg(F.sum("k").alias("k")).toPandas()
     k = np.zeros(SYMBOLS**3)
     k[got["gram"].to_numpy(int)] = got["k"]
@@ -260,7 +260,7 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, cost: np.ndarray, toxic: i
                 out.append((int(pairs.view(np.int64).min()) if len(pairs) else 0, sorted({w[:k] for w in own for k in STEMS if len(w) > k} | {w + "$" for w in own if 3 <= len(w) < 63})))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string()))], ["toxic", "sig", "f"])
 
-    common.arrow_rows(spark)
+    common.arrow_batches(spark)
     seen = common.settle(sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(emit, "toxic int, sig bigint, f array<string>"))
     seen = seen.groupBy("sig", "toxic").agg(F.first("f").alias("f"))
     seen = common.settle(seen)
@@ -312,7 +312,7 @@ def score_toxicity(docs: DataFrame, cost: np.ndarray, lexicon: Lexicon, threshol
             score = 1 - (1 - 0.1 * lexicon.base) * np.exp(clear)
             yield pa.StructArray.from_arrays([pa.array(score), pa.array(restored, pa.list_(pa.string()))], ["score", "restored"])
 
-    common.arrow_rows(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession)
     kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "restored", "_found")])
     found = kept.withColumn("_found", scored(F.coalesce("text", F.lit(""))))
     return found.select(*kept.columns, "_found.score", (F.col("_found.score") >= threshold).cast("int").alias("predicted"), "_found.restored")

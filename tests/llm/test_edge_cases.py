@@ -74,9 +74,26 @@ def test_line_dedup(docs):
 def test_near_duplicates(docs):
     rows = {(r.doc_id, r.text): (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()}
     assert rows[(7, ROWS[0][1])] == (6, 1) and rows[(2, None)] == (0, 2) and rows[(4, " \n\t ")] == (0, 4) and rows[(None, "nobody's text")] == (1, None)
+    assert sum(r.leads for r in jaccard.near_duplicates(docs).collect()) == 9 and jaccard.one_of_each(docs).count() == 7
     assert jaccard.near_duplicates(docs).count() == len(ROWS) and jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_judge_rows_not_ids(spark):
+    some = lambda tag: " ".join(f"{tag}{k}" for k in range(30))
+    most = 2**63 - 1
+    rows = [(None, some("a")), (None, some("b") + " x y"), (3, some("c")), (3, some("d")), (9, some("a") + " end"), (most, some("e")), (None, some("e") + " end"), (None, some("f")), (None, some("f")), (3, None), (None, "")]
+    out = {(r.doc_id, r.text): (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out == {
+        (None, some("a")): (26, 9), (None, some("b") + " x y"): (28, None), (3, some("c")): (26, 3), (3, some("d")): (26, 3), (9, some("a") + " end"): (27, 9),
+        (most, some("e")): (26, most), (None, some("e") + " end"): (27, most), (None, some("f")): (26, None), (3, None): (0, 3), (None, ""): (0, None),
+    }
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [rows[k] for k in (1, 2, 3, 4, 5, 7, 9, 10)]))
+    plain = [r for r in rows if r[0] in (9, most)]
+    kept = jaccard.one_of_each(spark.createDataFrame(plain, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted(plain)
+
+
 def test_mixing(docs):
     sized = docs.withColumn("size", mixing.word_count())
     rows = mixing.mix_sources(sized).collect()
