@@ -31,22 +31,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component (null ids last, then by hash of the text).
+    """The document of the smallest doc_id of each component (null ids last, then by a hash of the row).
 
-    Where an id is null or repeated, each distinct doc_id and text is a document of its own, of which one row stays. Texts
-    without words stay, with a null id all their rows.
+    Where an id is null or repeated, each distinct text is a document of its own, of which one row stays. Texts without
+    words link with nothing: all their rows stay.
     """
-    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
-    if not odd:
-        return jaccard.near_duplicates(docs).where("doc_id = component_id").select(*COLUMNS)
-    docs = docs.withColumn("_hash", F.md5("text"))
-    keys = docs.select("doc_id", "_hash").distinct().orderBy(F.asc_nulls_last("doc_id"), "_hash").withColumn("_node", F.monotonically_increasing_id())
-    keys = common.settle(keys).withColumnsRenamed({"doc_id": "_own", "_hash": "_key"})
-    nodes = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("_own")) & F.col("_hash").eqNullSafe(F.col("_key")))
-    out = common.settle(jaccard.near_duplicates(nodes.withColumn("doc_id", F.col("_node"))).where("doc_id = component_id"))
-    every = F.col("_own").isNull() & (F.col("n_shingles") == 0)
-    out = out.where(every).unionByName(out.where(~every).dropDuplicates(["_node"]))
-    return out.withColumn("doc_id", F.col("_own")).select(*COLUMNS)
+    return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
