@@ -15,12 +15,13 @@ from siltstone.llm import chars, common, words
 TOXIC, CLEAN, STEMS, BAD = 4000, 6000, (4, 5, 6, 7, 8, 9, 10), 0.7
 #: Symbols of the language model: 0 is a word's end, then a to z, then U+00DF to U+00FF, then any other letter.
 SYMBOLS = 1 + 26 + 33 + 1
-#: Channel: what a character may stand for, and costs in nats of a substitution, a dropped repeat, a dropped separator, a dropped mark and a break.
+#: Channel: what a character may stand for, and costs in nats of a substitution, a dropped third or later repeat, a dropped second one, a dropped separator, a dropped mark and a break.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
-SUBSTITUTE, REPEAT, GAP, DROP, BREAK = 1.0, 0.3, 0.2, 14.0, 5.0
+SUBSTITUTE, REPEAT, DOUBLE, GAP, DROP, BREAK = 1.0, 0.3, 2.5, 0.2, 14.0, 5.0
 SEPARATORS = " .-_*"
 #: Marks that also stand for the last letter of a word; decoded spans that a worker keeps.
 FINAL, KEPT = "$@+|", 200_000
+STEP = 0x9E3779B97F4A7C15
 
 
 def _symbol_table() -> np.ndarray:
@@ -77,21 +78,33 @@ class Decoder:
             got = self.seen[span] = " ".join(self._path(span).split())
         return got
 
+    @staticmethod
+    def options(span: str, i: int) -> list[tuple[str, float]]:
+        """What the i-th character may stand for ("" for nothing) and what that costs; all tricks may meet in one span."""
+        c = span[i]
+        out = []
+        if (c.isalpha() or c in LEET) and i and c == span[i - 1]:
+            out = [("", REPEAT if span[i + 1 : i + 2] == c or span[i - 2 : i - 1] == c else DOUBLE)]
+        if c in LEET:
+            out += [(x, SUBSTITUTE) for x in LEET[c]] + [("", DROP), (" ", DROP if c.isdigit() else BREAK)]
+        elif c.isalpha():
+            out.append((c, 0.0))
+        elif c in SEPARATORS:
+            out += [("", GAP), (" ", BREAK)]
+        else:
+            out.append((" ", 0.0))
+        return out
+
+    def step(self, a: int, b: int, s: int) -> float:
+        """The language model's cost of symbol s after a and b; a second end of word costs nothing."""
+        return self.cost[a][b][s] if s or b else 0.0
+
     def _path(self, span: str) -> str:
         # A path is (path before, symbol), so that paths share what they have in common and the cost stays linear.
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         span += "\n"
-        for i, c in enumerate(span):
-            run = c.isalpha() and i and c == span[i - 1] and (c == span[i + 1] or c == span[i - 2 : i - 1])
-            options = [("", REPEAT)] if run else []
-            if c in LEET:
-                options += [(x, SUBSTITUTE) for x in LEET[c]] + [("", DROP), (" ", DROP if c.isdigit() else BREAK)]
-            elif c.isalpha():
-                options.append((c, 0.0))
-            elif c in SEPARATORS:
-                options += [("", GAP), (" ", BREAK)]
-            else:
-                options.append((" ", 0.0))
+        for i in range(len(span)):
+            options = self.options(span, i)
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (total, path) in states.items():
                 for out, price in options:
@@ -99,7 +112,7 @@ class Decoder:
                         key, own = (a, b), (total + price, path)
                     else:
                         s = symbol(out)
-                        key, own = (b, s), (total + price + (self.cost[a][b][s] if s or b else 0.0), (path, out))
+                        key, own = (b, s), (total + price + self.step(a, b, s), (path, out))
                     if key not in new or own[0] < new[key][0]:
                         new[key] = own
             states = new
@@ -113,7 +126,8 @@ class Decoder:
 
 def suspicious(own: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, begin, end) of the spans whose lattice has more than one path: letters with look-alike digits or marks among
-    them, a letter three times in a row, and three or more single letters between separators."""
+    them, words of three or more look-alike marks, a letter three times in a row, two doubled letters in a row, and three or more single
+    letters or look-alikes between separators of any kind."""
     letter, lower, _ = chars.tables()
     n = len(own)
     if n < 3:
@@ -129,11 +143,16 @@ def suspicious(own: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
     mark[[ord(c) for c in LEET if not c.isdigit() and c not in FINAL]] = True
     gap[[ord(c) for c in SEPARATORS]] = True
     hit = both[point] & (left | right) | mark[point] & right
-    hit[2:] |= is_letter[2:] & (low[2:] == low[1:-1]) & (low[2:] == low[:-2])
-    single = is_letter & ~left & ~right
+    twice = np.append(False, is_letter[1:] & (low[1:] == low[:-1])) & ~row_start[:-1]
+    hit[2:] |= twice[2:] & (twice[1:-1] | twice[:-2])
+    sign = (both | mark)[point] & ~((own >= 48) & (own < 58))
+    only = sign[2:] & sign[1:-1] & sign[:-2] & ((own[2:] != own[1:-1]) | (own[1:-1] != own[:-2]))
+    hit[1:-1] |= only & ~row_start[1:-2] & ~row_start[2:-1]
+    symbols = is_letter | (both | mark)[point]
+    single = symbols & ~np.append(False, symbols[:-1] & ~row_start[1:-1]) & ~np.append(symbols[1:] & ~row_start[1:-1], False)
     spaced = np.zeros(n, bool)
     if n >= 5:
-        three = single[:-4] & single[2:-2] & single[4:] & gap[point[1:-3]] & gap[point[3:-1]] & (own[1:-3] == own[3:-1])
+        three = single[:-4] & single[2:-2] & single[4:] & gap[point[1:-3]] & gap[point[3:-1]] & (is_letter[:-4] | is_letter[2:-2] | is_letter[4:])
         k = np.flatnonzero(three)
         for d in range(5):
             spaced[k + d] = True
@@ -159,13 +178,10 @@ def _text(points: np.ndarray) -> str:
     return lower[points].astype(np.uint32).tobytes().decode("utf-32-le")
 
 
-_POWER = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], np.uint64)
-
-
 def _key(word: str, whole: bool) -> int:
-    """The hash of a word's beginning (of STEMS letters) or of a whole word of less than 64 letters."""
-    h = sum((ord(c) * 2 + 1) * int(_POWER[i]) for i, c in enumerate(word)) & (1 << 64) - 1
-    return h ^ (len(word) + 100 * whole)
+    """The hash of a word's beginning (of STEMS letters) or of a whole word."""
+    h = sum((ord(c) * 2 + 1) * pow(STEP, i, 1 << 64) for i, c in enumerate(word)) & (1 << 64) - 1
+    return h ^ (2 * len(word) + whole)
 
 
 class Lexicon:
@@ -174,7 +190,7 @@ class Lexicon:
     def __init__(self, odds: dict[str, float], base: float):
         self.odds, self.base = odds, base
         stems = {w: p for w, p in odds.items() if not w.endswith("$")}
-        full = {w[:-1]: p for w, p in odds.items() if w.endswith("$") and len(w) <= 64}
+        full = {w[:-1]: p for w, p in odds.items() if w.endswith("$")}
         self.stems = {k: self._sorted({_key(w, False): p for w, p in stems.items() if len(w) == k}) for k in STEMS}
         self.full = self._sorted({_key(w, True): p for w, p in full.items()})
 
@@ -203,15 +219,17 @@ class Lexicon:
         best = np.zeros(len(first))
         h = np.zeros(len(first), np.uint64)
         code = lower[own].astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        longest = max([*STEMS, *(len(w) - 1 for w in self.odds if w.endswith("$") and len(w) <= 64)])
+        longest = max([*STEMS, *(len(w) - 1 for w in self.odds if w.endswith("$"))])
+        power = 1
         at_word = np.arange(len(first))
         for k in range(longest):
             at_word = at_word[size[at_word] > k]
-            h[at_word] += code[first[at_word] + k] * _POWER[k]
+            h[at_word] += code[first[at_word] + k] * np.uint64(power)
+            power = power * STEP & (1 << 64) - 1
             done = at_word[size[at_word] == k + 1]
-            self._take(best, h, done, self.full, k + 1 + 100)
+            self._take(best, h, done, self.full, 2 * (k + 1) + 1)
             if k + 1 in self.stems:
-                self._take(best, h, at_word[size[at_word] > k + 1], self.stems[k + 1], k + 1)
+                self._take(best, h, at_word[size[at_word] > k + 1], self.stems[k + 1], 2 * (k + 1))
         found = np.flatnonzero(best)
         return np.searchsorted(at, first[found], side="right") - 1, best[found]
 
@@ -238,7 +256,8 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, cost: np.ndarray, toxic: i
     """Learns word beginnings and words that mark toxic documents, from at most `toxic` and `clean` labelled documents.
 
     docs and labels hold training rows only. Copies are thinned first: of documents with the same least hash of word
-    pairs one stays. A feature counts if it stands in many documents of which nearly all are toxic; a beginning only if it
+    pairs one stays (the one of the least features, so reruns agree). What comes to the driver is bounded by the sample: features that
+    stand in `support` (4 or more) of the toxic documents and nearly nowhere else. A feature counts if it stands in many documents of which nearly all are toxic; a beginning only if it
     gives notably more of them than each longer beginning of it. Without toxic labels nothing is toxic.
     """
     spark = docs.sparkSession
@@ -257,12 +276,12 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, cost: np.ndarray, toxic: i
                 raw = np.frombuffer(text.encode(), np.uint8)
                 h, _, _ = words.word_hashes(raw, np.array([0, len(raw)]))
                 pairs = words.mix(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h
-                out.append((int(pairs.view(np.int64).min()) if len(pairs) else 0, sorted({w[:k] for w in own for k in STEMS if len(w) > k} | {w + "$" for w in own if 3 <= len(w) < 63})))
+                out.append((int(pairs.view(np.int64).min()) if len(pairs) else 0, sorted({w[:k] for w in own for k in STEMS if len(w) > k} | {w + "$" for w in own if len(w) >= 3})))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.string()))], ["toxic", "sig", "f"])
 
     common.arrow_batches(spark)
     seen = common.settle(sample.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(emit, "toxic int, sig bigint, f array<string>"))
-    seen = seen.groupBy("sig", "toxic").agg(F.first("f").alias("f"))
+    seen = seen.groupBy("sig", "toxic").agg(F.min("f").alias("f"))
     seen = common.settle(seen)
     bad, good = seen.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     base = (n_bad + 0.5) / (n_bad + n_good + 1)
@@ -271,7 +290,7 @@ def train_lexicon(docs: DataFrame, labels: DataFrame, cost: np.ndarray, toxic: i
     support = max(4, min(12, bad // 100))
     weigh = (n_good / max(1, good)) / (n_bad / max(1, bad))
     by = seen.select("toxic", F.explode("f").alias("f")).groupBy("f").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    rows = by.where((F.col("bad") >= support) & (F.col("good") * (4 * weigh) <= F.col("bad"))).orderBy(F.desc("bad"), "f").limit(20_000).collect()
+    rows = by.where((F.col("bad") >= support) & (F.col("good") * (4 * weigh) <= F.col("bad"))).collect()
     count = {r["f"]: (r["bad"], r["good"]) for r in rows}
     covered: dict[str, int] = {}
     for f, (k, _) in count.items():

@@ -300,6 +300,51 @@ def test_char_lattice(spark, docs):
         assert decoder.decode(raw) == want
 
 
+def test_tricks_meet_in_one_span(docs):
+    decoder = toxicity.Decoder(toxicity.train_characters(docs))
+    for text, want in (("m 0 r 0 n", "moron"), ("i.d-i.o t", "idiot"), ("iiddiioott", "idiot"), ("you m-0.r 0_n now", "moron"), ("1dd11oott", "idiot")):
+        own = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        (_, b, e), *more = toxicity.suspicious(own, np.array([0, len(own)]))
+        assert not more and decoder.decode(text[b:e]) == want, text
+    spans = lambda text: toxicity.suspicious(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)]))
+    assert spans("so @$$ it") == [(0, 3, 6)] and not spans("it cost 100 and 1 2 3, wow!!!") and not spans("") and not spans("$ !")
+
+
+def test_viterbi_is_the_best_of_all_paths(docs):
+    decoder = toxicity.Decoder(toxicity.train_characters(docs))
+    rng = random.Random(8)
+
+    def price(span, choice):
+        a, b, total = 0, 0, 0.0
+        for i, k in enumerate(choice):
+            out, own = decoder.options(span, i)[k]
+            total += own
+            if out:
+                s = toxicity.symbol(out)
+                total, a, b = total + decoder.step(a, b, s), b, s
+        return total
+
+    for _ in range(60):
+        span = "".join(rng.choice("idot1!$@. -sa") for _ in range(rng.randint(1, 7)))
+        full = span + "\n"
+        paths = list(itertools.product(*(range(len(decoder.options(full, i))) for i in range(len(full)))))
+        best = min(price(full, p) for p in paths)
+        words = {" ".join("".join(decoder.options(full, i)[k][0] for i, k in enumerate(p)).split()) for p in paths if price(full, p) <= best + 1e-6}
+        assert decoder.decode(span) in words, span
+
+
+def test_lexicon_is_the_same_after_a_shuffle(spark):
+    big = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    cost = toxicity.train_characters(docs)
+    one, two = (toxicity.train_lexicon(d, labels, cost).odds for d in (docs, docs.repartition(7).sortWithinPartitions(F.desc("doc_id"))))
+    assert one and one == two
+    long = "x" * 70
+    lexicon = toxicity.Lexicon({long + "$": 0.9}, 0.1)
+    own = np.frombuffer(f"a {long} {long}y".encode("utf-32-le"), np.uint32)
+    assert [a.tolist() for a in lexicon.of_words(own, np.array([0, len(own)]))] == [[0], [0.9]]
+
+
 def fold(i, n):
     return zlib.crc32(str(i).encode()) % n
 
