@@ -17,8 +17,8 @@ LIMIT = 1024
 def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
     """docs with n_bytes (UTF-8), n_tokens (no special tokens added) and over_limit (n_tokens > limit).
 
-    tokenizer: path of a byte-level BPE file on every worker. The rows of an Arrow batch are encoded in batches of
-    about 1 MB, cut by bytes; within one, texts are split at safe boundaries and each distinct piece is encoded once
+    tokenizer: path of a byte-level BPE file on every worker. Arrow batches are bounded by bytes
+    (8 MB) and encoded in runs of about 1 MB; within one, texts are split at safe boundaries and each distinct piece is encoded once
     (encode.py). Only lengths go back to Spark. There is no shuffle.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows get the same figures. Columns of docs stay; those

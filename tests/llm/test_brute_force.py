@@ -64,14 +64,22 @@ def test_token_counts(spark, texts, tokenizer):
         assert (out.n_tokens[i], out.n_bytes[i], out.over_limit[i]) == (n, len(text.encode()), n > 1024)
 
 
-def test_safe_pieces(tokenizer):
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_safe_pieces(name):
     import pyarrow as pa
 
-    rng, alphabet = random.Random(3), ["a", "B", "é", "7", " ", "  ", "\n", "\t", ",", ".", "'", "s", "'t", "%", "\x1c", "\xa0", "<|endoftext|>", "漢", " ", "\r\n"]
-    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    counts, ids = encode.Encoder(TOKENIZER).encode(pa.array(texts), want_ids=True)
-    for text, n, own in zip(texts, counts, ids):
-        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and n == len(own), repr(text)
+    tokenizer, own_encoder = Tokenizer.from_file(public_tokenizers.path(name)), encode.Encoder(public_tokenizers.path(name))
+    assert own_encoder.splits == name.startswith("byte")
+    alphabet = ["a", "B", "é", "7", " ", "  ", "\n", "\t", ",", ".", "'", "s", "'t", "%", "\x1c", "\xa0", "\xa0 ", "<|endoftext|>", "漢", "字。", "、", "，", "あ", "㉈", " ", "\r\n", "\u3000", "\u200b", "۵", "़"]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["漢字仮名。" * 500, "word\xa0word, " * 500, "x" * 3000]
+    for _ in range(2):  # the second time from what is kept
+        counts, ids = own_encoder.encode(pa.array(texts), want_ids=True)
+        for text, n, own in zip(texts, counts, ids):
+            assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and n == len(own), repr(text)
+    if own_encoder.splits:
+        assert max(len(p) for p in np.split(np.frombuffer(texts[-3].encode(), np.uint8), own_encoder._pieces(np.frombuffer(texts[-3].encode(), np.uint8), np.array([0, len(texts[-3].encode())])))) <= 18
 
 
 def test_packing(spark, texts, tokenizer):
