@@ -9,30 +9,47 @@ from siltstone.llm import common
 
 #: Weights by rank of the source, repeating; share of all words that the mix takes; copies of a source at most.
 WEIGHTS, SHARE, COPIES = (5, 2, 1), 1.5, 2
-#: Documents whose running sum one task makes; ticks of a virtual time of 1; slots of one search pass.
-RUN, TICKS, SLOTS = 2000, 1 << 40, 4096
+#: Documents whose running sum one task makes; ticks of a virtual time of 1.
+RUN, TICKS = 2000, 1 << 40
 OWN = tuple(f"_mix_{x}" for x in ("key", "run", "sum", "times", "source", "rows", "before", "r", "size"))
 
 
+def in_order(df: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """df (slim rows) globally range-sorted, with nth (rows before) and for each column x of sums x_before (its sum over the rows before).
+
+    Partitions hold ranges of the order; each makes its own running sums, shifted by the totals of the partitions before it.
+    """
+    ranged = common.settle(df.repartitionByRange(*order).withColumn("_mix_part", F.spark_partition_id()))
+    ahead = Window.orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_mix_part").agg(F.count("*").alias("nth"), *[F.sum(x).alias(f"{x}_before") for x in sums])  # one row a partition
+    names = ["nth", *[f"{x}_before" for x in sums]]
+    shift = totals.select("_mix_part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_mix_{n}") for n in names])
+    within = Window.partitionBy("_mix_part").orderBy(*order)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.withColumn("nth", (F.row_number().over(within) - 1).cast("bigint"))
+    for x in sums:
+        out = out.withColumn(f"{x}_before", F.coalesce(F.sum(x).over(before), F.lit(0)))
+    out = out.join(F.broadcast(shift), "_mix_part")  # one row a partition
+    return out.select(*df.columns, *[(F.col(n) + F.col(f"_mix_{n}")).alias(n) for n in names])
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES) -> DataFrame:
     """source, source_size, source_rows, target: `share` of all sizes dealt to the sources by weight.
 
     Sources rank by code point, null last. No target is above copies times its source's size: the excess goes to the
     others by weight. That is one level t with the sum of least(copies * size, t * weight) equal to the budget; t is
-    the largest of the levels that capping the sources in the order of size / weight gives. One row for each source.
+    the largest of the levels that capping the sources in the order of size / weight gives. One row for each source; there
+    may be many sources: ranks and sums are made by range-sorted partitions.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")))
-    by = by.withColumn("most", (F.col("source_size") * copies).cast("double"))
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    budget = F.sum("source_size").over(whole) * F.lit(share)
-    by = by.withColumn("level", (budget - before) / rest)
-    level = F.max("level").over(whole)
-    return by.select("source", "source_size", "source_rows", F.least("most", level * F.col("weight")).alias("target"))
+    by = in_order(by, [F.col("source").asc_nulls_last()])
+    by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int"))).drop("nth")
+    by = by.withColumn("most", (F.col("source_size") * copies).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
+    by = common.settle(in_order(by, [F.col("ratio"), F.col("source").asc_nulls_last()], "most", "weight"))
+    every = by.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    rest = F.lit(every["weight"]) - F.col("weight_before")
+    level = by.agg(F.max((F.lit((every["size"] or 0) * share) - F.col("most_before")) / rest)).first()[0]
+    return by.select("source", "source_size", "source_rows", F.least("most", F.lit(level).cast("double") * F.col("weight")).alias("target"))
 
 
 def word_count(text: str = "text") -> Column:
@@ -40,23 +57,8 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(common.WORD)).cast("bigint")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = 17) -> DataFrame:
-    """docs (with a bigint column size, see word_count) with source_size, target (its source's words in the mix) and taken
-    (words the mix takes of the document, copies included).
-
-    Each source's documents are shuffled by a hash of the id. Document i's k-th copy finishes at the virtual time
-    (words of its source up to it, earlier copies included) / target. All copies of all sources in the order of these
-    times are the mix; it is truncated where its words would pass `share` of all words. Running sums are made for
-    about RUN documents a task and shifted by the sums of the runs before, so a source of any size is spread. The place
-    of the cut is found by counting words in SLOTS slots of virtual time and descending into the slot that holds it.
-
-    Null or empty texts have size 0 and are never taken. A null source is a source. Null and repeated ids are ordered
-    by their size too; equal rows are exchangeable. Copies at the very tick of the cut are left out. An empty table
-    gives an empty table; columns named like the new ones are replaced.
-    """
-    new = ("source_size", "target", "taken", *OWN)
-    whole = docs.select(*[c for c in docs.columns if c not in new])
-    names = whole.columns
+def _timed(whole: DataFrame, weights: tuple[int, ...], share: float, copies: int, seed: int) -> tuple[DataFrame, int]:
+    """whole with source_size, target and _mix_times (finish of each copy in ticks), and the first tick that the mix leaves out."""
     targets = common.settle(source_targets(whole.select("source", "size"), weights, share, copies))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     runs = F.ceil(F.col("_mix_rows") / RUN)
@@ -73,28 +75,44 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     tick = lambda k: F.floor(F.least((F.col("_mix_before") + F.col("_mix_sum") + F.col("source_size") * k) / F.col("target"), F.lit(float(1 << 22))) * TICKS)
     times = F.when((F.col("size") > 0) & (F.col("target") > 0), F.array(*[tick(k) for k in range(copies)])).otherwise(F.array().cast("array<bigint>"))
     timed = timed.withColumn("_mix_times", times)
-    budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
-    cut = _cut(timed, budget)
+
+    budget = (targets.agg(F.sum("source_size")).first()[0] or 0) * share
+    ticks = timed.select("size", F.explode("_mix_times").alias("t")).groupBy("t").agg(F.sum("size").alias("size"))  # copies of one tick are taken or left together
+    cut = in_order(ticks, [F.col("t")], "size").where(F.col("size_before") + F.col("size") > budget).agg(F.min("t")).first()[0]
+    return timed, (1 << 62) + 1 if cut is None else cut
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = 17) -> DataFrame:
+    """docs (with a bigint column size, see word_count) with source_size, target (its source's words in the mix) and taken
+    (words the mix takes of the document, copies included).
+
+    Each source's documents are shuffled by a hash of the id. Document i's k-th copy finishes at the virtual time
+    (words of its source up to it, earlier copies included) / target. All copies of all sources, range-sorted by these
+    times, are the mix; it is truncated where its words would pass `share` of all words. Running sums within a source are made for
+    about RUN documents a task and shifted by the sums of the runs before, so a source of any size is spread; those of
+    the mix are made by range-sorted partitions.
+
+    Null or empty texts have size 0 and are never taken. A null source is a source. Null and repeated ids are ordered
+    by their size too; equal rows are exchangeable. Copies at the very tick of the cut are left out. An empty table
+    gives an empty table; columns named like the new ones are replaced.
+    """
+    new = ("source_size", "target", "taken", *OWN)
+    whole = docs.select(*[c for c in docs.columns if c not in new])
+    timed, cut = _timed(whole, weights, share, copies, seed)
     taken = F.col("size") * F.size(F.filter("_mix_times", lambda t: t < cut))
-    return timed.select(*names, "source_size", "target", taken.cast("bigint").alias("taken"))
-
-
-def _cut(timed: DataFrame, budget: float) -> int:
-    """The first tick at which the words of all copies up to and including it pass the budget."""
-    ticks = timed.select("size", F.explode("_mix_times").alias("t"))
-    lo, width, before = 0, SLOTS**5 << 2, 0
-    while width > 1:
-        width = max(1, width // SLOTS)
-        slot = F.shiftright(F.col("t") - lo, width.bit_length() - 1).alias("slot")
-        slots = ticks.where((F.col("t") >= lo) & (F.col("t") < lo + width * SLOTS)).groupBy(slot)
-        for slot, words in sorted(slots.agg(F.sum("size")).collect()):
-            if before + words > budget:
-                lo += slot * width
-                break
-            before += words
-        else:
-            return lo + width * SLOTS
-    return lo
+    return timed.select(*whole.columns, "source_size", "target", taken.cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = 17) -> DataFrame:
+    """The mix itself: a row for each copy that mix_sources takes, with finish (its virtual time), range-sorted by it.
+
+    Partition i holds earlier times than partition i + 1 and is sorted, so files written from it are in the mix's order.
+    """
+    whole = docs.select(*[c for c in docs.columns if c not in ("finish", *OWN)])
+    timed, cut = _timed(whole, weights, share, copies, seed)
+    rows = timed.select(*whole.columns, F.explode(F.filter("_mix_times", lambda t: t < cut)).alias("finish"))
+    rows = rows.withColumn("finish", F.col("finish") / TICKS)
+    return rows.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

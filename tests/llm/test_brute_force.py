@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siltstone.llm import encode, fingerprint, jaccard, langid, linededup, packing, quality, registry, topk, toxicity
+from siltstone.llm import encode, fingerprint, jaccard, langid, linededup, mixing, packing, quality, registry, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -393,3 +393,55 @@ def test_mix_meets_targets(spark):
     for _, own in by:
         assert math.isclose(own["taken"].sum(), own["target"].iloc[0], abs_tol=2 * own["size"].max())
     assert out.groupby("source_size")["target"].nunique().max() <= 2
+
+
+def test_mix_is_fair_queueing(spark):
+    """Against a plain queue: the copy that finishes first goes next, until the budget is passed."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice("aabbbbc") if i % 9 else None, rng.randint(0, 30)) for i in range(400)] + [(7, "a", 5), (7, "a", 5), (None, "b", 3), (None, "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    order, done, every = sorted({r[1] for r in rows}, key=lambda s: (s is None, s or "")), [], sum(r[2] for r in rows)
+    total = {s: sum(r[2] for r in rows if r[1] == s) for s in order}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, left, open_ = {}, 1.5 * every, set(order)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * total[s] < level * weight[s]}
+        if not full:
+            break
+        target |= {s: 2 * total[s] for s in full}
+        left, open_ = left - sum(2 * total[s] for s in full), open_ - full
+    target |= {s: level * weight[s] for s in open_}
+    for s in order:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (hashlib.md5(f"17:{'null' if r[0] is None else r[0]}".encode()).hexdigest(), r[0] is not None, r[0] or 0, r[2]))
+        run = 0
+        for copy in range(2):
+            for r in own:
+                run += r[2]
+                if r[2]:
+                    done.append((math.floor(run / target[s] * 2**40), r))
+    done.sort(key=lambda x: x[0])
+    words, taken = 0, []
+    for t, ties in itertools.groupby(done, key=lambda x: x[0]):
+        ties = [r for _, r in ties]
+        words += sum(r[2] for r in ties)
+        if words > 1.5 * every:
+            break
+        taken += [(t, r) for r in ties]
+    out = mixing.mix_sources(docs).collect()
+    assert {r.source: round(r.target, 6) for r in out} == {s: round(x, 6) for s, x in target.items()}
+    by = Counter()
+    for _, r in taken:
+        by[r] += r[2]
+    assert sum(r.taken for r in out) == sum(by.values())
+    assert {k: v for k, v in Counter({k: sum(r.taken for r in out if (r.doc_id, r.source, r["size"]) == k) for k in set(rows)}).items() if v} == dict(by)
+    mix = [(r.finish, (r.doc_id, r.source, r["size"])) for r in mixing.mixed(docs).collect()]
+    assert [f for f, _ in mix] == sorted(f for f, _ in mix) and Counter(r for _, r in mix) == Counter(r for _, r in taken)
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("host"), F.col("id") % 1000).alias("source"), (F.col("id") % 7 + 1).alias("size"))
+    out = mixing.mix_sources(docs).toPandas()
+    assert len(out) == 3000 and (out["taken"] <= 2 * out["size"]).all()
+    by = out.groupby("source").agg({"taken": "sum", "target": "first"})
+    assert len(by) == 1000 and ((by["taken"] - by["target"]).abs() <= 7).all()
