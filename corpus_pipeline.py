@@ -40,10 +40,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them."""
-    out = mixing.mix_sources(docs.withColumn("size", mixing.word_count()))
-    copies = F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return out.where("taken > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*COLUMNS)
+    """The documents that the mix takes, as often as it takes them, range-sorted by their virtual finish time.
+
+    Null and empty texts and those of white space alone have no words and are never taken; null sources are a source.
+    """
+    return mixing.mixed(docs.select(*COLUMNS).withColumn("size", mixing.word_count())).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
