@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -32,6 +33,12 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letter, lower, script
 
 
+@cache
+def marks() -> np.ndarray:
+    """Is each code point a combining mark (vowel sign, accent)?"""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "M" for c in range(POINTS)), bool, POINTS)
+
+
 def points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points of UTF-8 bytes and the offsets of the rows in them."""
     own = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)

@@ -14,13 +14,15 @@ from siltstone.llm import chars, common, words
 #: Bits of the trigram hash; letters of the background (all languages) mixed into each; what a switch of language costs (in nats); share of a language's letters from which it uses a script.
 BITS, SMOOTH, SWITCH, SCRIPT_SHARE = 18, 1000.0, 8.0, 0.01
 UNKNOWN = "und"
+#: Score of a word in a language that doesn't use its script: no word is long enough to make up for it.
+BARRED = -1e9
 
 
 def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashed trigram around each letter, first letter of each word, row of each word, script of each word)."""
     letter, lower, script = chars.tables()
     own, at = chars.points(data, offsets)
-    is_letter = letter[own]
+    is_letter = _in_words(letter[own], chars.marks()[own], at)
     place = np.flatnonzero(is_letter)
     row = np.searchsorted(at, place, side="right") - 1
     low = lower[own[place]]
@@ -37,6 +39,18 @@ def _trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return (mixed >> np.uint32(32 - BITS)).astype(np.int32), first, row[first], script[own[place[first]]]
 
 
+def _in_words(letter: np.ndarray, mark: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Letters and the combining marks (vowel signs and accents) in a run that begins with a letter."""
+    if not mark.any():
+        return letter
+    run = letter | mark
+    first = run & ~np.append(False, run[:-1])
+    edge = at[:-1][at[:-1] < len(run)]
+    first[edge] = run[edge]
+    led = letter[np.flatnonzero(first)]
+    return run & np.append(False, led)[np.cumsum(first)]
+
+
 class Model:
     """Languages, log probability of each hashed trigram by language, and the languages that a script allows."""
 
@@ -50,7 +64,7 @@ class Model:
         share = scripts / np.maximum(1, scripts.sum(axis=1, keepdims=True))
         allowed = (share >= SCRIPT_SHARE).T
         allowed[~allowed.any(axis=1)] = True
-        self.barred = np.where(allowed, 0, -100).astype(np.float32)
+        self.barred = np.where(allowed, 0, BARRED).astype(np.float32)
 
     def label(self, data: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language number of each word, its letters, its row) by the best path of each row."""
@@ -127,7 +141,7 @@ def train(docs: DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred, score and lang_spans.
 
-    Words are runs of letters. A word's score for a language is the log probability of its character trigrams; a
+    Words are runs of letters with their combining marks. A word's score for a language is the log probability of its character trigrams; a
     language that doesn't use the word's script is barred unless none does. The best path with a penalty for each
     switch gives each word a language; lang_spans holds the runs (lang, words, letters) in order. lang_pred is the
     language of the most letters (ties: the first by name), score its share of the letters. Texts that are null or

@@ -386,6 +386,69 @@ def test_non_negative_risk():
     assert (model.score(good) > 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.95
 
 
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.85):
+        p, n = rng.normal(1.5, 1, (6000, 3)), rng.normal(-1.5, 1, (6000, 3))
+        k = int(4000 * prior)
+        mixed = np.concatenate([p[:k], n[: 4000 - k]])[rng.permutation(4000)]
+        assert abs(quality.estimate_prior(p[4000:], mixed) - prior) < 0.05
+
+
+def test_fit_is_a_minimum_of_the_risk():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(0.7, 1, (3000, 2)), np.concatenate([rng.normal(0.7, 1, (1500, 2)), rng.normal(-0.7, 1, (1500, 2))])
+    model = quality.fit(p, u, 0.5)
+
+    def risk(w):
+        z = lambda x: np.clip((x - model.mean) / model.scale, -6, 6) @ w[:-1] + w[-1]
+        loss = lambda v: np.mean([math.log1p(math.exp(-x)) for x in v])
+        return 0.5 * loss(z(p)) + max(0, loss(-z(u)) - 0.5 * loss(-z(p)))
+
+    best = risk(model.weights)
+    for step in (0.05, -0.05, 0.3, -0.3):
+        for k in range(3):
+            assert risk(model.weights + step * np.eye(3)[k]) >= best - 1e-4
+
+
+def test_figures_of_texts(texts):
+    import pyarrow as pa
+
+    own = [*list(texts.values())[:60], "", None, "a  a a\nb!!\nb!! ÀB 12\n", "\n\n", "!!!!"]
+    x = quality.features(pa.array(own))
+    for text, row in zip(own, x):
+        raw = (text or "").encode()
+        w, lines = [m.lower() for m in WORD.findall(raw)], re.findall(rb"[^\n]*\n|[^\n]+", raw)
+        n = max(1, len(w))
+        letters = max(1, sum(65 <= c < 91 or 97 <= c < 123 or c > 127 for c in raw))
+        again = sum(a == b for a, b in zip(w, w[1:]))
+        same = sum(a == b and 32 < a < 127 and not chr(a).isalnum() for a, b in zip(raw, raw[1:]))
+        want = [math.log1p(len(raw)), sum(65 <= c < 91 for c in raw) / letters, sum(48 <= c < 58 for c in raw) / max(1, len(raw)), sum(c > 127 for c in raw) / letters, letters / max(1, len(raw)), math.log1p(same), same / n]
+        want += [len(set(w)) / n, len(set(lines)) / max(1, len(lines)), math.log(n / max(1, len(lines)) + 1), letters / n, math.sqrt(again / n), math.log1p(again)]
+        assert np.allclose(row[:13], want), repr(text)
+
+
+def test_language_path_is_the_best_of_all_paths():
+    rng = np.random.default_rng(3)
+    rows = [rng.integers(1, 7) for _ in range(40)]
+    row = np.repeat(np.arange(40), rows)
+    score = rng.normal(size=(len(row), 3)) * 4
+    path = langid.viterbi(score.astype(np.float32), row, 40, 3.0)
+    for r in range(40):
+        own = score[row == r]
+        value = lambda p: sum(own[t, k] for t, k in enumerate(p)) - 3.0 * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(itertools.product(range(3), repeat=len(own)), key=value)
+        assert math.isclose(value(best), value(path[row == r]), abs_tol=1e-4)
+
+
+def test_scripts_bar_languages_and_marks_join_words(spark):
+    rows = [(1, "the quick brown fox jumps over the lazy dog " * 20, "en"), (2, "हिन्दी भाषा में लिखा हुआ पाठ है " * 20, "hi"), (3, "съешь ещё этих мягких французских булок " * 20, "ru")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    out = {r.doc_id: r for r in langid.identify(spark.createDataFrame([(1, "हिन्दी में"), (2, "ё" * 500), (3, "़ ़़"), (4, "हिन्दी the fox")], "doc_id bigint, text string"), model).collect()}
+    assert out[1].lang_pred == "hi" and [s.words for s in out[1].lang_spans] == [2] and out[2].lang_pred == "ru" and out[3].lang_pred == "und"
+    assert [s.lang for s in out[4].lang_spans] == ["hi", "en"]
+
+
 def test_mix_meets_targets(spark):
     out = run(spark, "op4_mix_sources")
     assert (out["taken"] <= 2 * out["size"]).all()
