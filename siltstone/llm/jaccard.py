@@ -103,7 +103,8 @@ def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = common.settle(own.select("doc_id", F.md5("text").alias("key")))
     if not keyed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
-        rows = common.settle(keyed.join(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), "key").select(F.col("doc_id").alias("key"), "rep"))
+        least = common.settle(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")))
+        rows = common.settle(keyed.join(least, "key").select(F.col("doc_id").alias("key"), "rep"))
         copies = common.small(common.settle(rows.where("key <> rep").select("key")))
         texts = own.join(copies, F.col("doc_id") == F.col("key"), "left_anti").select(F.col("doc_id").alias("node"), "text")
         return texts, rows, rows.where("key = rep").select(F.col("rep").alias("node"), F.col("rep").alias("least")), True
@@ -231,7 +232,7 @@ def _apart(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     left = side("1").where(low <= high).withColumn("band", F.explode(F.sequence(band(low), band(high))))
     left = left.withColumn("main2", F.explode(F.when(F.col("main1") == 1, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))))
     right = side("2").where((100 + percent) * F.col("rest2") >= 2 * percent * F.col("n2")).withColumn("band", band(F.col("n2")))
-    met = left.join(right, ["h", "band", "main2"]).where((F.col("label1") != F.col("label2")) & ((F.col("n1") > F.col("n2")) | (F.col("n1") == F.col("n2")) & ((F.col("group1") <= F.col("group2")) | (F.col("main1") != F.col("main2")))))
+    met = left.join(right, ["h", "band", "main2"]).where((F.col("label1") != F.col("label2")) & ((F.col("n1") > F.col("n2")) | (F.col("n1") == F.col("n2")) & ((F.col("main1") < F.col("main2")) | (F.col("main1") == F.col("main2")) & (F.col("group1") <= F.col("group2")))))
     met = met.where((100 * F.col("n2") >= percent * F.col("n1")) & ((100 + percent) * F.least("rest1", "rest2") >= percent * (F.col("n1") + F.col("n2"))))
     pairs = met.select(F.least("group1", "group2").alias("group1"), F.greatest("group1", "group2").alias("group2")).distinct()
     a = members.select(F.col("group").alias("group1"), F.col("node").alias("a"), F.col("label").alias("la"))
