@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,13 @@ def arrow_batches(spark: SparkSession, rows: int = 2048, size: str = "8m") -> No
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. It must be named in spark.checkpoint.dir: a machine-local one would lose rows on a cluster."""
+    """The folder that all executors share (spark.checkpoint.dir). A local session, where it is unset, gets a temporary one; a cluster must name it."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        told = tempfile.mkdtemp(prefix="siltstone-")
+        spark.conf.set("spark.checkpoint.dir", told)
     return told
 
 
