@@ -297,20 +297,40 @@ def l2_normalize(v: Column) -> Column:
 
 
 def parse_rerank_reply(reply: Column, n: Column) -> Column:
-    """map id -> score (0 to 10) of a JSON reply; bad items are skipped, the last of equal ids wins, bad JSON gives an empty map."""
-    bare = strip(F.regexp_replace(reply, r"(?m)^\s*```[a-zA-Z]*\s*$", ""))
-    array = F.when(F.startswith(bare, F.lit("[")), bare).otherwise(F.regexp_extract(bare, r"(?s)(\[.*?\])", 1))
-    items = F.coalesce(F.from_json(array, "array<struct<id:string,score:string>>"), F.array().cast("array<struct<id:string,score:string>>"))
-    clean = F.transform(items, lambda x: F.struct(x["id"].try_cast("int").alias("id"), x["score"].try_cast("double").cast("int").alias("score")))
-    clean = F.filter(clean, lambda x: x["id"].isNotNull() & x["score"].isNotNull() & (x["id"] >= 0) & (x["id"] < n))
+    """map id -> score (0 to 10) of a JSON reply, or of what stands between its first and last bracket if the whole isn't JSON.
+
+    Code fences go wherever they stand. An item counts if it is an object whose id is an integer below n; a missing score is 0,
+    a fraction is cut, text must be an integer, true is 1. Other items are skipped, the last of equal ids wins.
+    Anything but a JSON array gives an empty map. Java's parser reads the first JSON value of a text, so what follows must be blank.
+    """
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(reply, r"```(?:json)?", "")), r"`+$", ""))
+    part = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    listed = lambda c: F.from_json(F.when(F.startswith(c, F.lit("[")), c), "array<string>", {"mode": "PERMISSIVE"})
+    array = F.when(F.startswith(bare, F.lit("{")), F.lit(None)).otherwise(F.when(F.endswith(bare, F.lit("]")) & listed(bare).isNotNull(), bare).otherwise(part))
+    # Two arrays with text between them aren't one array: outside of strings, brackets must close at the end only.
+    outside = F.regexp_replace(F.regexp_replace(array, r'"(?:\\.|[^"\\])*"', ""), r"[^\[\]]", "")
+    depth = F.transform(F.sequence(F.lit(1), F.length(outside)), lambda i: 2 * F.length(F.replace(F.left(outside, i), F.lit("]"), F.lit(""))) - i)
+    whole = (F.length(outside) > 0) & (F.array_position(depth, F.lit(0)) == F.length(outside))
+    items = F.filter(F.when(whole, listed(array)), lambda x: F.startswith(F.ltrim(x), F.lit("{")))
+    integer = lambda raw, c: F.when(F.rlike(raw, F.lit(r"^\s*[+-]?\d+\s*$")), F.trim(raw).try_cast("decimal(38,0)"))
+
+    def number(item: Column, name: str) -> Column:
+        """The value as int() takes it; the kind of the value is told by its JSON text."""
+        value = F.get_json_object(item, f"$.{name}")
+        quoted = F.rlike(item, F.lit(rf'"{name}"\s*:\s*"'))
+        whole = F.when(value == "true", F.lit(1)).when(value == "false", F.lit(0)).otherwise(F.when(quoted, integer(value, name)).otherwise(F.floor(F.abs(value.try_cast("double"))) * F.signum(value.try_cast("double"))))
+        return F.when(F.rlike(item, F.lit(rf'"{name}"\s*:')), whole).otherwise(0 if name == "score" else -1).try_cast("bigint")
+
+    clean = F.transform(items, lambda x: F.struct(number(x, "id").cast("int").alias("id"), F.greatest(F.lit(0), F.least(F.lit(10), number(x, "score"))).cast("int").alias("score"), number(x, "score").isNotNull().alias("good")))
+    clean = F.filter(clean, lambda x: x["id"].isNotNull() & x["good"] & (x["id"] >= 0) & (x["id"] < n))
     empty = F.create_map().cast("map<int,int>")
-    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["id"]), F.create_map(x["id"], F.greatest(F.lit(0), F.least(F.lit(10), x["score"]))))
-    return F.aggregate(clean, empty, put)
+    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["id"]), F.create_map(x["id"], x["score"]))
+    return F.coalesce(F.aggregate(clean, empty, put), empty)
 
 
 def parse_expansions(question: Column, reply: Column, most: int = 3) -> Column:
-    """The question, then the first `most` lines of the reply of three characters or more, without bullets, numbers and quotes."""
-    line = lambda x: F.regexp_replace(strip(F.regexp_replace(strip(x), r"^(?:[-*•]|\d+[.)])\s*", "")), "^[\"'«»]+|[\"'«»]+$", "")
+    """The question, then the first `most` lines of the reply of three characters or more, without leading digits, dots, dashes, stars and brackets and without blanks and quotes around."""
+    line = lambda x: F.regexp_replace(F.regexp_replace(strip(x), r"^[\d.\-*)]+\s*", ""), "^[ \"']+|[ \"']+$", "")
     lines = F.filter(F.transform(F.split(F.coalesce(reply, F.lit("")), "\n"), line), lambda x: F.length(x) >= 3)
     return F.concat(F.array(question), F.slice(lines, 1, most))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -35,12 +36,36 @@ def bm25(tf: Column, length: Column, mean: Column, weight: Column) -> Column:
     return weight * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25_weights(chunks: DataFrame) -> DataFrame:
-    """tok, chunk_id, weight: what one query token adds to a chunk's score. Rebuilt from whole chunks."""
+@dataclass(frozen=True)
+class Bm25:
+    """A written index: postings (tok, chunk_id, len, tf) in the order of tok, idf (tok, df, idf) and the mean length."""
+
+    postings: DataFrame
+    idf: DataFrame
+    mean: float
+
+
+def build_bm25(chunks: DataFrame, path: str) -> Bm25:
+    """Writes the index of chunks (chunk_id, text) below path: each text is tokenised once, whatever is asked later."""
+    spark = chunks.sparkSession
     posted = postings(chunks)
-    mean = posted.agg(F.sum("tf").alias("total")).crossJoin(chunks.agg(F.count("*").alias("n"))).select((F.col("total") / F.col("n")).alias("mean"))
-    whole = posted.join(idf(posted, chunks), "tok").crossJoin(F.broadcast(mean))
-    return whole.select("tok", "chunk_id", bm25(F.col("tf"), F.col("len"), F.col("mean"), F.col("idf")).alias("weight"))
+    posted.repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.schema(posted.schema).parquet(f"{path}/postings")
+    n = chunks.agg(F.count("*").alias("n"))
+    idf(stored, chunks).write.mode("overwrite").parquet(f"{path}/idf")
+    stored.agg(F.sum("tf").alias("total")).crossJoin(n).select("n", F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")  # one row
+    return open_bm25(spark, path)
+
+
+def open_bm25(spark: SparkSession, path: str) -> Bm25:
+    stored = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "totals")]
+    return Bm25(stored[0], stored[1], stored[2].first()["mean"])
+
+
+def bm25_weights(index: Bm25) -> DataFrame:
+    """tok, chunk_id, weight: what one query token adds to a chunk's score."""
+    whole = index.postings.join(index.idf, "tok")
+    return whole.select("tok", "chunk_id", bm25(F.col("tf"), F.col("len"), F.lit(index.mean), F.col("idf")).alias("weight"))
 
 
 def hashed_embedding(texts: list[str], dims: int = 64) -> np.ndarray:
@@ -75,6 +100,13 @@ def to_sparse(weights: DataFrame) -> DataFrame:
     return weights.select("chunk_id", F.explode(F.map_filter("weights", lambda _, w: w > 0)).alias("tok", "w")).select("chunk_id", F.col("tok").cast("bigint").alias("tok"), F.col("w").cast("double").alias("w"))
 
 
+def quantize(index: DataFrame) -> DataFrame:
+    """chunk_id and what else stands in index, with dense as whole numbers from -127 to 127: an eighth of the bytes, for a first search."""
+    top = F.array_max(F.transform("dense", lambda x: F.abs(x)))
+    code = F.transform("dense", lambda x: F.when(top > 0, F.round(x / top * 127)).otherwise(0).cast("tinyint"))
+    return index.withColumn("dense", code)
+
+
 def validate_dims(index: DataFrame, collections: DataFrame) -> DataFrame:
     """index (collection, chunk_id, dense) with fits: whether the vector has its collection's dense_dim."""
     return index.join(F.broadcast(collections.select("collection", "dense_dim")), "collection", "left").withColumn("fits", F.coalesce(F.size("dense") == F.col("dense_dim"), F.lit(False)))

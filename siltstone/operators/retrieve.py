@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.index import Bm25, bm25, quantize
 
-#: Constant of reciprocal-rank fusion; hits of a document before others come first; queries that are sent to every task.
-RRF, PER_DOC, QUERY_BLOCK = 60, 4, 4096
+#: Constant of reciprocal-rank fusion; hits of a document before others come first; queries of a block; bytes of queries that are sent to every task.
+RRF, PER_DOC, QUERY_BLOCK, QUERY_BYTES = 60, 4, 4096, 64 << 20
 
 
 def top_k(scored: DataFrame, k: int, *ties: str, by: str = "query_id") -> DataFrame:
@@ -27,66 +28,88 @@ def top_k_column(scored: DataFrame, bound: str, most: int, *ties: str) -> DataFr
     return top_k(scored, most, *ties).where(F.col("rank") <= F.col(bound))
 
 
-def bm25_topk(questions: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+def bm25_topk(questions: DataFrame, index: Bm25, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank of questions (query_id, text): tokens count as often as they stand, scores above 0, ties by chunk_id.
 
-    Postings that no question needs are pruned by the join on tokens before anything is summed.
+    Only postings of the questions' tokens are weighed; statistics come from the written index.
     """
     asked = questions.select("query_id", F.explode(X.tokenize(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("times"))
-    scored = weights.join(asked, "tok").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * F.col("times")).alias("score"))
+    asked = asked.join(index.idf.select("tok", "idf"), "tok")
+    weight = bm25(F.col("tf"), F.col("len"), F.lit(index.mean), F.col("idf"))
+    scored = index.postings.join(asked, "tok").groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times")).alias("score"))
     return top_k(scored.where("score > 0"), k, "chunk_id")
 
 
-def sparse_topk(queries: DataFrame, sparse: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank: dot product of query (query_id, tok, w) and chunk vectors (chunk_id, tok, w) over shared tokens."""
-    q = queries.select("query_id", "tok", F.col("w").alias("qw"))
-    scored = sparse.join(q, "tok").groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+def sparse_topk(queries: DataFrame, sparse: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """query_id, chunk_id, score, rank: dot product of query (query_id, tok, w) and chunk vectors (chunk_id, tok, w) over shared tokens.
+
+    by: columns of both, such as the collection, that a query shares with the chunks it may find.
+    """
+    q = queries.select("query_id", "tok", F.col("w").alias("qw"), *by)
+    scored = sparse.join(q, ["tok", *by]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     return top_k(scored, k, "chunk_id")
 
 
-def dense_topk(queries: DataFrame, index: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def _packed(by: list[str], ids: str):
+    """Packs the rows of each batch that agree in `by` into one row of ids and vectors; nothing is shuffled."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            numbered = pa.table({**{c: batch.column(c) for c in by}, "row": pa.array(np.arange(len(batch)))})
+            groups = numbered.group_by(by).aggregate([("row", "list")]).combine_chunks()
+            rows = groups.column("row_list").chunk(0)
+            at = pa.array(rows.offsets.to_numpy() - rows.offsets[0].as_py(), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, batch.column(c).take(rows.flatten())) for c in (ids, "v")]
+            yield pa.RecordBatch.from_arrays([*(groups.column(c).chunk(0) for c in by), *lists], [*by, "ids", "vs"])
+
+    return pack
+
+
+def dense_topk(queries: DataFrame, index: DataFrame, k: int, by: tuple[str, ...] = (), block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, chunk_id, score, rank by cosine of queries (query_id, dense) and index (chunk_id, dense); a zero vector scores 0, null vectors take no part.
 
-    Queries are dealt into blocks and chunks into partitions; every task multiplies a block of queries by its
-    chunks and hands on its k best, so what is shuffled is k rows for each query and task. Ids are bigints.
+    by: columns of both, such as the collection, that a query shares with the chunks it may find. Queries are packed
+    into blocks of about `block`; the index is read where it lies, a batch at a time, and each batch is multiplied with each query
+    block of its collection (sent to all tasks if their measured bytes allow it, else joined). A batch hands on its k best
+    of each query. Ids are bigints; vectors of another length than the query's are another `by`.
     """
     queries, index = queries.where("dense is not null"), index.where("dense is not null")
-    blocks = max(1, -(-queries.count() // block))
-    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", F.col("dense").cast("array<double>").alias("qv"))
-    packed = asked.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("qs"))  # at most about `block` queries a row
-    parts = max(1, -(-index.count() // 8192))
-    chunks = index.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), "chunk_id", F.col("dense").cast("array<double>").alias("v"))
-    chunks = chunks.groupBy("part").agg(F.collect_list(F.struct("chunk_id", "v")).alias("cs"))  # about 8192 chunks a row
-    pairs = chunks.select("cs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(packed, "block").select("cs", "qs")
-
-    def unpack(rows: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids, vectors = rows.flatten()
-        v = vectors.flatten().to_numpy().reshape(len(ids), -1)
-        return ids.to_numpy(), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    kinds = [f"{c} {index.schema[c].dataType.simpleString()}" for c in by]
+    size, n = queries.agg(F.sum(F.size("dense") * 8 + 64), F.count("*")).first()
+    blocks = max(1, -(-n // block))
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), *by, F.size("dense").alias("dims"), F.col("query_id").cast("bigint").alias("qid"), F.col("dense").cast("array<double>").alias("qv"))
+    packed = asked.groupBy("block", "dims", *by).agg(F.collect_list(F.struct("qid", "qv")).alias("qs"))  # at most about `block` queries a row
+    rows = index.select(*by, F.size("dense").alias("dims"), F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("dense").cast("array<double>").alias("v"))
+    chunks = rows.mapInArrow(_packed([*by, "dims"], "chunk_id"), ", ".join([*kinds, "dims int", "ids array<bigint>", "vs array<array<double>>"]))
+    chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = chunks.join(F.broadcast(packed) if (size or 0) <= QUERY_BYTES else packed, ["block", "dims", *by]).select("ids", "vs", "qs")
+
+    def unit(vectors: pa.Array, rows: int) -> np.ndarray:
+        v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cs, qs in zip(batch.column("cs"), batch.column("qs")):
-                (ids, v), (asked_ids, q) = unpack(cs.values), unpack(qs.values)
-                score = q @ v.T
+            for ids, vs, qs in zip(*(batch.column(c) for c in ("ids", "vs", "qs"))):
+                ids, (asked_ids, qv) = ids.values.to_numpy(), qs.values.flatten()
+                score = unit(qv, len(asked_ids)) @ unit(vs.values, len(ids)).T
                 n = min(k, len(ids))
                 bar = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
                 i, j = np.nonzero(score >= bar[:, None] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids[i]), pa.array(ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(asked_ids.to_numpy()[i]), pa.array(ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
 
     return top_k(pairs.mapInArrow(search, "query_id bigint, chunk_id bigint, score double"), k, "chunk_id")
 
 
-def dense_topk_ann(queries: DataFrame, index: DataFrame, k: int, tables: int = 6, width: float = 1.0, near: float = 1.3) -> DataFrame:
-    """As dense_topk, by random projections in buckets: pairs that never share a bucket are missed. Vectors are scaled to length 1."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda df, name: df.select(name, array_to_vector(X.l2_normalize(F.col("dense"))).alias("v"))
-    q, c = unit(queries, "query_id"), unit(index, "chunk_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(c)
-    found = model.approxSimilarityJoin(c, q, near, "d")
-    return top_k(found.select(F.col("datasetB.query_id").alias("query_id"), F.col("datasetA.chunk_id").alias("chunk_id"), (1 - F.col("d") ** 2 / 2).alias("score")), k, "chunk_id")
+def dense_topk_ann(queries: DataFrame, index: DataFrame, k: int, by: tuple[str, ...] = (), over: int = 4) -> DataFrame:
+    """As dense_topk, approximately: `over` * k chunks by the codes of quantize(index), which an index would store, are rescored with their vectors."""
+    near = dense_topk(queries, quantize(index), over * k, by).select("query_id", "chunk_id")
+    unit = lambda df, name, to: df.select(name, X.l2_normalize(F.col("dense")).alias(to))
+    both = near.join(unit(index, "chunk_id", "v"), "chunk_id").join(unit(queries, "query_id", "q"), "query_id")
+    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return top_k(both.select("query_id", "chunk_id", score.alias("score")), k, "chunk_id")
 
 
 def rrf_fuse(lists: list[DataFrame], k: int = RRF) -> DataFrame:

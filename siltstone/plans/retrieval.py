@@ -1,4 +1,4 @@
-"""Queries of retrieval: benchmark texts and the first vectors are the questions."""
+"""Queries of retrieval: benchmark texts, and vectors whose id is divisible by 20, are the questions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from siltstone.functions import text as X
 from siltstone.operators import index as N
 from siltstone.operators import retrieve as R
 from siltstone.plans.base import MARKDOWN_SQL, markdown, read
-from siltstone.plans.chunks import BM25_SQL, TOKENS_SQL, chunks
+from siltstone.plans.chunks import BM25_SQL, TOKENS_SQL, bm25_index
 
 QUERIES, SQL = {}, {}
 
@@ -29,24 +29,32 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    hits = R.bm25_topk(questions(spark, d), N.bm25_weights(chunks(spark, d)), k * 2)
+    hits = R.bm25_topk(questions(spark, d), bm25_index(spark, d), k * 2)
     return R.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), k, "chunk_id")
 
 
+def collections(spark: SparkSession, d: str) -> DataFrame:
+    """The collections of the vectors, by label, with their settings."""
+    label = F.col("label")
+    return read(spark, d, "embeddings").select(label.alias("collection"), (3 + label % 5).alias("top_k"), (label % 2 == 0).alias("supports_sparse")).distinct()
+
+
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    e = read(spark, d, "embeddings").select(F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("dense"))
-    return e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "dense"), e.select(F.col("vec_id").alias("chunk_id"), "dense")
+    """Every vector whose id is divisible by 20 as a question, and all vectors, by collection."""
+    e = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("collection"), F.transform("embedding", lambda x: x.cast("double")).alias("dense"))
+    return e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), e.withColumnRenamed("vec_id", "chunk_id")
 
 
 def dense(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    hits = R.dense_topk(*vectors(spark, d), k * 2)
+    hits = R.dense_topk(*vectors(spark, d), k * 2, ("collection",))
     return R.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), k, "chunk_id")
 
 
 def sparse(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    e = read(spark, d, "embeddings").select("vec_id", F.map_from_arrays(F.sequence(F.lit(1), F.size("embedding")), "embedding").alias("weights"))
-    rows = N.to_sparse(e.withColumnRenamed("vec_id", "chunk_id")).where("tok <= 16")
-    hits = R.sparse_topk(rows.where("chunk_id < 50 and chunk_id % 5 > 0").withColumnRenamed("chunk_id", "query_id"), rows, k * 2)
+    e = read(spark, d, "embeddings")
+    weights = e.select(F.col("vec_id").alias("chunk_id"), F.map_from_arrays(F.sequence(F.lit(1), F.size("embedding")), "embedding").alias("weights"))
+    rows = N.to_sparse(weights).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("collection")), "chunk_id")
+    hits = R.sparse_topk(rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), rows, k * 2, ("collection",))
     return R.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), k, "chunk_id")
 
 
@@ -57,12 +65,12 @@ LEX_SQL = (
     "lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM z QUALIFY rank <= 20) "
 )
 DENSE_SQL = (
-    "dx AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50), "
+    "dx AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.label AS collection, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0), "
     "den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dx QUALIFY rank <= 10) "
 )
 SPARSE_SQL = (
-    "sv AS (SELECT vec_id, unnest(embedding) AS w, generate_subscripts(embedding, 1) AS tok FROM embeddings), "
-    "sx AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(sum(a.w::DOUBLE * b.w::DOUBLE), 6) AS score FROM sv a JOIN sv b USING (tok) WHERE a.w > 0 AND b.w > 0 AND tok <= 16 AND a.vec_id < 50 AND a.vec_id % 5 > 0 GROUP BY ALL), "
+    "sv AS (SELECT vec_id, label, unnest(embedding) AS w, generate_subscripts(embedding, 1) AS tok FROM embeddings), "
+    "sx AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, a.label AS collection, round(sum(a.w::DOUBLE * b.w::DOUBLE), 6) AS score FROM sv a JOIN sv b USING (tok, label) WHERE a.w > 0 AND b.w > 0 AND a.vec_id % 20 = 0 GROUP BY ALL), "
     "spa AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sx QUALIFY rank <= 10) "
 )
 FUSE_SQL = (
@@ -79,8 +87,7 @@ def ret1_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ret2_dense_topk_ann(spark: SparkSession, d: str) -> DataFrame:
-    index = vectors(spark, d)[1]
-    return R.dense_topk_ann(index.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), index, 10)
+    return R.dense_topk_ann(*vectors(spark, d), 10, ("collection",))
 
 
 @query(f"WITH {SPARSE_SQL} {_COLS} spa")
@@ -104,7 +111,7 @@ def ret6_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MULTI = (
-    "mq AS (SELECT query_id // 5 AS query_id, query_id % 5 AS sub, 0 AS list, chunk_id, rank FROM den UNION ALL SELECT query_id // 5, query_id % 5, 1, chunk_id, rank FROM spa), "
+    "mq AS (SELECT collection + 10 * (query_id // 400) AS query_id, query_id AS sub, 0 AS list, chunk_id, rank FROM den UNION ALL SELECT collection + 10 * (query_id // 400), query_id, 1, chunk_id, rank FROM spa), "
     "m1 AS (SELECT query_id, sub, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min({'list': list, 'rank': rank}) AS first FROM mq GROUP BY ALL), "
     "m2 AS (SELECT query_id, sub, chunk_id, row_number() OVER (PARTITION BY query_id, sub ORDER BY round(score, 12) DESC, first) AS rank FROM m1), "
     "m3 AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score, min({'list': sub, 'rank': rank}) AS first FROM m2 GROUP BY ALL) "
@@ -113,13 +120,15 @@ _MULTI = (
 
 @query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {_MULTI} SELECT query_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS INTEGER) AS rank FROM m3")
 def ret7_multi_query_search(spark: SparkSession, d: str) -> DataFrame:
-    lists = [x.select(F.floor(F.col("query_id") / 5).alias("query_id"), (F.col("query_id") % 5).alias("sub"), F.lit(i).alias("list"), "chunk_id", "rank") for i, x in enumerate((dense(spark, d), sparse(spark, d)))]
+    """The questions of a collection in twenties, each twenty as the sub-queries of one."""
+    of = vectors(spark, d)[0].select("query_id", "collection")
+    lists = [x.join(of, "query_id").select((F.col("collection") + 10 * F.floor(F.col("query_id") / 400)).alias("query_id"), F.col("query_id").alias("sub"), F.lit(i).alias("list"), "chunk_id", "rank") for i, x in enumerate((dense(spark, d), sparse(spark, d)))]
     return R.multi_query_search(lists[0].unionByName(lists[1])).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {LEX_SQL} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, source, left(text, 50) AS text FROM lex JOIN documents ON doc_id = chunk_id WHERE chunk_id % 2 = 0")
+@query(f"WITH {LEX_SQL} SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, source, text FROM lex JOIN documents ON doc_id = chunk_id WHERE chunk_id % 2 = 0")
 def ret8_backfill_payload(spark: SparkSession, d: str) -> DataFrame:
-    index = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), "source", F.left("text", F.lit(50)).alias("text"))
+    index = read(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), "source", "text")
     return R.backfill_payload(lexical(spark, d), index).select("query_id", "chunk_id", "rank", "source", "text")
 
 
@@ -157,24 +166,49 @@ def ret12_blend_scores(spark: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", "chunk_id", F.round(X.blend_scores(F.col("rerank_score"), 1 / (60 + F.col("rank"))), 6).alias("score"))
 
 
-@query("SELECT item_id, id, score FROM (SELECT item_id, unnest([0, 1]) AS id, unnest([CAST(least(10, item_id % 13) AS INTEGER), 0]) AS score FROM benchmark WHERE item_id % 3 < 2)")
+#: Replies as models give them, by item_id % 8, and what each must give; N stands for item_id % 13, T for the item's text.
+_REPLIES = (
+    ('```json\n[{"id": 0, "score": 3}, {"id": 1, "score": -4}, {"id": 9, "score": 1}, {"id": "x", "score": 2}, {"id": 0, "score": N}]\n```', "[(0, least(10, n)), (1, 0)]"),
+    ('Scores: [{"id": 0, "score": N, "tags": ["a", "b"]}, {"id": 1, "score": 7}] done', "[(0, least(10, n)), (1, 7)]"),
+    ("no scores for T", "[]"),
+    ('[{"id": 1}, {"id": "0", "score": "8"}, {"score": 5}, 4, [1], null]', "[(0, 8), (1, 0)]"),
+    ('Here ```json [{"id": 0, "score": 7.9}, {"id": 1, "score": "7.5"}]``` it is', "[(0, 7)]"),
+    ('{"id": 0, "score": N}', "[]"),
+    ('[{"id": 0, "score": N}] or [{"id": 1, "score": 2}]', "[]"),
+    ('[{"id": 1, "score": null}, {"id": 0, "score": true, "why": "it says \\"[x]\\" N"}]', "[(0, 1)]"),
+)
+_N = "CAST(item_id % 13 AS INTEGER)"
+_WANT = " ".join(f"WHEN {k} THEN [{', '.join('{' + chr(39) + 'id' + chr(39) + ': ' + x.split(', ', 1)[0] + ', ' + chr(39) + 'score' + chr(39) + ': CAST(' + x.split(', ', 1)[1].replace('least(10, n)', f'least(10, {_N})') + ' AS INTEGER)}' for x in want[2:-2].split('), ('))}]" for k, (_, want) in enumerate(_REPLIES) if want != "[]")
+
+
+@query(f"SELECT item_id, x.id AS id, x.score AS score FROM (SELECT item_id, unnest(CASE item_id % 8 {_WANT} ELSE [] END) AS x FROM benchmark)")
 def ret13_parse_rerank_reply(spark: SparkSession, d: str) -> DataFrame:
-    k, n = F.col("item_id") % 3, (F.col("item_id") % 13).cast("string")
-    body = F.concat(F.lit('[{"id": 0, "score": 3}, {"id": 1, "score": -4}, {"id": 9, "score": 1}, {"id": "x", "score": 2}, {"id": 0, "score": '), n, F.lit("}]"))
-    reply = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k == 1, F.concat(F.lit("Scores: "), body, F.lit(" done"))).otherwise("no scores")
+    reply = F.lit("")
+    for k, (text, _) in enumerate(_REPLIES):
+        own = F.replace(F.replace(F.lit(text), F.lit("N"), (F.col("item_id") % 13).cast("string")), F.lit("T"), F.col("text"))
+        reply = F.when(F.col("item_id") % 8 == k, own).otherwise(reply)
     return read(spark, d, "benchmark").select("item_id", F.explode(X.parse_rerank_reply(reply, F.lit(2))).alias("id", "score"))
 
 
-@query("SELECT item_id, text || '|' || left(text, 3) || ' one|two two|' || 'three' AS queries FROM benchmark")
+_LINES = "string_split(chr(10) || '1. ' || text || chr(10) || '2024-2025 ' || text || chr(10) || ' - \" spaced ' || item_id || ' \" ' || chr(10) || '12 x' || chr(10) || '* last ' || text, chr(10))"
+
+
+@query(
+    "SELECT item_id, text || '|' || array_to_string(list_filter(list_transform("
+    + _LINES
+    + ", lambda x: trim(regexp_replace(trim(x), '^[0-9.*)-]+\\s*', ''), ' \"' || chr(39))), lambda x: length(x) >= 3)[1:3], '|') AS queries FROM benchmark"
+)
 def ret14_parse_expansions(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.concat(F.lit("1. "), F.left("text", F.lit(3)), F.lit(" one\n- \"two two\"\n\nx\n* three\nfour four"))
-    return read(spark, d, "benchmark").select("item_id", F.array_join(X.parse_expansions(F.col("text"), reply), "|").alias("queries"))
+    text, item = F.col("text"), F.col("item_id").cast("string")
+    reply = F.concat(F.lit("\n1. "), text, F.lit("\n2024-2025 "), text, F.lit('\n - " spaced '), item, F.lit(' " \n12 x\n* last '), text)
+    return read(spark, d, "benchmark").select("item_id", F.array_join(X.parse_expansions(text, reply), "|").alias("queries"))
 
 
-@query(f"WITH {LEX_SQL} {_COLS} lex WHERE rank <= CASE WHEN query_id % 2 = 0 THEN 5 ELSE 3 END")
+@query(f"WITH {DENSE_SQL} {_COLS} den WHERE rank <= 3 + collection % 5")
 def ret15_top_k(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical(spark, d).drop("rank").withColumn("top_k", F.when(F.col("query_id") % 2 == 0, 5).otherwise(3))
-    return R.top_k_column(hits, "top_k", 20, "chunk_id").drop("top_k").select("query_id", "chunk_id", "score", "rank")
+    asked = vectors(spark, d)[0].select("query_id", "collection").join(F.broadcast(collections(spark, d)), "collection")  # one row a collection
+    hits = dense(spark, d).drop("rank").join(asked.select("query_id", "top_k"), "query_id")
+    return R.top_k_column(hits, "top_k", 10, "chunk_id").select("query_id", "chunk_id", "score", "rank")
 
 
 def sourced(spark: SparkSession, d: str) -> DataFrame:
@@ -204,15 +238,16 @@ def ret18_build_prompt(spark: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", F.md5(R.build_prompt(F.col("text"), F.col("context"))).alias("prompt"))
 
 
-@query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSE_SQL} {_COLS} fus WHERE rank <= 10 AND query_id % 2 = 0 AND query_id IN (SELECT query_id FROM spa) UNION ALL {_COLS} den WHERE query_id % 2 = 1 OR query_id NOT IN (SELECT query_id FROM spa)")
+@query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSE_SQL}, su AS (SELECT vec_id FROM embeddings WHERE label % 2 = 0) {_COLS} fus WHERE rank <= 10 AND query_id IN (FROM su) UNION ALL {_COLS} den WHERE query_id NOT IN (FROM su)")
 def ret19_dense_only(spark: SparkSession, d: str) -> DataFrame:
-    supports = F.col("query_id") % 2 == 0
-    return R.hybrid_search(dense(spark, d), sparse(spark, d).where(supports), 10).withColumn("score", F.round("score", 6))
+    """Questions of a collection without a sparse side take the dense ranking."""
+    supports = vectors(spark, d)[0].select("query_id", "collection").join(F.broadcast(collections(spark, d).where("supports_sparse")), "collection")  # one row a collection
+    return R.hybrid_search(dense(spark, d), sparse(spark, d).join(supports.select("query_id"), "query_id", "left_semi"), 10).withColumn("score", F.round("score", 6))
 
 
-@query("WITH dx AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50 AND b.vec_id % 3 > 0), den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dx QUALIFY rank <= 10) " + _COLS + "den")
+@query(f"WITH {DENSE_SQL.split(', den AS')[0].replace('a.vec_id % 20 = 0', 'a.vec_id % 20 = 0 AND b.vec_id % 3 > 0')}, den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dx QUALIFY rank <= 10) {_COLS} den")
 def ret20_drop_deleted(spark: SparkSession, d: str) -> DataFrame:
     asked, index = vectors(spark, d)
     live = R.drop_deleted(index.withColumn("doc_id", F.col("chunk_id")), index.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("doc_id")))
-    hits = R.dense_topk(asked, live.drop("doc_id"), 20)
+    hits = R.dense_topk(asked, live.drop("doc_id"), 20, ("collection",))
     return R.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), 10, "chunk_id")
