@@ -101,6 +101,11 @@ def doc_id(name: Column, prefix: str = "doc_") -> Column:
     return F.concat(F.lit(prefix), F.left(F.sha2(name, 256), F.lit(16)))
 
 
+def video_doc_id(url: Column) -> Column:
+    """`yt_` and the video's id; null for any other URL."""
+    return F.concat(F.lit("yt_"), youtube_id(url))
+
+
 def content_hash(markdown: Column) -> Column:
     return F.sha2(markdown, 256)
 

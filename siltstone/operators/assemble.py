@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators.tables import written
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
@@ -26,18 +27,20 @@ def scanned_suspect(pages: DataFrame, most: float = 0.30) -> DataFrame:
     return by.withColumn("scanned_suspect", F.size("empty_text_pages") / F.col("pages") > most)
 
 
-def topics_to_markdown(topics: DataFrame, depth: int = 64) -> DataFrame:
+def topics_to_markdown(topics: DataFrame) -> DataFrame:
     """map_id, markdown of topic trees (map_id, topic_id, parent_id, ord, title, links, note, note_links), in pre-order.
 
     The root's title is the document's; a topic d levels below it has a heading of level least(d + 1, 6). Links follow the
-    title, then the note, then its links that weren't listed. Levels are joined one by one, until one is empty or `depth` is reached.
+    title, then the note, then its links that weren't listed. Levels are joined one by one, each a written table, until one is empty. A topic that its root
+    doesn't reach is left out; where repeated ids make a circle, the walk ends after as many levels as there are topics.
     """
     place = F.format_string("%08d", F.col("ord"))
-    level = topics.where("parent_id is null").withColumns({"level": F.lit(1), "path": F.array(place), "doc_title": F.col("title")})
+    level = top = topics.where("parent_id is null").withColumns({"level": F.lit(1), "path": F.array(place), "doc_title": F.col("title")})
     levels = [level]
-    for _ in range(depth):
+    for _ in range(topics.count()):
         above = level.select("map_id", F.col("topic_id").alias("parent_id"), F.col("level").alias("up"), F.col("path").alias("way"), "doc_title")
-        level = topics.join(above, ["map_id", "parent_id"]).withColumn("level", F.col("up") + 1).withColumn("path", F.concat("way", F.array(place))).drop("up", "way").select(*levels[0].columns)
+        level = topics.join(above, ["map_id", "parent_id"]).withColumn("level", F.col("up") + 1).withColumn("path", F.concat("way", F.array(place))).drop("up", "way").select(*top.columns)
+        level = written(level, "topics")
         if level.isEmpty():
             break
         levels.append(level)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,22 @@ def missing_descriptions(images: DataFrame, cache: DataFrame) -> DataFrame:
     return hashed.join(cache.select("hash"), "hash", "left_anti")
 
 
+def describe(missing: DataFrame, describer: Callable[[bytes], str | None], version: str) -> DataFrame:
+    """hash, version, text of missing images (hash, bytes), by a describer such as a vision model; one that fails or has nothing to say gives an empty text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = []
+            for raw in rows.column(1).to_pylist():
+                try:
+                    texts.append(describer(raw) or "")
+                except Exception:  # one image's failure leaves it for the next run
+                    texts.append("")
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([version] * len(texts), pa.string()), pa.array(texts, pa.string())], ["hash", "version", "text"])
+
+    return missing.select("hash", "bytes").mapInArrow(run, "hash string, version string, text string")
+
+
 def merge_cache(cache: DataFrame, found: DataFrame) -> DataFrame:
     """The cache and what was found; empty texts aren't kept."""
     return cache.unionByName(found.where("length(text) > 0").join(cache.select("hash"), "hash", "left_anti"))

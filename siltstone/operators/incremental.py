@@ -61,6 +61,11 @@ def ingest_report(statuses: DataFrame, removed: DataFrame) -> DataFrame:
     return own.crossJoin(removed.agg(F.count("*").alias("deleted")))  # one row each
 
 
+def drop_collections(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """Every table (documents, jobs, chunks, images, …) without the rows of the collections in gone: the delete goes through all that hang on a collection."""
+    return {name: drop_collection(table, gone) for name, table in tables.items()}
+
+
 def drop_collection(table: DataFrame, gone: DataFrame) -> DataFrame:
     return table.join(gone.select("collection").distinct(), "collection", "left_anti")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -166,6 +166,20 @@ def rerank(hits: DataFrame, scores: DataFrame, top: int) -> DataFrame:
     return out.select("query_id", "chunk_id", F.col("place").alias("rank"), F.when(F.col("apply"), F.col("rerank_score")).otherwise(F.col("score")).alias("score"))
 
 
+def score_pairs(pairs: DataFrame, scorer: Callable[[list[tuple[str, str]]], Sequence[float]], batch: int = 32) -> DataFrame:
+    """query_id, chunk_id, rerank_score of pairs (query_id, chunk_id, question, text): the scorer, such as a cross-encoder, gets `batch` pairs at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            both = list(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist()))
+            scores = [float(x) for i in range(0, len(both), batch) for x in scorer(both[i : i + batch])]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(scores, pa.float64())], ["query_id", "chunk_id", "rerank_score"])
+
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id")]
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("question", "text")]
+    return pairs.select("query_id", "chunk_id", *text).mapInArrow(run, ", ".join([*kinds, "rerank_score double"]))
+
+
 def sources(hits: DataFrame) -> DataFrame:
     """query_id, n, chunk_id, score (4 decimals), excerpt (300 characters), images (8 at most) of hits with rank and text."""
     return hits.select("query_id", F.col("rank").alias("n"), "chunk_id", F.round("score", 4).alias("score"), X.truncate_text(F.col("text"), 300).alias("excerpt"), X.chunk_images(F.col("text")).alias("images"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.tables import exists, shared_path as scratch  # noqa: F401
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,21 +40,3 @@ MARKDOWN_SQL = (
 
 def flat(c: Column) -> Column:
     return F.array_join(c, "|")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for what a query writes, below the shared folder of the session (spark.checkpoint.dir); a temporary one for local sessions only."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="siltstone-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

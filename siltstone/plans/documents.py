@@ -27,10 +27,14 @@ def doc1_doc_id(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.doc_id(source_name()).alias("doc_id"))
 
 
-@query(f"SELECT doc_id AS id, 'file_' || left(sha256('/data/' || {SOURCE_SQL}), 16) AS file_id, 'video_' || left(sha256('/data/' || {SOURCE_SQL}), 16) AS video_id FROM documents")
+@query(
+    f"SELECT doc_id AS id, 'file_' || left(sha256('/data/' || {SOURCE_SQL}), 16) AS file_id, 'video_' || left(sha256('/data/' || {SOURCE_SQL}), 16) AS video_id, "
+    "CASE WHEN doc_id % 4 > 0 THEN 'yt_' || lpad(CAST(doc_id AS VARCHAR), 11, 'v') END AS yt_id FROM documents"
+)
 def doc2_doc_id_path(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat(F.lit("/data/"), source_name())
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.doc_id(path, "file_").alias("file_id"), X.doc_id(path, "video_").alias("video_id"))
+    url = F.concat(F.when(F.col("doc_id") % 4 > 0, "https://www.youtube.com/watch?v=").otherwise("https://example.com/"), F.lpad(F.col("doc_id").cast("string"), 11, "v"), F.lit("&t=4"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.doc_id(path, "file_").alias("file_id"), X.doc_id(path, "video_").alias("video_id"), X.video_doc_id(url).alias("yt_id"))
 
 
 @query("SELECT doc_id AS id, sha256(text) AS content_hash FROM documents")

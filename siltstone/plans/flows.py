@@ -226,3 +226,35 @@ def str7_segment_stream(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).select(F.col("user_id").cast("string").alias("video_id"), (F.unix_micros("ts") / 1e6).alias("start"), F.lit(1.0).alias("duration"), F.lit("x").alias("text"))
     out = _drained(T.segment_stream(rows, 86400.0), spark)
     return out.select("video_id", "group_no", "start", F.size(F.split("text", " ")).cast("bigint").alias("segments"))
+
+
+def _first_line(name: str, raw: bytes) -> list[dict[str, str]]:
+    text = raw.decode()
+    return [{"title": text.split("\n")[0], "markdown": text}]
+
+
+def _two_parts(name: str, raw: bytes) -> list[dict[str, str]]:
+    text = raw.decode()
+    half = len(text) // 2
+    return [{"title": name, "markdown": text[:half]}, {"title": name, "markdown": text[half:]}]
+
+
+def _refused(name: str, raw: bytes) -> list[dict[str, str]]:
+    raise ValueError("not readable")
+
+
+_NAMED = "SELECT source || '/doc_' || CAST(doc_id AS VARCHAR) || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.pdf' ELSE '' END AS source_name, doc_id % 4 AS k, text FROM documents"
+
+
+@query(
+    f"WITH f AS ({_NAMED}) SELECT source_name, string_split(text, chr(10))[1] AS title, md5(text) AS markdown, NULL AS error FROM f WHERE k = 0 "
+    "UNION ALL SELECT source_name, source_name, md5(unnest([left(text, length(text) // 2), substr(text, length(text) // 2 + 1)])), NULL FROM f WHERE k = 1 "
+    "UNION ALL SELECT source_name, NULL, NULL, 'ValueError: not readable' FROM f WHERE k = 2 UNION ALL SELECT source_name, NULL, NULL, 'no converter' FROM f WHERE k = 3"
+)
+def udf1_convert(spark: SparkSession, d: str) -> DataFrame:
+    """Files of four kinds through a registry: one document each, two documents each, one that fails, one unknown."""
+    ext = F.element_at(F.array(*map(F.lit, (".md", ".TXT", ".pdf", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    name = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), ext)
+    files = read(spark, d, "documents").select(name.alias("source_name"), F.encode("text", "UTF-8").alias("content"))
+    out = S.convert(files, {".md": _first_line, ".txt": _two_parts, ".pdf": _refused})
+    return out.withColumn("markdown", F.md5("markdown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,11 +111,16 @@ def inc8_ingest_report(spark: SparkSession, d: str) -> DataFrame:
     return I.ingest_report(classified(spark, d), I.find_removed(state(spark, d), incoming(spark, d)))
 
 
-@query("SELECT source AS collection, count(*) AS documents FROM documents WHERE source NOT IN ('src1', 'src2') GROUP BY source")
+@query(
+    "SELECT kind, collection, count(*) AS n FROM (SELECT 'documents' AS kind, source AS collection FROM documents UNION ALL SELECT 'jobs', source FROM documents WHERE doc_id % 5 = 0 "
+    "UNION ALL SELECT 'chunks', source FROM (SELECT source, unnest(string_split(text, chr(10))) FROM documents) UNION ALL SELECT 'images', source FROM documents WHERE doc_id % 3 = 0) WHERE collection NOT IN ('src1', 'src2') GROUP BY ALL"
+)
 def inc9_drop_collection(spark: SparkSession, d: str) -> DataFrame:
-    docs = state(spark, d)
-    gone = docs.where("collection in ('src1', 'src2')")
-    return I.drop_collection(docs, gone).groupBy("collection").agg(F.count("*").alias("documents"))
+    docs = read(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id", "text")
+    tables = {"documents": docs, "jobs": docs.where("doc_id % 5 = 0"), "chunks": docs.select("collection", F.explode(F.split("text", "\n"))), "images": docs.where("doc_id % 3 = 0")}
+    left = I.drop_collections(tables, docs.where("collection in ('src1', 'src2')"))
+    rows = [t.groupBy("collection").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "collection", "n") for kind, t in left.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(f"WITH {_INDEX} SELECT collection, doc_id, count(*) AS chunks, min(content_hash) AS doc_hash FROM ix GROUP BY ALL")

@@ -251,3 +251,23 @@ def ret20_drop_deleted(spark: SparkSession, d: str) -> DataFrame:
     live = R.drop_deleted(index.withColumn("doc_id", F.col("chunk_id")), index.where("chunk_id % 3 = 0").select(F.col("chunk_id").alias("doc_id")))
     hits = R.dense_topk(asked, live.drop("doc_id"), 20, ("collection",))
     return R.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), 10, "chunk_id")
+
+
+def _shared_words(pairs: list[tuple[str, str]]) -> list[float]:
+    """The share of the question's distinct words that the text holds."""
+    words = [(set(q.split(" ")), set(t.split(" "))) for q, t in pairs]
+    return [len(q & t) / len(q) for q, t in words]
+
+
+@query(
+    f"WITH {LEX_SQL}, pw AS (SELECT query_id, chunk_id, score, rank, list_distinct(string_split(b.text, ' ')) AS q, string_split(d.text, ' ') AS t FROM lex JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = chunk_id), "
+    "ps AS (SELECT *, len(list_intersect(q, t)) / len(q) AS s, count(*) OVER (PARTITION BY query_id) > 5 AS a FROM pw), "
+    f"o AS (SELECT query_id, chunk_id, round(CASE WHEN a THEN s ELSE score END, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN a THEN -s END, rank) AS rank FROM ps) {_COLS} o WHERE rank <= 5"
+)
+def udf3_rerank_by_scorer(spark: SparkSession, d: str) -> DataFrame:
+    """Hits reranked by a scorer of (question, text) pairs that runs on the workers."""
+    hits = lexical(spark, d)
+    texts = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    pairs = hits.join(questions(spark, d).withColumnRenamed("text", "question"), "query_id").join(texts, "chunk_id")
+    out = R.rerank(hits, R.score_pairs(pairs, _shared_words), 5)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")

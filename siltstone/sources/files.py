@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.functions import text as X
+from siltstone.operators import tables
 
 # Which extension goes to which handler, in the order in which handlers are asked.
 ROUTES = {
@@ -55,27 +59,53 @@ def route_by_type(docs: DataFrame, name: str = "source_name") -> DataFrame:
     return out.withColumn("doc_type", F.nullif(F.regexp_replace("_e", r"^\.", ""), F.lit(""))).drop("_e", "_ext")
 
 
-def archive_entries(archives: DataFrame) -> DataFrame:
-    """The manifest of archives (path, content): archive, entry, size, is_dir, bytes, position; one zip file a row is opened at a time."""
+def archive_entries(archives: DataFrame, max_bytes: int = UPLOAD_MB << 20) -> DataFrame:
+    """The manifest of archives (path, content): archive, entry, size, is_dir, bytes, position; one zip file is opened at a time.
+
+    An entry is unpacked only if expand_archives can keep it: its handler is known, and its size as the archive tells it, and as
+    it comes out, is at most max_bytes; else bytes are null. An archive that can't be read gives one row with a null entry.
+    """
+    known = {e for exts in ROUTES.values() for e in exts}
+
+    def manifest(path: str, content: bytes) -> Iterator[dict]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for i, e in enumerate(z.infolist()):
+                    name = e.filename.replace("\\", "/").rsplit("/", 1)[-1].lower()
+                    wanted = not e.is_dir() and e.file_size <= max_bytes and "." in name and "." + name.rsplit(".", 1)[1] in known
+                    size, raw = e.file_size, None
+                    if wanted:
+                        with z.open(e) as f:
+                            raw = f.read(max_bytes + 1)
+                        size, raw = (len(raw), None) if len(raw) > max_bytes else (size, raw)
+                    yield {"archive": path, "entry": e.filename, "size": size, "is_dir": e.is_dir(), "bytes": raw, "position": i}
+        except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError):
+            yield {"archive": path, "entry": None, "size": 0, "is_dir": False, "bytes": None, "position": -1}
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for i, e in enumerate(z.infolist()):
-                        yield pd.DataFrame([{"archive": path, "entry": e.filename, "size": e.file_size, "is_dir": e.is_dir(), "bytes": b"" if e.is_dir() else z.read(e), "position": i}])
+                rows, held = [], 0
+                for row in manifest(path, content):
+                    rows.append(row)
+                    held += len(row["bytes"] or b"")
+                    if held > 64 << 20:
+                        yield pd.DataFrame(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows)
 
     return archives.select("path", "content").mapInPandas(read, schemas.ENTRIES)
 
 
 def expand_archives(entries: DataFrame, max_bytes: int = UPLOAD_MB << 20, max_entries: int = ENTRIES) -> DataFrame:
-    """entries with source_name and skip_reason (null: kept), by these rules in order: folders and hidden or __MACOSX names are
+    """entries with source_name and skip_reason (null: kept), by these rules in order: corrupt (an unreadable archive, null entry); folders and hidden or __MACOSX names are
     left out silently; over_limit (all that follows once max_entries are kept); unsupported; too_big; unsafe (leaves the archive)."""
-    path = F.replace("entry", F.lit("\\"), F.lit("/"))
+    path = F.replace(F.coalesce("entry", F.lit("")), F.lit("\\"), F.lit("/"))
     name = F.regexp_extract(path, r"([^/]*)$", 1)
     rows = entries.withColumn("entry", path).where(~F.col("is_dir") & ~path.contains("__MACOSX") & ~F.startswith(name, F.lit(".")))
     known = [e for exts in ROUTES.values() for e in exts]
-    early = F.when(~extension(F.col("entry")).isin(*known), "unsupported").when(F.col("size") > max_bytes, "too_big")
+    early = F.when(F.col("entry") == "", "corrupt").when(~extension(F.col("entry")).isin(*known), "unsupported").when(F.col("size") > max_bytes, "too_big")
     unsafe = F.exists(F.split("entry", "/"), lambda p: p == "..")
     rows = rows.withColumn("early", early).withColumn("fits", F.col("early").isNull() & ~unsafe)
     order = Window.partitionBy("archive").orderBy("position")
@@ -106,23 +136,27 @@ def enforce_size_limit(files: DataFrame, max_mb: int = UPLOAD_MB) -> tuple[DataF
 def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Upserts chunks (collection, doc_id, chunk_id, …) by chunk_id: only the touched buckets of collection and doc_id are rewritten.
 
-    Equal ids in chunks: the last by all columns wins. The new state of touched buckets goes to a side folder before it replaces them.
+    Of equal ids in chunks the greatest row by all columns wins; an id that moves to another document leaves no row behind. The new state
+    of touched buckets goes to a side folder of its own before it replaces them.
     """
     spark = chunks.sparkSession
-    fresh = chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).dropDuplicates(["collection", "chunk_id"])
-    if path_exists(spark, path):
+    key = ["collection", "chunk_id"]
+    fresh = chunks.groupBy(*key).agg(F.max(F.struct(*chunks.columns)).alias("_row")).select("_row.*")
+    fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    side = f"{path.rstrip('/')}_next-{uuid.uuid4().hex}"
+    if tables.exists(spark, path):
         old = spark.read.parquet(path)
-        touched = fresh.select("collection", "bucket").distinct()
-        fresh = old.join(F.broadcast(touched), ["collection", "bucket"], "left_semi").join(fresh.select("collection", "chunk_id"), ["collection", "chunk_id"], "left_anti").unionByName(fresh, allowMissingColumns=True)
-        side = path.rstrip("/") + "_next"
-        fresh.write.mode("overwrite").parquet(side)
+        moved = old.select(*key, "bucket").join(fresh.select(*key), key, "left_semi")
+        touched = fresh.select("collection", "bucket").unionByName(moved.select("collection", "bucket")).distinct()
+        fresh = old.join(touched, ["collection", "bucket"], "left_semi").join(fresh.select(*key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+        # A bucket that only lost rows must be replaced too: it is cleared where nothing is left of it.
+        fresh.write.parquet(side)
         fresh = spark.read.parquet(side)
+        empty = touched.join(fresh.select("collection", "bucket").distinct(), ["collection", "bucket"], "left_anti").collect()  # buckets of the index at most
+        for r in empty:
+            tables.remove(spark, f"{path}/collection={r.collection}/bucket={r.bucket}")
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(path)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    tables.remove(spark, side)
 
 
 def preview(chunks: DataFrame) -> DataFrame:
@@ -137,3 +171,28 @@ def write_preview(chunks: DataFrame, path: str) -> None:
 def write_eval_report(summary: DataFrame, items: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(f"{path}/summary")
     items.write.mode("overwrite").json(f"{path}/items")
+
+
+def convert(files: DataFrame, converters: dict[str, Callable[[str, bytes], list[dict[str, str]]]]) -> DataFrame:
+    """source_name, title, markdown, error of files (source_name, content), by a registry from extension to converter.
+
+    A converter gets a name and bytes and gives documents with title and markdown. A file that no converter takes, or whose converter
+    raises, gives one row with an error and no markdown. Converters are sent to the workers and run on one file at a time.
+    """
+    kinds = {ext.lower(): f for ext, f in converters.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["source_name", "title", "markdown", "error"]
+        for batch in batches:
+            rows: list[tuple] = []
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                base = (name or "").rsplit("/", 1)[-1]
+                own = kinds.get("." + base.rsplit(".", 1)[1].lower() if "." in base else "")
+                try:
+                    made = own(name, raw) if own else None
+                    rows += [(name, d.get("title"), d["markdown"], None) for d in made] if made is not None else [(name, None, None, "no converter")]
+                except Exception as e:  # any converter's own failure is that file's report
+                    rows.append((name, None, None, f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else [[]] * 4)], names)
+
+    return files.select("source_name", "content").mapInArrow(run, "source_name string, title string, markdown string, error string")

@@ -1,7 +1,6 @@
-"""Chunking: literal cases, and a plain restatement compared on all fixture documents."""
+"""Chunking: literal cases, and what must hold of the chunks of all fixture documents."""
 
 import os
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,77 +61,88 @@ def test_a_broken_image_leaves_the_overlap(spark):
     assert "![a](rag-image" in one(spark, C.overlap_tail(F.lit("![a](rag-image://coll/doc/abc.png) le reste"), 60))
 
 
-def sections(md):
-    out, body, path = [], [], []
-
-    def close():
-        text = "\n".join(body).strip()
-        body.clear()
-        if text:
-            out.append(([t for _, t in path], text))
-
-    for line in md.split("\n"):
-        if m := re.match(r"(#{1,6})\s+(.+?)\s*$", line):
-            close()
-            path[:] = [p for p in path if p[0] < len(m[1])] + [(len(m[1]), m[2].strip())]
-        else:
-            body.append(line)
-    close()
-    return out or [([], md.strip())] * bool(md.strip())
-
-
-def tail(text, n):
-    end = text[-2 * n :]
-    m = re.search(r"[.!?]\s+", end[len(end) // 2 :])
-    own = (end[len(end) // 2 + m.end() :] if m else text[-n:]).strip()
-    cut = re.search(r"\]\(rag-image://[^)]+\)", own)
-    return own[cut.end() :].lstrip() if cut and "![" not in own[: cut.start()] else own
-
-
-def sentences(paragraph, target, overlap):
-    done, now = [], ""
-    for s in re.split(r"(?<=[.!?])\s+", paragraph):
-        if len(f"{now} {s}" if now else s) <= target:
-            now = f"{now} {s}" if now else s
-            continue
-        done += [now.strip()] * bool(now)
-        now = "" if len(s) > target else s
-        if len(s) > target:
-            done += [s[i : i + target] for i in range(0, len(s), target - overlap)]
-    return done + [now.strip()] * bool(now.strip())
-
-
-def pieces(body, target, overlap):
-    if len(body) <= target:
-        return [body]
-    done, now = [], ""
-    for p in filter(None, (x.strip() for x in re.split(r"\n\s*\n", body))):
-        if len(p) > target:
-            done += [now.strip()] * bool(now) + sentences(p, target, overlap)
-            now = ""
-        elif len(f"{now}\n\n{p}" if now else p) <= target:
-            now = f"{now}\n\n{p}" if now else p
-        else:
-            done.append(now.strip())
-            kept = tail(now, overlap)
-            now = f"{kept}\n\n{p}" if kept else p
-    return done + [now.strip()] * bool(now.strip())
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("tokens,overlap,least", [(500, 60, 100), (60, 15, 80)])
-def test_restatement(spark, tokens, overlap, least):
+def test_a_long_paragraph_is_cut_at_sentences_and_long_sentences_by_length(spark):
+    text = "One two. Three four! " + "x" * 25 + ". Five."
+    assert one(spark, C.hard_split(F.lit(text), 20, 5)) == ["One two. Three four!", "x" * 20, "x" * 10 + ".", "Five."]
+    assert one(spark, C.hard_split(F.lit("abcdefghij"), 4, 1)) == ["abcd", "defg", "ghij", "j"]
+
+
+def test_paragraphs_are_packed_and_overlap(spark):
+    body = F.lit("First one here.\n\nSecond.\n\n\nThird is a bit longer. End.\n\nFour")
+    assert one(spark, C.split_by_size(body, 30, 0)) == ["First one here.\n\nSecond.", "Third is a bit longer. End.", "Four"]
+    assert one(spark, C.split_by_size(body, 30, 8)) == ["First one here.\n\nSecond.", "Second.\n\nThird is a bit longer. End.", "End.\n\nFour"]
+    assert one(spark, C.split_by_size(F.lit("short"), 30, 8)) == ["short"]
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("source").alias("title"), markdown().alias("markdown"))
-    got = {}
-    for r in C.chunk_documents(docs, tokens, overlap, least).orderBy("doc_id", "chunk_index").collect():
-        got.setdefault(r.doc_id, []).append((r.text, r.heading_path))
-    for r in docs.collect():
-        want = []
-        for path, body in sections(r.markdown):
-            for p in filter(None, (x.strip() for x in pieces(body, 4 * tokens, 4 * overlap))):
-                own = (f"[{' > '.join([r.title, *path])}]\n\n{p}", path)
-                if want and len(want[-1][0]) < least and len(want[-1][0]) + len(own[0]) <= 6 * tokens:
-                    want[-1] = (want[-1][0] + "\n\n" + own[0], want[-1][1])
-                else:
-                    want.append(own)
-        assert got.get(r.doc_id, []) == want
+    return docs, {r.doc_id: r for r in docs.collect()}
+
+
+def bodies(rows, title):
+    """(heading path, body) of chunks whose prefix is known."""
+    for r in rows:
+        prefix = "[" + " > ".join([title, *r.heading_path]) + "]\n\n"
+        assert r.text.startswith(prefix) and r.char_count == len(r.text) and r.page_or_section == " > ".join(r.heading_path)
+        yield r.heading_path, r.text[len(prefix) :]
+
+
+def by_doc(df):
+    out = {}
+    for r in df.orderBy("doc_id", "chunk_index").collect():
+        out.setdefault(r.doc_id, []).append(r)
+    return out
+
+
+def test_chunks_hold_all_text_once_and_stay_below_the_target(corpus):
+    docs, known = corpus
+    for tokens in (60, 500):
+        out = by_doc(C.chunk_documents(docs, tokens, 0, 0))
+        assert set(out) == set(known)
+        for i, rows in out.items():
+            assert [r.chunk_index for r in rows] == list(range(len(rows)))
+            parts = list(bodies(rows, known[i].title))
+            assert all(0 < len(b) <= 4 * tokens for _, b in parts)
+            kept = "".join("".join(b.split()) for _, b in parts)
+            assert kept == "".join("".join(line.split()) for line in known[i].markdown.split("\n") if not line.startswith("#"))
+
+
+def test_pieces_are_as_large_as_they_can_be(corpus):
+    docs, known = corpus
+    for i, rows in by_doc(C.chunk_documents(docs, 100, 0, 0)).items():
+        parts = list(bodies(rows, known[i].title))
+        paragraphs = {p.strip() for p in known[i].markdown.split("\n\n")}
+        for (path, a), (next_path, b) in zip(parts, parts[1:]):
+            first = b.split("\n\n")[0]
+            if path == next_path and first in paragraphs and a.split("\n\n")[-1] in paragraphs:
+                assert len(a) + 2 + len(first) > 400
+
+
+def test_the_path_ends_with_the_nearest_heading(corpus):
+    docs, known = corpus
+    for i, rows in by_doc(C.chunk_documents(docs, 500, 0, 0)).items():
+        at = 0
+        for path, body in bodies(rows, known[i].title):
+            at = known[i].markdown.index(body.split("\n\n")[0], at)
+            headings = [line.lstrip("#").strip() for line in known[i].markdown[:at].split("\n") if line.startswith("#")]
+            assert path[-1] == headings[-1] and len(path) <= 3
+            at += len(body)
+
+
+def test_a_tiny_chunk_takes_in_the_next(corpus):
+    docs, known = corpus
+    apart, merged = (by_doc(C.chunk_documents(docs, 60, 0, least)) for least in (0, 80))
+    for i, rows in merged.items():
+        assert "\n\n".join(r.text for r in rows) == "\n\n".join(r.text for r in apart[i])
+        for a, b in zip(rows, rows[1:]):
+            assert len(a.text) >= 80 or len(a.text) + len(b.text) > 360 or any(len(a.text) + len(x.text) > 360 for x in apart[i] if b.text.startswith(x.text))
+
+
+def test_overlap_repeats_the_end_of_the_piece_before(corpus):
+    docs, known = corpus
+    plain, lapped = (by_doc(C.chunk_documents(docs, 60, overlap, 0)) for overlap in (0, 15))
+    for i, rows in lapped.items():
+        assert all(len(b) <= 240 + 60 + 2 for _, b in bodies(rows, known[i].title)) and len(rows) >= len({tuple(r.heading_path) for r in plain[i]})
