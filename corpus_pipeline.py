@@ -1,5 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread.
 
+Every stage takes nulls in any column, empty and very long texts, repeated rows, ties and empty tables (they give empty
+tables), and drops columns other than those of documents, whatever their names.
+
 Toxic documents go; later repeats of line runs go; one document of each group of near duplicates stays (documents that share an
 id, or have none, are told apart by their text); sources are mixed
 to their targets (a document taken twice is two rows); what is left is packed into sequences.
@@ -19,6 +22,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that op1's model, trained on the labels of its training rows, predicts to be toxic."""
+    docs = docs.select(*COLUMNS)
     cost = toxicity.train_characters(docs)
     learn = F.coalesce(common.fold("doc_id", 3) != 1, F.lit(False))
     lexicon = toxicity.train_lexicon(docs.where(learn), common.table(spark, sf_dir, "labels").where(learn), cost)
@@ -27,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later repeats of runs of lines; no document goes, n_chars follows the text."""
-    return linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return linededup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
