@@ -118,6 +118,22 @@ def test_packing(docs):
     assert packing.pack(packing.token_pieces(docs.limit(0), TOKENIZER)).count() == 0
 
 
+def test_pipeline_stages(spark, docs, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    own = docs.select("*", *[F.lit("x").alias(c) for c in ("_mix_key", "_near_key", "finish", "_dedup_gone", "h2")])
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, own, str(tmp_path)).collect()
+        if name == "best_fit_packing":
+            assert {r.doc_id for r in rows} == {None, 1, 2, 3, 4, 5, 6, 7}
+            continue
+        assert all(set(r.asDict()) == set(corpus_pipeline.COLUMNS) for r in rows), name
+        ids = {r.doc_id for r in rows}
+        assert ids >= {1, 5} and (name == "mix_sources" or {2, 3, 4, None} <= ids), name
+        assert stage(spark, own.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_top_k(spark):
     rows = [(i, [float(i % 5) / 5, 0.5, -0.25], "x") for i in range(60)] + [(20, None, "x"), (40, [1.0, None, 0.0], "x"), (None, [1.0, 1.0, 1.0], "x"), (80, [float("nan"), 1.0, 1.0], "x"), (21, [0.2, 0.5, -0.25], "x"), (100, [0.5, 0.5], "x")]
     v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, score string")
