@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -107,6 +107,20 @@ def natural_order(name: Column) -> list[Column]:
     return [F.coalesce(F.regexp_extract(base, r"(\d+)", 1).try_cast("bigint"), F.lit(0)), name]
 
 
+def natural_positions(files: DataFrame, group: str, name: str = "name") -> DataFrame:
+    """files with position: from 1 in each group, by natural order; equal names take following positions.
+
+    The files are range-sorted by group, number and name, so a large group spans several tasks; each (range, group) then counts on from those before it.
+    """
+    keys = [F.col(group), *natural_order(F.col(name))]
+    ranged = written(files.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "natural")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*natural_order(F.col(name))))
+    out = ranged.withColumn("_own", own).join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return out.withColumn("position", F.col("_before") + F.col("_own")).drop("_range", "_own", "_g", "_r", "_before")
+
+
 def rebase_identity(docs: DataFrame) -> DataFrame:
     """docs (doc_id, source_name, markdown, upload_name) renamed to their upload's name where it has one: new doc_id, image references and hash."""
     new = X.doc_id(F.col("upload_name"))

@@ -61,9 +61,9 @@ def doc6_chunk_id(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.chunk_id(F.lit("d"), F.col("n_chars")).alias("chunk_id"))
 
 
-@query(r"SELECT doc_id AS id, regexp_replace(left(text, 40), '[^\p{L}\p{N}_\-. ]', '_', 'g') AS name FROM documents")
+@query(r"SELECT doc_id AS id, regexp_replace(text, '[^\p{L}\p{N}_\-. ]', '_', 'g') AS name FROM documents")
 def doc7_safe_cache_name(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.safe_cache_name(F.left("text", F.lit(40))).alias("name"))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.safe_cache_name(F.col("text")).alias("name"))
 
 
 _HTML_SQL = "html"
@@ -173,11 +173,11 @@ def doc15_flatten_note(spark: SparkSession, d: str) -> DataFrame:
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "conversations")
-    return c.select(F.col("conv_id").cast("string").alias("video_id"), (F.col("turn") * 20.0 + F.col("conv_id") % 7).alias("start"), F.lit(20.0).alias("duration"), F.left("text", F.lit(60)).alias("text"))
+    return c.select(F.col("conv_id").cast("string").alias("video_id"), (F.col("turn") * 20.0 + F.col("conv_id") % 7).alias("start"), F.lit(20.0).alias("duration"), "text")
 
 
 @query(
-    "WITH RECURSIVE s AS (SELECT conv_id, turn * 20.0 + conv_id % 7 AS start, regexp_replace(left(text, 60), '^\\s+|\\s+$', '', 'g') AS text FROM conversations), "
+    "WITH RECURSIVE s AS (SELECT conv_id, turn * 20.0 + conv_id % 7 AS start, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start, text) AS k FROM s WHERE text <> ''), "
     "w AS (SELECT conv_id, k, start, start AS anchor, 0 AS g FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.k, r.start, CASE WHEN r.start - w.anchor >= 60 THEN r.start ELSE w.anchor END, CASE WHEN r.start - w.anchor >= 60 THEN w.g + 1 ELSE w.g END FROM w JOIN r ON r.conv_id = w.conv_id AND r.k = w.k + 1) "
     "SELECT CAST(w.conv_id AS VARCHAR) AS video_id, w.g AS group_no, CAST(min(w.anchor) AS DOUBLE) AS start, CAST(max(w.start) + 20 AS DOUBLE) AS \"end\", string_agg(r.text, ' ' ORDER BY w.k) AS text FROM w JOIN r USING (conv_id, k) GROUP BY w.conv_id, w.g"
@@ -212,12 +212,10 @@ def doc19_inject_by_number(spark: SparkSession, d: str) -> DataFrame:
     return A.inject_by_number(docs, notes)
 
 
-@query("SELECT source, string_agg(name, '|' ORDER BY n, name) AS names FROM (SELECT source, 'img/' || lang || CASE WHEN doc_id % 5 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END || '.png' AS name, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS n FROM documents) GROUP BY source")
+@query("WITH f AS (SELECT source, 'img/' || lang || CASE WHEN doc_id % 5 = 0 THEN '' ELSE CAST(doc_id AS VARCHAR) END || '.png' AS name, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE doc_id END AS n FROM documents) SELECT source, name, row_number() OVER (PARTITION BY source ORDER BY n, name) AS position FROM f")
 def doc20_natural_sort_images(spark: SparkSession, d: str) -> DataFrame:
     name = F.concat(F.lit("img/"), F.col("lang"), F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("doc_id").cast("string")), F.lit(".png"))
-    files = read(spark, d, "documents").select("source", name.alias("name"))
-    number, whole = A.natural_order(F.col("name"))
-    return files.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), whole.alias("w")))), lambda x: x["w"]), "|").alias("names"))
+    return A.natural_positions(read(spark, d, "documents").select("source", name.alias("name")), "source")
 
 
 @query(

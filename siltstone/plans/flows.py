@@ -191,8 +191,16 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT event_type AS model, epoch_us(ts) AS us, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
+#: What a drained stream has passed: the latest event less ten minutes, in ms.
+_MARK = "(SELECT max(epoch_us(ts)) // 1000 - 600000 FROM events)"
+
+
+@query(
+    "WITH w AS (SELECT event_type AS model, epoch_us(ts) AS us, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events) "
+    f"SELECT * FROM w WHERE (us // 60000000 + 1) * 60000 <= {_MARK}"
+)
 def str3_rpm_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The minutes that the watermark has passed when the stream is drained."""
     return _drained(T.rpm_stream(_events(spark, d).select(F.col("event_type").alias("model"), "ts")), spark)
 
 
@@ -217,14 +225,18 @@ def str6_classify_errors(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE s AS (SELECT user_id, epoch_us(ts) / 1e6 AS start, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), "
-    "w AS (SELECT user_id, k, start, start AS anchor, 0 AS g FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.k, s.start, CASE WHEN s.start - w.anchor >= 86400 THEN s.start ELSE w.anchor END, CASE WHEN s.start - w.anchor >= 86400 THEN w.g + 1 ELSE w.g END FROM w JOIN s ON s.user_id = w.user_id AND s.k = w.k + 1), "
-    "c AS (SELECT user_id, g, min(anchor) AS start, count(*) AS segments FROM w GROUP BY ALL) "
-    "SELECT CAST(user_id AS VARCHAR) AS video_id, g AS group_no, start, segments FROM c QUALIFY g < max(g) OVER (PARTITION BY user_id)"
+    f"WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS start, epoch_us(ts) // 1000 AS ms FROM events WHERE epoch_us(ts) // 1000 < {_MARK}), "
+    "o AS (SELECT *, coalesce(ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, start) > 172800000, false) AS idle FROM e), "
+    "v AS (SELECT *, sum(idle::INT) OVER (PARTITION BY user_id ORDER BY ms, start ROWS UNBOUNDED PRECEDING) AS part FROM o), "
+    "s AS (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY ms, start) AS k FROM v), "
+    "w AS (SELECT user_id, part, k, ms, start, start AS anchor, 0 AS g FROM s WHERE k = 1 UNION ALL SELECT s.user_id, s.part, s.k, s.ms, s.start, CASE WHEN s.start - w.anchor >= 86400 THEN s.start ELSE w.anchor END, CASE WHEN s.start - w.anchor >= 86400 THEN w.g + 1 ELSE w.g END FROM w JOIN s ON s.user_id = w.user_id AND s.part = w.part AND s.k = w.k + 1), "
+    "c AS (SELECT user_id, part, g, min(anchor) AS start, count(*) AS segments, max(ms) AS last FROM w GROUP BY ALL) "
+    f"SELECT CAST(user_id AS VARCHAR) AS video_id, g AS group_no, start, segments FROM c QUALIFY (part, g) < max((part, g)) OVER (PARTITION BY user_id) OR last + 172800000 < {_MARK}"
 )
 def str7_segment_stream(spark: SparkSession, d: str) -> DataFrame:
-    rows = _events(spark, d).select(F.col("user_id").cast("string").alias("video_id"), (F.unix_micros("ts") / 1e6).alias("start"), F.lit(1.0).alias("duration"), F.lit("x").alias("text"))
-    out = _drained(T.segment_stream(rows, 86400.0), spark)
+    """Groups of a day; a video is over after two days without a segment."""
+    rows = _events(spark, d).select(F.col("user_id").cast("string").alias("video_id"), "ts", (F.unix_micros("ts") / 1e6).alias("start"), F.lit(1.0).alias("duration"), F.lit("x").alias("text"))
+    out = _drained(T.segment_stream(rows, 86400.0, idle=172_800), spark)
     return out.select("video_id", "group_no", "start", F.size(F.split("text", " ")).cast("bigint").alias("segments"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -63,39 +64,41 @@ class JobProgress(StreamingQueryListener):
 
 
 def rpm_window(calls: DataFrame, limits: DataFrame) -> DataFrame:
-    """calls (model, ts) with in_window (calls of the last 60 s, this one included) and wait: seconds until the oldest leaves, if rpm is reached."""
-    own = calls.withColumn("us", F.unix_micros("ts"))
-    w = Window.partitionBy("model").orderBy("us").rangeBetween(-MINUTE, 0)
-    own = own.withColumns({"in_window": F.count("*").over(w), "oldest": F.min("us").over(w)})
+    """calls (model, ts) with in_window (calls of the last 60 s, this one included) and wait: seconds until the oldest leaves, if rpm is reached.
+
+    Calls are counted minute by minute, each with the minute before it, so a hot model spreads over its minutes. Calls without a time count each other.
+    """
+    us = F.unix_micros("ts")
+    own = calls.withColumns({"us": us, "ahead": F.explode(F.when(us.isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))})
+    w = Window.partitionBy("model", F.floor(F.col("us") / MINUTE) + F.col("ahead")).orderBy("us").rangeBetween(-MINUTE, 0)
+    own = own.withColumns({"in_window": F.count("*").over(w), "oldest": F.min("us").over(w)}).where("ahead = 0").drop("ahead")
     own = own.join(F.broadcast(limits.select("model", "rpm")), "model", "left")
     wait = F.when((F.col("rpm") > 0) & (F.col("in_window") >= F.col("rpm")), 60 - (F.col("us") - F.col("oldest")) / 1e6 + MARGIN).otherwise(0.0)
     return own.withColumn("wait", wait).drop("us", "oldest", "rpm")
 
 
-class _Minute(StatefulProcessor):
-    """Keeps the times of a model's calls of the last 60 s."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("times", "us bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        kept = [r[0] for r in self.times.get()]
-        for batch in rows:
-            out = []
-            for us in sorted(batch["us"].tolist()):
-                kept = [t for t in kept if t >= us - MINUTE] + [us]
-                out.append({"model": key[0], "us": us, "in_window": len(kept)})
-            yield pd.DataFrame(out)
-        self.times.put([(t,) for t in kept])
-
-    def close(self) -> None:
-        pass
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The calls of the second minute of each window (model, start, times), with the calls of their last 60 s."""
+    for batch in batches:
+        out = []
+        for model, start, times in batch.itertuples(index=False):
+            times = np.sort(np.asarray(times, dtype=np.int64))
+            us = times[times >= start + MINUTE]
+            n = np.searchsorted(times, us, "right") - np.searchsorted(times, us - MINUTE, "left")
+            out.append(pd.DataFrame({"model": model, "us": us, "in_window": n}))
+        yield pd.concat(out) if out else pd.DataFrame({"model": [], "us": [], "in_window": []})
 
 
 def rpm_stream(calls: DataFrame, lateness: str = "10 minutes") -> DataFrame:
-    """The streaming form of rpm_window over calls (model, ts) that come in order: model, us, in_window. State: 60 s of times a model."""
-    own = calls.withWatermark("ts", lateness).select("model", F.unix_micros("ts").alias("us"))
-    return own.groupBy("model").transformWithStateInPandas(_Minute(), "model string, us bigint, in_window bigint", "Append", "None")
+    """The streaming form of rpm_window over calls (model, ts): model, us, in_window. Calls may come in any order.
+
+    A minute goes out, and its state with it, when the watermark passes its end; calls later than `lateness` are dropped, as are calls
+    without a time. State: two minutes of times for each model and open minute.
+    """
+    w = F.window("ts", "2 minutes", "1 minute")
+    by = calls.withWatermark("ts", lateness).groupBy("model", w).agg(F.collect_list(F.unix_micros("ts")).alias("times"))
+    by = by.select("model", F.unix_micros("window.start").alias("start"), "times")
+    return by.mapInPandas(_counted, "model string, us bigint, in_window bigint")
 
 
 def daily_quota(calls: DataFrame, limits: DataFrame) -> DataFrame:
@@ -122,37 +125,78 @@ def classify_errors(log: DataFrame) -> DataFrame:
 
 
 class _Anchor(StatefulProcessor):
-    """Keeps the start of a video's open group, its end and text; a group goes out when the next begins."""
+    """Holds a video's segments until the watermark has passed them, then takes them in order of time.
 
-    def __init__(self, seconds: float):
-        self.seconds = seconds
+    Keeps the open group (start, stop, text, number, time of its last segment in ms); it goes out when the next one begins or the video has been idle.
+    """
+
+    def __init__(self, seconds: float, idle: int):
+        self.seconds, self.idle = seconds, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "start double, stop double, text string, no int")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms bigint, start double, duration double, text string")
+        self.open = handle.getValueState("open", "start double, stop double, text string, no int, ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.open.get()
-        group = list(state) if state is not None else None
-        out = []
+        first = None
         for batch in rows:
-            for r in batch.sort_values("start").itertuples():
-                if not r.text.strip():
-                    continue
-                if group and r.start - group[0] < self.seconds:
-                    group[1:3] = [r.start + r.duration, f"{group[2]} {r.text.strip()}"]
-                    continue
-                if group:
-                    out.append({"video_id": key[0], "group_no": group[3], "start": group[0], "end": group[1], "text": group[2]})
-                group = [r.start, r.start + r.duration, r.text.strip(), group[3] + 1 if group else 0]
+            batch = batch[batch["text"].str.strip().fillna("") != ""]
+            if len(batch):
+                self.waiting.appendList(list(batch[["ms", "start", "duration", "text"]].itertuples(index=False, name=None)))
+                first = int(batch["ms"].min()) if first is None else min(first, int(batch["ms"].min()))
+        if first is not None:
+            self.handle.registerTimer(first + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted(self.waiting.get())
+        ready = [r for r in held if r[0] < now]
+        later = held[len(ready) :]
+        group = list(self.open.get()) if self.open.exists() else None
+        out, words = [], [group[2]] if group else []
+
+        def close() -> None:
+            out.append({"video_id": key[0], "group_no": group[3], "start": group[0], "end": group[1], "text": " ".join(words)})
+
+        for ms, start, duration, text in ready:
+            text = text.strip()
+            idle = group is not None and ms - group[4] > self.idle
+            if group and not idle and start - group[0] < self.seconds:
+                group[1], group[4] = start + duration, ms
+                words.append(text)
+                continue
+            if group:
+                close()
+            group = [start, start + duration, "", group[3] + 1 if group and not idle else 0, ms]
+            words = [text]
+        if group and group[4] + self.idle < now:
+            close()
+            group = None
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] + 1)
+        else:
+            self.waiting.clear()
         if group:
+            group[2] = " ".join(words)
             self.open.update(tuple(group))
+            self.handle.registerTimer(group[4] + self.idle + 1)
+        else:
+            self.open.clear()
         yield pd.DataFrame(out, columns=["video_id", "group_no", "start", "end", "text"])
 
     def close(self) -> None:
         pass
 
 
-def segment_stream(segments: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """The streaming form of grouping segments (video_id, start, duration, text) that come in order: closed groups only."""
+def segment_stream(segments: DataFrame, seconds: float = 60.0, lateness: str = "10 minutes", idle: int = 86_400) -> DataFrame:
+    """The streaming form of grouping segments (video_id, ts, start, duration, text), which may come in any order: closed groups.
+
+    Segments are taken in order of ts (milliseconds), then start, once the watermark has passed them; later ones are dropped. A group is closed by the next
+    one, or when nothing came for `idle` seconds: then the video's state goes, and what still comes begins at group 0. Segments without text or time are dropped.
+    """
     kind = "video_id string, group_no int, start double, end double, text string"
-    return segments.groupBy("video_id").transformWithStateInPandas(_Anchor(seconds), kind, "Append", "None")
+    own = segments.where("ts IS NOT NULL").withWatermark("ts", lateness).select("video_id", "ts", F.unix_millis("ts").alias("ms"), F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"), "text")
+    return own.groupBy("video_id").transformWithStateInPandas(_Anchor(seconds, idle * 1000), kind, "Append", "EventTime")
