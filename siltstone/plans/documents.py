@@ -92,18 +92,16 @@ def doc9_title_from_h1(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.title_from_h1(text, F.lit("stem")).alias("title"))
 
 
-_STEM = "regexp_replace(left(text, 60), '[.]', '_', 'g')"
-
-
 @query(
-    "WITH t AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Document ' || left(text, 20) WHEN 1 THEN 'Untitled' ELSE substr(text, 11, 60) END AS title, left(text, 60) AS stem FROM documents), "
+    "WITH t AS (SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'Document ' || text WHEN 1 THEN 'Untitled' ELSE regexp_replace(text, '\\S*\\s*\\z', '') END AS title, regexp_extract(text, '(\\S*)\\s*\\z', 1) AS stem FROM documents), "
     "c AS (SELECT id, lower(trim(title)) AS low, list_distinct(regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]{4,}')) AS a, list_distinct(regexp_extract_all(lower(stem), '[\\p{L}\\p{N}_]{4,}')) AS b FROM t) "
     "SELECT id, low NOT IN ('ethan frome', 'document', 'document1', 'untitled', 'microsoft word', 'presentation1', 'book1', 'classeur1') AND NOT (starts_with(low, 'microsoft word') OR starts_with(low, 'untitled') OR starts_with(low, 'document')) AND list_has_any(a, b) AS legit FROM c"
 )
 def doc10_legit_title(spark: SparkSession, d: str) -> DataFrame:
+    """The text without its last word as the title, its last word as the file's name."""
     k = F.col("doc_id") % 5
-    title = F.when(k == 0, F.concat(F.lit("Document "), F.left("text", F.lit(20)))).when(k == 1, "Untitled").otherwise(F.substring("text", 11, 60))
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.legit_title(title, F.left("text", F.lit(60))).alias("legit"))
+    title = F.when(k == 0, F.concat(F.lit("Document "), F.col("text"))).when(k == 1, "Untitled").otherwise(F.regexp_replace("text", r"\S*\s*\z", ""))
+    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), X.legit_title(title, F.regexp_extract("text", r"(\S*)\s*\z", 1)).alias("legit"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

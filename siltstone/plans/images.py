@@ -22,13 +22,12 @@ def query(sql: str | None = None):
     return put
 
 
-_ALT = "CASE WHEN doc_id % 3 = 0 THEN '**' || left(text, 220) || '**' WHEN doc_id % 3 = 1 THEN '# ' || left(text, 160) || ' [x] \"y\"' ELSE '`' || left(text, 40) || '` d''un' END"
+_ALT = "CASE WHEN doc_id % 3 = 0 THEN '**' || text || '**' WHEN doc_id % 3 = 1 THEN '# ' || text || ' [x] \"y\"' ELSE '`' || text || '` d''un' END"
 
 
 def _alt():
-    t = lambda n: F.left("text", F.lit(n))
-    k = F.col("doc_id") % 3
-    return F.when(k == 0, F.concat(F.lit("**"), t(220), F.lit("**"))).when(k == 1, F.concat(F.lit("# "), t(160), F.lit(' [x] "y"'))).otherwise(F.concat(F.lit("`"), t(40), F.lit("` d'un")))
+    t, k = F.col("text"), F.col("doc_id") % 3
+    return F.when(k == 0, F.concat(F.lit("**"), t, F.lit("**"))).when(k == 1, F.concat(F.lit("# "), t, F.lit(' [x] "y"'))).otherwise(F.concat(F.lit("`"), t, F.lit("` d'un")))
 
 
 def _plain_sql(c: str) -> str:

@@ -232,9 +232,9 @@ def rep4_recent_jobs(spark: SparkSession, d: str) -> DataFrame:
     return E.recent_jobs(jobs(spark, d))
 
 
-@query("SELECT lang AS doc_type, CASE WHEN length(t) > 58 THEN left(t, 55) || '...' ELSE t END AS title, len(string_split(text, chr(10)))::BIGINT AS n_chunks FROM (SELECT lang, text, left(text, CAST(40 + doc_id % 40 AS BIGINT)) AS t FROM documents)")
+@query("SELECT lang AS doc_type, CASE WHEN length(t) > 58 THEN left(t, 55) || '...' ELSE t END AS title, len(string_split(text, chr(10)))::BIGINT AS n_chunks FROM (SELECT lang, text, text AS t FROM documents)")
 def rep5_doc_type_listing(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("doc_type"), F.left("text", (40 + F.col("doc_id") % 40).cast("int")).alias("title"))
+    docs = read(spark, d, "documents").select("doc_id", F.col("lang").alias("doc_type"), F.col("text").alias("title"))
     return E.doc_type_listing(docs, index(spark, d))
 
 
@@ -257,9 +257,9 @@ def rep7_quota_stats(spark: SparkSession, d: str) -> DataFrame:
     return E.quota_stats(calls(spark, d), F.lit("2024-01-15 12:00:00").cast("timestamp"))
 
 
-@query("SELECT doc_id, CASE WHEN length(s) > 70 THEN '...' || right(s, 67) ELSE s END AS source FROM (SELECT doc_id, left(text, CAST(doc_id % 140 AS BIGINT)) AS s FROM documents)")
+@query("SELECT doc_id, CASE WHEN length(s) > 70 THEN '...' || right(s, 67) ELSE s END AS source FROM (SELECT doc_id, text AS s FROM documents)")
 def rep8_shorten_source(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").select("doc_id", X.shorten_source(F.left("text", (F.col("doc_id") % 140).cast("int"))).alias("source"))
+    return read(spark, d, "documents").select("doc_id", X.shorten_source(F.col("text")).alias("source"))
 
 
 @query(f"WITH {_JOBS} SELECT collection, count(*) AS active FROM jb WHERE status IN ('running', 'pending') GROUP BY collection")

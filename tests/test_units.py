@@ -1,9 +1,10 @@
 """Literal cases of identities, images, retrieval, maintenance, archives and streams."""
 
 import io
+import time
 import uuid
 import zipfile
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,56 @@ def test_segments_are_anchored(spark):
     rows = [("v", float(s), 5.0, t) for s, t in ((0, ""), (10, "a"), (69, "b"), (70, "c"), (131, "d"))]
     out = A.group_segments(spark.createDataFrame(rows, "video_id string, start double, duration double, text string")).collect()
     assert [(r.start, r.end, r.text) for r in out] == [(10.0, 74.0, "a b"), (70.0, 75.0, "c"), (131.0, 136.0, "d")]
+
+
+def drained(stream, spark, tmp_path, name):
+    out = str(tmp_path / name)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def landed_files(spark, tmp_path, parts, schema):
+    """Each part as a file of its own, read one file a batch in the order written."""
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1 if i + 1 < len(parts) else 0)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_streamed_minutes_from_unordered_files(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    seconds = [0, 30, 59, 60, 60, 61, 100, 119, 121, 179, 200, 200]
+    rows = [("m", t + timedelta(seconds=s)) for s in seconds]
+    parts = [rows[1::3], rows[0::3], rows[2::3], [("m", t + timedelta(hours=2)), ("m", None)]]
+    calls = landed_files(spark, tmp_path, parts, "model string, ts timestamp")
+    got = drained(T.rpm_stream(calls), spark, tmp_path, "out").collect()
+    at = int(t.replace(tzinfo=timezone.utc).timestamp())
+    want = [(at + s, sum(s - 60 <= x <= s for x in seconds)) for s in seconds]
+    assert sorted((r.us // 1_000_000, r.in_window) for r in got) == sorted(want)
+
+
+def test_streamed_segments_from_unordered_files(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t = datetime(2024, 1, 1)
+    row = lambda v, s, text: (v, t + timedelta(seconds=s), float(s), 5.0, text)
+    rows = [row("v", s, x) for s, x in ((0, " "), (10, "a"), (69, "b"), (70, "c"), (131, "d"), (140, "e"))]
+    parts = [[rows[4], rows[2]], [rows[5], rows[0], rows[3]], [rows[1], row("w", 50, "x")], [row("v", 7200, "f")], [row("y", 90_000, "end")]]
+    segments = landed_files(spark, tmp_path, parts, "video_id string, ts timestamp, start double, duration double, text string")
+    got = drained(T.segment_stream(segments, 60.0, idle=3600), spark, tmp_path, "out").collect()
+    want = [("v", 0, 10.0, 74.0, "a b"), ("v", 0, 7200.0, 7205.0, "f"), ("v", 1, 70.0, 75.0, "c"), ("v", 2, 131.0, 145.0, "d e"), ("w", 0, 50.0, 55.0, "x")]
+    assert sorted((r.video_id, r.group_no, r.start, r.end, r.text) for r in got) == want
+
+
+def test_natural_positions_of_a_hot_group(spark):
+    rows = [("hot", f"d/p{i % 700}.png") for i in range(3000)] + [("cold", "b.png"), ("cold", "a10.png"), ("cold", "a9.png"), (None, "z1")]
+    got = A.natural_positions(spark.createDataFrame(rows, "g string, name string").repartition(7), "g").collect()
+    for g in ("hot", "cold", None):
+        names = sorted((n for x, n in rows if x == g), key=lambda n: (int("".join(filter(str.isdigit, n)) or 0), n))
+        assert [r.name for r in sorted((r for r in got if r.g == g), key=lambda r: r.position)] == names
+        assert sorted(r.position for r in got if r.g == g) == list(range(1, len(names) + 1))
+
+
+def test_minutes_of_calls_without_a_time(spark):
+    calls = spark.createDataFrame([("m", None), ("m", None), ("m", datetime(2024, 1, 1))], "model string, ts timestamp")
+    limits = spark.createDataFrame([("m", 9)], "model string, rpm int")
+    assert sorted((r.ts is None, r.in_window) for r in T.rpm_window(calls, limits).collect()) == [(False, 1), (True, 2), (True, 2)]
