@@ -197,11 +197,15 @@ def _plain(c: Column) -> Column:
 
 
 def _shorten(c: Column, most: int, least: int) -> Column:
-    """At most `most` characters: cut, back to the last space if that is beyond `least`, and `...`."""
-    cut = F.left(c, F.lit(most - 3))
-    space = F.length(cut) - F.instr(F.reverse(cut), " ")
-    whole = F.when((F.instr(cut, " ") > 0) & (space > least), F.substring(cut, F.lit(1), space)).otherwise(cut)
-    return F.when(F.length(c) > most, F.concat(whole, F.lit("..."))).otherwise(c)
+    """At most `most` characters: cut, back to the last space if that is beyond `least`, and `...`. c is evaluated once."""
+
+    def short(x: Column) -> Column:
+        cut = F.left(x, F.lit(most - 3))
+        space = F.length(cut) - F.instr(F.reverse(cut), " ")
+        whole = F.when((F.instr(cut, " ") > 0) & (space > least), F.substring(cut, F.lit(1), space)).otherwise(cut)
+        return F.when(F.length(x) > most, F.concat(whole, F.lit("..."))).otherwise(x)
+
+    return F.get(F.transform(F.array(c), short), 0)
 
 
 def sanitize_alt(c: Column) -> Column:
