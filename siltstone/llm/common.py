@@ -55,6 +55,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name like `_name` that none of the caller's columns has (names are compared without case)."""
+    held = {c.lower() for c in taken}
+    own = f"_{name}"
+    while own.lower() in held:
+        own = f"_{own}"
+    return own
+
+
 def _width(field: T.StructField) -> Column:
     """Bytes of a column's value in memory, about."""
     kind, c = field.dataType, F.col(f"`{field.name}`")
