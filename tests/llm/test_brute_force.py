@@ -274,16 +274,16 @@ def test_exact_top_k_stops_early_and_is_exact():
     shares = []
     for x in (flat, skewed, copies):
         v = np.floor(64 * x)
-        lists, read = topk.Lists(v), 0
-        for i in range(0, 2000, 40):
-            rows, n = lists.search(v[i], 20, i)
-            read += n / v.size / 50
-            want = v @ v[i]
-            want[i] = -np.inf
-            assert set(np.flatnonzero(want >= np.sort(want)[-20])) <= set(rows.tolist()) and i not in rows
-            told, fewer = lists.search(v[i], 20, i, np.sort(want)[-20])
-            assert set(np.flatnonzero(want >= np.sort(want)[-20])) <= set(told.tolist()) and fewer <= n
-        shares.append(read)
+        lists, asked = topk.Lists(v), np.arange(0, 2000, 40)
+        found = lists.search(v[asked], 20, asked, np.full(50, -np.inf))
+        want = v[asked] @ v.T
+        want[np.arange(50), asked] = -np.inf
+        least = np.sort(want, axis=1)[:, -20]
+        told = lists.search(v[asked], 20, asked, least)
+        for k, i in enumerate(asked.tolist()):
+            best = set(np.flatnonzero(want[k] >= least[k]))
+            assert best <= set(found[k][0].tolist()) and best <= set(told[k][0].tolist()) and i not in found[k][0] and told[k][1] <= found[k][1]
+        shares.append(sum(n for _, n in found) / v.size / 50)
     assert shares[1] < 0.6 and shares[2] < 0.6 and max(shares) < 1, shares
 
 
@@ -301,6 +301,41 @@ def test_exact_top_k_by_blocks(spark, size):
     assert {i: sorted(x) for i, x in found.items()} == {i: [(r, j, clip(s)) for r, j, s in x] for i, x in want.items()}
 
 
+@pytest.mark.parametrize("dims", [2, 3, 16, 1024])
+def test_exact_top_k_of_uneven_components(dims):
+    """Small components beside large ones, where the rest of a length is a difference of nearly equal numbers."""
+    rng = np.random.default_rng(dims)
+    for most in (1, 1e3, 1e6):
+        v = np.floor(10 ** rng.uniform(0, np.log10(most) + 1e-9, (600, dims)) * rng.choice([-1, 1, 1], (600, dims)))
+        v[rng.random((600, dims)) < 0.3] = 0
+        q = np.floor(10 ** rng.uniform(0, 6, (20, dims)) * rng.choice([-1, 0, 1], (20, dims)))
+        want = (v.astype(object) @ q.astype(object).T).T
+        for k, (rows, _) in enumerate(topk.Lists(v).search(q, 10, np.full(20, -1), np.full(20, -np.inf))):
+            least = sorted(want[k])[-10]
+            assert {i for i in range(600) if want[k][i] >= least} <= set(rows.tolist())
+
+
+def test_exact_top_k_sees_small_components(spark):
+    kinds = [((9998, 3), 100), ((10000, 2), 50), ((100, 3), 2000), ((5000, 0), 5800)]
+    rows = [(0, [10000 / 64, 10000 / 64])]
+    for (a, b), n in kinds:
+        rows += [(20 * len(rows) + 1 + i * 20, [a / 64, b / 64]) for i in range(n)]
+    out = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 20, query="vec_id = 0").collect()
+    assert [r.score for r in sorted(out, key=lambda r: r["rank"])] == [100_020_000] * 20
+
+
+def test_exact_top_k_takes_repeated_rows(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [3.0, 0.5]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (40, [0.0, -1.0]), (None, [9.0, 9.0])]
+    out = topk.exact_top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), 3)
+    own = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None]
+    want = []
+    for k, (i, q) in enumerate(own):
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v)), j) for m, (j, v) in enumerate(own) if m != k)[:3]
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == sorted(want)
+
+
 def test_char_lattice(spark, docs):
     cost = toxicity.train_characters(docs)
     decoder = toxicity.Decoder(cost)
