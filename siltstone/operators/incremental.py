@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions import text as X
+
+if TYPE_CHECKING:
+    from siltstone.sources.versions import VersionedTables
+
 KEY = ["collection", "doc_id"]
 NAME = r"^[A-Za-z0-9_-]{1,64}\z"
 FROZEN = ("embedder", "embedding_model", "dense_dim", "supports_sparse")
@@ -13,7 +22,7 @@ FROZEN = ("embedder", "embedding_model", "dense_dim", "supports_sparse")
 def classify_changes(incoming: DataFrame, state: DataFrame) -> DataFrame:
     """incoming (collection, doc_id, markdown, content_hash, n_chunks) with status: failed (no markdown or no chunk), skipped (same hash), new or updated."""
     old = state.select(*KEY, F.col("content_hash").alias("old_hash"))
-    status = F.when((F.coalesce(F.length(F.trim("markdown")), F.lit(0)) == 0) | (F.coalesce("n_chunks", F.lit(0)) == 0), "failed")
+    status = F.when((F.coalesce(F.length(X.strip(F.col("markdown"))), F.lit(0)) == 0) | (F.coalesce("n_chunks", F.lit(0)) == 0), "failed")
     status = status.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("content_hash"), "skipped").otherwise("updated")
     return incoming.join(old, KEY, "left").withColumn("status", status).drop("old_hash")
 
@@ -37,6 +46,16 @@ def upsert(table: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
+def reset_index(index: VersionedTables, fresh: Mapping[str, DataFrame]) -> dict[str, int]:
+    """Every table of the index is emptied and those of fresh are filled, as one version; returns how many rows each lost."""
+    return index.change(dict(fresh), reset=list(index.manifest().get("tables", {})))
+
+
+def union_sources(*sources: DataFrame) -> DataFrame:
+    """The documents of several sources (files, URLs, archives, tables) in one table: columns by name, null where a source lacks one; no row is dropped."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+
+
 def document_projection(documents: DataFrame, results: DataFrame) -> DataFrame:
     """documents (collection, doc_id, status, n_chunks, content_hash, error) after the last result (… seq) of each: skipped ones keep counts."""
     last = results.groupBy(*KEY).agg(F.max_by(F.struct("status", "n_chunks", "content_hash", "error"), "seq").alias("r"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.sources import files as S
 from siltstone.streaming import streams as T
+from siltstone.streaming.ingest import Ingestion, single_chunks
 from siltstone.plans.base import SOURCE_SQL, read, scratch, source_name
 from siltstone.plans.maintenance import calls
 
@@ -119,8 +120,8 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 def snk1_write_index(spark: SparkSession, d: str) -> DataFrame:
     path, chunks = scratch(spark, "index"), _chunks(spark, d)
     S.write_index(chunks.where("doc_id % 10 <> 2"), path, 4)
-    S.write_index(chunks.where("doc_id % 10 in (1, 2)").withColumn("text", F.when(F.col("doc_id") % 10 == 1, "v2").otherwise(F.col("text"))), path, 4)
-    return spark.read.parquet(path).select("collection", "chunk_id", F.md5("text").alias("text"))
+    index = S.write_index(chunks.where("doc_id % 10 in (1, 2)").withColumn("text", F.when(F.col("doc_id") % 10 == 1, "v2").otherwise(F.col("text"))), path, 4)
+    return index.table("chunks").select("collection", "chunk_id", F.md5("text").alias("text"))
 
 
 @query("SELECT 'doc_' || CAST(doc_id AS VARCHAR) AS chunk_id, source AS doc_title, length(text) AS char_count, left(text, 200) AS preview FROM documents")
@@ -138,30 +139,37 @@ def snk3_write_eval_report(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("n bigint, good bigint").json(f"{path}/summary")
 
 
-@query("SELECT source, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, true AS done FROM documents GROUP BY source")
-def str1_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
-    path, out = landed(spark, d), scratch(spark, "ingested")
+def _inbox(spark: SparkSession, d: str) -> str:
+    """A landing folder with one text file a source, in a folder of its name, and one file in Latin-1 that isn't UTF-8."""
+    path, docs = scratch(spark, "inbox"), read(spark, d, "documents").select("text", "source")
+    docs.repartition("source").sortWithinPartitions("source").write.partitionBy("source").text(path)
+    docs.limit(1).select(F.lit("caf\u00e9").alias("v")).coalesce(1).write.option("encoding", "ISO-8859-1").csv(f"{path}/source=broken")
+    return path
 
-    def handle(batch: DataFrame, number: int) -> None:
-        done = T.convert_batch(batch.withColumn("name", F.col("path")))
-        done.select("name", F.octet_length("markdown").alias("length"), "status").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    T.ingest_stream(T.landing_stream(spark, path, 50), handle, scratch(spark, "offsets")).awaitTermination()
-    rows = spark.read.schema("name string, length int, status string, batch int").parquet(out)
-    return _by_source(rows, "name").join(rows.groupBy(F.regexp_extract("name", r"source=([^/]+)/", 1).alias("source")).agg(F.bool_and(F.col("status") == "done").alias("done")), "source")
+@query("SELECT source AS collection, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, 'indexed' AS status, CAST(NULL AS VARCHAR) AS error, true AS agrees FROM documents GROUP BY source UNION ALL SELECT 'broken', 5, 'failed', 'not decoded, blank or without a chunk', true")
+def str1_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of an index after a drained run over files in batches of seven; agrees: chunks and vectors are as many as the document says."""
+    ingestion = Ingestion(scratch(spark, "ingested"), buckets=8)
+    ingestion.run(T.landing_stream(spark, _inbox(spark, d), 7), scratch(spark, "offsets")).awaitTermination()
+    held = ingestion.tables(spark)
+    counted = [held.table(t).groupBy("collection", "doc_id").agg(F.count("*").alias(t)) for t in ("chunks", "dense")]
+    docs = held.table("documents")
+    for n in counted:
+        docs = docs.join(n, ["collection", "doc_id"], "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return docs.select("collection", "bytes", "status", "error", ((n("chunks") == F.col("n_chunks")) & (n("dense") == F.col("n_chunks")) & ((F.col("n_chunks") > 0) == (F.col("status") == "indexed"))).alias("agrees"))
 
 
-@query("SELECT 'parsing' AS stage, count(DISTINCT source) > 0 AS reported FROM documents")
+@query(
+    "WITH f AS (SELECT count(DISTINCT source) + 1 AS files FROM documents), c AS (SELECT count(*) AS chunks FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '\\S')) "
+    "SELECT stage, CAST(CASE WHEN stage IN ('parsing', 'done') THEN files ELSE chunks END AS BIGINT) AS rows FROM f, c, (SELECT unnest(['parsing', 'embedding', 'indexing', 'done']) AS stage)"
+)
 def str2_job_progress(spark: SparkSession, d: str) -> DataFrame:
-    """The stages that a drained ingestion reported."""
-    progress = T.JobProgress()
-    spark.streams.addListener(progress)
-    files = T.observed(T.landing_stream(spark, landed(spark, d)), "parsing")
-    run = T.ingest_stream(files, lambda batch, _: batch.write.format("noop").mode("overwrite").save(), scratch(spark, "offsets"))
-    run.awaitTermination()
-    rows = sum(p.observedMetrics["parsing"]["rows"] for p in run.recentProgress if "parsing" in p.observedMetrics)
-    spark.streams.removeListener(progress)
-    return read(spark, d, "documents").agg(F.lit("parsing").alias("stage"), (F.lit(rows) >= F.count_distinct("source")).alias("reported"))
+    """The rows that each stage of a drained ingestion reported; chunks are the lines."""
+    ingestion = Ingestion(scratch(spark, "ingested"), chunker=single_chunks, buckets=8)
+    ingestion.run(T.landing_stream(spark, _inbox(spark, d), 7), scratch(spark, "offsets")).awaitTermination()
+    return ingestion.progress(spark).groupBy("stage").agg(F.sum("rows").alias("rows"))
 
 
 def _limits(spark: SparkSession) -> DataFrame:

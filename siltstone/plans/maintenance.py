@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import evaluate as E
 from siltstone.operators import incremental as I
-from siltstone.plans.base import read
+from siltstone.plans.base import read, scratch
 from siltstone.plans.retrieval import LEX_SQL, lexical
+from siltstone.sources.versions import VersionedTables
 
 QUERIES, SQL = {}, {}
 
@@ -70,17 +71,39 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 _INDEX = "ix AS (SELECT source AS collection, doc_id, sha256(text) AS content_hash, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS chunk_index, unnest(string_split(text, chr(10))) AS text FROM documents)"
 
 
+def stored(spark: SparkSession, d: str) -> VersionedTables:
+    """An index of all documents: chunks, images of every third document and the documents themselves, as one version."""
+    held, docs = VersionedTables(spark, scratch(spark, "index"), 8), state(spark, d)
+    held.change({"chunks": index(spark, d), "images": docs.where("doc_id % 3 = 0").select("collection", "doc_id", "content_hash"), "documents": docs})
+    return held
+
+
 @query(f"WITH {_INDEX} SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(text) AS text FROM ix WHERE doc_id % 10 <> 1 UNION ALL SELECT doc_id, 0, md5('v2') FROM documents WHERE doc_id % 10 = 1")
 def inc3_replace_document_chunks(spark: SparkSession, d: str) -> DataFrame:
-    old = index(spark, d)
-    fresh = old.where("doc_id % 10 = 1 and chunk_index = 0").withColumn("text", F.lit("v2"))
-    return I.replace_document_chunks(old, fresh).select("doc_id", "chunk_index", F.md5("text").alias("text"))
+    held = stored(spark, d)
+    fresh = index(spark, d).where("doc_id % 10 = 1 and chunk_index = 0").withColumn("text", F.lit("v2"))
+    held.replace_documents({"chunks": fresh}, fresh)
+    return held.table("chunks").select("doc_id", "chunk_index", F.md5("text").alias("text"))
 
 
 @query(f"WITH {_INDEX} SELECT collection, count(*) AS chunks FROM ix WHERE doc_id % 4 > 0 GROUP BY collection")
 def inc4_delete_document(spark: SparkSession, d: str) -> DataFrame:
-    gone = state(spark, d).where("doc_id % 4 = 0")
-    return I.delete_documents(index(spark, d), gone).groupBy("collection").agg(F.count("*").alias("chunks"))
+    held = stored(spark, d)
+    held.delete_documents(state(spark, d).where("doc_id % 4 = 0"))
+    return held.table("chunks").groupBy("collection").agg(F.count("*").alias("chunks"))
+
+
+@query(
+    f"WITH {_INDEX} SELECT 'chunks' AS kind, (SELECT count(*) FROM ix WHERE doc_id % 4 = 0) AS deleted, (SELECT count(*) FROM ix WHERE doc_id % 4 > 0) AS kept UNION ALL "
+    "SELECT 'images', count(*) FILTER (WHERE doc_id % 4 = 0), count(*) FILTER (WHERE doc_id % 4 > 0) FROM documents WHERE doc_id % 3 = 0 UNION ALL "
+    "SELECT 'documents', count(*) FILTER (WHERE doc_id % 4 = 0), count(*) FILTER (WHERE doc_id % 4 > 0) FROM documents"
+)
+def inc4_deleted_rows(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows a deletion took from each table, and how many it left."""
+    held = stored(spark, d)
+    gone = held.delete_documents(state(spark, d).where("doc_id % 4 = 0"))
+    rows = [held.table(kind).agg(F.lit(kind).alias("kind"), F.lit(n).cast("bigint").alias("deleted"), F.count("*").alias("kept")) for kind, n in gone.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(
@@ -101,9 +124,12 @@ def inc6_job_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_CLASS} SELECT doc_id, n_chunks FROM inc WHERE n_chunks > 0")
 def inc7_reset_index(spark: SparkSession, d: str) -> DataFrame:
-    """A full rebuild classifies against an empty state: everything that converts is new."""
-    fresh = I.classify_changes(incoming(spark, d), state(spark, d).limit(0))
-    return fresh.where("status = 'new'").select("doc_id", "n_chunks")
+    """A full rebuild classifies against an empty state and overwrites the index: what stood there before is gone, everything that converts is new."""
+    held = stored(spark, d)
+    fresh = I.classify_changes(incoming(spark, d), state(spark, d).limit(0)).where("status = 'new'")
+    I.reset_index(held, {"documents": fresh.select("collection", "doc_id", "content_hash", "n_chunks")})
+    left = held.table("documents").select("doc_id", "n_chunks")
+    return left.join(held.table("chunks").select("doc_id"), "doc_id", "left_anti")
 
 
 @query(f"WITH {_CLASS} SELECT count(*) AS sources, count(*) FILTER (WHERE status = 'new') AS \"new\", count(*) FILTER (WHERE status = 'updated') AS updated, count(*) FILTER (WHERE status = 'skipped') AS unchanged, count(*) FILTER (WHERE status = 'failed') AS failed, CAST(sum(n_chunks) FILTER (WHERE status IN ('new', 'updated')) AS BIGINT) AS chunks, (SELECT count(*) FROM documents WHERE doc_id % 10 = 0) AS deleted FROM cl")
@@ -117,9 +143,10 @@ def inc8_ingest_report(spark: SparkSession, d: str) -> DataFrame:
 )
 def inc9_drop_collection(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id", "text")
-    tables = {"documents": docs, "jobs": docs.where("doc_id % 5 = 0"), "chunks": docs.select("collection", F.explode(F.split("text", "\n"))), "images": docs.where("doc_id % 3 = 0")}
-    left = I.drop_collections(tables, docs.where("collection in ('src1', 'src2')"))
-    rows = [t.groupBy("collection").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "collection", "n") for kind, t in left.items()]
+    held = VersionedTables(spark, scratch(spark, "index"), 8)
+    held.change({"documents": docs, "jobs": docs.where("doc_id % 5 = 0"), "chunks": docs.select("collection", "doc_id", F.explode(F.split("text", "\n")).alias("text")), "images": docs.where("doc_id % 3 = 0")})
+    held.drop_collections(docs.where("collection in ('src1', 'src2')"))
+    rows = [held.table(kind).groupBy("collection").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "collection", "n") for kind in ("documents", "jobs", "chunks", "images")]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -146,7 +173,7 @@ def inc12_validate_collections(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, count(*) AS n FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM documents) GROUP BY source")
 def inc13_union_sources(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select("doc_id", "source")
-    return docs.where("doc_id % 2 = 0").select("source", "doc_id").unionByName(docs).groupBy("source").agg(F.count("*").alias("n"))
+    return I.union_sources(docs.where("doc_id % 2 = 0").select("source", "doc_id"), docs).groupBy("source").agg(F.count("*").alias("n"))
 
 
 def _golden(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.functions import text as X
-from siltstone.operators import tables
+from siltstone.sources.versions import VersionedTables
 
 # Which extension goes to which handler, in the order in which handlers are asked.
 ROUTES = {
@@ -133,30 +132,14 @@ def enforce_size_limit(files: DataFrame, max_mb: int = UPLOAD_MB) -> tuple[DataF
     return files.where(F.col("length") <= max_mb << 20), files.where(F.col("length") > max_mb << 20)
 
 
-def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Upserts chunks (collection, doc_id, chunk_id, …) by chunk_id: only the touched buckets of collection and doc_id are rewritten.
+def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> VersionedTables:
+    """Upserts chunks (collection, doc_id, chunk_id, …) by chunk_id into the table `chunks` of the versioned tables below path.
 
-    Of equal ids in chunks the greatest row by all columns wins; an id that moves to another document leaves no row behind. The new state
-    of touched buckets goes to a side folder of its own before it replaces them.
+    Only the touched buckets are written anew. Of equal ids in chunks the greatest row by all columns wins; an id that moves to another document leaves no row behind.
     """
-    spark = chunks.sparkSession
-    key = ["collection", "chunk_id"]
-    fresh = chunks.groupBy(*key).agg(F.max(F.struct(*chunks.columns)).alias("_row")).select("_row.*")
-    fresh = fresh.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    side = f"{path.rstrip('/')}_next-{uuid.uuid4().hex}"
-    if tables.exists(spark, path):
-        old = spark.read.parquet(path)
-        moved = old.select(*key, "bucket").join(fresh.select(*key), key, "left_semi")
-        touched = fresh.select("collection", "bucket").unionByName(moved.select("collection", "bucket")).distinct()
-        fresh = old.join(touched, ["collection", "bucket"], "left_semi").join(fresh.select(*key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        # A bucket that only lost rows must be replaced too: it is cleared where nothing is left of it.
-        fresh.write.parquet(side)
-        fresh = spark.read.parquet(side)
-        empty = touched.join(fresh.select("collection", "bucket").distinct(), ["collection", "bucket"], "left_anti").collect()  # buckets of the index at most
-        for r in empty:
-            tables.remove(spark, f"{path}/collection={r.collection}/bucket={r.bucket}")
-    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection", "bucket").parquet(path)
-    tables.remove(spark, side)
+    index = VersionedTables(chunks.sparkSession, path, buckets)
+    index.upsert("chunks", chunks, ["collection", "chunk_id"])
+    return index
 
 
 def preview(chunks: DataFrame) -> DataFrame:

@@ -8,13 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from siltstone import schemas
 from siltstone.functions import text as X
 from siltstone.sources.files import extension
 
 MINUTE, RESET_HOUR, MARGIN, WAIT = 60_000_000, 8, 0.2, 30.0
+# How messages tell a reached quota and when to come again.
 RETRY_DELAY = r"(?i)retry[_\-\s]*delay[\"':\s]+(?:\{[^}]*seconds[\"':\s]+)?(\d+)"
 QUOTA = r"(?i)429|resource_exhausted|quota|rate limit"
 
@@ -38,31 +39,6 @@ def convert_batch(files: DataFrame) -> DataFrame:
     return files.select("name", F.when(good, text).alias("markdown"), F.when(good, "done").otherwise("failed").alias("status"))
 
 
-def observed(df: DataFrame, stage: str) -> DataFrame:
-    """df with its row count reported under the stage's name to listeners."""
-    return df.observe(stage, F.count(F.lit(1)).alias("rows"))
-
-
-class JobProgress(StreamingQueryListener):
-    """Keeps the counts of observed stages: {stage: rows}."""
-
-    def __init__(self) -> None:
-        self.stages: dict[str, int] = {}
-
-    def onQueryStarted(self, event) -> None:  # noqa: N802
-        pass
-
-    def onQueryProgress(self, event) -> None:  # noqa: N802
-        for stage, row in event.progress.observedMetrics.items():
-            self.stages[stage] = self.stages.get(stage, 0) + row["rows"]
-
-    def onQueryIdle(self, event) -> None:  # noqa: N802
-        pass
-
-    def onQueryTerminated(self, event) -> None:  # noqa: N802
-        pass
-
-
 def rpm_window(calls: DataFrame, limits: DataFrame) -> DataFrame:
     """calls (model, ts) with in_window (calls of the last 60 s, this one included) and wait: seconds until the oldest leaves, if rpm is reached.
 

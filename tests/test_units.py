@@ -17,6 +17,7 @@ from siltstone.operators import incremental as M
 from siltstone.operators import index as N
 from siltstone.operators import retrieve as R
 from siltstone.sources import files as S
+from siltstone.sources.versions import VersionedTables
 from siltstone.streaming import streams as T
 
 
@@ -206,7 +207,7 @@ def test_index_upsert_is_idempotent(spark, tmp_path):
     for _ in range(2):
         S.write_index(rows, str(tmp_path / "index"), 4)
     S.write_index(rows.limit(3).withColumn("text", F.lit("y")), str(tmp_path / "index"), 4)
-    out = spark.read.parquet(str(tmp_path / "index"))
+    out = VersionedTables(spark, str(tmp_path / "index")).table("chunks")
     assert out.count() == 20 and out.where("text = 'y'").count() == 3
 
 
