@@ -293,10 +293,19 @@ def truncate_text(c: Column, n: int, tail: str = "") -> Column:
     return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(tail))).otherwise(c)
 
 
+def raw_tokens(c: Column) -> Column:
+    """All tokens as they stand, in order."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})"), 1)
+
+
+def is_token(t: Column) -> Column:
+    """Whether a lower-case token counts: two characters or more, no stopword."""
+    return (F.length(t) > 1) & ~t.isin(*STOPWORDS)
+
+
 def tokenize(c: Column) -> Column:
     """Lower-case tokens of two characters or more that are no stopwords, in order."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"({TOKEN})"), 1), F.lower)
-    return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(*STOPWORDS))
+    return F.filter(F.transform(raw_tokens(c), F.lower), is_token)
 
 
 def l2_normalize(v: Column) -> Column:

@@ -2,34 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators import tables
+from siltstone.sources.versions import VersionedTables
 
 #: The published defaults of Okapi BM25: saturation, length, and share of the mean idf that a negative idf becomes.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """tok, chunk_id, len, tf of chunks (chunk_id, text): each text is tokenised once; len is its number of tokens."""
-    tokens = chunks.select("chunk_id", X.tokenize(F.col("text")).alias("toks"))
-    rows = tokens.select("chunk_id", F.size("toks").alias("len"), F.explode("toks").alias("tok"))
-    return rows.groupBy("tok", "chunk_id", "len").agg(F.count("*").alias("tf"))
+    """tok, chunk_id, len, tf of chunks (chunk_id, text): each text is tokenised once; len is its number of tokens.
 
+    Texts are dealt by chunk_id, so that counts and lengths need no other shuffle; tokens are tested row by row, after they are exploded.
+    """
+    dealt = chunks.select("chunk_id", "text").repartition("chunk_id")
+    tokens = dealt.select("chunk_id", F.explode(X.raw_tokens(F.col("text"))).alias("tok")).select("chunk_id", F.lower("tok").alias("tok"))
+    counted = tokens.where(X.is_token(F.col("tok"))).groupBy("chunk_id", "tok").agg(F.count("*").alias("tf"))
+    return counted.select("tok", "chunk_id", F.sum("tf").over(Window.partitionBy("chunk_id")).alias("len"), "tf")
 
-def idf(posted: DataFrame, chunks: DataFrame) -> DataFrame:
-    """tok, df, idf: ln(N - df + .5) - ln(df + .5), or EPSILON of the mean over tokens where that is negative."""
-    n = chunks.agg(F.count("*").alias("n"))
-    raw = posted.groupBy("tok").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row
-    raw = raw.select("tok", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("tok", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+def raw_idf(n: Column | float, df: Column) -> Column:
+    return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
 def bm25(tf: Column, length: Column, mean: Column, weight: Column) -> Column:
@@ -38,28 +39,75 @@ def bm25(tf: Column, length: Column, mean: Column, weight: Column) -> Column:
 
 @dataclass(frozen=True)
 class Bm25:
-    """A written index: postings (tok, chunk_id, len, tf) in the order of tok, idf (tok, df, idf) and the mean length."""
+    """A written index: postings (tok, chunk_id, len, tf), idf (tok, df, idf) and the mean length. Postings and df lie in buckets by token."""
 
+    store: VersionedTables
     postings: DataFrame
     idf: DataFrame
+    n: int
     mean: float
 
 
-def build_bm25(chunks: DataFrame, path: str) -> Bm25:
-    """Writes the index of chunks (chunk_id, text) below path: each text is tokenised once, whatever is asked later."""
-    spark = chunks.sparkSession
-    posted = postings(chunks)
-    posted.repartitionByRange("tok").sortWithinPartitions("tok").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = spark.read.schema(posted.schema).parquet(f"{path}/postings")
-    n = chunks.agg(F.count("*").alias("n"))
-    idf(stored, chunks).write.mode("overwrite").parquet(f"{path}/idf")
-    stored.agg(F.sum("tf").alias("total")).crossJoin(n).select("n", F.coalesce(F.col("total") / F.col("n"), F.lit(0.0)).alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")  # one row
-    return open_bm25(spark, path)
+def _store(spark: SparkSession, path: str, buckets: int) -> VersionedTables:
+    return VersionedTables(spark, path, buckets, {"postings": ["tok"], "df": ["tok"], "totals": ["n"]})
+
+
+def _totals(df: DataFrame, n: int, total: int, updates: int) -> DataFrame:
+    """One row: n, total (tokens), mean_raw (of the idf over all tokens of df), updates."""
+    mean = df.agg(F.avg(raw_idf(F.lit(float(n)), F.col("df"))).alias("mean_raw"))
+    return mean.select(F.lit(n).cast("bigint").alias("n"), F.lit(total).cast("bigint").alias("total"), "mean_raw", F.lit(updates).alias("updates"))
+
+
+def build_bm25(chunks: DataFrame, path: str, buckets: int = 16) -> Bm25:
+    """Writes the index of chunks (chunk_id, text) below path, whatever stood there: each text is tokenised once, whatever is asked later."""
+    store = _store(chunks.sparkSession, path, buckets)
+    n = chunks.count()
+    df = lambda now: now("postings").groupBy("tok").agg(F.count("*").alias("df"))
+    totals = lambda now: _totals(now("df"), n, now("postings").agg(F.sum("tf")).first()[0] or 0, 0)
+    store.change({"postings": postings(chunks).withColumn("sign", F.lit(1)), "df": df, "totals": totals}, reset=["postings", "df", "totals"])
+    return open_bm25(chunks.sparkSession, path)
 
 
 def open_bm25(spark: SparkSession, path: str) -> Bm25:
-    stored = [spark.read.parquet(f"{path}/{name}") for name in ("postings", "idf", "totals")]
-    return Bm25(stored[0], stored[1], stored[2].first()["mean"])
+    store = _store(spark, path, 16)
+    totals, df = store.table("totals").first(), store.table("df")
+    raw = raw_idf(F.lit(float(totals["n"])), F.col("df"))
+    idf = df.select("tok", "df", F.when(raw < 0, F.lit(EPSILON * (totals["mean_raw"] or 0.0))).otherwise(raw).alias("idf"))
+    posted = store.table("postings")
+    if totals["updates"]:
+        posted = posted.groupBy("tok", "chunk_id", "len", "tf").agg(F.sum("sign").alias("sign")).where("sign > 0")
+    return Bm25(store, posted.drop("sign"), idf, totals["n"], totals["total"] / totals["n"] if totals["n"] else 0.0)
+
+
+def update_bm25(index: Bm25, before: DataFrame, after: DataFrame) -> Bm25:
+    """The index after some chunks changed: `before` are those (chunk_id, text) that go or change, as they were indexed; `after` those that come or
+    change, as they are now. Only these texts are read: signed postings are added, signed counts are merged into df, length and number. One version changes all of it.
+    """
+    store, spark = index.store, before.sparkSession
+    signed = postings(after).withColumn("sign", F.lit(1)).unionByName(postings(before).withColumn("sign", F.lit(-1)))
+    signed = tables.written(signed, "signed")
+    moved = tables.written(signed.groupBy("tok").agg(F.sum("sign").alias("d")).where("d <> 0"), "moved")
+    df = moved.join(store.table("df"), "tok", "left").select("tok", (F.coalesce("df", F.lit(0)) + F.col("d")).alias("df")).where("df > 0")
+    df = tables.written(df, "df")
+    rest = store.table("df").join(moved.select("tok"), "tok", "left_anti").unionByName(df)
+    old = store.table("totals").first()
+    n, total = old["n"] + after.count() - before.count(), old["total"] + (signed.agg(F.sum(F.col("sign") * F.col("tf"))).first()[0] or 0)
+    store.change({"postings": signed, "df": df, "totals": _totals(rest, n, total, old["updates"] + 1)}, {"df": (moved, ["tok"])}, reset=["totals"])
+    return open_bm25(spark, store.path)
+
+
+def compact_bm25(index: Bm25) -> Bm25:
+    """The index with its signed postings summed up, as one folder."""
+    totals = index.store.table("totals").withColumn("updates", F.lit(0))
+    index.store.change({"postings": index.postings.withColumn("sign", F.lit(1)), "totals": totals}, reset=["postings", "totals"])
+    return open_bm25(totals.sparkSession, index.store.path)
+
+
+def changed_chunks(classified: DataFrame, removed: DataFrame, old: DataFrame, new: DataFrame, keys: Sequence[str] = ("collection", "doc_id")) -> tuple[DataFrame, DataFrame]:
+    """(before, after) for update_bm25: old and new rows (keys, chunk_id, text) of the documents that classify_changes calls new or updated, and of removed ones."""
+    changed = classified.where("status in ('new', 'updated')").select(*keys)
+    gone = changed.unionByName(removed.select(*keys)).distinct()
+    return old.join(gone, list(keys), "left_semi").select("chunk_id", "text"), new.join(changed, list(keys), "left_semi").select("chunk_id", "text")
 
 
 def bm25_weights(index: Bm25) -> DataFrame:
@@ -100,13 +148,6 @@ def to_sparse(weights: DataFrame) -> DataFrame:
     return weights.select("chunk_id", F.explode(F.map_filter("weights", lambda _, w: w > 0)).alias("tok", "w")).select("chunk_id", F.col("tok").cast("bigint").alias("tok"), F.col("w").cast("double").alias("w"))
 
 
-def quantize(index: DataFrame) -> DataFrame:
-    """chunk_id and what else stands in index, with dense as whole numbers from -127 to 127: an eighth of the bytes, for a first search."""
-    top = F.array_max(F.transform("dense", lambda x: F.abs(x)))
-    code = F.transform("dense", lambda x: F.when(top > 0, F.round(x / top * 127)).otherwise(0).cast("tinyint"))
-    return index.withColumn("dense", code)
-
-
 def validate_dims(index: DataFrame, collections: DataFrame) -> DataFrame:
     """index (collection, chunk_id, dense) with fits: whether the vector has its collection's dense_dim."""
     return index.join(F.broadcast(collections.select("collection", "dense_dim")), "collection", "left").withColumn("fits", F.coalesce(F.size("dense") == F.col("dense_dim"), F.lit(False)))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
-from siltstone.operators.index import Bm25, bm25, quantize
+from siltstone.operators.index import Bm25, bm25
 
 #: Constant of reciprocal-rank fusion; hits of a document before others come first; queries of a block; bytes of queries that are sent to every task.
 RRF, PER_DOC, QUERY_BLOCK, QUERY_BYTES = 60, 4, 4096, 64 << 20
@@ -103,15 +103,6 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, by: tuple[str, ...]
     return top_k(pairs.mapInArrow(search, "query_id bigint, chunk_id bigint, score double"), k, "chunk_id")
 
 
-def dense_topk_ann(queries: DataFrame, index: DataFrame, k: int, by: tuple[str, ...] = (), over: int = 4) -> DataFrame:
-    """As dense_topk, approximately: `over` * k chunks by the codes of quantize(index), which an index would store, are rescored with their vectors."""
-    near = dense_topk(queries, quantize(index), over * k, by).select("query_id", "chunk_id")
-    unit = lambda df, name, to: df.select(name, X.l2_normalize(F.col("dense")).alias(to))
-    both = near.join(unit(index, "chunk_id", "v"), "chunk_id").join(unit(queries, "query_id", "q"), "query_id")
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return top_k(both.select("query_id", "chunk_id", score.alias("score")), k, "chunk_id")
-
-
 def rrf_fuse(lists: list[DataFrame], k: int = RRF) -> DataFrame:
     """query_id, chunk_id, score, rank: the sum of 1 / (k + rank) over the lists (query_id, chunk_id, rank from 1); ties by first appearance."""
     every = reduce(DataFrame.unionByName, [x.select("query_id", "chunk_id", "rank", F.lit(i).alias("list")) for i, x in enumerate(lists)])

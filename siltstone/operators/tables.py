@@ -42,6 +42,13 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
 
 
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, bytes, time of change) of the files of a path: what tells whether a table has been written anew."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)

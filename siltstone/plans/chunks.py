@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import chunk as C
 from siltstone.operators import index as N
+from siltstone.operators.tables import listing
 from siltstone.plans.base import MARKDOWN_SQL, exists, flat, markdown, read, scratch
 
 QUERIES, SQL = {}, {}
@@ -124,13 +125,13 @@ BM25_SQL = (
     "i AS MATERIALIZED (SELECT tok, df, CASE WHEN raw < 0 THEN 0.25 * mean_raw ELSE raw END AS idf FROM f, u), "
     "g AS (SELECT p.tok, p.chunk_id, idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean)) AS weight FROM p JOIN i USING (tok) JOIN k USING (chunk_id), t) "
 )
-_built: dict[tuple[str, str], str] = {}
+_built: dict[tuple, str] = {}
 
 
 def bm25_index(spark: SparkSession, d: str) -> N.Bm25:
-    """The index of the documents of d, written once a session and read by every later query."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _built or not exists(spark, f"{_built[key]}/totals"):
+    """The index of the documents of d, written once a session and read by every later query; other files of documents get an index of their own."""
+    key = (spark.sparkContext.applicationId, d, listing(spark, f"{d}/documents.parquet"))
+    if key not in _built or not exists(spark, _built[key]):
         path = scratch(spark, "bm25")
         N.build_bm25(chunks(spark, d), path)
         _built[key] = path

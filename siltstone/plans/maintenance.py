@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import evaluate as E
 from siltstone.operators import incremental as I
+from siltstone.operators import index as N
 from siltstone.plans.base import read, scratch
+from siltstone.plans.chunks import BM25_SQL
 from siltstone.plans.retrieval import LEX_SQL, lexical
 from siltstone.sources.versions import VersionedTables
 
@@ -122,6 +124,16 @@ def inc6_job_status(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", I.job_status(result).alias("status"))
 
 
+@query(f"WITH {_CLASS}, documents AS (SELECT doc_id, markdown AS text FROM cl WHERE status <> 'failed' UNION ALL SELECT s.doc_id, t.text FROM st s JOIN main.documents t USING (doc_id) WHERE s.doc_id IN (SELECT doc_id FROM cl WHERE status = 'failed')), {BM25_SQL} SELECT tok, df, round(idf, 6) AS idf FROM i")
+def idx2_bm25_update(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics after the second snapshot, from those of the first and the documents that changed. A document that failed stays as it was."""
+    text = lambda df, c: df.select("collection", "doc_id", F.col("doc_id").alias("chunk_id"), F.col(c).alias("text"))
+    old = text(read(spark, d, "documents").withColumn("collection", F.col("source")), "text")
+    index = N.build_bm25(old, scratch(spark, "bm25"))
+    before, after = N.changed_chunks(classified(spark, d), I.find_removed(state(spark, d), incoming(spark, d)), old, text(incoming(spark, d), "markdown"))
+    return N.update_bm25(index, before, after).idf.select("tok", "df", F.round("idf", 6).alias("idf"))
+
+
 @query(f"WITH {_CLASS} SELECT doc_id, n_chunks FROM inc WHERE n_chunks > 0")
 def inc7_reset_index(spark: SparkSession, d: str) -> DataFrame:
     """A full rebuild classifies against an empty state and overwrites the index: what stood there before is gone, everything that converts is new."""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import index as N
 from siltstone.operators import retrieve as R
-from siltstone.plans.base import MARKDOWN_SQL, markdown, read
+from siltstone.operators.cells import build_cells, cells_topk
+from siltstone.operators.tables import written
+from siltstone.plans.base import MARKDOWN_SQL, markdown, read, scratch
 from siltstone.plans.chunks import BM25_SQL, TOKENS_SQL, bm25_index
 
 QUERIES, SQL = {}, {}
@@ -87,7 +89,22 @@ def ret1_dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ret2_dense_topk_ann(spark: SparkSession, d: str) -> DataFrame:
-    return R.dense_topk_ann(*vectors(spark, d), 10, ("collection",))
+    """By cells, with the vectors that each question read (read) of those of its collection (held)."""
+    asked, every = vectors(spark, d)
+    return cells_topk(asked, build_cells(every, scratch(spark, "cells"), ("collection",)), 10)
+
+
+@query(f"WITH {DENSE_SQL}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE vec_id % 20 = 0) AS asked FROM embeddings), per AS (SELECT label, count(*) AS held, count(*) FILTER (WHERE vec_id % 20 = 0) AS asked FROM embeddings GROUP BY label) SELECT (SELECT count(*) FROM den) AS wanted, true AS recall_fits, true AS share_fits, (SELECT n FROM n) AS vectors, CAST((SELECT sum(held * asked) FROM per) AS BIGINT) AS exact_pairs")
+def ret2_ann_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The index against the exact search: whether recall at 10 is 0.9 or more with less than 10 per cent of all vectors read for a question."""
+    asked, every = vectors(spark, d)
+    hits = written(ret2_dense_topk_ann(spark, d), "ann")
+    exact = dense(spark, d).select("query_id", "chunk_id", F.lit(True).alias("right"))
+    found = exact.join(hits.select("query_id", "chunk_id", F.lit(True).alias("found")), ["query_id", "chunk_id"], "left").agg(F.count("*").alias("wanted"), F.count("found").alias("met"))
+    read = hits.select("query_id", "read", "held").distinct().agg(F.avg("read").alias("read"), F.sum("held").alias("exact_pairs"))
+    n = every.agg(F.count("*").alias("vectors"))
+    one = found.crossJoin(read).crossJoin(n)  # one row each
+    return one.select("wanted", (F.col("met") >= 0.9 * F.col("wanted")).alias("recall_fits"), (F.col("read") < 0.1 * F.col("vectors")).alias("share_fits"), "vectors", "exact_pairs")
 
 
 @query(f"WITH {SPARSE_SQL} {_COLS} spa")

@@ -16,6 +16,8 @@ BUCKETS = 64
 #: Columns whose hash gives a row's bucket.
 DOCUMENT = ("collection", "doc_id")
 Step = Callable[[str], None]
+#: Rows that are made from tables of the version under way: it gets a function from the name of a table to its new rows.
+Derived = Callable[[Callable[[str], DataFrame]], DataFrame]
 
 
 class Conflict(RuntimeError):
@@ -65,12 +67,13 @@ class VersionedTables:
         return self.manifest().get("marks", {}).get(mark[0], -1) >= mark[1]
 
     def change(
-        self, fresh: Mapping[str, DataFrame] | None = None, gone: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None, reset: Sequence[str] = (), mark: tuple[str, int] | None = None, step: Step | None = None,
+        self, fresh: Mapping[str, DataFrame | Derived] | None = None, gone: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None, reset: Sequence[str] = (), mark: tuple[str, int] | None = None, step: Step | None = None,
     ) -> dict[str, int]:
         """Publishes one version in which each table loses the rows that agree with a row of gone (keys, their columns), then gains those of fresh.
 
         Tables of `reset` lose all their rows first. Returns how many rows each table of gone or reset lost. Null keys agree with null keys. Columns that a
-        table doesn't have yet are added, as nulls in older rows. step is told each step before it is taken.
+        table doesn't have yet are added, as nulls in older rows. step is told each step before it is taken. Tables are written in the order of fresh; a function
+        in place of rows makes them from tables that were written before it.
         """
         step, fresh, gone = step or (lambda _: None), dict(fresh or {}), dict(gone or {})
         old = self.manifest()
@@ -78,7 +81,8 @@ class VersionedTables:
             return {}
         new = {"version": old.get("version", -1) + 1, "buckets": self.buckets, "tables": dict(old.get("tables", {})), "marks": dict(old.get("marks", {}))}
         lost: dict[str, int] = {}
-        for name in sorted({*fresh, *gone, *reset}):
+        now = lambda name: self._read(name, new["tables"][name])
+        for name in [*fresh, *sorted({*gone, *reset} - {*fresh})]:
             step(f"plan {name}")
             held = new["tables"].get(name)
             parts, touched = [], set()
@@ -91,7 +95,7 @@ class VersionedTables:
                 if touched:
                     parts.append(self._matched(self._read(name, held, touched), keys, on, "left_anti"))
             if name in fresh:
-                parts.append(fresh[name])
+                parts.append(fresh[name](now) if callable(fresh[name]) else fresh[name])
             there: set[str] = set()
             folder = f"{new['version']:08d}-{uuid.uuid4().hex}"
             schema = held["schema"] if held else None
@@ -100,7 +104,7 @@ class VersionedTables:
                 if held:  # all columns that the table has had, and the new ones
                     own = self.spark.createDataFrame([], T.StructType.fromJson(held["schema"])).unionByName(own, allowMissingColumns=True)
                 step(f"write {name}")
-                own.withColumn("bucket", self.bucket(name)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}/{folder}")
+                own.withColumn("bucket", self.bucket(name)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.by.get(name, DOCUMENT)).write.partitionBy("bucket").parquet(f"{self.path}/{name}/{folder}")
                 there = {n[7:] for n in tables.names(self.spark, f"{self.path}/{name}/{folder}") if n.startswith("bucket=")}
                 schema = json.loads(own.schema.json())
             if held or parts:

@@ -6,11 +6,13 @@ import uuid
 import zipfile
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import assemble as A
+from siltstone.operators import cells as K
 from siltstone.operators import evaluate as E
 from siltstone.operators import images as I
 from siltstone.operators import incremental as M
@@ -92,12 +94,48 @@ def test_hybrid_and_deletion(spark):
     assert {r.chunk_id for r in R.dense_topk(asked, live, 4).collect()} == {2, 3}
 
 
-def test_approximate_search_finds_neighbours(spark):
-    """Of all questions of the largest table; few vectors are rescored."""
-    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.transform("embedding", lambda x: x.cast("double")).alias("dense"))
+def test_approximate_search_finds_neighbours(spark, tmp_path):
+    """All questions of the largest table, by collection: vectors that are spread evenly, the hardest case."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("collection"), F.transform("embedding", lambda x: x.cast("double")).alias("dense"))
     asked = e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
-    exact, near = R.dense_topk(asked, e, 10), R.dense_topk_ann(asked, e, 10)
+    exact, near = R.dense_topk(asked, e, 10, ("collection",)), K.cells_topk(asked, K.build_cells(e, f"{tmp_path}/cells", ("collection",)), 10).cache()
     assert near.count() == exact.count() == 1000 and exact.join(near, ["query_id", "chunk_id"]).count() >= 900
+    assert near.agg(F.max("read")).first()[0] < 0.1 * e.count()
+
+
+def test_cells_of_clustered_vectors(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, "007" if i % 3 else "7", [float(x) for x in centres[i % 12] + rng.normal(size=8) / 20]) for i in range(900)] + [(900, "7", None), (901, "7", [0.0] * 8), (902, None, [1.0] * 8), (903, "007", [1.0, 2.0])]
+    e = spark.createDataFrame(rows, "chunk_id bigint, collection string, dense array<double>")
+    cells = K.build_cells(e, f"{tmp_path}/cells", ("collection",), 8)
+    assert cells.vectors.count() == 903 and cells.centres.agg(F.sum("vectors")).first()[0] == 903
+    asked = e.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+    exact = {(r.query_id, r.chunk_id): r.score for r in R.dense_topk(asked, e, 5, ("collection",)).collect()}
+    near = K.cells_topk(asked, cells, 5, 0.25).collect()
+    met = [r for r in near if (r.query_id, r.chunk_id) in exact]
+    assert len(met) >= 0.95 * len(exact) and all(r.score == pytest.approx(exact[r.query_id, r.chunk_id]) for r in met)
+    assert sum(r.read for r in near) < 0.5 * sum(r.held for r in near)
+    every = {(r.query_id, r.chunk_id) for r in K.cells_topk(asked, cells, 5, 1.0).collect()}
+    assert every == set(exact)
+    none = K.build_cells(e.limit(0), f"{tmp_path}/none", ("collection",))
+    assert K.cells_topk(asked, none, 5).count() == 0
+
+
+def test_bm25_follows_changes(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "chunk_id bigint, text string")
+    old = {i: " ".join(f"word{j % (i + 2)} term{j}" for j in range(i + 1)) for i in range(30)} | {30: "", 31: None}
+    new = {i: t for i, t in old.items() if i % 5} | {3: "quite other words", 6: old[6], 50: "word0 word0 fresh", 30: "no longer empty"}
+    changed = {i for i in old.keys() | new.keys() if old.get(i) != new.get(i) or (i in old) != (i in new)}
+    index = N.build_bm25(frame(list(old.items())), f"{tmp_path}/index", 3)
+    index = N.update_bm25(index, frame([(i, old[i]) for i in changed if i in old]), frame([(i, new[i]) for i in changed if i in new]))
+    index = N.update_bm25(index, frame([(50, new[50])]), frame([(50, "word1")]))
+    want = N.build_bm25(frame(list((new | {50: "word1"}).items())), f"{tmp_path}/whole", 3)
+    shown = lambda x: (x.n, x.mean, {(r.tok, r.df): round(r.idf, 9) for r in x.idf.collect()}, sorted((r.tok, r.chunk_id, r.len, r.tf) for r in x.postings.collect()), {(r.tok, r.chunk_id): round(r.weight, 9) for r in N.bm25_weights(x).collect()})
+    assert shown(index) == shown(want)
+    small = N.compact_bm25(index)
+    assert shown(small) == shown(want) and small.store.table("postings").count() == want.store.table("postings").count()
+    assert N.build_bm25(frame([]), f"{tmp_path}/index", 3).postings.count() == 0
 
 
 def test_search_stays_in_its_collection(spark):
