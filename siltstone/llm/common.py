@@ -64,6 +64,15 @@ def fresh(name: str, taken: list[str]) -> str:
     return own
 
 
+def aside(df: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """df with the columns that have reserved names (compared without case) renamed, and how to name them back (withColumnsRenamed)."""
+    held = {r.lower() for r in reserved}
+    back: dict[str, str] = {}
+    for c in (c for c in df.columns if c.lower() in held):
+        back[fresh("own", [*df.columns, *reserved, *back])] = c
+    return df.withColumnsRenamed({c: n for n, c in back.items()}), back
+
+
 def _width(field: T.StructField) -> Column:
     """Bytes of a column's value in memory, about."""
     kind, c = field.dataType, F.col(f"`{field.name}`")

@@ -137,7 +137,7 @@ def fingerprint_chain(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     common.arrow_batches(spark)
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
     n = min(MOST_BUCKETS, ids.count() // bucket)
-    edges = sorted({float(x) for x in ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else [0.0]
+    edges = sorted({float(x) for x in ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)} if n > 1 else {0.0}) or [0.0]  # no edges: all ids are null
     deal = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="_id", outputCol="_bucket")
 
     def dealt(df: DataFrame) -> DataFrame:

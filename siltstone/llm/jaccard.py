@@ -17,6 +17,7 @@ from siltstone.llm.components import components
 SHINGLE, PERCENT, FURTHER = 5, 75, 10
 #: Texts of one batch in which a shingle stands to be counted as frequent; hot shingles at most; tasks that a hot shingle's rows go to; bands of size for each step of the ratio that links allow.
 OFTEN, HOT, SPREAD, BANDS = 16, 50_000, 1024, 4
+OWN = ("_near_key", "_near_n", "_near_row")
 _PLACE = [np.uint64(2 * pow(0x9E3779B97F4A7C15, k + 2, 1 << 63) + 1) for k in range(64)]
 
 
@@ -121,7 +122,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     without words (or null) has no shingles and no links. Every row is judged by its own text, whether its id is null
     or stands in several rows; a component_id is null if no row of the component has an id. leads marks the rows of one text of
     each component, and rows without words: where ids are distinct, one row. An empty table gives an empty
-    table; columns with the new names are replaced.
+    table; columns with the new names are replaced, all others stay.
 
     1. Equal texts become one node. 2. First prefix, in the order of the hashes: whoever shares too few of its tokens
     with anyone can't link and leaves. 3. Those left get their exact document frequencies; rare tokens come first, and
@@ -133,7 +134,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     Shingles that stand in many texts (OFTEN of one batch and a HOT part of all tokens: at most HOT of them) are known
     after the first pass; their rows are spread over many tasks.
     """
-    return _classified(docs, shingle, percent, further)[0]
+    docs, back = common.aside(docs, OWN)
+    return _classified(docs, shingle, percent, further)[0].withColumnsRenamed(back)
 
 
 def _classified(docs: DataFrame, shingle: int, percent: int, further: int) -> tuple[DataFrame, bool]:
@@ -201,14 +203,15 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT,
 
     Rows of one id with different texts and rows without an id are documents of their own; of rows of equal text one stays.
     """
+    docs, back = common.aside(docs, (*OWN, "n_shingles", "component_id", "leads"))
     found, distinct = _classified(docs, shingle, percent, further)
     led = found.where("leads").select(*docs.columns, F.col("n_shingles").alias("_near_n"))
     if distinct:
-        return led.drop("_near_n")
+        return led.drop("_near_n").withColumnsRenamed(back)
     led = common.settle(led)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns))
     least = led.where("_near_n > 0").groupBy(F.md5("text").alias("_near_key")).agg(F.min_by(F.struct(*docs.columns), order).alias("_near_row"))
-    return led.where("_near_n = 0").select(*docs.columns).unionByName(least.select("_near_row.*"))
+    return led.where("_near_n = 0").select(*docs.columns).unionByName(least.select("_near_row.*")).withColumnsRenamed(back)
 
 
 def _apart(tokens: DataFrame, members: DataFrame, percent: int) -> DataFrame:

@@ -155,9 +155,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.concat_arrays(parts) if parts else _predicted(model, data, offsets)
 
     common.arrow_batches(docs.sparkSession)
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans", "_found")])
-    found = kept.withColumn("_found", predict(F.coalesce("text", F.lit(""))))
-    return found.select(*kept.columns, "_found.lang_pred", "_found.score", "_found.lang_spans")
+    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score", "lang_spans")])
+    own = common.fresh("found", kept.columns)
+    found = kept.withColumn(own, predict(F.coalesce("text", F.lit(""))))
+    return found.select(*kept.columns, f"{own}.lang_pred", f"{own}.score", f"{own}.lang_spans")
 
 
 def _predicted(model: Model, data: np.ndarray, offsets: np.ndarray) -> pa.Array:

@@ -22,11 +22,14 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     Lines end at a newline and are compared whole. The gram of a line is the hash of the fewest lines from it on that
     hold `gram` words; from all grams that begin within certain - gram words the least is a fingerprint, so every run of `certain`
     words that stands in two places has a fingerprint in both. Each fingerprint is matched with its place before it in
-    the same document, or else with its first place in the corpus (by doc_id, nulls last). Matches are extended line by
+    the same document, or else with its first place in the corpus (by doc_id, nulls last). Where a window of a fingerprint doesn't stand at that place
+    too, it is also matched with the first place where it stands in that window: so every window (the fewest lines from one on that hold `certain` words)
+    that stands at an earlier place goes, whoever quotes a part of it first. Lines after a run's last window go if a matched place goes on alike.
+    Matches are extended line by
     line both ways, and runs of at least `gram` words are deleted. Blank lines count for nothing and stay.
 
     Null texts stay null; a document that repeats wholly keeps an empty text; rows of the same id and text are one
-    document and get the same result; an empty table gives an empty table; columns n_lines and n_deleted are replaced.
+    document and get the same result; an empty table gives an empty table; columns n_lines and n_deleted are replaced, all others stay.
     """
     kept = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_deleted")])
     own = [F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("d"), hash60(F.col(text)).alias("h")]
@@ -39,18 +42,26 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     lines = common.settle(lines)
 
     by_word = doc.orderBy("s")
-    grams = lines.select("d", "h", "i", "s", "total", hash60(F.array_join(F.collect_list("lh").over(by_word.rangeBetween(0, gram - 1)).cast("array<string>"), ",")).alias("g"))
+    joined_hash = lambda words: hash60(F.array_join(F.collect_list("lh").over(by_word.rangeBetween(0, words - 1)).cast("array<string>"), ","))
+    grams = lines.select("d", "h", "i", "s", "total", joined_hash(gram).alias("g"), joined_hash(certain).alias("window"))
     grams = grams.where(F.col("s") + gram <= F.col("total"))
-    least = grams.select("d", "h", F.min(F.struct("g", "i")).over(by_word.rangeBetween(0, certain - gram)).alias("m"), (F.col("s") + certain <= F.col("total")).alias("whole"))
-    prints = common.settle(least.where("whole").select("d", "h", "m.g", "m.i").distinct())
+    least = grams.select("d", "h", "window", F.min(F.struct("g", "i")).over(by_word.rangeBetween(0, certain - gram)).alias("m"), (F.col("s") + certain <= F.col("total")).alias("whole"))
+    prints = common.settle(least.where("whole").groupBy("d", "h", "m").agg(F.collect_set("window").alias("windows")).select("d", "h", "m.g", "m.i", "windows"))
 
-    first = prints.groupBy("g").agg(F.min(F.struct("d", "h", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("fg"), "f")
+    first = prints.groupBy("g").agg(F.min(F.struct("d", "h", "i", "windows")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("g").alias("fg"), "f")
     first = common.settle(first)
-    before = F.lag("i").over(Window.partitionBy("d", "h", "g").orderBy("i"))
-    met = prints.withColumn("before", before).join(common.small(first), F.col("g") == F.col("fg"))
-    here = F.col("before").isNotNull()
-    met = met.where(here | (F.struct("d", "h") != F.struct("f.d", "f.h")))
-    pair = met.select("d", "h", F.when(here, F.col("d")).otherwise(F.col("f.d")).alias("sd"), F.when(here, F.col("h")).otherwise(F.col("f.h")).alias("sh"), (F.col("i") - F.when(here, F.col("before")).otherwise(F.col("f.i"))).alias("shift")).distinct()
+    ahead = Window.partitionBy("d", "h", "g").orderBy("i")
+    met = prints.withColumns({"before": F.lag("i").over(ahead), "old": F.lag("windows").over(ahead)}).join(common.small(first), F.col("g") == F.col("fg")).drop("g", "fg")
+    met = common.settle(met)
+    here, own_first = F.col("before").isNotNull(), F.struct("d", "h", "i") == F.struct("f.d", "f.h", "f.i")
+    fresh = F.array_except("windows", F.coalesce("old", F.array().cast("array<bigint>")))
+    near = met.where(here).select("d", "h", F.col("d").alias("sd"), F.col("h").alias("sh"), (F.col("i") - F.col("before")).alias("shift"))
+    far = met.where(~own_first & (~here | F.arrays_overlap(fresh, "f.windows"))).select("d", "h", F.col("f.d").alias("sd"), F.col("f.h").alias("sh"), (F.col("i") - F.col("f.i")).alias("shift"))
+    rest = common.settle(met.where(~own_first).select("d", "h", "i", F.explode(F.array_except(fresh, "f.windows")).alias("window")))
+    also = rest.groupBy("window").agg(F.min(F.struct("d", "h", "i")).alias("f"), F.count("*").alias("n")).where("n > 1").select(F.col("window").alias("first_window"), "f")
+    also = common.settle(also)
+    other = rest.join(common.small(also), F.col("window") == F.col("first_window")).where(F.struct("d", "h", "i") != F.col("f")).select("d", "h", F.col("f.d").alias("sd"), F.col("f.h").alias("sh"), (F.col("i") - F.col("f.i")).alias("shift"))
+    pair = near.unionByName(far).unionByName(other).distinct()
 
     later = pair.join(lines.select("d", "h", "i", "pos", "lh", "w"), ["d", "h"]).withColumn("si", F.col("i") - F.col("shift"))
     source = lines.select(F.col("d").alias("sd"), F.col("h").alias("sh"), F.col("i").alias("si"), "lh")
@@ -59,15 +70,16 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, certain: int = CERTAIN, text:
     equal = equal.withColumn("island", F.col("i") - F.row_number().over(track.orderBy("i")))
     runs = equal.withColumn("words", F.sum("w").over(Window.partitionBy("d", "h", "sd", "sh", "shift", "island")))
     gone = common.settle(runs.where(F.col("words") >= gram).select("d", "h", "pos").distinct())
-    gone_by = gone.groupBy("d", "h").agg(F.collect_list("pos").alias("_dedup_gone")).withColumnsRenamed({"d": "_dedup_d", "h": "_dedup_h"})
-    common.discard(lines, prints, first)
+    key_d, key_h, at = (common.fresh(n, docs.columns) for n in ("dedup_d", "dedup_h", "dedup_gone"))
+    gone_by = gone.groupBy("d", "h").agg(F.collect_list("pos").alias(at)).withColumnsRenamed({"d": key_d, "h": key_h})
+    common.discard(lines, prints, first, met, rest, also)
     gone_by = common.small(gone_by)
 
-    joined = kept.join(gone_by, (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col("_dedup_d")) & (hash60(F.col(text)) == F.col("_dedup_h")), "left")
-    cleaned = F.when(F.col("_dedup_gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains("_dedup_gone", k)), "\n"))
+    joined = kept.join(gone_by, (F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)) == F.col(key_d)) & (hash60(F.col(text)) == F.col(key_h)), "left")
+    cleaned = F.when(F.col(at).isNull(), F.col(text)).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x, k: ~F.array_contains(at, k)), "\n"))
     n_lines = F.when(F.length(text) > 0, F.size(F.split(text, "\n"))).otherwise(0).cast("bigint")
     names = [cleaned.alias(c) if c == text else F.col(c) for c in kept.columns]
-    return joined.select(*names, n_lines.alias("n_lines"), F.coalesce(F.size("_dedup_gone"), F.lit(0)).cast("bigint").alias("n_deleted"))
+    return joined.select(*names, n_lines.alias("n_lines"), F.coalesce(F.size(at), F.lit(0)).cast("bigint").alias("n_deleted"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,21 +100,29 @@ WITH src AS (
     CAST(sum(w) OVER (PARTITION BY d, h ORDER BY pos) - w AS BIGINT) AS s, sum(w) OVER (PARTITION BY d, h) AS total
   FROM cnt WHERE w > 0
 ), grams AS (
-  SELECT d, h, i, s, total, CAST('0x' || substr(md5(array_to_string(list(lh) OVER (PARTITION BY d, h ORDER BY s RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING), ',')), 1, 15) AS BIGINT) AS g
+  SELECT d, h, i, s, total, CAST('0x' || substr(md5(array_to_string(list(lh) OVER (PARTITION BY d, h ORDER BY s RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING), ',')), 1, 15) AS BIGINT) AS g,
+    CAST('0x' || substr(md5(array_to_string(list(lh) OVER (PARTITION BY d, h ORDER BY s RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING), ',')), 1, 15) AS BIGINT) AS win
   FROM lines
 ), least AS (
-  SELECT d, h, min({'g': g, 'i': i}) OVER (PARTITION BY d, h ORDER BY s RANGE BETWEEN CURRENT ROW AND 25 FOLLOWING) AS m, s + 50 <= total AS whole
+  SELECT d, h, win, min({'g': g, 'i': i}) OVER (PARTITION BY d, h ORDER BY s RANGE BETWEEN CURRENT ROW AND 25 FOLLOWING) AS m, s + 50 <= total AS whole
   FROM grams WHERE s + 25 <= total
 ), prints AS (
-  SELECT DISTINCT d, h, m.g AS g, m.i AS i FROM least WHERE whole
+  SELECT d, h, m.g AS g, m.i AS i, list(DISTINCT win) AS wins FROM least WHERE whole GROUP BY ALL
 ), firsts AS (
   SELECT g, min({'d': d, 'h': h, 'i': i}) AS f FROM prints GROUP BY g HAVING count(*) > 1
 ), met AS (
-  SELECT p.*, lag(i) OVER (PARTITION BY d, h, p.g ORDER BY i) AS before, f FROM prints p JOIN firsts USING (g)
+  SELECT p.*, lag(p.i) OVER w AS before, lag(p.wins) OVER w AS old, f, q.wins AS fwins
+  FROM prints p JOIN firsts USING (g) JOIN prints q ON q.d = f.d AND q.h = f.h AND q.i = f.i AND q.g = p.g WINDOW w AS (PARTITION BY p.d, p.h, p.g ORDER BY p.i)
+), new AS (
+  SELECT *, list_filter(wins, lambda x: NOT list_contains(coalesce(old, []), x)) AS fresh, d = f.d AND h = f.h AND i = f.i AS own FROM met
+), rest AS (
+  SELECT d, h, i, unnest(list_filter(fresh, lambda x: NOT list_contains(fwins, x))) AS win FROM new WHERE NOT own
+), also AS (
+  SELECT win, min({'d': d, 'h': h, 'i': i}) AS f FROM rest GROUP BY win
 ), pair AS (
-  SELECT DISTINCT d, h, CASE WHEN before IS NOT NULL THEN d ELSE f.d END AS sd, CASE WHEN before IS NOT NULL THEN h ELSE f.h END AS sh,
-    i - coalesce(before, f.i) AS shift
-  FROM met WHERE before IS NOT NULL OR d <> f.d OR h <> f.h
+  SELECT d, h, d AS sd, h AS sh, i - before AS shift FROM new WHERE before IS NOT NULL
+  UNION SELECT d, h, f.d, f.h, i - f.i FROM new WHERE NOT own AND (before IS NULL OR list_has_any(fresh, fwins))
+  UNION SELECT d, h, f.d, f.h, i - f.i FROM rest JOIN also USING (win) WHERE NOT (d = f.d AND h = f.h AND i = f.i)
 ), equal AS (
   SELECT p.*, l.i, l.pos, l.w, l.i - row_number() OVER (PARTITION BY p.d, p.h, p.sd, p.sh, p.shift ORDER BY l.i) AS island
   FROM pair p JOIN lines l ON l.d = p.d AND l.h = p.h

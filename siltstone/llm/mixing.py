@@ -96,11 +96,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     by their size too; equal rows are exchangeable. Copies at the very tick of the cut are left out. An empty table
     gives an empty table; columns named like the new ones are replaced.
     """
-    new = ("source_size", "target", "taken", *OWN)
-    whole = docs.select(*[c for c in docs.columns if c not in new])
+    new = ("source_size", "target", "taken")
+    whole, back = common.aside(docs.select(*[c for c in docs.columns if c not in new]), OWN)
     timed, cut = _timed(whole, weights, share, copies, seed)
     taken = F.col("size") * F.size(F.filter("_mix_times", lambda t: t < cut))
-    return timed.select(*whole.columns, "source_size", "target", taken.cast("bigint").alias("taken"))
+    return timed.select(*whole.columns, "source_size", "target", taken.cast("bigint").alias("taken")).withColumnsRenamed(back)
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, copies: int = COPIES, seed: int = 17) -> DataFrame:
@@ -108,10 +108,10 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
 
     Partition i holds earlier times than partition i + 1 and is sorted, so files written from it are in the mix's order.
     """
-    whole = docs.select(*[c for c in docs.columns if c not in ("finish", *OWN)])
+    whole, back = common.aside(docs.select(*[c for c in docs.columns if c != "finish"]), (*OWN, "source_size", "target"))
     timed, cut = _timed(whole, weights, share, copies, seed)
     rows = timed.select(*whole.columns, F.explode(F.filter("_mix_times", lambda t: t < cut)).alias("finish"))
-    rows = rows.withColumn("finish", F.col("finish") / TICKS)
+    rows = rows.withColumn("finish", F.col("finish") / TICKS).withColumnsRenamed(back)
     return rows.repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id")
 
 

@@ -332,9 +332,10 @@ def score_toxicity(docs: DataFrame, cost: np.ndarray, lexicon: Lexicon, threshol
             yield pa.StructArray.from_arrays([pa.array(score), pa.array(restored, pa.list_(pa.string()))], ["score", "restored"])
 
     common.arrow_batches(docs.sparkSession)
-    kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "restored", "_found")])
-    found = kept.withColumn("_found", scored(F.coalesce("text", F.lit(""))))
-    return found.select(*kept.columns, "_found.score", (F.col("_found.score") >= threshold).cast("int").alias("predicted"), "_found.restored")
+    kept = docs.select(*[c for c in docs.columns if c not in ("score", "predicted", "restored")])
+    own = common.fresh("found", kept.columns)
+    found = kept.withColumn(own, scored(F.coalesce("text", F.lit(""))))
+    return found.select(*kept.columns, f"{own}.score", (F.col(f"{own}.score") >= threshold).cast("int").alias("predicted"), f"{own}.restored")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,44 @@ def top_k_by_hand(rows, k, asked):
     return out
 
 
+def lines_that_must_go(docs, least=50):
+    """(document, line) of every window (the fewest lines from one on that hold `least` words) that stands, line for line, at an earlier place."""
+    seen, gone = set(), set()
+    for b, doc in enumerate(docs):
+        for i in range(len(doc)):
+            end = next((e for e in range(i + 1, len(doc) + 1) if sum(len(x.split()) for x in doc[i:e]) >= least), None)
+            if end is not None:
+                if tuple(doc[i:end]) in seen:
+                    gone |= {(b, k) for k in range(i, end)}
+                seen.add(tuple(doc[i:end]))
+    return gone
+
+
+def test_line_dedup_keeps_its_promise(spark):
+    """200 small corpora of few lines that recur, told apart by their first word; every repeated window of 50 words goes."""
+    rng, rows, want = random.Random(8), [], {}
+    line = lambda c, k, n: f"c{c}l{k}" + " w" * (n - 1)
+    for c in range(200):
+        sizes = [rng.choice([5, 12, 24, 25, 25, 26, 30, 49, 50, 60]) for _ in range(rng.randint(2, 6))]
+        docs = [[line(c, k, sizes[k]) for k in (rng.randrange(len(sizes)) for _ in range(rng.randint(1, 9)))] for _ in range(rng.randint(2, 6))]
+        if c < 12:
+            docs = [[line(c, 0, 25)], [line(c, 0, 25), line(c, 1, 25)], [line(c, 0, 25), line(c, 1, 25)]]
+        rows += [(c * 10 + k, "\n".join(d)) for k, d in enumerate(docs)]
+        want |= {(c * 10 + b, i): docs[b] for b, i in lines_that_must_go(docs)}
+    out = {r.doc_id: (r.text, r.n_deleted) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    by = defaultdict(set)
+    for d, i in want:
+        by[d].add(i)
+    whole = dict(rows)
+    assert len(by) > 100
+    for d, places in by.items():
+        lines = whole[d].split("\n")
+        kept = out[d][0].split("\n") if out[d][0] else []
+        must = Counter(lines[i] for i in places)
+        assert len(lines) - len(kept) == out[d][1] and all((Counter(lines) - Counter(kept))[x] >= n for x, n in must.items()), (d, lines, kept, places)
+    assert all(out[c * 10 + 2][0] == "" for c in range(12))  # a run of two lines whose first stands alone before
+
+
 def test_exact_top_k_stops_early_and_is_exact():
     rng = np.random.default_rng(4)
     flat = rng.normal(size=(2000, 16))

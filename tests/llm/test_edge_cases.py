@@ -19,7 +19,7 @@ ROWS = [
     (6, "1d10t 5tup1d $%& 漢字 é x <|endoftext|>", "xx", "b"),
     (7, "The quick brown fox jumps over the lazy dog, twice.", None, "a"),
 ]
-CLASH = ("score", "predicted", "n_tokens", "node", "key", "h", "d", "label", "size", "target", "taken", "n_deleted", "component_id", "held_out", "restored", "piece", "length", "offset", "lang_pred", "source_rows", "fingerprint")
+CLASH = ("_near_key", "_near_n", "_found", "_mix_key", "_mix_times", "_dedup_gone", "_dedup_d", "score", "predicted", "n_tokens", "node", "key", "h", "d", "label", "size", "target", "taken", "n_deleted", "component_id", "held_out", "restored", "piece", "length", "offset", "lang_pred", "source_rows", "fingerprint")
 
 
 @pytest.fixture(scope="module")
@@ -65,6 +65,25 @@ def test_language(docs):
     assert langid.identify(docs.limit(0), langid.train(docs.limit(0))).count() == 0
 
 
+def test_callers_columns_stay(docs, labels):
+    """Names that the operators once used for themselves."""
+    cost = toxicity.train_characters(docs)
+    made = {
+        "dedup": linededup.dedup_lines(docs), "near": jaccard.near_duplicates(docs), "one": jaccard.one_of_each(docs), "mix": mixing.mix_sources(docs.withColumn("size", mixing.word_count())),
+        "mixed": mixing.mixed(docs.withColumn("size", mixing.word_count())), "lang": langid.identify(docs, langid.train(docs)), "toxic": toxicity.score_toxicity(docs, cost, toxicity.train_lexicon(docs, labels, cost)),
+    }
+    for name, out in made.items():
+        own = [c for c in CLASH if c.startswith("_")]
+        assert set(own) <= set(out.columns), name
+        assert all(r[c] == "x" for r in out.collect() for c in own), name
+
+
+def test_fingerprints_of_null_ids_alone(spark):
+    rows = spark.range(2100).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    out = fingerprint.fingerprint_chain(rows).collect()
+    assert len(out) == 2100 and all(r.doc_id is None for r in out)
+
+
 def test_line_dedup(docs):
     rows = linededup.dedup_lines(docs).collect()
     assert len(rows) == len(ROWS) and {r.doc_id: r.text for r in rows if r.doc_id in (2, 3)} == {2: None, 3: ""}
