@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,30 +25,53 @@ def scanned_suspect(pages: DataFrame, most: float = 0.30) -> DataFrame:
     return by.withColumn("scanned_suspect", F.size("empty_text_pages") / F.col("pages") > most)
 
 
+def topic_order(topics: DataFrame) -> DataFrame:
+    """topics (map_id, topic_id, parent_id, ord) that a root reaches, with root (its root's ord), root_no, level (1: a root) and place: greater places come first in pre-order.
+
+    The walk through a map is a list: a topic is entered, then its children in the order of ord (nulls last) and topic_id, then it is left. Each step knows the next one;
+    pointer doubling joins the list with itself, so that after k rounds a step knows how many follow within 2**k and what they add to the depth:
+    rounds grow with the logarithm of the largest map, whatever its depth. Of rows of one topic_id the first holds the children. Topics that aren't reached (a parent is missing, or they
+    are a circle of their own) are left out.
+    """
+    order = (F.asc_nulls_last("ord"), "topic_id", "node")
+    nodes = written(topics.withColumn("node", F.monotonically_increasing_id()), "topics")
+    first = F.row_number().over(Window.partitionBy("map_id", "topic_id").orderBy(*order))
+    holders = nodes.withColumn("_k", first).where("_k = 1 and topic_id is not null").select("map_id", F.col("topic_id").alias("parent_id"), F.col("node").alias("up"))
+    linked = nodes.select("map_id", "topic_id", "parent_id", "ord", "node").join(holders, ["map_id", "parent_id"], "left")
+    among = Window.partitionBy("up").orderBy(*order)
+    linked = linked.withColumn("after", F.when(F.col("up").isNotNull(), F.lead("node").over(among)))
+    child = linked.where("up is not null").groupBy("up").agg(F.min_by("node", F.struct(F.col("ord").isNull(), "ord", "topic_id", "node")).alias("child")).withColumnRenamed("up", "node")
+    linked = linked.join(child, "node", "left")
+    enter, leave = F.col("node") * 2, F.col("node") * 2 + 1
+    step = lambda at, to, d: F.struct(at.alias("at"), to.alias("to"), F.lit(1).cast("bigint").alias("n"), F.lit(d).cast("bigint").alias("d"))
+    steps = linked.select(F.explode(F.array(step(enter, F.coalesce(F.col("child") * 2, leave), 1), step(leave, F.coalesce(F.col("after") * 2, F.col("up") * 2 + 1), -1))).alias("s")).select("s.*")
+    steps = written(steps.withColumn("last", F.coalesce("to", "at")), "steps")
+    for _ in range(max(1, (2 * nodes.count()).bit_length())):
+        if steps.where("to is not null").isEmpty():
+            break
+        ahead = steps.select(F.col("at").alias("_at"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("d").alias("_d"), F.col("last").alias("_last"))
+        both = steps.join(ahead, F.col("to") == F.col("_at"), "left")
+        more = lambda c: F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))
+        steps = written(both.select("at", F.col("_to").alias("to"), more("n").alias("n"), more("d").alias("d"), F.coalesce("_last", "last").alias("last")), "steps")
+    roots = nodes.where("parent_id is null").select((F.col("node") * 2 + 1).alias("last"), F.col("ord").alias("root"), F.col("node").alias("root_no"))
+    found = steps.where("to is null and at % 2 = 0").join(roots, "last").select((F.col("at") / 2).cast("bigint").alias("node"), "root", "root_no", (1 - F.col("d")).cast("int").alias("level"), F.col("n").alias("place"))
+    return nodes.join(found, "node").drop("node")
+
+
 def topics_to_markdown(topics: DataFrame) -> DataFrame:
-    """map_id, markdown of topic trees (map_id, topic_id, parent_id, ord, title, links, note, note_links), in pre-order.
+    """map_id, markdown of topic trees (map_id, topic_id, parent_id, ord, title, links, note, note_links), in pre-order (topic_order).
 
     The root's title is the document's; a topic d levels below it has a heading of level least(d + 1, 6). Links follow the
-    title, then the note, then its links that weren't listed. Levels are joined one by one, each a written table, until one is empty. A topic that its root
-    doesn't reach is left out; where repeated ids make a circle, the walk ends after as many levels as there are topics.
+    title, then the note, then its links that weren't listed. A topic that no root reaches is left out.
     """
-    place = F.format_string("%08d", F.col("ord"))
-    level = top = topics.where("parent_id is null").withColumns({"level": F.lit(1), "path": F.array(place), "doc_title": F.col("title")})
-    levels = [level]
-    for _ in range(topics.count()):
-        above = level.select("map_id", F.col("topic_id").alias("parent_id"), F.col("level").alias("up"), F.col("path").alias("way"), "doc_title")
-        level = topics.join(above, ["map_id", "parent_id"]).withColumn("level", F.col("up") + 1).withColumn("path", F.concat("way", F.array(place))).drop("up", "way").select(*top.columns)
-        level = written(level, "topics")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    nodes = reduce(DataFrame.unionByName, levels)
+    nodes = topic_order(topics)
     link = lambda urls: F.transform(urls, lambda u: F.concat(F.lit("_Lien : "), u, F.lit("_")))
     head = F.when(F.coalesce(F.length("title"), F.lit(0)) > 0, F.concat(F.repeat(F.lit("#"), F.least(F.col("level") + 1, F.lit(6))), F.lit(" "), F.col("title")))
     own, more = X.clean_links(F.coalesce("links", F.array())), X.clean_links(F.coalesce("note_links", F.array()))
     parts = F.concat(F.array(head), link(own), F.array(F.nullif("note", F.lit(""))), link(F.array_except(more, own)))
     block = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n\n")
-    by = nodes.groupBy("map_id").agg(F.max(F.when(F.col("level") == 1, F.col("doc_title"))).alias("t"), F.array_sort(F.collect_list(F.struct("path", block.alias("md")))).alias("parts"))
+    place = F.struct(F.col("root").isNull().alias("late"), "root", "root_no", (-F.col("place")).alias("place"), block.alias("md"))
+    by = nodes.groupBy("map_id").agg(F.max(F.when(F.col("level") == 1, F.col("title"))).alias("t"), F.array_sort(F.collect_list(place)).alias("parts"))
     return by.select("map_id", F.concat(F.lit("# "), F.col("t"), F.lit("\n\n"), F.array_join(F.filter("parts.md", lambda m: m != ""), "\n\n")).alias("markdown"))
 
 
@@ -90,12 +111,17 @@ def inject_ordered(docs: DataFrame, refs: DataFrame, placeholder: str = "<!-- im
     return out.withColumn("markdown", F.concat(body, tail)).drop("refs")
 
 
-def inject_by_number(docs: DataFrame, notes: DataFrame) -> DataFrame:
-    """docs (doc_id, markdown) with note n (doc_id, number, note) after `<!-- Slide number: n -->`."""
-    by = notes.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "note"))).alias("notes"))
+def inject_by_number(docs: DataFrame, notes: DataFrame, order: str | None = None) -> DataFrame:
+    """docs (doc_id, markdown) with note n (doc_id, number, note) after `<!-- Slide number: n -->`, with any white space around n.
+
+    Of several notes of one number the last by the column `order` counts (without one: the greatest). Null and empty notes and notes without a mark are left out.
+    """
+    some = notes.where("number is not null and note <> ''")
+    one = some.groupBy("doc_id", "number").agg((F.max("note") if order is None else F.max_by("note", F.struct(order, "note"))).alias("note"))
+    by = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "note"))).alias("notes"))
     out = docs.join(by, "doc_id", "left")
-    parts = F.split("markdown", "(?<=<!-- Slide number: [0-9]{1,9} -->)")
-    number = lambda p: F.regexp_extract(p, r"<!-- Slide number: (\d+) -->$", 1).try_cast("int")
+    parts = F.split("markdown", r"(?<=<!-- Slide number:\s{0,99}[0-9]{1,9}\s{0,99}-->)")
+    number = lambda p: F.regexp_extract(p, r"<!-- Slide number:\s*(\d+)\s*-->$", 1).try_cast("int")
     note = lambda p: F.try_element_at("notes", number(p))
     body = F.array_join(F.transform(parts, lambda p: F.concat(p, F.coalesce(F.concat(F.lit("\n\n"), note(p), F.lit("\n")), F.lit("")))), "")
     return out.withColumn("markdown", body).drop("notes")
@@ -108,15 +134,19 @@ def natural_order(name: Column) -> list[Column]:
 
 
 def natural_positions(files: DataFrame, group: str, name: str = "name") -> DataFrame:
-    """files with position: from 1 in each group, by natural order; equal names take following positions.
+    """files with position: from 1 in each group, by natural order; equal names take following positions."""
+    return positions(files, group, natural_order(F.col(name)))
+
+
+def positions(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """rows with position: from 1 in each group, in this order; equal rows take following positions.
 
-    The files are range-sorted by group, number and name, so a large group spans several tasks; each (range, group) then counts on from those before it.
+    The rows are range-sorted by group and order, so a large group spans several tasks; each (range, group) then counts on from those before it.
     """
-    keys = [F.col(group), *natural_order(F.col(name))]
-    ranged = written(files.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "natural")
+    ranged = written(rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id()), "positions")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n")).select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*natural_order(F.col(name))))
+    own = F.row_number().over(Window.partitionBy("_range", group).orderBy(*order))
     out = ranged.withColumn("_own", own).join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
     return out.withColumn("position", F.col("_before") + F.col("_own")).drop("_range", "_own", "_g", "_r", "_before")
 

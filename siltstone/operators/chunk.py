@@ -126,3 +126,9 @@ def chunk_documents(docs: DataFrame, target_tokens: int = TARGET, overlap_tokens
     merged = merge_tiny(F.transform("c", lambda x: F.struct(x["text"].alias("text"), x["path"].alias("path"))), min_chars, target)
     out = by.select("doc_id", F.posexplode(merged).alias("chunk_index", "m"))
     return out.select("doc_id", "chunk_index", F.col("m.path").alias("heading_path"), F.array_join("m.path", " > ").alias("page_or_section"), F.col("m.text").alias("text"), F.length("m.text").alias("char_count"))
+
+
+def renumber(chunks: DataFrame, order: str) -> DataFrame:
+    """chunks (doc_id, …) with chunk_index from 0 in each document by the column `order`, without gaps, in place of what stood there."""
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(order)) - 1
+    return chunks.select("*", place.alias("_place")).withColumn("chunk_index", F.col("_place")).drop("_place")

@@ -74,3 +74,27 @@ def quota_stats(calls: DataFrame, at: Column) -> DataFrame:
     age = F.unix_micros(at) - F.unix_micros("ts")
     own = calls.groupBy("model").agg(F.count_if((age >= 0) & (age <= 60_000_000)).alias("last_minute"), F.count_if((age >= 0) & (F.col("ts") >= day)).alias("today"))
     return own.withColumn("seconds_to_reset", F.unix_seconds(day + F.expr("interval 1 day")) - F.unix_seconds(at))
+
+
+def list_collections(collections: DataFrame, name: str = "collection") -> DataFrame:
+    """collections, one row of each name, with position (from 1) by name."""
+    once = collections.dropDuplicates([name]).withColumn("_every", F.lit(0))
+    return _positions(once, "_every", name).drop("_every")
+
+
+def list_documents(documents: DataFrame, by: str | Column, collection: str = "collection") -> DataFrame:
+    """documents with position (from 1) in their collection by the column `by`."""
+    return _positions(documents, collection, by)
+
+
+def _positions(rows: DataFrame, group: str, by: str | Column) -> DataFrame:
+    """rows with position (from 1) in each group by plain order; the rows are range-sorted, so a large group spans several tasks."""
+    from siltstone.operators.assemble import positions
+
+    return positions(rows, group, [F.col(by) if isinstance(by, str) else by])
+
+
+def answered_keyword_rate(answers: DataFrame, items: DataFrame) -> DataFrame:
+    """question_id, keyword_rate of items (question_id, keywords) by a table of answers (question_id, answer), null for a question without one."""
+    both = items.join(answers.select("question_id", "answer"), "question_id", "left")
+    return both.select("question_id", keyword_rate(F.col("answer"), F.col("keywords")).alias("keyword_rate"))

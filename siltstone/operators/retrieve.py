@@ -112,11 +112,17 @@ def rrf_fuse(lists: list[DataFrame], k: int = RRF) -> DataFrame:
 
 
 def hybrid_search(dense: DataFrame, sparse: DataFrame, limit: int, k: int = RRF) -> DataFrame:
-    """The fusion of both sides' first `limit`, cut at `limit`. Queries without sparse hits keep the dense ranking and scores."""
+    """The fusion of both sides' first `limit`, cut at `limit`: query_id, chunk_id, score, rank, and the score of each side that found the hit (dense_score, sparse_score).
+
+    Queries without sparse hits keep the dense ranking and scores.
+    """
     dense, sparse = dense.where(F.col("rank") <= limit), sparse.where(F.col("rank") <= limit)
     asked = sparse.select("query_id").distinct()
     fused = rrf_fuse([dense.join(asked, "query_id", "left_semi"), sparse], k).where(F.col("rank") <= limit)
-    return fused.unionByName(dense.join(asked, "query_id", "left_anti").select(*fused.columns))
+    hits = fused.unionByName(dense.join(asked, "query_id", "left_anti").select(*fused.columns))
+    for side, name in ((dense, "dense_score"), (sparse, "sparse_score")):
+        hits = hits.join(side.select("query_id", "chunk_id", F.col("score").alias(name)), ["query_id", "chunk_id"], "left")
+    return hits
 
 
 def multi_query_search(rankings: DataFrame, k: int = RRF) -> DataFrame:
@@ -143,16 +149,19 @@ def diversify(hits: DataFrame, most: int = PER_DOC) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(order)).drop("in_doc", "doc_pos")
 
 
-def rerank(hits: DataFrame, scores: DataFrame, top: int) -> DataFrame:
+def rerank(hits: DataFrame, scores: DataFrame, top: int, sort_few: bool = False) -> DataFrame:
     """hits (query_id, chunk_id, rank, score) sorted by scores (query_id, chunk_id, rerank_score), cut at `top`.
 
-    A query with no more than `top` hits keeps its order and scores; so does one of whose hits any lacks a score (cut at `top`).
+    A query with no more than `top` hits keeps its scores, and its order or, with sort_few, that of its scores (ties: by rank); a query of whose hits any lacks a score
+    keeps its order and scores (cut at `top`).
     """
     hits = hits.join(scores.select("query_id", "chunk_id", "rerank_score"), ["query_id", "chunk_id"], "left")
     whole = Window.partitionBy("query_id")
-    apply = (F.count("*").over(whole) > top) & (F.count("rerank_score").over(whole) == F.count("*").over(whole))
-    hits = hits.withColumn("apply", apply)
-    order = whole.orderBy(F.when(F.col("apply"), -F.col("rerank_score")), "rank")
+    few = F.count("*").over(whole) <= top
+    apply = ~few & (F.count("rerank_score").over(whole) == F.count("*").over(whole))
+    hits = hits.withColumns({"apply": apply, "few": few})
+    first = F.when(F.col("apply"), -F.col("rerank_score"))
+    order = whole.orderBy(first.when(F.col("few"), -F.col("score")) if sort_few else first, "rank")
     out = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return out.select("query_id", "chunk_id", F.col("place").alias("rank"), F.when(F.col("apply"), F.col("rerank_score")).otherwise(F.col("score")).alias("score"))
 
@@ -181,6 +190,14 @@ def context_block(n: Column, name: Column, section: Column, text: Column) -> Col
     return F.concat(head, F.when(F.coalesce(F.length(section), F.lit(0)) > 0, F.concat(F.lit(" — "), section)).otherwise(""), F.lit(")\n"), text)
 
 
+def titled_block(n: Column, metadata: Column, text: Column) -> Column:
+    """A block headed `[Source n] (type) title — source`, each the first of several keys of the metadata (a map) that isn't empty, with fallbacks."""
+    first = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at(metadata, F.lit(k)), F.lit("")) for k in keys])
+    kind, title = F.coalesce(first("doc_type", "type"), F.lit("document")), F.coalesce(first("doc_title", "title", "filename"), F.lit("document"))
+    source = F.coalesce(F.concat(F.lit(" — "), first("source", "filepath", "url")), F.lit(""))
+    return F.concat(F.lit("[Source "), n.cast("string"), F.lit("] ("), kind, F.lit(") "), title, source, F.lit("\n"), text)
+
+
 def build_context(hits: DataFrame) -> DataFrame:
     """query_id, context of hits (query_id, rank, source_name, page_or_section, text)."""
     block = context_block(F.col("rank"), F.col("source_name"), F.col("page_or_section"), F.col("text"))

@@ -131,12 +131,14 @@ def snk2_write_preview(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("chunk_id string, doc_title string, char_count bigint, preview string").json(path)
 
 
-@query("SELECT count(*) AS n, sum(quality)::BIGINT AS good FROM labels")
+@query("SELECT 'item' AS kind, doc_id, quality, NULL::BIGINT AS n FROM labels UNION ALL SELECT 'summary', NULL, sum(quality)::BIGINT, count(*) FROM labels")
 def snk3_write_eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """Summary and items, both read back."""
     path = scratch(spark, "report")
     labels = read(spark, d, "labels")
-    S.write_eval_report(labels.agg(F.count("*").alias("n"), F.sum("quality").alias("good")), labels, path)
-    return spark.read.schema("n bigint, good bigint").json(f"{path}/summary")
+    S.write_eval_report(labels.agg(F.count("*").alias("n"), F.sum("quality").alias("good")), labels.select("doc_id", "quality"), path)
+    summary, items = S.read_eval_report(spark, path, "n bigint, good bigint", "doc_id bigint, quality bigint")
+    return items.select(F.lit("item").alias("kind"), "doc_id", "quality", F.lit(None).cast("bigint").alias("n")).unionByName(summary.select(F.lit("summary").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.col("good").alias("quality"), "n"))
 
 
 def _inbox(spark: SparkSession, d: str) -> str:
@@ -149,9 +151,9 @@ def _inbox(spark: SparkSession, d: str) -> str:
 
 @query("SELECT source AS collection, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes, 'indexed' AS status, CAST(NULL AS VARCHAR) AS error, true AS agrees FROM documents GROUP BY source UNION ALL SELECT 'broken', 5, 'failed', 'not decoded, blank or without a chunk', true")
 def str1_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of an index after a drained run over files in batches of seven; agrees: chunks and vectors are as many as the document says."""
+    """The documents of an index after a drained run over files in batches of twelve; agrees: chunks and vectors are as many as the document says."""
     ingestion = Ingestion(scratch(spark, "ingested"), buckets=8)
-    ingestion.run(T.landing_stream(spark, _inbox(spark, d), 7), scratch(spark, "offsets")).awaitTermination()
+    ingestion.run(T.landing_stream(spark, _inbox(spark, d), 12), scratch(spark, "offsets")).awaitTermination()
     held = ingestion.tables(spark)
     counted = [held.table(t).groupBy("collection", "doc_id").agg(F.count("*").alias(t)) for t in ("chunks", "dense")]
     docs = held.table("documents")
@@ -168,7 +170,7 @@ def str1_ingest_stream(spark: SparkSession, d: str) -> DataFrame:
 def str2_job_progress(spark: SparkSession, d: str) -> DataFrame:
     """The rows that each stage of a drained ingestion reported; chunks are the lines."""
     ingestion = Ingestion(scratch(spark, "ingested"), chunker=single_chunks, buckets=8)
-    ingestion.run(T.landing_stream(spark, _inbox(spark, d), 7), scratch(spark, "offsets")).awaitTermination()
+    ingestion.run(T.landing_stream(spark, _inbox(spark, d), 12), scratch(spark, "offsets")).awaitTermination()
     return ingestion.progress(spark).groupBy("stage").agg(F.sum("rows").alias("rows"))
 
 

@@ -226,6 +226,14 @@ def eva3_keyword_rate(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", F.round(_rate(), 6).alias("keyword_rate"))
 
 
+@query("SELECT item_id AS question_id, CASE WHEN item_id % 3 > 0 THEN CASE WHEN contains(lower(d.text), lower(left(b.text, 3))) THEN 0.5 ELSE 0 END + CASE WHEN contains(lower(d.text), 'the') THEN 0.5 ELSE 0 END END::DOUBLE AS keyword_rate FROM benchmark b LEFT JOIN documents d ON d.doc_id = item_id")
+def eva3_answers_table(spark: SparkSession, d: str) -> DataFrame:
+    """Answers from a table of their own; every third question has none."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.array(F.left("text", F.lit(3)), F.lit("the")).alias("keywords"))
+    answers = read(spark, d, "documents").where("doc_id % 3 > 0").select(F.col("doc_id").alias("question_id"), F.col("text").alias("answer"))
+    return E.answered_keyword_rate(answers, asked)
+
+
 @query(f"SELECT count(*) AS n, round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 4) AS recall_at_5, round(avg(CASE WHEN quality = 1 THEN 1.0::DOUBLE / (1 + doc_id % 5) ELSE 0 END), 4) AS mrr, round(avg(CASE WHEN doc_id % 2 = 0 THEN (doc_id % 5) / 4.0::DOUBLE END), 4) AS keyword_rate FROM labels")
 def eva4_eval_summary(spark: SparkSession, d: str) -> DataFrame:
     rank = F.when(F.col("quality") == 1, 1 + F.col("doc_id") % 5)
@@ -245,17 +253,13 @@ def rep1_collection_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'src' || CAST(n_nationkey AS VARCHAR) AS collection, row_number() OVER (ORDER BY 'src' || CAST(n_nationkey AS VARCHAR))::INTEGER AS position FROM nation")
 def rep2_list_collections(spark: SparkSession, d: str) -> DataFrame:
-    """The position comes from the sorted list of names: collections are a small dimension."""
-    names = _collections(spark, d).agg(F.array_sort(F.collect_set("collection")).alias("names"))
-    return names.select(F.posexplode("names").alias("p", "collection")).select("collection", (F.col("p") + 1).alias("position"))
+    return E.list_collections(_collections(spark, d)).select("collection", F.col("position").cast("int").alias("position"))
 
 
 @query("SELECT source AS collection, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang || '/' || CAST(doc_id AS VARCHAR))::INTEGER AS position FROM documents")
 def rep3_list_documents(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")))
-    return read(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id", F.row_number().over(w).alias("position"))
+    docs = read(spark, d, "documents").select(F.col("source").alias("collection"), "doc_id", F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("name"))
+    return E.list_documents(docs, "name").select("collection", "doc_id", F.col("position").cast("int").alias("position"))
 
 
 _JOBS = "jb AS (SELECT event_id AS job_id, event_type AS collection, CASE user_id % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'running' ELSE 'pending' END AS status FROM events)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 from siltstone.operators import index as N
 from siltstone.operators import retrieve as R
+from siltstone.operators.blocks import blocks_topk, build_blocks
 from siltstone.operators.cells import build_cells, cells_topk
 from siltstone.operators.tables import written
 from siltstone.plans.base import MARKDOWN_SQL, markdown, read, scratch
@@ -117,12 +118,23 @@ def ret4_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical(spark, d)
 
 
+@query(f"WITH {LEX_SQL}, sz AS (SELECT query_id, CAST(sum(df) AS BIGINT) AS postings FROM (SELECT DISTINCT query_id, tok FROM q) JOIN i USING (tok) GROUP BY query_id) SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank, postings FROM lex JOIN sz USING (query_id)")
+def ret4_bm25_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same hits from blocks of postings, with the number of postings that a search without them would read."""
+    held = build_blocks(bm25_index(spark, d), scratch(spark, "blocks"))
+    hits = blocks_topk(questions(spark, d), held, 40).withColumn("score", F.round("score", 6)).drop("rank")
+    return R.top_k(hits, 20, "chunk_id").select("query_id", "chunk_id", "score", "rank", "postings")
+
+
 @query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSE_SQL} {_COLS} fus")
 def ret5_rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
     return R.rrf_fuse([dense(spark, d), sparse(spark, d)]).withColumn("score", F.round("score", 6))
 
 
-@query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSE_SQL} {_COLS} fus WHERE rank <= 10 AND query_id IN (SELECT query_id FROM spa) UNION ALL {_COLS} den WHERE query_id NOT IN (SELECT query_id FROM spa)")
+@query(
+    f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSE_SQL}, hy AS ({_COLS} fus WHERE rank <= 10 AND query_id IN (SELECT query_id FROM spa) UNION ALL {_COLS} den WHERE query_id NOT IN (SELECT query_id FROM spa)) "
+    "SELECT hy.*, den.score AS dense_score, spa.score AS sparse_score FROM hy LEFT JOIN den USING (query_id, chunk_id) LEFT JOIN spa USING (query_id, chunk_id)"
+)
 def ret6_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return R.hybrid_search(dense(spark, d), sparse(spark, d), 10).withColumn("score", F.round("score", 6))
 
@@ -255,11 +267,32 @@ def ret18_build_prompt(spark: SparkSession, d: str) -> DataFrame:
     return both.select("query_id", F.md5(R.build_prompt(F.col("text"), F.col("context"))).alias("prompt"))
 
 
+@query(
+    _CONTEXT.split(", cx AS")[0] + " SELECT query_id, md5(string_agg('[Source ' || rank || '] (' || CASE WHEN doc_id % 5 > 0 THEN d.lang ELSE 'document' END || ') ' || CASE doc_id % 3 WHEN 0 THEN d.source WHEN 1 THEN 'file' || doc_id ELSE 'document' END "
+    "|| CASE WHEN doc_id % 2 = 0 THEN ' — https://ex.com/' || doc_id ELSE '' END || chr(10) || so.text, chr(10) ORDER BY rank)) AS context FROM so JOIN documents d USING (doc_id) GROUP BY query_id"
+)
+def ret18_titled_context(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks headed by type, title and source of the metadata, whose keys are missing or empty in turn."""
+    docs, n = read(spark, d, "documents"), F.col("doc_id")
+    values = {"doc_type": F.when(n % 5 > 0, F.col("lang")), "doc_title": F.when(n % 3 == 0, F.col("source")).otherwise(""), "filename": F.when(n % 3 == 1, F.concat(F.lit("file"), n.cast("string"))), "url": F.when(n % 2 == 0, F.concat(F.lit("https://ex.com/"), n.cast("string")))}
+    meta = docs.select(n.alias("chunk_id"), F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]).alias("metadata"), markdown().alias("text"))
+    hits = R.backfill_payload(lexical(spark, d, 5), meta).select("query_id", "rank", R.titled_block(F.col("rank"), F.col("metadata"), F.col("text")).alias("b"))
+    blocks = F.array_sort(F.collect_list(F.struct("rank", "b")))
+    return hits.groupBy("query_id").agg(F.md5(F.array_join(blocks["b"], "\n")).alias("context"))
+
+
+@query(f"WITH {LEX_SQL} SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, 4 - rank) AS INTEGER) AS rank, score FROM lex WHERE rank <= 3")
+def ret10_rerank_few(spark: SparkSession, d: str) -> DataFrame:
+    """Three hits at most, given in reverse: too few to rerank, sorted by their scores."""
+    hits = lexical(spark, d, 3).withColumn("rank", 4 - F.col("rank"))
+    return R.rerank(hits, hits.select("query_id", "chunk_id", F.lit(0.0).alias("rerank_score")), 5, sort_few=True)
+
+
 @query(f"WITH {DENSE_SQL}, {SPARSE_SQL}, {FUSE_SQL}, su AS (SELECT vec_id FROM embeddings WHERE label % 2 = 0) {_COLS} fus WHERE rank <= 10 AND query_id IN (FROM su) UNION ALL {_COLS} den WHERE query_id NOT IN (FROM su)")
 def ret19_dense_only(spark: SparkSession, d: str) -> DataFrame:
     """Questions of a collection without a sparse side take the dense ranking."""
     supports = vectors(spark, d)[0].select("query_id", "collection").join(F.broadcast(collections(spark, d).where("supports_sparse")), "collection")  # one row a collection
-    return R.hybrid_search(dense(spark, d), sparse(spark, d).join(supports.select("query_id"), "query_id", "left_semi"), 10).withColumn("score", F.round("score", 6))
+    return R.hybrid_search(dense(spark, d), sparse(spark, d).join(supports.select("query_id"), "query_id", "left_semi"), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {DENSE_SQL.split(', den AS')[0].replace('a.vec_id % 20 = 0', 'a.vec_id % 20 = 0 AND b.vec_id % 3 > 0')}, den AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dx QUALIFY rank <= 10) {_COLS} den")

@@ -156,6 +156,11 @@ def write_eval_report(summary: DataFrame, items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").json(f"{path}/items")
 
 
+def read_eval_report(spark: SparkSession, path: str, summary: str, items: str) -> tuple[DataFrame, DataFrame]:
+    """(summary, items) of a written report, by their schemas."""
+    return spark.read.schema(summary).json(f"{path}/summary"), spark.read.schema(items).json(f"{path}/items")
+
+
 def convert(files: DataFrame, converters: dict[str, Callable[[str, bytes], list[dict[str, str]]]]) -> DataFrame:
     """source_name, title, markdown, error of files (source_name, content), by a registry from extension to converter.
 

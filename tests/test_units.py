@@ -1,6 +1,7 @@
 """Literal cases of identities, images, retrieval, maintenance, archives and streams."""
 
 import io
+import random
 import time
 import uuid
 import zipfile
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import assemble as A
+from siltstone.operators import blocks as B
 from siltstone.operators import cells as K
 from siltstone.operators import evaluate as E
 from siltstone.operators import images as I
@@ -122,6 +124,53 @@ def test_cells_of_clustered_vectors(spark, tmp_path):
     assert K.cells_topk(asked, none, 5).count() == 0
 
 
+def test_blocks_of_postings_give_the_same_hits(spark, tmp_path):
+    """Rare words beside words that stand in every chunk: few of the common words' postings are read."""
+    rng = random.Random(3)
+    texts = [" ".join(["common", "usual"] * rng.randint(1, 4) + [f"name{rng.randrange(60)}" for _ in range(rng.randint(0, 6))] + ["filler"] * rng.randint(0, 9)) for _ in range(1500)]
+    index = N.build_bm25(spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string"), f"{tmp_path}/index", 2)
+    held = B.build_blocks(index, f"{tmp_path}/blocks", 16, 2)
+    assert held.blocks.agg(F.sum(F.size("ids"))).first()[0] == held.terms.count() == index.postings.count()
+    asked = spark.createDataFrame([(0, "common usual name3"), (1, "name1 name2 name2 filler"), (2, "common"), (3, "nothing"), (4, ""), (5, "name7 common filler usual name9")], "query_id bigint, text string")
+    for k in (1, 5, 2000):
+        shown = lambda df: {(r.query_id, r.chunk_id): (round(r.score, 9), r["rank"]) for r in df.collect()}
+        rows = B.blocks_topk(asked, held, k).cache()
+        assert {q: v[0] for q, v in shown(rows).items()} == {q: v[0] for q, v in shown(R.bm25_topk(asked, index, k)).items()}
+        share = {r.query_id: r.read / r.postings for r in rows.collect()}
+        assert all(x <= 1 for x in share.values()) and (k > 5 or max(share[0], share[2], share[5]) < 0.5), share
+
+
+def test_a_chain_of_topics(spark):
+    """5,000 levels deep, numbers of any size."""
+    chain = [("deep", f"t{i}", f"t{i - 1}" if i else None, 10**12 - i, f"T{i}", None, None, None) for i in range(5000)]
+    wide = [("wide", "r", None, 0, "Root", None, None, None)] + [("wide", f"c{k}", "r", k, f"C{k}", None, None, None) for k in (100_000_000, 99_999_999, 5, -3)]
+    wide += [("wide", "c5b", "c5", 1, "Under", None, None, None), ("wide", "lost", "nobody", 1, "Lost", None, None, None), ("wide", "x", "y", 1, "X", None, None, None), ("wide", "y", "x", 1, "Y", None, None, None), ("wide", "c5", "r", 6, "Twin", None, None, None), ("wide", "n", "r", None, "Last", None, None, None)]
+    df = spark.createDataFrame(chain + wide, "map_id string, topic_id string, parent_id string, ord bigint, title string, links array<string>, note string, note_links array<string>")
+    out = {r.map_id: r.markdown for r in A.topics_to_markdown(df).collect()}
+    assert out["wide"].split("\n\n") == ["# Root", "## Root", "### C-3", "### C5", "#### Under", "### Twin", "### C99999999", "### C100000000", "### Last"]
+    lines = out["deep"].split("\n\n")
+    assert len(lines) == 5001 and lines[1:8] == [f"{'#' * min(i + 2, 6)} T{i}" for i in range(7)] and lines[-1] == "###### T4999"
+    assert A.topics_to_markdown(df.limit(0)).count() == 0
+
+
+def test_notes_by_number(spark):
+    docs = spark.createDataFrame([("a", "<!-- Slide number:3-->x<!-- Slide number:   3   -->y<!-- Slide number: 4 -->"), ("b", "no mark"), ("c", None)], "doc_id string, markdown string")
+    notes = spark.createDataFrame([("a", 3, "first", 1), ("a", 3, "again", 2), ("a", 4, "", 1), ("a", 9, "nowhere", 1), ("a", None, "none", 1), ("b", 1, "x", 1)], "doc_id string, number int, note string, seq int")
+    out = {r.doc_id: r.markdown for r in A.inject_by_number(docs, notes, "seq").collect()}
+    assert out == {"a": "<!-- Slide number:3-->\n\nagain\nx<!-- Slide number:   3   -->\n\nagain\ny<!-- Slide number: 4 -->", "b": "no mark", "c": None}
+    assert "first" in A.inject_by_number(docs, notes).where("doc_id = 'a'").first().markdown  # the greatest
+
+
+def test_few_hits_by_score_and_side_scores(spark):
+    hits = spark.createDataFrame([(1, 10, 1, 0.2), (1, 11, 2, 0.9), (2, 20, 1, 0.5), (2, 21, 2, 0.5), (2, 22, 3, 0.7)], "query_id bigint, chunk_id bigint, rank int, score double")
+    scores = hits.select("query_id", "chunk_id", F.col("chunk_id").cast("double").alias("rerank_score"))
+    order = lambda df: [(r.query_id, r.chunk_id) for r in df.orderBy("query_id", "rank").collect()]
+    assert order(R.rerank(hits, scores, 2)) == [(1, 10), (1, 11), (2, 22), (2, 21)] and order(R.rerank(hits, scores, 2, sort_few=True)) == [(1, 11), (1, 10), (2, 22), (2, 21)]
+    sparse = spark.createDataFrame([(1, 11, 1, 4.0), (1, 12, 2, 3.0)], "query_id bigint, chunk_id bigint, rank int, score double")
+    got = {(r.query_id, r.chunk_id): (r.dense_score, r.sparse_score) for r in R.hybrid_search(hits, sparse, 3).collect()}
+    assert got == {(1, 10): (0.2, None), (1, 11): (0.9, 4.0), (1, 12): (None, 3.0), (2, 20): (0.5, None), (2, 21): (0.5, None), (2, 22): (0.7, None)}
+
+
 def test_bm25_follows_changes(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "chunk_id bigint, text string")
     old = {i: " ".join(f"word{j % (i + 2)} term{j}" for j in range(i + 1)) for i in range(30)} | {30: "", 31: None}
