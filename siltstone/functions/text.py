@@ -170,22 +170,6 @@ def flatten_note(xhtml: Column) -> Column:
     return strip(F.array_join(F.transform(F.split(t, "\n"), strip), "\n"))
 
 
-def html_to_markdown(html: Column) -> Column:
-    """Headings, paragraphs, list items and links of a page; scripts, styles and comments go; empty pages give null."""
-    t = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>", "")
-    t = F.regexp_replace(t, r"\s+", " ")
-    for level in range(1, 7):
-        t = F.regexp_replace(t, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
-    t = F.regexp_replace(t, r"(?i)<li\b[^>]*>", "\n- ")
-    t = F.regexp_replace(t, r"""(?i)<a\b[^>]*href=["']([^"']*)["'][^>]*>(.*?)</a\s*>""", r"[$2]($1)")
-    t = F.regexp_replace(t, r"(?i)</?(p|div|h[1-6]|ul|ol|table|tr|section|article)\b[^>]*>|<br\b[^>]*>", "\n\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(t, r" *\n *", "\n"), r"\n{3,}", "\n\n")
-    return F.nullif(F.regexp_replace(t, r"^\s+|\s+$", ""), F.lit(""))
-
-
 def html_title(html: Column, stem: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"^\s+|\s+$", ""), F.lit("")), stem)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators import assemble as A
+from siltstone.operators.html import html_to_markdown
 from siltstone.plans.base import MARKDOWN_SQL, SOURCE_SQL, markdown, read, source_name
 
 QUERIES, SQL = {}, {}
@@ -75,7 +76,7 @@ _HTML_SQL = f"regexp_replace({_HTML_SQL}, '(?i)<li\\b[^>]*>', chr(10) || '- ', '
 _HTML_SQL = f"""regexp_replace({_HTML_SQL}, '(?i)<a\\b[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"""
 _HTML_SQL = f"regexp_replace({_HTML_SQL}, '(?i)</?(p|div|h[1-6]|ul|ol|table|tr|section|article)\\b[^>]*>|<br\\b[^>]*>', chr(10) || chr(10), 'g')"
 _HTML_SQL = f"regexp_replace({_HTML_SQL}, '<[^>]*>', '', 'g')"
-for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+for _e, _c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
     _HTML_SQL = f"replace({_HTML_SQL}, '{_e}', '{_c}')"
 _HTML_SQL = f"regexp_replace(regexp_replace(regexp_replace({_HTML_SQL}, ' *\\n *', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
 
@@ -83,7 +84,8 @@ _HTML_SQL = f"regexp_replace(regexp_replace(regexp_replace({_HTML_SQL}, ' *\\n *
 @query(f"SELECT page_id, {_HTML_SQL} AS markdown, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '^\\s+|\\s+$', '', 'g') AS title FROM pages")
 def doc8_html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
     stem = F.concat(F.lit("page_"), F.col("page_id").cast("string"))
-    return read(spark, d, "pages").select("page_id", X.html_to_markdown(F.col("html")).alias("markdown"), X.html_title(F.col("html"), stem).alias("title"))
+    pages = read(spark, d, "pages").select("page_id", "html")
+    return html_to_markdown(pages, "page_id").join(pages.select("page_id", X.html_title(F.col("html"), stem).alias("title")), "page_id")
 
 
 @query(f"SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'stem' END AS title FROM documents")

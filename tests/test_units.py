@@ -16,6 +16,7 @@ from siltstone.operators import assemble as A
 from siltstone.operators import blocks as B
 from siltstone.operators import cells as K
 from siltstone.operators import evaluate as E
+from siltstone.operators import html as H
 from siltstone.operators import images as I
 from siltstone.operators import incremental as M
 from siltstone.operators import index as N
@@ -153,6 +154,30 @@ def test_a_chain_of_topics(spark):
     assert A.topics_to_markdown(df.limit(0)).count() == 0
 
 
+PAGES = {
+    "<a href='u'><h2>t</h2></a>": "## [t](u)",
+    "<h1>A</h1><p>x <a href=\"/b\">y</a> z</p>": "# A\n\nx [y](/b) z",
+    "<table><tr><td>a</td><td>b</td></tr><tr><th>c</th><td>d</td></tr></table>": "a | b\n\nc | d",
+    "<ol><li>one</li><li>two<ul><li>in</li></ul></li><li>three</li></ol><ul><li>x</li></ul>": "1. one\n2. two\n\n  - in\n\n3. three\n\n- x",
+    "it&#8217;s &eacute;t&#xE9; &amp;lt; &lt;b&gt; &nope; &#0; a &amp b": "it\u2019s \u00e9t\u00e9 &lt; <b> &nope; &#0; a &amp b",
+    "<p>a</p><pre>  two  spaces\n\n\n  and lines </pre>b": "a\n\n```\n  two  spaces\n\n\n  and lines \n```\n\nb",
+    "<a href='x'>never closed <b>bold</b>": "never closed bold",
+    "<a>no target</a> and <a href=\"1\">p</a><a href='2'>q</a>": "no target and [p](1)[q](2)",
+    "<a href='u'>before<h3>one</h3><h4>two</h4></a> after": "before\n\n### [one](u)\n\n#### [two](u)\n\nafter",
+    "<!-- <p>no</p> --><script>var a = '<p>';</script><style>p{}</style><head><title>t</title></head>": None,
+    "a < b &": "a < b &",
+    "line<br>next<br/>third": "line\n\nnext\n\nthird",
+    "": None,
+}
+
+
+def test_html(spark):
+    rows = [(i, h) for i, h in enumerate(PAGES)] + [(99, None)]
+    out = {r.id: r.markdown for r in H.html_to_markdown(spark.createDataFrame(rows, "id int, html string"), "id").collect()}
+    for i, h in rows:
+        assert out[i] == PAGES.get(h), h
+
+
 def test_notes_by_number(spark):
     docs = spark.createDataFrame([("a", "<!-- Slide number:3-->x<!-- Slide number:   3   -->y<!-- Slide number: 4 -->"), ("b", "no mark"), ("c", None)], "doc_id string, markdown string")
     notes = spark.createDataFrame([("a", 3, "first", 1), ("a", 3, "again", 2), ("a", 4, "", 1), ("a", 9, "nowhere", 1), ("a", None, "none", 1), ("b", 1, "x", 1)], "doc_id string, number int, note string, seq int")
