@@ -75,24 +75,52 @@ def topics_to_markdown(topics: DataFrame) -> DataFrame:
     return by.select("map_id", F.concat(F.lit("# "), F.col("t"), F.lit("\n\n"), F.array_join(F.filter("parts.md", lambda m: m != ""), "\n\n")).alias("markdown"))
 
 
+def next_at(rows: DataFrame, group: str, at: str, number: str, gap: float) -> DataFrame:
+    """group, number, next: for each row (group, at, number) the least number of its group whose `at` is `gap` or more after its own, null if there is none.
+
+    number rises with at. Rows and the times they ask for are range-sorted together, so a large group spans several tasks: each range answers what it can, and takes the first row of a later range of the
+    group for the rest.
+    """
+    seen = rows.select(F.col(group).alias("g"), F.col(at).alias("at"), F.lit(1).alias("kind"), F.col(number).alias("no"))
+    asks = rows.select(F.col(group).alias("g"), (F.col(at) + gap).alias("at"), F.lit(0).alias("kind"), F.col(number).alias("no"))
+    ranged = written(seen.unionByName(asks).repartitionByRange("g", "at", "kind").withColumn("_range", F.spark_partition_id()), "ranges")
+    later = Window.partitionBy("_range", "g").orderBy(F.desc("at"), F.desc("kind"), F.desc("no")).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumn("here", F.last(F.when(F.col("kind") == 1, F.col("no")), True).over(later)).where("kind = 0")
+    firsts = ranged.groupBy("g", "_range").agg(F.min(F.when(F.col("kind") == 1, F.col("no"))).alias("first"))
+    beyond = Window.partitionBy("g").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    firsts = firsts.select(F.col("g").alias("_g"), F.col("_range").alias("_r"), F.last("first", True).over(beyond).alias("beyond"))
+    found = own.join(firsts, F.col("g").eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return found.select(F.col("g").alias(group), F.col("no").alias(number), F.coalesce("here", "beyond").alias("next"))
+
+
 def group_segments(segments: DataFrame, seconds: float = 60.0) -> DataFrame:
     """video_id, group_no, start, end, text, heading: a new group begins at a segment `seconds` or more after its group's start.
 
-    Needs video_id, start, duration, text; segments without text are dropped first.
+    Needs video_id, start, duration, text; segments without text or start are dropped first; they are taken by start, duration and text. Each segment knows the one that would begin the next group if it
+    began one (next_at); those that do are reached from a video's first by pointer doubling, in rounds that grow with the logarithm of its groups. A video of any length spans several tasks.
     """
-    clean = segments.withColumn("text", X.strip(F.col("text"))).where("text <> ''")
-    by = clean.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("double").alias("start"), F.col("duration").cast("double").alias("duration"), "text"))).alias("s"))
-    kind = "array<struct<start:double,end:double,text:string>>"
-
-    def put(groups: Column, x: Column) -> Column:
-        last = F.element_at(groups, -1)
-        stop = x["start"] + x["duration"]
-        new = F.struct(x["start"].alias("start"), stop.alias("end"), x["text"].alias("text"))
-        grown = F.struct(last["start"].alias("start"), stop.alias("end"), F.concat(last["text"], F.lit(" "), x["text"]).alias("text"))
-        joined = F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(grown))
-        return F.when(F.size(groups) == 0, F.array(new)).when(x["start"] - last["start"] >= seconds, F.concat(groups, F.array(new))).otherwise(joined)
-
-    by = by.select("video_id", F.posexplode(F.aggregate("s", F.array().cast(kind), put)).alias("group_no", "g")).select("video_id", "group_no", "g.*")
+    number = lambda c: F.col(c).cast("double").alias(c)
+    clean = segments.select("video_id", number("start"), F.coalesce(F.col("duration").cast("double"), F.lit(0.0)).alias("duration"), X.strip(F.col("text")).alias("text")).where("text <> '' and start is not null")
+    placed = written(positions(clean, "video_id", [F.col("start"), F.col("duration"), F.col("text")]).withColumnRenamed("position", "no"), "segments")
+    jump = step = written(next_at(placed, "video_id", "start", "no", seconds), "next")
+    reached = placed.where("no = 1").select("video_id", "no")
+    side = lambda df: df.select(F.col("video_id").alias("_v"), F.col("no").alias("_no"), F.col("next").alias("_next"))
+    same = lambda c: F.col("video_id").eqNullSafe(F.col("_v")) & (F.col(c) == F.col("_no"))
+    while True:
+        more = reached.join(side(jump.where("next is not null")), same("no")).select("video_id", F.col("_next").alias("no"))
+        more = written(more, "reached")
+        if more.isEmpty():
+            break
+        reached = written(reached.unionByName(more), "reached")
+        jump = written(jump.where("next is not null").join(side(jump), same("next")).select("video_id", "no", F.col("_next").alias("next")), "jump")
+    most = placed.groupBy(F.col("video_id").alias("_m")).agg(F.max("no").alias("most"))
+    begins = reached.join(side(step), same("no")).join(most, F.col("video_id").eqNullSafe(F.col("_m")))
+    begins = positions(begins.select("video_id", "no", F.coalesce("_next", F.col("most") + 1).alias("until")), "video_id", [F.col("no")])
+    member = begins.select(F.col("video_id").alias("_v"), (F.col("position") - 1).cast("int").alias("group_no"), F.explode(F.sequence(F.col("no"), F.col("until") - 1)).alias("_no"))
+    parts = F.array_sort(F.collect_list(F.struct("no", "start", "duration", "text")))
+    by = placed.join(member, same("no")).groupBy("video_id", "group_no").agg(parts.alias("s"))
+    last = F.element_at("s", -1)
+    by = by.select("video_id", "group_no", F.col("s")[0]["start"].alias("start"), (last["start"] + last["duration"]).alias("end"), F.array_join("s.text", " ").alias("text"))
     heading = F.concat(F.lit("## ["), X.format_timestamp(F.col("start")), F.lit("] Segment à "), X.format_timestamp(F.col("start")))
     return by.withColumn("heading", heading)
 

@@ -350,10 +350,28 @@ def test_a_bad_file_stops_nothing(spark):
 
 def test_segments_are_anchored(spark):
     rows = [("v", float(s), 5.0, t) for s, t in ((0, ""), (10, "a"), (69, "b"), (70, "c"), (131, "d"))]
-    out = A.group_segments(spark.createDataFrame(rows, "video_id string, start double, duration double, text string")).collect()
+    out = A.group_segments(spark.createDataFrame(rows, "video_id string, start double, duration double, text string")).orderBy("group_no").collect()
     assert [(r.start, r.end, r.text) for r in out] == [(10.0, 74.0, "a b"), (70.0, 75.0, "c"), (131.0, 136.0, "d")]
 
 
+def test_long_videos_span_ranges(spark):
+    rng = random.Random(6)
+    rows = [("long", rng.randrange(400_000) / 10, rng.randrange(50) / 10, f"w{i}") for i in range(4000)]
+    rows += [(None, 5.0, 1.0, "x"), (None, 64.9, 1.0, "y"), (None, 65.0, None, "z"), ("one", 7.0, 1.0, " a "), ("none", 1.0, 1.0, " "), ("same", 3.0, 1.0, "b"), ("same", 3.0, 1.0, "b"), ("same", None, 1.0, "c")]
+    out = A.group_segments(spark.createDataFrame(rows, "video_id string, start double, duration double, text string").repartition(5)).collect()
+    want = []
+    for v in {r[0] for r in rows}:
+        anchor, n = None, -1
+        for s, d, t in sorted((s, d or 0.0, t.strip()) for x, s, d, t in rows if x == v and t.strip() and s is not None):
+            if anchor is None or s - anchor >= 60:
+                anchor, n = s, n + 1
+                want.append([v, n, s, s + d, t])
+            else:
+                want[-1][3:] = [s + d, want[-1][4] + " " + t]
+    shown = lambda x: sorted(map(repr, x))
+    assert shown([r.video_id, r.group_no, r.start, r.end, r.text] for r in out) == shown(want)
+
+
 def drained(stream, spark, tmp_path, name):
     out = str(tmp_path / name)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start().awaitTermination()
