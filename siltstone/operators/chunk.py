@@ -2,43 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
+from siltstone.operators import tables
 
 #: Tokens of a chunk and of the overlap (a token counts as 4 characters), and characters below which a chunk is merged.
 TARGET, OVERLAP, LEAST, CHARS = 500, 60, 100, 4
 HEADING = r"(?dU)^(#{1,6})\s+(.+?)\s*$"
+#: The same by its first characters: where a text is cut, whether it begins with one, each one's line.
+_BEGIN = r"#{1,6}[\s&&[^\n]][^\n]"
+AT_HEADING, FIRST_HEADING, EACH_HEADING = rf"(?mdU)(?=^{_BEGIN})", rf"(?dU)\A{_BEGIN}", rf"(?mdU)^{_BEGIN}[^\n]*"
 URL_AT_END = r"(?s)^(.*?)(https?://[^\s)\]\"'<>]+)$"
 URL_GOES_ON = "/:?&=#%+~,;_-"
 _STRINGS = "array<string>"
 
 
+def _sections(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, sec, *carried, heading_path, body. Texts are cut at headings where they are read and dealt by (doc_id, sec), so that a
+    document's sections spread over tasks; only its headings meet in one task, to find the paths. A doc_id names one document.
+    """
+    whole = docs.select("doc_id", *carried, "markdown", F.split("markdown", AT_HEADING, -1).alias("_blocks"))
+    bare = F.forall("_blocks", lambda b: _body(b) == "")
+    cut = whole.select("doc_id", *carried, bare.alias("_bare"), F.rlike("markdown", F.lit(FIRST_HEADING)).alias("_titled"), F.posexplode(F.when(bare, F.array("markdown")).otherwise(F.col("_blocks"))).alias("_at", "_block"))
+    sec = F.when(F.col("_bare"), 0).otherwise(F.col("_at") + F.col("_titled").cast("int")).cast("bigint")
+    body = F.when(F.col("_bare"), X.strip(F.col("_block"))).otherwise(_body(F.col("_block")))
+    bodies = cut.select(F.struct("doc_id", sec.alias("sec")).alias("_key"), *carried, "_bare", body.alias("body")).where("body <> ''").repartition("_key")
+
+    heads = docs.select("doc_id", F.posexplode(F.regexp_extract_all("markdown", F.lit(EACH_HEADING), 0)).alias("_at", "line"))
+    heads = heads.select("doc_id", (F.col("_at") + 1).cast("bigint").alias("sec"), F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), X.strip(F.regexp_extract("line", HEADING, 2)).alias("title"))
+    w = Window.partitionBy("doc_id").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
+    heads = heads.select("doc_id", "sec", *[F.max(F.when(F.col("level") == k, F.struct("sec", "title"))).over(w).alias(f"h{k}") for k in range(1, 7)])
+    path, above = [], F.lit(0)
+    for k in range(1, 7):
+        own = F.coalesce(F.col(f"h{k}.sec"), F.lit(0))
+        path.append(F.when(own > above, F.col(f"h{k}.title")))
+        above = F.greatest(above, own)
+    paths = heads.select(F.struct("doc_id", "sec").alias("_key"), F.filter(F.array(*path), lambda t: t.isNotNull()).alias("_path"))
+    held = F.when(~F.col("_bare") & F.col("_path").isNotNull(), F.col("_path")).otherwise(F.array().cast(_STRINGS))
+    return bodies.join(paths, "_key", "left").select("_key.doc_id", "_key.sec", *carried, held.alias("heading_path"), "body")
+
+
+def _body(block: Column) -> Column:
+    """What stands below the heading that a block begins with, or all of it."""
+    return X.strip(F.when(F.rlike(block, F.lit(FIRST_HEADING)), F.regexp_replace(block, r"^[^\n]*\n?", "")).otherwise(block))
+
+
 def split_sections(docs: DataFrame) -> DataFrame:
     """doc_id, sec, heading_path, body of docs (doc_id, markdown): one row for each section with a body.
 
     A heading ends all headings of its level or deeper ones. A document whose sections have no body is one section
-    without path; blank documents give none. All windows and groups use one shuffle by doc_id.
+    without path; blank documents give none.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("markdown", "\n")).alias("ln", "line"))
-    lines = lines.select("*", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), X.strip(F.regexp_extract("line", HEADING, 2)).alias("title"))
-    w = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    last = {k: F.max(F.when(F.col("level") == k, F.struct("ln", "title"))).over(w) for k in range(1, 7)}
-    lines = lines.select("*", F.sum((F.col("level") > 0).cast("int")).over(w).alias("sec"), *[c.alias(f"h{k}") for k, c in last.items()])
-    path, above = [], F.lit(-1)
-    for k in range(1, 7):
-        own = F.coalesce(F.col(f"h{k}.ln"), F.lit(-1))
-        path.append(F.when(own > above, F.col(f"h{k}.title")))
-        above = F.greatest(above, own)
-    lines = lines.withColumn("heading_path", F.filter(F.array(*path), lambda t: t.isNotNull()))
-    body = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("ln", "line"))))
-    by = lines.groupBy("doc_id", "sec").agg(F.max_by("heading_path", "ln").alias("heading_path"), X.strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"), X.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n")).alias("whole"))
-    doc = Window.partitionBy("doc_id")
-    by = by.withColumn("some", F.max((F.col("body") != "").cast("int")).over(doc))
-    bare = by.where("some = 0").groupBy("doc_id").agg(X.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sec", "whole"))), lambda x: x["whole"]), "\n")).alias("body"))
-    bare = bare.where("body <> ''").select("doc_id", F.lit(0).cast("bigint").alias("sec"), F.array().cast(_STRINGS).alias("heading_path"), "body")
-    return by.where("body <> ''").select("doc_id", F.col("sec").cast("bigint").alias("sec"), "heading_path", "body").unionByName(bare)
+    return _sections(docs.select("doc_id", "markdown"))
 
 
 def hard_split(text: Column, target: int, overlap: int) -> Column:
@@ -115,17 +135,51 @@ def merge_tiny(chunks: Column, least: int, target: int) -> Column:
     return F.aggregate(chunks, empty, put, lambda a: F.when(a["cur"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
 
 
+def _heads(least: int, target: int):
+    """Streams pieces in order of document and place: which of them begin a chunk, by the rule of merge_tiny on their sizes alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = at = 0
+        for rows in batches:
+            index, alone = [], []
+            for first, size in zip(rows.column("first").to_pylist(), rows.column("size").to_pylist()):
+                if not first and held < least and held + size <= 1.5 * target:
+                    held += 2 + size
+                    alone.append(False)
+                else:
+                    held, at = size, 0 if first else at + 1
+                    alone.append(size >= least)
+                index.append(at)
+            kept = [rows.column(n) for n in ("doc_id", "sec", "k")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(index, pa.int32()), pa.array(alone, pa.bool_())], ["doc_id", "sec", "k", "chunk_index", "alone"])
+
+    return run
+
+
 def chunk_documents(docs: DataFrame, target_tokens: int = TARGET, overlap_tokens: int = OVERLAP, min_chars: int = LEAST) -> DataFrame:
-    """The chunks table of docs (doc_id, title, markdown): doc_id, chunk_index, heading_path, page_or_section, text, char_count."""
+    """The chunks table of docs (doc_id, title, markdown): doc_id, chunk_index, heading_path, page_or_section, text, char_count.
+
+    A giant document spreads over tasks: its sections are split each on its own, and merging is decided on the sizes of
+    the pieces, which alone pass one task in order. A chunk of min_chars or more never takes in the next, so its text
+    goes straight on; only what begins below that is grouped. The pieces are a written table.
+    """
     target, overlap = target_tokens * CHARS, overlap_tokens * CHARS
-    sections = split_sections(docs.select("doc_id", "markdown")).withColumn("pieces", split_by_size(F.col("body"), target, overlap))
-    titled = sections.join(docs.select("doc_id", F.col("title").alias("doc_title")), "doc_id")
-    pieces = titled.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode("pieces").alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sections = _sections(docs.select("doc_id", F.col("title").alias("doc_title"), "markdown"), "doc_title")
+    pieces = sections.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode(split_by_size(F.col("body"), target, overlap)).alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
     text = X.context_prefix(F.col("doc_title"), F.col("heading_path"), F.col("piece"))
-    by = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sec", "k", text.alias("text"), F.col("heading_path").alias("path")))).alias("c"))
-    merged = merge_tiny(F.transform("c", lambda x: F.struct(x["text"].alias("text"), x["path"].alias("path"))), min_chars, target)
-    out = by.select("doc_id", F.posexplode(merged).alias("chunk_index", "m"))
-    return out.select("doc_id", "chunk_index", F.col("m.path").alias("heading_path"), F.array_join("m.path", " > ").alias("page_or_section"), F.col("m.text").alias("text"), F.length("m.text").alias("char_count"))
+    pieces = tables.written(pieces.select("doc_id", "sec", "k", "heading_path", text.alias("text")).withColumn("size", F.length("text")), "pieces")
+
+    w = Window.partitionBy("doc_id").orderBy("sec", "k")
+    sizes = pieces.select("doc_id", "sec", "k", "size", (F.row_number().over(w) == 1).alias("first"))
+    placed = sizes.mapInArrow(_heads(min_chars, target), f"doc_id {kind}, sec bigint, k int, chunk_index int, alone boolean")
+    key = F.struct("doc_id", "sec", "k").alias("_key")
+    whole = pieces.select(key, "heading_path", "text").join(placed.select(key, "chunk_index", "alone"), "_key").select("_key.*", "chunk_index", "alone", "heading_path", "text")
+    parts = F.array_sort(F.collect_list(F.struct("sec", "k", "text", F.col("heading_path").alias("path"))))
+    grouped = whole.where("not alone").groupBy("doc_id", "chunk_index").agg(parts.alias("p"))
+    grouped = grouped.select("doc_id", "chunk_index", F.col("p")[0]["path"].alias("heading_path"), F.array_join("p.text", "\n\n").alias("text"))
+    out = whole.where("alone").select("doc_id", "chunk_index", "heading_path", "text").unionByName(grouped)
+    return out.select("doc_id", "chunk_index", "heading_path", F.array_join("heading_path", " > ").alias("page_or_section"), "text", F.length("text").alias("char_count"))
 
 
 def renumber(chunks: DataFrame, order: str) -> DataFrame:

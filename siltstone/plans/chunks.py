@@ -45,7 +45,47 @@ def chk1_split_sections(spark: SparkSession, d: str) -> DataFrame:
     return C.split_sections(titled(spark, d)).select("doc_id", "sec", F.array_join("heading_path", " > ").alias("path"), F.md5("body").alias("body"))
 
 
-@query()
+def _blank(x: str) -> str:
+    return f"{_TRIM.format(x)} = ''"
+
+
+def pieces_sql(target: int, overlap: int) -> str:
+    """CTEs from b (id, body) to pieces (id, pos, piece). Each fold is a recursion that emits what is done at a step and keeps the open piece only."""
+    url = r"""(?s)^(.*?)(https?://[^\s)\]"''<>]+)$"""
+    image = f"(?s)^(.*?)\\]\\({X.IMAGE_SCHEME}://[^)]+\\)"
+    own = "CASE WHEN cur <> '' THEN [" + _TRIM.format("cur") + "] ELSE [] END"
+    return (
+        "para AS MATERIALIZED (SELECT id, p, row_number() OVER (PARTITION BY id ORDER BY j) AS i FROM (SELECT id, j, " + _TRIM.format("x") + r" AS p FROM (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS j FROM "
+        f"(SELECT id, string_split_regex(body, '\\n\\s*\\n') AS l FROM b WHERE length(body) > {target}))) WHERE p <> ''), "
+        "sent AS MATERIALIZED (SELECT id, i, unnest(l) AS s, generate_subscripts(l, 1) AS j FROM (SELECT id, i, string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM para "
+        f"WHERE length(p) > {target})), "
+        "hard AS (SELECT DISTINCT id, i, CAST(0 AS BIGINT) AS j, '' AS cur, CAST([] AS VARCHAR[]) AS out FROM sent UNION ALL "
+        f"SELECT id, i, j, CASE WHEN length(longer) <= {target} THEN longer WHEN length(s) > {target} THEN '' ELSE s END, CASE WHEN length(longer) <= {target} THEN [] "
+        f"WHEN length(s) > {target} THEN list_concat({own}, list_transform(range(0, length(s), {target - overlap}), lambda x: substr(s, x + 1, {target}))) ELSE {own} END "
+        "FROM (SELECT sent.*, cur, CASE WHEN cur <> '' THEN cur || ' ' ELSE '' END || s AS longer FROM hard JOIN sent ON sent.id = hard.id AND sent.i = hard.i AND sent.j = hard.j + 1)), "
+        "cut AS MATERIALIZED (SELECT id, i, list(x ORDER BY j, k) AS slices FROM (SELECT id, i, j, unnest(out) AS x, generate_subscripts(out, 1) AS k FROM hard "
+        f"UNION ALL SELECT id, i, j + 1, {_TRIM.format('cur')}, 1 FROM (SELECT *, max(j) OVER (PARTITION BY id, i) AS last FROM hard) WHERE j = last AND NOT {_blank('cur')}) GROUP BY ALL), "
+        "whole AS MATERIALIZED (SELECT para.*, coalesce(slices, []) AS slices FROM para LEFT JOIN cut USING (id, i)), "
+        "pack AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS i, '' AS cur, CAST([] AS VARCHAR[]) AS out FROM para UNION ALL "
+        f"SELECT id, i, CASE WHEN length(p) > {target} THEN '' WHEN length(longer) <= {target} THEN longer ELSE CASE WHEN lap <> '' THEN lap || chr(10) || chr(10) ELSE '' END || p END, "
+        f"CASE WHEN length(p) > {target} THEN list_concat({own}, slices) WHEN length(longer) <= {target} THEN [] ELSE {own} END "
+        "FROM (SELECT *, CASE WHEN broken <> '' AND NOT contains(before, '![') THEN ltrim(substr(lapped, length(broken) + 1), ' ' || chr(10)) ELSE lapped END AS lap "
+        f"FROM (SELECT *, regexp_extract(lapped, '{image}', 0) AS broken, regexp_extract(lapped, '{image}', 1) AS before "
+        f"FROM (SELECT *, {_TRIM.format(f'CASE WHEN head <> chr(0) THEN substr(rest, length(head) + 1) ELSE right(tail, {overlap}) END')} AS lapped "
+        "FROM (SELECT *, CASE WHEN regexp_matches(rest, '(?s)^.*?[.!?]\\s+') THEN regexp_extract(rest, '(?s)^(.*?[.!?]\\s+)', 1) ELSE chr(0) END AS head "
+        f"FROM (SELECT *, substr(tail, length(tail) // 2 + 1) AS rest FROM (SELECT whole.*, cur, right(cur, {2 * overlap}) AS tail, CASE WHEN cur <> '' THEN cur || chr(10) || chr(10) ELSE '' END || p AS longer "
+        "FROM pack JOIN whole ON whole.id = pack.id AND whole.i = pack.i + 1))))))), "
+        "packed AS MATERIALIZED (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY i, k) AS n FROM (SELECT id, i, unnest(out) AS x, generate_subscripts(out, 1) AS k FROM pack "
+        f"UNION ALL SELECT id, i + 1, {_TRIM.format('cur')}, 1 FROM (SELECT *, max(i) OVER (PARTITION BY id) AS last FROM pack) WHERE i = last AND NOT {_blank('cur')})), "
+        "mend AS (SELECT id, CAST(0 AS BIGINT) AS n, '' AS cur, '' AS done FROM packed WHERE n = 1 UNION ALL "
+        f"SELECT id, n, CASE WHEN moves THEN regexp_extract(cur, '{url}', 2) || x ELSE x END, CASE WHEN moves THEN rtrim(regexp_extract(cur, '{url}', 1), ' ' || chr(10)) ELSE cur END "
+        f"FROM (SELECT packed.*, cur, regexp_matches(cur, '{url}') AND x <> '' AND contains('{C.URL_GOES_ON}', left(x, 1)) AS moves FROM mend JOIN packed ON packed.id = mend.id AND packed.n = mend.n + 1)), "
+        "pieces AS MATERIALIZED (SELECT id, pos, piece FROM (SELECT id, n AS pos, done AS piece FROM mend UNION ALL SELECT id, n + 1, cur FROM (SELECT *, max(n) OVER (PARTITION BY id) AS last FROM mend) WHERE n = last) "
+        f"WHERE NOT {_blank('piece')} UNION ALL SELECT id, 1, body FROM b WHERE length(body) <= {target}) "
+    )
+
+
+@query(f"WITH RECURSIVE b AS (SELECT doc_id AS id, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents), {pieces_sql(SMALL, 60)}SELECT id AS doc_id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INTEGER) AS k, piece FROM pieces")
 def chk2_split_by_size(spark: SparkSession, d: str) -> DataFrame:
     body = F.replace("text", F.lit("\n"), F.lit("\n\n"))
     return read(spark, d, "documents").select("doc_id", F.posexplode(C.split_by_size(body, SMALL, 60)).alias("k", "piece"))
@@ -108,7 +148,22 @@ def chk8_renumber(spark: SparkSession, d: str) -> DataFrame:
     return C.renumber(rows, "chunk_index").select("doc_id", "chunk_index", F.length("line").cast("bigint").alias("char_count"))
 
 
-@query()
+_LONG = C.TARGET * C.CHARS
+
+
+@query(
+    _SECTIONS.replace("WITH m", "WITH RECURSIVE m", 1)
+    + ", t AS MATERIALIZED (SELECT * FROM s WHERE body <> '' UNION ALL "
+    f"SELECT doc_id, CAST(0 AS BIGINT), '', {_TRIM.format('array_to_string(l, chr(10))')} FROM m WHERE doc_id NOT IN (SELECT doc_id FROM s WHERE body <> '') AND {_TRIM.format('array_to_string(l, chr(10))')} <> ''), "
+    f"b AS MATERIALIZED (SELECT {{'d': doc_id, 's': sec}} AS id, body FROM t), {pieces_sql(_LONG, C.OVERLAP * C.CHARS)}, "
+    "c AS MATERIALIZED (SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY sec, pos) AS n, '[' || source || CASE WHEN path <> '' THEN ' > ' || path ELSE '' END || ']' || chr(10) || chr(10) || "
+    + _TRIM.format("piece")
+    + " AS text FROM pieces JOIN t ON t.doc_id = id.d AND t.sec = id.s JOIN (SELECT doc_id, source FROM documents) USING (doc_id)), "
+    "g AS (SELECT doc_id, n, CAST(0 AS INTEGER) AS chunk_index, length(text) AS held FROM c WHERE n = 1 UNION ALL "
+    f"SELECT doc_id, n, CASE WHEN fits THEN chunk_index ELSE chunk_index + 1 END, CASE WHEN fits THEN held + 2 + size ELSE size END FROM (SELECT c.doc_id, c.n, chunk_index, held, length(text) AS size, held < {C.LEAST} AND held + length(text) <= {1.5 * _LONG} AS fits "
+    "FROM g JOIN c ON c.doc_id = g.doc_id AND c.n = g.n + 1)) "
+    "SELECT doc_id, chunk_index, min_by(path, n) AS page_or_section, string_agg(text, chr(10) || chr(10) ORDER BY n) AS text, CAST(length(string_agg(text, chr(10) || chr(10) ORDER BY n)) AS INTEGER) AS char_count FROM g JOIN c USING (doc_id, n) GROUP BY doc_id, chunk_index"
+)
 def chk9_chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     out = C.chunk_documents(titled(spark, d))
     return out.select("doc_id", "chunk_index", "page_or_section", "text", "char_count")
