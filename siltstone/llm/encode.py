@@ -1,7 +1,7 @@
 """Token ids of whole texts by a tokenizer file, each distinct piece of text encoded once.
 
-A text is split at safe boundaries: before white space that follows something else, before a comma or full stop that
-follows an ASCII letter, and before an ideographic comma or stop that follows a Han letter. The pre-tokenizer of a byte-level
+A text is split at safe boundaries: before white space that follows something else, before a mark of `,.!?;:` that
+follows an ASCII letter, and before an ideographic or fullwidth mark that follows a Han or kana letter. The pre-tokenizer of a byte-level
 BPE never crosses these, so the ids of the pieces in order are the ids of the text. No boundary is taken after white space
 outside ASCII (or the control characters 1C to 1F), nor inside an added token. Whether a tokenizer file is of this kind is
 checked when it is loaded; with any other, each text is one piece. A run of letters without any boundary can't be split safely and
@@ -27,7 +27,9 @@ _MAYBE_ODD[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 #: UTF-8 of the ideographic comma and stop and of the fullwidth comma, stop, marks, colon and semicolon, as numbers.
 _WIDE_STOP = np.array(sorted(int.from_bytes(c.encode(), "big") for c in "、。，．！？：；"))
 _STOP = np.zeros(256, bool)
-_STOP[[ord(","), ord(".")]] = True
+_STOP[[ord(c) for c in ",.!?;:"]] = True
+#: First and last letter (UTF-8 as numbers) of the runs after which such a mark always begins a token: Hiragana, Katakana, its length and iteration marks, Han.
+_LETTERS = [tuple(int.from_bytes(chr(c).encode(), "big") for c in run) for run in ((0x3041, 0x3096), (0x30A1, 0x30FA), (0x30FC, 0x30FF), (0x4E00, 0x9FA5))]
 #: Bytes encoded together; distinct pieces kept by a worker before it starts anew.
 BATCH_BYTES, MOST_PIECES = 1 << 20, 1 << 20
 
@@ -51,7 +53,7 @@ class Encoder:
         """Is it a byte-level BPE with the usual pattern, whose added tokens stand for themselves and hold none of our boundaries?"""
         kind = told["pre_tokenizer"] or {}
         plain = told["normalizer"] is None and told["model"]["type"] == "BPE" and not told["model"].get("continuing_subword_prefix") and not told["model"].get("end_of_word_suffix")
-        own = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) and not re.search(r"[\s,.\x1c-\x1f、。，．！？：；]", t.content) for t in added)
+        own = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) and not re.search(r"[\s,.!?;:\x1c-\x1f、。，．！？：；]", t.content) for t in added)
         return plain and own and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
 
     def _forget(self) -> None:
@@ -96,7 +98,9 @@ class Encoder:
                 edge[self._after_odd(data, offsets)] = False
             lead = np.flatnonzero((data[3:-2] == 0xE3) | (data[3:-2] == 0xEF)) + 3 if len(data) > 5 else np.zeros(0, np.int64)
             point = data[lead].astype(np.int64) << 16 | data[lead + 1].astype(np.int64) << 8 | data[lead + 2]
-            edge[lead[np.isin(point, _WIDE_STOP) & (data[lead - 3] >= 0xE5) & (data[lead - 3] <= 0xE8)]] = True  # U+5000 to U+8FFF
+            lead = lead[np.isin(point, _WIDE_STOP)]
+            before = data[lead - 3].astype(np.int64) << 16 | data[lead - 2].astype(np.int64) << 8 | data[lead - 1]
+            edge[lead[np.any([(before >= a) & (before <= b) for a, b in _LETTERS], axis=0)]] = True
         edge[offsets[:-1][offsets[:-1] < len(data)]] = True
         return np.flatnonzero(edge)
 

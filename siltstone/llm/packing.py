@@ -16,6 +16,8 @@ from siltstone.llm import common
 
 #: Tokens of a sequence; the id that ends each document; pieces that one partition packs; exchanges at most.
 LIMIT, END_ID, ITEMS, ROUNDS = 1024, 2, 20_000, 6
+#: Stands in the place of the exchange's number in the ids of sequences that one full piece fills.
+WHOLE = 127
 
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
@@ -127,21 +129,26 @@ def pack(pieces: DataFrame, limit: int = LIMIT, items: int = ITEMS, rounds: int
     dual-feasible functions. A partition whose count equals the bound is certified; it hands on only its emptiest bin,
     whose free space is what rounding up costs it. One with a gap hands on every bin that isn't full. What is handed on is dealt anew
     (to fewer partitions, so that pieces of different partitions meet) and packed again, until one certified partition
-    or `rounds` exchanges are left. Partitions are dealt by hash: equal pieces and reruns land alike. An empty table
-    gives an empty table; columns named sequence_id or offset are replaced.
+    or `rounds` exchanges are left. A piece of `limit` is a sequence by itself and isn't dealt. The others are dealt by a
+    hash of the row and of its place in the written table, so that equal rows spread over partitions, however many they
+    are, and a lost task deals alike. An empty table gives an empty table; columns named sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
-    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "open", "_part")]
+    kept = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "open", "_part", "_place")]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())])
-    pool, done = common.settle(pieces.select(names)), []
+    pool = common.settle(pieces.select(names))
+    place = F.monotonically_increasing_id()
+    done = [pool.where(F.col("length") == limit).select(*names, (place + (WHOLE << 56)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
+    pool = pool.where(F.col("length") < limit)
     left = pool.count()
+    if not left:
+        return done[0]
     for turn in range(rounds + 1):
         parts = max(1, -(-left // items))
         last = turn == rounds or (turn > 0 and parts == 1)
-
-        part = F.pmod(F.xxhash64(F.lit(turn), *names), F.lit(parts)).alias("_part")
-        out = common.settle(pool.select(part, *names).groupBy("_part").applyInArrow(_packer(names, limit, turn, last), schema))
+        part = F.pmod(F.xxhash64(F.lit(turn), *names, "_place"), F.lit(parts)).alias("_part")
+        out = common.settle(pool.withColumn("_place", place).select(part, *names).groupBy("_part").applyInArrow(_packer(names, limit, turn, last), schema))
         done.append(out.where("not open").select(*names, "sequence_id", "offset"))
         pool = out.where("open").select(names)
         if last or not (left := pool.count()):

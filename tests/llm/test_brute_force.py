@@ -44,6 +44,16 @@ def run(spark, name):
     return registry.QUERIES[name](spark, SF).toPandas()
 
 
+def test_texts_are_split_at_marks_after_kana_and_letters():
+    import pyarrow as pa
+
+    own = encode.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("これはペンです。" * 500, "one!two?three;four:" * 500, "コーヒー、" * 500):
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert len(own._pieces(data, np.array([0, len(data)]))) >= 500
+        assert own.encode(pa.array([text]), want_ids=True)[1][0].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -70,7 +80,7 @@ def test_safe_pieces(name):
 
     tokenizer, own_encoder = Tokenizer.from_file(public_tokenizers.path(name)), encode.Encoder(public_tokenizers.path(name))
     assert own_encoder.splits == name.startswith("byte")
-    alphabet = ["a", "B", "é", "7", " ", "  ", "\n", "\t", ",", ".", "'", "s", "'t", "%", "\x1c", "\xa0", "\xa0 ", "<|endoftext|>", "漢", "字。", "、", "，", "あ", "㉈", " ", "\r\n", "\u3000", "\u200b", "۵", "़"]
+    alphabet = ["a", "B", "é", "7", " ", "  ", "\n", "\t", ",", ".", "'", "s", "'t", "%", "\x1c", "\xa0", "\xa0 ", "<|endoftext|>", "漢", "字。", "、", "，", "あ", "㉈", " ", "\r\n", "\u3000", "\u200b", "۵", "़", "!", "?", ";", ":", "x!", "カ", "ー", "゛", "・", "゙", "。", "！", "一", "ヿ", "ゟ"]
     rng = random.Random(3)
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     texts += ["漢字仮名。" * 500, "word\xa0word, " * 500, "x" * 3000]

@@ -161,3 +161,13 @@ def test_top_k(spark):
     first = out[out["query_id"] == 0].sort_values("rank")
     assert first["vec_id"].tolist() == sorted(first["vec_id"]) and not (first["vec_id"] == 0).any()
     assert topk.exact_top_k(v.limit(0)).count() == 0
+
+
+def test_equal_pieces_spread_and_full_ones_are_sequences(spark):
+    one = spark.range(60_000).select(F.lit(7).cast("bigint").alias("doc_id"), F.when(F.col("id") % 4 == 0, 1024).otherwise(300).cast("bigint").alias("length"))
+    out = packing.pack(one, items=5000, rounds=1).toPandas()
+    by = out.groupby("sequence_id").length.agg(["sum", "size"])
+    assert len(out) == 60_000 and by["sum"].max() <= 1024 and (by["sum"] == 1024).sum() == 15_000 and len(by) - 15_000 == 15_000
+    dealt = out[out.length < 1024].groupby(out.sequence_id // (1 << 24)).size()
+    assert len(dealt) > 5 and dealt.max() < 5 * dealt.median()
+    assert packing.pack(one.where("length = 1024")).where("offset = 0").count() == 15_000
