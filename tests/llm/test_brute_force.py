@@ -401,6 +401,32 @@ def test_tricks_meet_in_one_span(docs):
     assert spans("so @$$ it") == [(0, 3, 6)] and not spans("it cost 100 and 1 2 3, wow!!!") and not spans("") and not spans("$ !")
 
 
+def test_what_stands_between_letters_is_left_out(docs):
+    decoder = toxicity.Decoder(toxicity.train_characters(docs))
+    lexicon = toxicity.Lexicon({"idiot$": 0.9, "stupid$": 0.9}, 0.1)
+
+    def decoded(text):
+        own, at = np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)])
+        spans = [(b, e, toxicity.BREAK) for _, b, e in toxicity.suspicious(own, at)] + [(b, e, 0.0) for _, b, e in lexicon.across(own, at)]
+        return {w for b, e, parting in spans for w in decoder.gained(text[b:e].lower(), parting)[1]}
+
+    idiots = ["i  d  i  o  t", "i . d . i . o . t", "i/d/i/o/t", "i,d,i,o,t", "\u00efd\u00ef\u00f6t", "i\u0308dio\u0308t", "id\u200bi\u200b\u200bot", "\uff49\uff44\uff49\uff4f\uff54", "id iot", "i.diot", "\u0456di\u043et", "ID\u00adIOT"]
+    for text in idiots:
+        assert "idiot" in decoded(f"you {text} of all"), text
+    for text in ("stuupid", "st.up.id", "st up id", "s/t/u/p/i/d", "st\u00fcpid", "stup-id"):
+        assert "stupid" in decoded(f"so {text} it is"), text
+    assert not {"idiot", "stupid"} & decoded("put id, iota and stupor; see letters, good books, and/or a well-known cafe: a, b, c")
+    assert not lexicon.across(np.frombuffer("idiot stupid id\niot".encode("utf-32-le"), np.uint32), np.array([0, 19]))
+    reach, rng, held = lexicon.reach(), random.Random(3), 0
+    for _ in range(3000):
+        text = "".join(rng.choice(["i", "d", "i", "o", "t", "\u00ef", "-", ",", "\u200b", "x", "dd"]) for _ in range(rng.randint(3, 9))) + rng.choice(["", "idiot", "idi-ott"])
+        found = [w for w in decoder.decode(text).split() if lexicon.of_word(w)]
+        held += bool(found)
+        assert reach(text) or not found, text
+    assert held > 100 and not reach("letters") and not toxicity.Lexicon({}, 0.1).reach()("id-iot")
+    assert not lexicon.across(np.frombuffer("idiot".encode("utf-32-le"), np.uint32), np.array([0, 2, 5]))
+
+
 def test_viterbi_is_the_best_of_all_paths(docs):
     decoder = toxicity.Decoder(toxicity.train_characters(docs))
     rng = random.Random(8)
