@@ -30,7 +30,7 @@ SEPARATORS, LOOSE, HIDDEN = " .-_*", "/,:;~'\"\\^=()", "\u00ad\u200b\u200c\u200d
 TWINS = dict(zip("\u0430\u0435\u043e\u0440\u0441\u0443\u0445\u0456\u0455\u0458\u0501\u03bf", "aeopcyxisjdo"))
 DRESSED, WIDEST = ((0xC0, 0x250), (0x1E00, 0x1F00), (0xFF21, 0xFF5B), (0x1D400, 0x1D6A4)), 3
 #: Marks that also stand for the last letter of a word; decoded spans that a worker keeps.
-FINAL, KEPT = "$@+|", 200_000
+FINAL, KEPT = "$@+|", 20_000
 STEP = 0x9E3779B97F4A7C15
 
 
@@ -107,20 +107,20 @@ class Decoder:
 
     def __init__(self, cost: np.ndarray):
         self.cost = cost.reshape(-1, SYMBOLS).tolist()
-        self.seen: dict[tuple[str, float], tuple[str, list[str]]] = {}
+        self.seen: dict[tuple[str, float], tuple[str, tuple[str, ...]]] = {}
 
     def decode(self, span: str) -> str:
         """The words, separated by spaces, on the cheapest path of the span's lattice."""
         return self.gained(span)[0]
 
-    def gained(self, span: str, parting: float = BREAK) -> tuple[str, list[str]]:
+    def gained(self, span: str, parting: float = BREAK) -> tuple[str, tuple[str, ...]]:
         """The decoded span and those of its words that don't stand in it as it is. A separator costs `parting` where it parts
         words: 0 if the span is ordinary words, so that they are joined only where the language model gains by it."""
         if (got := self.seen.get((span, parting))) is None:
             if len(self.seen) >= KEPT:
                 self.seen.clear()
             found = self._path(span, parting).split()
-            got = self.seen[span, parting] = " ".join(found), [w for w in found if w not in span]
+            got = self.seen[span, parting] = " ".join(found), tuple(w for w in found if w not in span)
         return got
 
     @staticmethod
