@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from siltstone.operators.index import Bm25, bm25
 
 #: Constant of reciprocal-rank fusion; hits of a document before others come first; queries of a block; bytes of queries that are sent to every task.
 RRF, PER_DOC, QUERY_BLOCK, QUERY_BYTES = 60, 4, 4096, 64 << 20
+#: Scores that a task holds at once; tokens of sparse vectors that are multiplied at once.
+TILE, TOKEN_SLICE = 1 << 21, 256
 
 
 def top_k(scored: DataFrame, k: int, *ties: str, by: str = "query_id") -> DataFrame:
@@ -40,14 +43,71 @@ def bm25_topk(questions: DataFrame, index: Bm25, k: int) -> DataFrame:
     return top_k(scored.where("score > 0"), k, "chunk_id")
 
 
-def sparse_topk(queries: DataFrame, sparse: DataFrame, k: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, chunk_id, score, rank: dot product of query (query_id, tok, w) and chunk vectors (chunk_id, tok, w) over shared tokens.
+def sparse_topk(queries: DataFrame, sparse: DataFrame, k: int, by: tuple[str, ...] = (), digits: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, chunk_id, score, rank: dot product of query (query_id, tok, w) and chunk vectors (chunk_id, tok, w) over shared tokens; pairs without one are no hits.
 
-    by: columns of both, such as the collection, that a query shares with the chunks it may find.
+    by: columns of both, such as the collection, that a query shares with the chunks it may find. digits: decimals that scores are rounded to before they are ranked. As in dense_topk, vectors meet in
+    blocks, so that pairs of tokens are never rows: a batch of chunks is multiplied with each query block, by slices of its tokens, and hands on its k best of each query. Ids are bigints.
     """
-    q = queries.select("query_id", "tok", F.col("w").alias("qw"), *by)
-    scored = sparse.join(q, ["tok", *by]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    return top_k(scored, k, "chunk_id")
+    kinds = [*[f"{c} {sparse.schema[c].dataType.simpleString()}" for c in by], "every int"]
+    by = (*by, "every")  # one key at least
+    kind = f"array<struct<tok:{sparse.schema['tok'].dataType.simpleString()},w:double>>"
+    whole = lambda df, key: df.where("tok is not null and w is not null").withColumn("every", F.lit(0)).groupBy(F.col(key).cast("bigint").alias("id"), *by).agg(F.collect_list(F.struct("tok", F.col("w").cast("double").alias("w"))).alias("v"))
+    asked = whole(queries, "query_id")
+    blocks, size = _blocks(asked, list(by), F.size("v") * 16 + 64, block)
+    packed = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), *by).agg(F.collect_list(F.struct(F.col("id").alias("qid"), F.col("v").alias("qv"))).alias("qs"))  # at most about `block` queries a row
+    chunks = whole(sparse, "chunk_id").select(*by, F.col("id").alias("chunk_id"), "v").mapInArrow(_packed(list(by), "chunk_id"), ", ".join([*kinds, "ids array<bigint>", f"vs array<{kind}>"]))
+    chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = chunks.join(F.broadcast(packed) if size <= QUERY_BYTES else packed, ["block", *by]).select("ids", "vs", "qs")
+    near = 1e-12 if digits is None else 10.0**-digits
+
+    def entries(rows: pa.Array, of: pa.Array | None) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct tokens (`of`, if given), and row, number of the token and weight of each entry that has one of them, by token."""
+        flat = rows.flatten()
+        row, (tok, w) = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy()), flat.flatten()
+        of = pc.unique(tok) if of is None else of
+        at = pc.fill_null(pc.index_in(tok, of), -1).to_numpy(zero_copy_only=False)
+        order = np.argsort(at, kind="stable")[np.count_nonzero(at < 0) :]
+        return of, row[order], at[order], w.to_numpy(zero_copy_only=False)[order]
+
+    def product(q: tuple, c: tuple, rows: int, cols: int, n: int) -> np.ndarray:
+        out = np.zeros((rows, cols))
+        for begin in range(0, n, TOKEN_SLICE):
+            wide, sides = min(TOKEN_SLICE, n - begin), []
+            for (row, at, w), length in ((q, rows), (c, cols)):
+                i, j = np.searchsorted(at, [begin, begin + wide])
+                sides.append(np.bincount(row[i:j] * wide + at[i:j] - begin, w[i:j], length * wide).reshape(length, wide))
+            out += sides[0] @ sides[1].T
+        return out
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, vs, qs in zip(*(batch.column(c) for c in ("ids", "vs", "qs"))):
+                ids, (asked_ids, qv), vs = ids.values.to_numpy(), qs.values.flatten(), vs.values
+                asked_ids, step = asked_ids.to_numpy(), max(1, TILE // len(ids))
+                for begin in range(0, len(asked_ids), step):
+                    some = qv.slice(begin, step)
+                    of, *q = entries(some, None)
+                    _, *c = entries(vs, of)
+                    score = product(q, c, len(some), len(ids), len(of))
+                    if min(q[2].min(initial=1.0), c[2].min(initial=1.0)) <= 0:  # else what shares a token has a score above 0
+                        shared = product((*q[:2], np.ones(len(q[2]))), (*c[:2], np.ones(len(c[2]))), len(some), len(ids), len(of)) > 0
+                    else:
+                        shared = score > 0
+                    score[~shared] = -np.inf
+                    n = min(k, len(ids))
+                    bar = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
+                    i, j = np.nonzero(shared & (score >= (bar - near * np.maximum(1, np.abs(np.where(np.isfinite(bar), bar, 0))))[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids[begin + i]), pa.array(ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
+
+    hits = pairs.mapInArrow(search, "query_id bigint, chunk_id bigint, score double")
+    return top_k(hits if digits is None else hits.withColumn("score", F.round("score", digits)), k, "chunk_id")
+
+
+def _blocks(queries: DataFrame, by: list[str], size: Column, block: int) -> tuple[int, int]:
+    """Into how many blocks queries go, so that those that agree in `by` are about `block` in each; the bytes of all."""
+    most, size = queries.groupBy(*by).agg(F.count("*").alias("n"), F.sum(size).alias("size")).agg(F.max("n"), F.sum("size")).first()
+    return max(1, -(-(most or 0) // block)), size or 0
 
 
 def _packed(by: list[str], ids: str):

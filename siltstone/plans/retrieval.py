@@ -57,8 +57,7 @@ def sparse(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     e = read(spark, d, "embeddings")
     weights = e.select(F.col("vec_id").alias("chunk_id"), F.map_from_arrays(F.sequence(F.lit(1), F.size("embedding")), "embedding").alias("weights"))
     rows = N.to_sparse(weights).join(e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("collection")), "chunk_id")
-    hits = R.sparse_topk(rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), rows, k * 2, ("collection",))
-    return R.top_k(hits.drop("rank").withColumn("score", F.round("score", 6)), k, "chunk_id")
+    return R.sparse_topk(rows.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id"), rows, k, ("collection",), 6)
 
 
 LEX_SQL = (

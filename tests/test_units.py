@@ -423,3 +423,20 @@ def test_minutes_of_calls_without_a_time(spark):
     calls = spark.createDataFrame([("m", None), ("m", None), ("m", datetime(2024, 1, 1))], "model string, ts timestamp")
     limits = spark.createDataFrame([("m", 9)], "model string, rpm int")
     assert sorted((r.ts is None, r.in_window) for r in T.rpm_window(calls, limits).collect()) == [(False, 1), (True, 2), (True, 2)]
+
+
+def test_sparse_search_in_blocks(spark, monkeypatch, capsys):
+    """Weights of any sign, repeated and null tokens, several blocks and tiles: as the join over tokens, without a row for each pair of tokens."""
+    monkeypatch.setattr(R, "TILE", 64)
+    monkeypatch.setattr(R, "TOKEN_SLICE", 3)
+    rows = spark.range(60).select(F.col("id").alias("chunk_id"), (F.col("id") % 2).alias("c"), F.explode(F.sequence(F.lit(0), F.col("id") % 7)).alias("j"))
+    rows = rows.select("chunk_id", "c", F.concat(F.lit("t"), F.pmod(F.hash("chunk_id", "j"), F.lit(11)).cast("string")).alias("tok"), (F.pmod(F.hash("j", "chunk_id"), F.lit(9)) - 3).cast("double").alias("w"))
+    rows = rows.unionByName(spark.createDataFrame([(1, 1, None, 5.0)], rows.schema))
+    asked = rows.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    plain = rows.join(asked.withColumnRenamed("w", "qw"), ["tok", "c"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    for by, want in ((("c",), plain), ((), rows.drop("c").join(asked.drop("c").withColumnRenamed("w", "qw"), "tok").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qw")).alias("score")))):
+        found = R.sparse_topk(asked, rows, 4, by, digits=6, block=5)
+        assert sorted(map(tuple, found.select("query_id", "chunk_id", "score", "rank").collect())) == sorted(map(tuple, R.top_k(want, 4, "chunk_id").collect()))
+    capsys.readouterr()
+    found.explain()
+    assert "tok#" not in " ".join(x for x in capsys.readouterr().out.split("\n") if "Join" in x)
