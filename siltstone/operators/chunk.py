@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -120,6 +121,78 @@ def split_by_size(body: Column, target: int, overlap: int) -> Column:
     return F.when(F.length(body) <= target, F.array(body)).otherwise(repair_urls(packed))
 
 
+def _pieces(target: int, overlap: int):
+    """split_by_size as an Arrow function: a fold whose time grows with a section's length, however many pieces it has (one over arrays copies what is done at each step)."""
+    ws = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"  # as Java's (?U)\\s
+    space = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    blank, sentence, head = re.compile(rf"\n{ws}*\n"), re.compile(rf"([.!?]){ws}+"), re.compile(rf"(?s)(.*?[.!?]{ws}+)")
+    broken = re.compile(rf"(?s)(.*?)\]\({X.IMAGE_SCHEME}://[^)]+\)")
+    url = re.compile(r"""(?s)(.*?)(https?://[^ \t\n\x0b\f\r)\]"'<>]+)(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)""")
+
+    def hard(text: str) -> list[str]:
+        out, cur = [], ""
+        for s in sentence.sub("\\1\x01", text).split("\x01"):
+            longer = f"{cur} {s}" if cur else s
+            if len(longer) <= target:
+                cur = longer
+                continue
+            if cur:
+                out.append(cur.strip(space))
+            cur = s
+            if len(s) > target:
+                out += [s[i : i + target] for i in range(0, len(s), target - overlap)]
+                cur = ""
+        return [*out, cur.strip(space)] if cur.strip(space) else out
+
+    def lap(cur: str) -> str:
+        if overlap <= 0:
+            return ""
+        tail = cur[-2 * overlap :]
+        rest = tail[len(tail) // 2 :]
+        first = head.match(rest)
+        own = (rest[first.end() :] if first else tail[-overlap:]).strip(space)
+        cut = broken.match(own)
+        return own[cut.end() :].lstrip(space) if cut and "![" not in cut[1] else own
+
+    def mended(pieces: list[str]) -> Iterator[str]:
+        cur = ""
+        for p in pieces:
+            ends = url.match(cur) if p and p[0] in URL_GOES_ON and "://" in cur else None
+            own = ends[1].rstrip(space) if ends else cur
+            if own.strip(space):
+                yield own
+            cur = ends[2] + p if ends else p
+        if cur.strip(space):
+            yield cur
+
+    def fold(body: str) -> list[str]:
+        if len(body) <= target:
+            return [body]
+        out, cur = [], ""
+        for p in filter(None, (x.strip(space) for x in blank.split(body))):
+            longer = f"{cur}\n\n{p}" if cur else p
+            if len(p) <= target and len(longer) <= target:
+                cur = longer
+                continue
+            if cur:
+                out.append(cur.strip(space))
+            if len(p) > target:
+                out += hard(p)
+                cur = ""
+            else:
+                tail = lap(cur)
+                cur = f"{tail}\n\n{p}" if tail else p
+        if cur.strip(space):
+            out.append(cur.strip(space))
+        return list(mended(out))
+
+    @F.arrow_udf(_STRINGS)
+    def pieces(bodies: pa.Array) -> pa.Array:
+        return pa.array([None if b is None else fold(b) for b in bodies.to_pylist()], pa.list_(pa.string()))
+
+    return pieces
+
+
 def merge_tiny(chunks: Column, least: int, target: int) -> Column:
     """array<struct<text, path>> where a chunk under `least` characters takes in the next, up to 1.5 targets; it keeps its path."""
     none = F.lit(None).cast("struct<text:string,path:array<string>>")
@@ -166,7 +239,7 @@ def chunk_documents(docs: DataFrame, target_tokens: int = TARGET, overlap_tokens
     target, overlap = target_tokens * CHARS, overlap_tokens * CHARS
     kind = docs.schema["doc_id"].dataType.simpleString()
     sections = _sections(docs.select("doc_id", F.col("title").alias("doc_title"), "markdown"), "doc_title")
-    pieces = sections.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode(split_by_size(F.col("body"), target, overlap)).alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
+    pieces = sections.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode(_pieces(target, overlap)("body")).alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
     text = X.context_prefix(F.col("doc_title"), F.col("heading_path"), F.col("piece"))
     pieces = tables.written(pieces.select("doc_id", "sec", "k", "heading_path", text.alias("text")).withColumn("size", F.length("text")), "pieces")
 

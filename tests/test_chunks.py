@@ -1,6 +1,8 @@
 """Chunking: literal cases, and what must hold of the chunks of all fixture documents."""
 
 import os
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,3 +178,22 @@ def test_null_documents_and_empty_tables_are_chunked(spark):
     schema = "doc_id string, title string, markdown string"
     assert C.chunk_documents(spark.createDataFrame([], schema)).count() == 0
     assert [r.text for r in C.chunk_documents(spark.createDataFrame([(None, "T", "x")], schema)).collect()] == ["[T]\n\nx"]
+
+
+def test_pieces_as_the_fold_over_columns(spark):
+    """The Arrow function and split_by_size agree on made texts of sentences, blank lines, odd spaces, URLs, images and long words."""
+    rng = random.Random(11)
+    parts = ["Word of it. ", "no end ", "\n", "\n\n", "\n  \n", " ", "\x1c", "\u0001", "x" * 70, "See https://ex.com/a/b", "/c?d=1 ", "![a](rag-image://c/d/e.png)", "é! ", "? ", "\r\n", "\x85"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 60)))) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, body string").repartition(4)
+    for target, overlap in ((60, 10), (90, 0), (40, 15)):
+        both = df.select("body", C._pieces(target, overlap)("body").alias("got"), C.split_by_size(F.col("body"), target, overlap).alias("want"))
+        assert [(r.body, r.got) for r in both.collect()] == [(r.body, r.want) for r in both.collect()]
+
+
+def test_giant_sections_in_linear_time(spark):
+    """A section of 20 MB without a heading, 10,000 pieces and more, is cut in seconds."""
+    body = F.repeat(F.lit("Some words of a line that ends here. "), 550_000)
+    begun = time.time()
+    n = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit("t").alias("title"), body.alias("markdown"))
+    assert C.chunk_documents(n).count() > 10_000 and time.time() - begun < 60
