@@ -16,19 +16,26 @@ from siltstone.sources.versions import VersionedTables
 
 #: The published defaults of Okapi BM25: saturation, length, and share of the mean idf that a negative idf becomes.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Bytes of text whose tokens one task counts; postings whose tokens one task counts.
+TEXT_BYTES, TASK_ROWS = 4 << 20, 2_000_000
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def postings(chunks: DataFrame, size: int | None = None) -> DataFrame:
     """tok, chunk_id, len, tf of chunks (chunk_id, text): each text is tokenised once; len is its number of tokens.
 
-    Texts are dealt by chunk_id, so that counts and lengths need no other shuffle; tokens are tested row by row, after they are exploded.
+    Texts are dealt by chunk_id, so that counts and lengths need no other shuffle, to as many tasks as their bytes (size, else they are added up) need; tokens are tested row by row, after they are exploded.
     """
-    dealt = chunks.select("chunk_id", "text").repartition("chunk_id")
+    size = chunks.agg(_bytes()).first()[0] if size is None else size
+    dealt = chunks.select("chunk_id", "text").repartition(tables.parts(chunks.sparkSession, size or 0, TEXT_BYTES), "chunk_id")
     tokens = dealt.select("chunk_id", F.explode(X.raw_tokens(F.col("text"))).alias("tok")).select("chunk_id", F.lower("tok").alias("tok"))
     counted = tokens.where(X.is_token(F.col("tok"))).groupBy("chunk_id", "tok").agg(F.count("*").alias("tf"))
     return counted.select("tok", "chunk_id", F.sum("tf").over(Window.partitionBy("chunk_id")).alias("len"), "tf")
 
 
+def _bytes() -> Column:
+    return F.sum(F.octet_length("text"))
+
+
 def raw_idf(n: Column | float, df: Column) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
@@ -61,10 +68,14 @@ def _totals(df: DataFrame, n: int, total: int, updates: int) -> DataFrame:
 def build_bm25(chunks: DataFrame, path: str, buckets: int = 16) -> Bm25:
     """Writes the index of chunks (chunk_id, text) below path, whatever stood there: each text is tokenised once, whatever is asked later."""
     store = _store(chunks.sparkSession, path, buckets)
-    n = chunks.count()
-    df = lambda now: now("postings").groupBy("tok").agg(F.count("*").alias("df"))
+    n, size = chunks.agg(F.count("*"), _bytes()).first()
+
+    def df(now) -> DataFrame:
+        own = now("postings").select("tok")
+        return own.repartition(tables.parts(own.sparkSession, own.count(), TASK_ROWS), "tok").groupBy("tok").agg(F.count("*").alias("df"))
+
     totals = lambda now: _totals(now("df"), n, now("postings").agg(F.sum("tf")).first()[0] or 0, 0)
-    store.change({"postings": postings(chunks).withColumn("sign", F.lit(1)), "df": df, "totals": totals}, reset=["postings", "df", "totals"])
+    store.change({"postings": postings(chunks, size).withColumn("sign", F.lit(1)), "df": df, "totals": totals}, reset=["postings", "df", "totals"])
     return open_bm25(chunks.sparkSession, path)
 
 

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
 from siltstone.operators.index import Bm25, bm25
+from siltstone.operators.tables import parts
 
 #: Constant of reciprocal-rank fusion; hits of a document before others come first; queries of a block; bytes of queries that are sent to every task.
 RRF, PER_DOC, QUERY_BLOCK, QUERY_BYTES = 60, 4, 4096, 64 << 20
 #: Scores that a task holds at once; tokens of sparse vectors that are multiplied at once.
 TILE, TOKEN_SLICE = 1 << 21, 256
+#: Pairs of a question and a chunk that one task scores, at most.
+TASK_PAIRS = 2_000_000
 
 
 def top_k(scored: DataFrame, k: int, *ties: str, by: str = "query_id") -> DataFrame:
@@ -34,12 +37,18 @@ def top_k_column(scored: DataFrame, bound: str, most: int, *ties: str) -> DataFr
 def bm25_topk(questions: DataFrame, index: Bm25, k: int) -> DataFrame:
     """query_id, chunk_id, score, rank of questions (query_id, text): tokens count as often as they stand, scores above 0, ties by chunk_id.
 
-    Only postings of the questions' tokens are weighed; statistics come from the written index.
+    Only postings of the questions' tokens are weighed; statistics come from the written index. Questions' tokens go to all tasks if their measured number allows it, else they are joined. The postings
+    found are dealt by chunk_id, to as many tasks as the pairs of questions and chunks need, and scored there.
     """
     asked = questions.select("query_id", F.explode(X.tokenize(F.col("text"))).alias("tok")).groupBy("query_id", "tok").agg(F.count("*").alias("times"))
-    asked = asked.join(index.idf.select("tok", "idf"), "tok")
+    rows, n = asked.agg(F.count("*"), F.count_distinct("query_id")).first()
+    whole = rows * 64 <= QUERY_BYTES
+    sent = F.broadcast if whole else lambda df: df
+    idf = index.idf.join(sent(asked.select("tok").distinct()), "tok", "left_semi").select("tok", "idf")
+    held = index.postings.join(sent(asked.select("tok").distinct()), "tok", "left_semi")
+    dealt = held.select("tok", "chunk_id", "tf", "len").repartition(parts(held.sparkSession, index.n * n, TASK_PAIRS), "chunk_id") if whole else held
     weight = bm25(F.col("tf"), F.col("len"), F.lit(index.mean), F.col("idf"))
-    scored = index.postings.join(asked, "tok").groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times")).alias("score"))
+    scored = dealt.join(sent(asked.join(idf, "tok")), "tok").groupBy("query_id", "chunk_id").agg(F.sum(weight * F.col("times")).alias("score"))
     return top_k(scored.where("score > 0"), k, "chunk_id")
 
 

@@ -25,6 +25,11 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parts(spark: SparkSession, size: int, share: int) -> int:
+    """Into how many tasks to deal `size` (rows, bytes), so that none gets much more than `share`; the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // share))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
