@@ -148,10 +148,10 @@ def inject_by_number(docs: DataFrame, notes: DataFrame, order: str | None = None
     one = some.groupBy("doc_id", "number").agg((F.max("note") if order is None else F.max_by("note", F.struct(order, "note"))).alias("note"))
     by = one.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("number", "note"))).alias("notes"))
     out = docs.join(by, "doc_id", "left")
-    parts = F.split("markdown", r"(?<=<!-- Slide number:\s{0,99}[0-9]{1,9}\s{0,99}-->)")
-    number = lambda p: F.regexp_extract(p, r"<!-- Slide number:\s*(\d+)\s*-->$", 1).try_cast("int")
-    note = lambda p: F.try_element_at("notes", number(p))
-    body = F.array_join(F.transform(parts, lambda p: F.concat(p, F.coalesce(F.concat(F.lit("\n\n"), note(p), F.lit("\n")), F.lit("")))), "")
+    mark = r"<!-- Slide number:\s*([0-9]+)\s*-->"
+    note = lambda m: F.try_element_at("notes", F.regexp_extract(m, mark, 1).try_cast("int"))
+    after = lambda p, m: F.concat(p, F.coalesce(m, F.lit("")), F.coalesce(F.concat(F.lit("\n\n"), note(m), F.lit("\n")), F.lit("")))
+    body = F.array_join(F.zip_with(F.split("markdown", mark), F.regexp_extract_all("markdown", F.lit(mark), F.lit(0)), after), "")  # one part more than marks
     return out.withColumn("markdown", body).drop("notes")
 
 
