@@ -7,10 +7,14 @@ from html.entities import name2codepoint
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.tables import parts
+
 DROPPED = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>"
 TOKEN = r"(<[^>]*>|&#?[A-Za-z0-9]{1,31};|[^<&]+|[<&])"
 BLOCKS = ("p", "div", "ul", "ol", "table", "section", "article", "br")
 HEADINGS = tuple(f"h{k}" for k in range(1, 7))
+#: Bytes of pages that one task takes.
+PAGE_BYTES = 2 << 20
 #: Stand for the line ends and spaces of preformatted text until all others are tidied.
 KEPT = (("\n", "\u0001"), (" ", "\u0002"))
 
@@ -29,11 +33,12 @@ def html_to_markdown(pages: DataFrame, key: str, html: str = "html") -> DataFram
 
     Headings, paragraphs, items of nested and numbered lists, links, rows of tables (cells parted by ` | `), preformatted text and entities (numeric and named); scripts, styles, comments and other tags go.
     A link that holds headings goes into each of them; a link without a closing tag is text. The page is split into tokens once; what a token
-    means follows from running counts over those before it (open lists, cells of the row, the last link). All windows use one shuffle, by key.
+    means follows from running counts over those before it (open lists, cells of the row, the last link). All windows use one shuffle, by key, to as many tasks as the bytes of the pages need.
     """
     spark = pages.sparkSession
+    size = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
     clean = F.regexp_replace(html, DROPPED, "")
-    dealt = pages.select(F.col(key).alias("k"), clean.alias("t")).repartition("k")
+    dealt = pages.select(F.col(key).alias("k"), clean.alias("t")).repartition(parts(spark, size, PAGE_BYTES), "k")
     rows = dealt.select("k", F.posexplode_outer(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(1))).alias("pos", "tok"))
     tag = F.lower(F.regexp_extract("tok", r"^</?([A-Za-z][A-Za-z0-9]*)\b[^>]*>$", 1))
     rows = rows.select("*", tag.alias("tag"), F.startswith("tok", F.lit("</")).alias("shut"), F.col("tok").rlike(r"^<[^>]*>$").alias("markup"))
