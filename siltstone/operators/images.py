@@ -16,7 +16,11 @@ PER_DOCUMENT = 60
 
 def image_id(data: Column, ext: Column) -> Column:
     """Content address: 20 hex digits of the hash, and the extension (`.png` if unknown)."""
-    return F.concat(F.left(F.sha2(data, 256), F.lit(20)), F.when(F.lower(ext).isin(*X.MIME_TYPES), F.lower(ext)).otherwise(".png"))
+    return _named(F.sha2(data, 256), ext)
+
+
+def _named(hash: Column, ext: Column) -> Column:
+    return F.concat(F.left(hash, F.lit(20)), F.when(F.lower(ext).isin(*X.MIME_TYPES), F.lower(ext)).otherwise(".png"))
 
 
 def dedup_images(images: DataFrame) -> DataFrame:
@@ -82,19 +86,22 @@ def rewrite_images(docs: DataFrame, files: DataFrame, fetched: DataFrame, descri
     files (path, bytes), fetched (url, bytes, ext) and descriptions (hash, text) are looked up. An absolute URL stays
     unless it was fetched; a data URI or a file below root is stored as an image reference; what can't be read leaves its cleaned
     alternative text if that is longer than 3 characters. Stored images with a description get its block, decorative
-    ones vanish. After `most` stored images of a document, later ones leave their text (URLs stay).
+    ones vanish. After `most` stored images of a document, later ones leave their text (URLs stay). Bytes are hashed where they are read; only hashes are joined.
     """
     refs = docs.select("collection", "doc_id", "base", F.posexplode(F.regexp_extract_all("markdown", F.lit(X.IMAGE_REF), 0)).alias("k", "whole"))
     refs = refs.select("*", F.regexp_extract("whole", X.IMAGE_REF, 1).alias("alt"), F.regexp_extract("whole", X.IMAGE_REF, 2).alias("src"))
-    refs = refs.withColumns({"absolute": F.col("src").rlike("^https?://"), "data": X.decode_data_uri(F.col("src")), "path": resolve_relative(F.col("src"), F.col("base"), root)})
-    refs = refs.join(fetched.select(F.col("url").alias("src"), F.struct("bytes", "ext").alias("remote")), "src", "left").join(files.select("path", F.col("bytes").alias("local")), "path", "left")
-    local = F.when(F.length("local").between(2000, 10 * 1024 * 1024), F.struct(F.col("local").alias("bytes"), F.lower(F.regexp_extract("src", r"(\.[^./]+)$", 1)).alias("ext")))
-    remote = F.when(F.length("remote.bytes") >= 2000, F.col("remote"))
+    refs = refs.withColumns({"absolute": F.col("src").rlike("^https?://"), "data": X.decode_data_uri(F.col("src"))})
+    data = F.when(F.col("data").isNotNull(), F.struct(F.sha2("data.bytes", 256).alias("hash"), F.col("data.ext").alias("ext")))
+    refs = refs.select("collection", "doc_id", "k", "alt", "absolute", data.alias("data"), resolve_relative(F.col("src"), F.col("base"), root).alias("path"), F.when(F.col("absolute"), F.col("whole")).alias("whole"), F.when(F.col("absolute"), F.col("src")).alias("src"), F.lower(F.regexp_extract("src", r"(\.[^./]+)$", 1)).alias("end"))
+    hashed = lambda *more: F.struct(F.sha2("bytes", 256).alias("hash"), F.length("bytes").alias("size"), *more)
+    refs = refs.join(fetched.select(F.col("url").alias("src"), hashed("ext").alias("remote")), "src", "left").join(files.select("path", hashed().alias("local")), "path", "left")
+    local = F.when(F.col("local.size").between(2000, 10 * 1024 * 1024), F.struct("local.hash", F.col("end").alias("ext")))
+    remote = F.when(F.col("remote.size") >= 2000, F.struct("remote.hash", "remote.ext"))
     refs = refs.withColumn("image", F.when(F.col("absolute"), remote).otherwise(F.coalesce("data", local)))
     order = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    refs = refs.withColumns({"nth": F.sum(F.col("image").isNotNull().cast("int")).over(order), "hash": F.sha2("image.bytes", 256)})
+    refs = refs.withColumns({"nth": F.sum(F.col("image").isNotNull().cast("int")).over(order), "hash": F.col("image.hash")})
     refs = refs.join(descriptions.select("hash", F.col("text").alias("description")), "hash", "left")
-    link = F.concat(F.lit(X.IMAGE_SCHEME + "://"), F.col("collection"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), image_id(F.col("image.bytes"), F.col("image.ext")))
+    link = F.concat(F.lit(X.IMAGE_SCHEME + "://"), F.col("collection"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), _named(F.col("hash"), F.col("image.ext")))
     alt = X.sanitize_alt(F.col("alt"))
     told = F.coalesce(F.length("description"), F.lit(0)) > 0
     block = F.when(told & X.is_decorative(F.col("description")), "").when(told, F.concat(F.lit("\n\n"), X.image_block(F.col("description"), link), F.lit("\n\n")))
