@@ -451,3 +451,35 @@ def test_images_of_odd_texts(spark, tmp_path):
     want = {k: ext for k, ext in enumerate((".png", ".jpg", ".gif", ".bmp", "", ".webp"))}
     found = images.img5_sniff_format(spark, str(tmp_path)).collect()
     assert len(found) == 30 and all(r.ext == want[r.doc_id % 6] for r in found)
+
+
+def test_large_texts_are_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    """Counting tokens and scoring pairs take as many tasks as texts and pairs need, whatever the session's number of partitions; the hits are the same."""
+    chunks = spark.range(40).select(F.col("id").alias("chunk_id"), F.concat(F.lit("common word"), (F.col("id") % 5).cast("string"), F.lit(" term"), F.col("id").cast("string")).alias("text"))
+    asked = spark.createDataFrame([(0, "common word3"), (1, "term7 word2 word2")], "query_id bigint, text string")
+    index = N.build_bm25(chunks, f"{tmp_path}/index", 3)
+    want = sorted(map(tuple, R.bm25_topk(asked, index, 5).collect()))
+    monkeypatch.setattr(N, "TEXT_BYTES", 100)
+    assert N.postings(chunks).rdd.getNumPartitions() >= 7
+    monkeypatch.setattr(N, "TASK_ROWS", 10)
+    monkeypatch.setattr(R, "TASK_PAIRS", 10)
+    assert sorted(map(tuple, R.bm25_topk(asked, N.build_bm25(chunks, f"{tmp_path}/again", 3), 5).collect())) == want and len(want) == 10
+    monkeypatch.setattr(R, "QUERY_BYTES", 0)
+    assert sorted(map(tuple, R.bm25_topk(asked, index, 5).collect())) == want
+
+
+def test_notes_after_marks_of_any_width(spark):
+    """Marks with more white space than a look-behind can hold get their notes; numbers beyond an int get none."""
+    md = "a <!-- Slide number:" + " " * 150 + "1 --> b <!-- Slide number: 12345678901 --> c <!-- Slide number: 2 -->"
+    docs = spark.createDataFrame([("d", md), ("e", "no marks"), ("f", None)], "doc_id string, markdown string")
+    notes = spark.createDataFrame([("d", 1, "one"), ("d", 2, "two"), ("e", 1, "x")], "doc_id string, number int, note string")
+    found = {r.doc_id: r.markdown for r in A.inject_by_number(docs, notes).collect()}
+    assert found == {"d": md.replace("1 --> b", "1 -->\n\none\n b") + "\n\ntwo\n", "e": "no marks", "f": None}
+
+
+def test_pages_are_dealt_by_bytes(spark, monkeypatch):
+    pages = spark.range(30).select(F.col("id").alias("page_id"), F.concat(F.lit("<h1>T"), F.col("id").cast("string"), F.lit("</h1><p>x</p>")).alias("html"))
+    want = sorted(map(tuple, H.html_to_markdown(pages, "page_id").collect()))
+    monkeypatch.setattr(H, "PAGE_BYTES", 50)
+    found = H.html_to_markdown(pages, "page_id")
+    assert found.rdd.getNumPartitions() >= 10 and sorted(map(tuple, found.collect())) == want
