@@ -140,20 +140,19 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, by: tuple[str, ...]
     """query_id, chunk_id, score, rank by cosine of queries (query_id, dense) and index (chunk_id, dense); a zero vector scores 0, null vectors take no part.
 
     by: columns of both, such as the collection, that a query shares with the chunks it may find. Queries are packed
-    into blocks of about `block`; the index is read where it lies, a batch at a time, and each batch is multiplied with each query
+    into blocks of about `block` of one collection; the index is read where it lies, a batch at a time, and each batch is multiplied with each query
     block of its collection (sent to all tasks if their measured bytes allow it, else joined). A batch hands on its k best
     of each query. Ids are bigints; vectors of another length than the query's are another `by`.
     """
     queries, index = queries.where("dense is not null"), index.where("dense is not null")
     kinds = [f"{c} {index.schema[c].dataType.simpleString()}" for c in by]
-    size, n = queries.agg(F.sum(F.size("dense") * 8 + 64), F.count("*")).first()
-    blocks = max(1, -(-n // block))
+    blocks, size = _blocks(queries.withColumn("dims", F.size("dense")), ["dims", *by], F.size("dense") * 8 + 64, block)
     asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), *by, F.size("dense").alias("dims"), F.col("query_id").cast("bigint").alias("qid"), F.col("dense").cast("array<double>").alias("qv"))
     packed = asked.groupBy("block", "dims", *by).agg(F.collect_list(F.struct("qid", "qv")).alias("qs"))  # at most about `block` queries a row
     rows = index.select(*by, F.size("dense").alias("dims"), F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("dense").cast("array<double>").alias("v"))
     chunks = rows.mapInArrow(_packed([*by, "dims"], "chunk_id"), ", ".join([*kinds, "dims int", "ids array<bigint>", "vs array<array<double>>"]))
     chunks = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = chunks.join(F.broadcast(packed) if (size or 0) <= QUERY_BYTES else packed, ["block", "dims", *by]).select("ids", "vs", "qs")
+    pairs = chunks.join(F.broadcast(packed) if size <= QUERY_BYTES else packed, ["block", "dims", *by]).select("ids", "vs", "qs")
 
     def unit(vectors: pa.Array, rows: int) -> np.ndarray:
         v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
@@ -163,11 +162,14 @@ def dense_topk(queries: DataFrame, index: DataFrame, k: int, by: tuple[str, ...]
         for batch in batches:
             for ids, vs, qs in zip(*(batch.column(c) for c in ("ids", "vs", "qs"))):
                 ids, (asked_ids, qv) = ids.values.to_numpy(), qs.values.flatten()
-                score = unit(qv, len(asked_ids)) @ unit(vs.values, len(ids)).T
-                n = min(k, len(ids))
-                bar = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
-                i, j = np.nonzero(score >= bar[:, None] - 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array(asked_ids.to_numpy()[i]), pa.array(ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
+                asked_ids, v, step = asked_ids.to_numpy(), unit(vs.values, len(ids)), max(1, TILE // len(ids))
+                for begin in range(0, len(asked_ids), step):
+                    some = qv.slice(begin, step)
+                    score = unit(some, len(some)) @ v.T
+                    n = min(k, len(ids))
+                    bar = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n]
+                    i, j = np.nonzero(score >= bar[:, None] - 1e-12)
+                    yield pa.RecordBatch.from_arrays([pa.array(asked_ids[begin + i]), pa.array(ids[j]), pa.array(score[i, j])], ["query_id", "chunk_id", "score"])
 
     return top_k(pairs.mapInArrow(search, "query_id bigint, chunk_id bigint, score double"), k, "chunk_id")
 

@@ -483,3 +483,14 @@ def test_pages_are_dealt_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(H, "PAGE_BYTES", 50)
     found = H.html_to_markdown(pages, "page_id")
     assert found.rdd.getNumPartitions() >= 10 and sorted(map(tuple, found.collect())) == want
+
+
+def test_queries_of_many_collections_are_one_block(spark, monkeypatch):
+    """Blocks follow the largest collection, not the number of all queries; tiles of scores change nothing."""
+    e = spark.range(120).select(F.col("id").alias("chunk_id"), (F.col("id") % 12).alias("collection"), F.array(*[F.pmod(F.hash("id", F.lit(i)), F.lit(17)).cast("double") for i in range(4)]).alias("dense"))
+    asked = e.withColumnRenamed("chunk_id", "query_id")
+    assert R._blocks(asked, ["collection"], F.lit(8), 10) == (1, 960) and R._blocks(asked, ["collection"], F.lit(8), 4)[0] == 3
+    shown = lambda: sorted((r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in R.dense_topk(asked, e, 3, ("collection",)).collect())
+    want = shown()
+    monkeypatch.setattr(R, "TILE", 8)
+    assert shown() == want and len(want) == 360
