@@ -67,13 +67,13 @@ class VersionedTables:
         return self.manifest().get("marks", {}).get(mark[0], -1) >= mark[1]
 
     def change(
-        self, fresh: Mapping[str, DataFrame | Derived] | None = None, gone: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None, reset: Sequence[str] = (), mark: tuple[str, int] | None = None, step: Step | None = None,
+        self, fresh: Mapping[str, DataFrame | Derived] | None = None, gone: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None, reset: Sequence[str] = (), mark: tuple[str, int] | None = None, step: Step | None = None, dealt: Collection[str] = (),
     ) -> dict[str, int]:
         """Publishes one version in which each table loses the rows that agree with a row of gone (keys, their columns), then gains those of fresh.
 
         Tables of `reset` lose all their rows first. Returns how many rows each table of gone or reset lost. Null keys agree with null keys. Columns that a
         table doesn't have yet are added, as nulls in older rows. step is told each step before it is taken. Tables are written in the order of fresh; a function
-        in place of rows makes them from tables that were written before it.
+        in place of rows makes them from tables that were written before it. Rows of tables in `dealt` lie by bucket already (a task holds few of them) and aren't dealt again.
         """
         step, fresh, gone = step or (lambda _: None), dict(fresh or {}), dict(gone or {})
         old = self.manifest()
@@ -104,9 +104,10 @@ class VersionedTables:
                 if held:  # all columns that the table has had, and the new ones
                     own = self.spark.createDataFrame([], T.StructType.fromJson(held["schema"])).unionByName(own, allowMissingColumns=True)
                 step(f"write {name}")
-                own.withColumn("bucket", self.bucket(name)).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.by.get(name, DOCUMENT)).write.partitionBy("bucket").parquet(f"{self.path}/{name}/{folder}")
+                own = own.withColumn("bucket", self.bucket(name))
+                (own if name in dealt else own.hint("rebalance", "bucket")).sortWithinPartitions("bucket", *self.by.get(name, DOCUMENT)).write.partitionBy("bucket").parquet(f"{self.path}/{name}/{folder}")
                 there = {n[7:] for n in tables.names(self.spark, f"{self.path}/{name}/{folder}") if n.startswith("bucket=")}
-                schema = json.loads(own.schema.json())
+                schema = json.loads(own.drop("bucket").schema.json())
             if held or parts:
                 current = {} if held is None else {k: f for k, f in held["buckets"].items() if int(k) not in touched}
                 new["tables"][name] = {"schema": schema, "buckets": current | {k: [*current.get(k, []), folder] for k in sorted(there)}}

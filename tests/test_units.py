@@ -494,3 +494,32 @@ def test_queries_of_many_collections_are_one_block(spark, monkeypatch):
     want = shown()
     monkeypatch.setattr(R, "TILE", 8)
     assert shown() == want and len(want) == 360
+
+
+def _shuffled(spark) -> int:
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("most", [10**6, 200])
+def test_blocks_shuffle_each_posting_once(spark, tmp_path, monkeypatch, most):
+    """Tokens beyond a task's work (here: of more than 200 postings) are range-sorted too; blocks are the same."""
+    monkeypatch.setattr(B, "TASK_ROWS", most)
+    rng = random.Random(4)
+    texts = [" ".join(["common"] * rng.randint(1, 4) + [f"name{rng.randrange(60)}" for _ in range(rng.randint(20, 40))] + ["filler"] * rng.randint(0, 9)) for _ in range(900)]
+    index = N.build_bm25(spark.createDataFrame(list(enumerate(texts)), "chunk_id bigint, text string"), f"{tmp_path}/index", 2)
+    n, before = index.postings.count(), _shuffled(spark)
+    held = B.build_blocks(index, f"{tmp_path}/blocks", 16, 2)
+    assert most == 200 or _shuffled(spark) - before < 1.2 * n  # rows of counts beside them
+    weights = {}
+    for r in held.terms.collect():
+        weights.setdefault(r.tok, []).append((-r.weight, r.chunk_id))
+    want = {(t, i // 16): sorted(w)[i : i + 16] for t, w in weights.items() for i in range(0, len(w), 16)}
+    got = {(r.tok, r.block): r for r in held.blocks.collect()}
+    assert got.keys() == want.keys() and all(list(zip((-w for w in got[k].weights), got[k].ids)) == v and got[k].top == -v[0][0] for k, v in want.items())
+    asked = spark.createDataFrame([(0, "common filler name3"), (1, "name1 name2 filler")], "query_id bigint, text string")
+    shown = lambda df: {(r.query_id, r["rank"]): round(r.score, 9) for r in df.collect()}
+    assert shown(B.blocks_topk(asked, held, 7)) == shown(R.bm25_topk(asked, index, 7))
