@@ -97,6 +97,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def has_text(c: Column) -> Column:
+    """Whether strip leaves anything: looks no further than the first character that is no white space; false for null."""
+    return F.coalesce(F.rlike(c, F.lit(r"(?U)\S")), F.lit(False))
+
+
 def doc_id(name: Column, prefix: str = "doc_") -> Column:
     return F.concat(F.lit(prefix), F.left(F.sha2(name, 256), F.lit(16)))
 

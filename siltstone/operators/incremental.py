@@ -22,7 +22,7 @@ FROZEN = ("embedder", "embedding_model", "dense_dim", "supports_sparse")
 def classify_changes(incoming: DataFrame, state: DataFrame) -> DataFrame:
     """incoming (collection, doc_id, markdown, content_hash, n_chunks) with status: failed (no markdown or no chunk), skipped (same hash), new or updated."""
     old = state.select(*KEY, F.col("content_hash").alias("old_hash"))
-    status = F.when((F.coalesce(F.length(X.strip(F.col("markdown"))), F.lit(0)) == 0) | (F.coalesce("n_chunks", F.lit(0)) == 0), "failed")
+    status = F.when(~X.has_text(F.col("markdown")) | (F.coalesce("n_chunks", F.lit(0)) == 0), "failed")
     status = status.when(F.col("old_hash").isNull(), "new").when(F.col("old_hash") == F.col("content_hash"), "skipped").otherwise("updated")
     return incoming.join(old, KEY, "left").withColumn("status", status).drop("old_hash")
 

@@ -131,27 +131,28 @@ def hashed_embedding(texts: list[str], dims: int = 64) -> np.ndarray:
     """The default embedder: signed hashed counts of lower-case words, of length 1. No weights, the same everywhere."""
     import xxhash
 
-    out = np.zeros((len(texts), dims), np.float32)
-    for i, text in enumerate(texts):
-        for word in text.lower().split():
-            h = xxhash.xxh64_intdigest(word)
-            out[i, h % dims] += 1 if h >> 63 else -1
+    words = [text.lower().split() for text in texts]
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    h = np.fromiter((xxhash.xxh64_intdigest(word) for own in words for word in own), np.uint64)
+    at = row * dims + (h % np.uint64(dims)).astype(np.int64)
+    out = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(texts) * dims).reshape(-1, dims).astype(np.float32)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def embed(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = 32, most: int | None = None) -> DataFrame:
-    """chunk_id, dense of chunks (chunk_id, text): the embedder gets `batch` whole texts at a time (their first `most` characters, if a remote one sets it), made once per task."""
-    kind = chunks.schema["chunk_id"].dataType
+def embed(chunks: DataFrame, embedder: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = 32, most: int | None = None, carried: Sequence[str] = ()) -> DataFrame:
+    """chunk_id, *carried, dense of chunks (chunk_id, text, and columns that are carried along): the embedder gets `batch` whole texts at a time (their first `most` characters, if a remote one sets it), made once per task."""
+    kept = ("chunk_id", *carried)
+    kinds = [f"{c} {chunks.schema[c].dataType.simpleString()}" for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            texts = rows.column(1).to_pylist()
+            texts = rows.column("text").to_pylist()
             vectors = [v for i in range(0, len(texts), batch) for v in embedder(texts[i : i + batch])]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([v.tolist() for v in vectors], pa.list_(pa.float32()))], ["chunk_id", "dense"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array([np.asarray(v, np.float32) for v in vectors], pa.list_(pa.float32()))], [*kept, "dense"])
 
     text = F.coalesce("text", F.lit(""))
-    given = chunks.select("chunk_id", (text if most is None else F.left(text, F.lit(most))).alias("text"))
-    return given.mapInArrow(run, f"chunk_id {kind.simpleString()}, dense array<float>")
+    given = chunks.select(*kept, (text if most is None else F.left(text, F.lit(most))).alias("text"))
+    return given.mapInArrow(run, ", ".join([*kinds, "dense array<float>"]))
 
 
 def to_sparse(weights: DataFrame) -> DataFrame:

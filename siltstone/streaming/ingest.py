@@ -25,8 +25,8 @@ def folder_of(path: Column) -> Column:
 
 
 def single_chunks(docs: DataFrame) -> DataFrame:
-    """A chunker that makes each non-blank line a chunk."""
-    lines = docs.select("doc_id", F.posexplode(F.filter(F.split("markdown", "\n"), lambda x: X.strip(x) != "")).alias("chunk_index", "text"))
+    """A chunker that makes each non-blank line a chunk. Lines are dealt by place, so that a giant document's go to many tasks."""
+    lines = docs.select("doc_id", F.posexplode(F.filter(F.split("markdown", "\n"), X.has_text)).alias("chunk_index", "text")).repartition("doc_id", "chunk_index")
     return lines.select("doc_id", "chunk_index", F.array().cast("array<string>").alias("heading_path"), F.lit("").alias("page_or_section"), "text", F.length("text").alias("char_count"))
 
 
@@ -50,7 +50,7 @@ class Ingestion:
     def _parsed(self, files: DataFrame) -> DataFrame:
         """collection, doc_id, source_name, title, markdown, content_hash, one row a document."""
         text = F.try_validate_utf8(F.col("content").cast("string"))
-        good = F.when(F.coalesce(F.length(X.strip(text)), F.lit(0)) > 0, text)
+        good = F.when(X.has_text(text), text)
         docs = files.select(self.collection(F.col("path")).alias("collection"), X.doc_id(F.col("path")).alias("doc_id"), F.col("name").alias("source_name"), "path", F.octet_length("content").cast("bigint").alias("bytes"), good.alias("markdown"))
         last = F.row_number().over(Window.partitionBy(*DOCUMENT).orderBy(F.desc("path")))
         docs = docs.withColumn("last", last).where("last = 1").drop("last")
@@ -70,16 +70,16 @@ class Ingestion:
         held = own.table("documents")
         state = parsed.select(*DOCUMENT, "content_hash").limit(0) if held is None else held.where("content_hash is not null").select(*DOCUMENT, "content_hash")
         found = incremental.classify_changes(parsed.withColumn("n_chunks", F.lit(1)), state)
-        going = tables.written(found.where("status in ('new', 'updated')").drop("status", "n_chunks"), "going")
-        chunks = self.chunker(going.withColumn("doc_id", F.to_json(F.struct(*DOCUMENT))))
+        found = tables.written(found.drop("markdown", "n_chunks"), "found")
+        going = found.where("status in ('new', 'updated')").select(*DOCUMENT)
+        chunks = self.chunker(parsed.join(going, list(DOCUMENT), "left_semi").withColumn("doc_id", F.to_json(F.struct(*DOCUMENT))))
         key = F.from_json("doc_id", "collection string, doc_id string").alias("key")
-        chunks = tables.written(chunks.select(key, "*").select(*[f"key.{c}" for c in DOCUMENT], *[c for c in chunks.columns if c != "doc_id"]), "chunks")
-        chunks = chunks.withColumn("chunk_id", X.chunk_id(F.concat_ws("/", *DOCUMENT), F.col("chunk_index")))
-        dense = observed(index.embed(chunks.select("chunk_id", "text"), self.embedder), "embedding")
-        rows = observed(chunks, "indexing")
+        chunks = chunks.select(key, "*").select(*[f"key.{c}" for c in DOCUMENT], *[c for c in chunks.columns if c != "doc_id"])
+        rows = observed(chunks.withColumn("chunk_id", X.chunk_id(F.concat_ws("/", *DOCUMENT), F.col("chunk_index"))), "indexing")
+        dense = observed(index.embed(rows, self.embedder, carried=DOCUMENT), "embedding")
         n = rows.groupBy(*DOCUMENT).agg(F.count("*").alias("n_chunks"))
         old = parsed.select(*DOCUMENT).limit(0).withColumns({"n_chunks": F.lit(0).cast("bigint"), "content_hash": F.lit("")}) if held is None else held.select(*DOCUMENT, "n_chunks", "content_hash")
-        done = found.drop("n_chunks").join(n, list(DOCUMENT), "left")
+        done = found.join(n, list(DOCUMENT), "left")
         done = done.withColumn("status", F.when(F.col("status").isin("new", "updated") & F.col("n_chunks").isNull(), "failed").otherwise(F.col("status")))
         was = old.select(*DOCUMENT, F.col("n_chunks").alias("_n"), F.col("content_hash").alias("_hash"))
         done = done.join(was, list(DOCUMENT), "left")
@@ -90,10 +90,10 @@ class Ingestion:
             F.when(F.col("status") == "failed", "not decoded, blank or without a chunk").alias("error"), F.lit(number).cast("bigint").alias("batch"),
         ), "done")
         told = [(self.name, number, stage, int(seen[stage].get["rows"])) for stage in STAGES]
-        changed = done.where("status = 'indexed'").join(going.select(*DOCUMENT), list(DOCUMENT), "left_semi")
+        changed = done.where("status = 'indexed'").join(going, list(DOCUMENT), "left_semi")
         changed = tables.written(changed.select(*DOCUMENT), "changed")
         own.change(
-            {"documents": done, "chunks": rows, "dense": rows.select(*DOCUMENT, "chunk_id").join(dense, "chunk_id"), "progress": files.sparkSession.createDataFrame(told, PROGRESS)},
+            {"documents": done, "chunks": rows, "dense": dense, "progress": files.sparkSession.createDataFrame(told, PROGRESS)},
             {"documents": (done, DOCUMENT), "chunks": (changed, DOCUMENT), "dense": (changed, DOCUMENT)}, mark=(self.name, number), step=self.step,
         )
 

@@ -35,7 +35,7 @@ def ingest_stream(files: DataFrame, handle: Callable[[DataFrame, int], None], ch
 def convert_batch(files: DataFrame) -> DataFrame:
     """name, markdown, status of a batch of text files: what can't be decoded or is empty has failed, and stops nothing."""
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    good = F.coalesce(F.length(X.strip(text)), F.lit(0)) > 0
+    good = X.has_text(text)
     return files.select("name", F.when(good, text).alias("markdown"), F.when(good, "done").otherwise("failed").alias("status"))
 
 

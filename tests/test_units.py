@@ -9,6 +9,7 @@ from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as X
@@ -523,3 +524,21 @@ def test_blocks_shuffle_each_posting_once(spark, tmp_path, monkeypatch, most):
     asked = spark.createDataFrame([(0, "common filler name3"), (1, "name1 name2 filler")], "query_id bigint, text string")
     shown = lambda df: {(r.query_id, r["rank"]): round(r.score, 9) for r in df.collect()}
     assert shown(B.blocks_topk(asked, held, 7)) == shown(R.bm25_topk(asked, index, 7))
+
+
+def test_texts_of_white_space_are_no_texts(spark):
+    """has_text says what strip leaves, at a text's first character that is no white space."""
+    texts = ["", " ", "\n", "\r\n", "a", " a", "a\n", "  \x85", " x ", "​", "\x1c", "\x00", " \n\t.\n ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.has_text(F.col("t")).alias("got"), F.coalesce(F.length(X.strip(F.col("t"))) > 0, F.lit(False)).alias("want"))
+    assert all(r.got == r.want for r in df.collect())
+    given = spark.createDataFrame([(7, "A b a", "x"), (8, "", "y")], "chunk_id int, text string, c string")
+    out = {r.chunk_id: r for r in N.embed(given, carried=("c",)).collect()}
+    assert out[7].c == "x" and out[8].dense == [0.0] * 64
+    texts = ["A b a", "", "one two three two", "  é ß  "]
+    plain = np.zeros((len(texts), 64), np.float32)
+    for i, text in enumerate(texts):
+        for word in text.lower().split():
+            h = xxhash.xxh64_intdigest(word)
+            plain[i, h % 64] += 1 if h >> 63 else -1
+    plain /= np.maximum(np.linalg.norm(plain, axis=1, keepdims=True), 1e-12)
+    assert np.array_equal(N.hashed_embedding(texts), plain) and N.hashed_embedding([]).shape == (0, 64) and out[7].dense == plain[0].tolist()

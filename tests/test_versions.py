@@ -164,3 +164,12 @@ def test_a_run_that_breaks_off_and_starts_again_equals_one_undisturbed(spark, tm
     whole.run(stream(), str(tmp_path / "o2")).awaitTermination()
     assert state(spark, broken) == state(spark, whole) and len(state(spark, whole)[0]) == 5
     assert rows(broken.progress(spark)) == rows(whole.progress(spark))
+
+
+def test_lines_of_a_giant_document_go_to_many_tasks(spark, tmp_path):
+    """One row of 8 MB: its lines, and so what is embedded and written of them, aren't one task's."""
+    lines = spark.range(200_000).select(F.sort_array(F.collect_list(F.sha2(F.col("id").cast("string"), 256).substr(1, 40))).alias("x"))
+    docs = lines.select(F.lit("d").alias("doc_id"), F.array_join("x", "\n \n").alias("markdown"))
+    single_chunks(docs).write.parquet(f"{tmp_path}/lines")
+    by = spark.read.parquet(f"{tmp_path}/lines").groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.max("chunk_index").alias("last")).collect()
+    assert len(by) > 1 and max(r.n for r in by) < 150_000 and sum(r.n for r in by) == 200_000 and max(r["last"] for r in by) == 199_999
