@@ -103,6 +103,7 @@ def classify_errors(log: DataFrame) -> DataFrame:
 class _Anchor(StatefulProcessor):
     """Holds a video's segments until the watermark has passed them, then takes them in order of time.
 
+    What waits is kept in few pieces: the segments of a batch are one, as lists (ms, start, duration, text), so that the cost of the state doesn't grow with each segment.
     Keeps the open group (start, stop, text, number, time of its last segment in ms); it goes out when the next one begins or the video has been idle.
     """
 
@@ -111,30 +112,27 @@ class _Anchor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms bigint, start double, duration double, text string")
+        self.waiting = handle.getListState("waiting", "ms array<bigint>, start array<double>, duration array<double>, text array<string>")
         self.open = handle.getValueState("open", "start double, stop double, text string, no int, ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        first = None
-        for batch in rows:
-            batch = batch[batch["text"].str.strip().fillna("") != ""]
-            if len(batch):
-                self.waiting.appendList(list(batch[["ms", "start", "duration", "text"]].itertuples(index=False, name=None)))
-                first = int(batch["ms"].min()) if first is None else min(first, int(batch["ms"].min()))
-        if first is not None:
-            self.handle.registerTimer(first + 1)
+        come = [r for batch in rows for r in zip(*(batch[c].tolist() for c in ("ms", "start", "duration", "text"))) if isinstance(r[3], str) and r[3].strip()]
+        if come:
+            self.waiting.appendValue(tuple(map(list, zip(*come))))
+            self.handle.registerTimer(min(r[0] for r in come) + 1)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self.waiting.get())
+        held = sorted(r for piece in self.waiting.get() for r in zip(*piece))
         ready = [r for r in held if r[0] < now]
         later = held[len(ready) :]
-        group = list(self.open.get()) if self.open.exists() else None
+        was = self.open.get()
+        group = None if was is None else list(was)
         out, words = [], [group[2]] if group else []
 
         def close() -> None:
-            out.append({"video_id": key[0], "group_no": group[3], "start": group[0], "end": group[1], "text": " ".join(words)})
+            out.append((key[0], group[3], group[0], group[1], " ".join(words)))
 
         for ms, start, duration, text in ready:
             text = text.strip()
@@ -151,17 +149,18 @@ class _Anchor(StatefulProcessor):
             close()
             group = None
         if later:
-            self.waiting.put(later)
+            self.waiting.put([tuple(map(list, zip(*later)))])
             self.handle.registerTimer(later[0][0] + 1)
-        else:
+        elif held:
             self.waiting.clear()
         if group:
             group[2] = " ".join(words)
             self.open.update(tuple(group))
             self.handle.registerTimer(group[4] + self.idle + 1)
-        else:
+        elif was is not None:
             self.open.clear()
-        yield pd.DataFrame(out, columns=["video_id", "group_no", "start", "end", "text"])
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "group_no", "start", "end", "text"])
 
     def close(self) -> None:
         pass

@@ -8,6 +8,7 @@ import zipfile
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -542,3 +543,36 @@ def test_texts_of_white_space_are_no_texts(spark):
             plain[i, h % 64] += 1 if h >> 63 else -1
     plain /= np.maximum(np.linalg.norm(plain, axis=1, keepdims=True), 1e-12)
     assert np.array_equal(N.hashed_embedding(texts), plain) and N.hashed_embedding([]).shape == (0, 64) and out[7].dense == plain[0].tolist()
+
+
+def test_segments_of_a_batch_are_one_piece_of_state():
+    """Whatever a video's segments of a batch are in number: each call on the state goes to the JVM."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                own, self.held = self.held, {"appendValue": lambda: [*self.held, *given], "put": lambda: list(given[0]), "update": lambda: list(given), "clear": list}.get(name, lambda: self.held)()
+                return (iter(own) if self is waiting else own[0] if own else None) if name == "get" else None
+
+            return call
+
+    class Handle:
+        getListState = getValueState = lambda self, name, schema: {"waiting": waiting, "open": opened}[name]  # noqa: N815
+        registerTimer = lambda self, at: calls.append("registerTimer")  # noqa: E731, N815
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 500_500  # noqa: E731, N815
+
+    waiting, opened = State(), State()
+    anchor = T._Anchor(60.0, 3_600_000)
+    anchor.init(Handle())
+    rows = pd.DataFrame({"ms": range(0, 1_000_000, 1000), "start": [float(i) for i in range(1000)], "duration": 1.0, "text": ["x", " ", None, "y"] * 250})
+    assert list(anchor.handleInputRows(("v",), iter([rows[500:], rows[:500]]), Now())) == [] and calls == ["appendValue", "registerTimer"]
+    (out,) = anchor.handleExpiredTimer(("v",), Now(), None)
+    assert list(out.group_no) == list(range(8)) and list(out.start) == [60.0 * i for i in range(8)] and out.text[0].split(" ") == ["x", "y"] * 15
+    assert len(calls) < 10 and sum(len(p[0]) for p in waiting.held) == 249 and opened.held[0][3] == 8
