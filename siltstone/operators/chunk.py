@@ -21,6 +21,18 @@ AT_HEADING, FIRST_HEADING, EACH_HEADING = rf"(?mdU)(?=^{_BEGIN})", rf"(?dU)\A{_B
 URL_AT_END = r"(?s)^(.*?)(https?://[^\s)\]\"'<>]+)$"
 URL_GOES_ON = "/:?&=#%+~,;_-"
 _STRINGS = "array<string>"
+#: White space as Java's (?U)\\s has it: a class of regular expressions, and its characters.
+WHITE = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK, _SENTENCE, _LAP = re.compile(rf"\n{WHITE}*\n"), re.compile(rf"([.!?]){WHITE}+"), re.compile(rf"(?s)(.*?[.!?]{WHITE}+)")
+_BROKEN = re.compile(rf"(?s)(.*?)\]\({X.IMAGE_SCHEME}://[^)]+\)")
+_URL = re.compile(r"""(?s)(.*?)(https?://[^ \t\n\x0b\f\r)\]"'<>]+)(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)""")
+_HEAD = re.compile(rf"#{{1,6}}(?!\n){WHITE}[^\n]")
+
+
+def begins_section(line: bytes) -> bool:
+    """Whether a line of UTF-8 is a heading, as FIRST_HEADING says."""
+    return line[:1] == b"#" and _HEAD.match(line[:16].decode("utf-8", "ignore")) is not None
 
 
 def _sections(docs: DataFrame, *carried: str) -> DataFrame:
@@ -36,21 +48,50 @@ def _sections(docs: DataFrame, *carried: str) -> DataFrame:
 
     heads = docs.select("doc_id", F.posexplode(F.regexp_extract_all("markdown", F.lit(EACH_HEADING), 0)).alias("_at", "line"))
     heads = heads.select("doc_id", (F.col("_at") + 1).cast("bigint").alias("sec"), F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), X.strip(F.regexp_extract("line", HEADING, 2)).alias("title"))
-    w = Window.partitionBy("doc_id").orderBy("sec").rowsBetween(Window.unboundedPreceding, 0)
-    heads = heads.select("doc_id", "sec", *[F.max(F.when(F.col("level") == k, F.struct("sec", "title"))).over(w).alias(f"h{k}") for k in range(1, 7)])
+    paths = _paths(heads.withColumn("part", F.col("sec"))).select(F.struct("doc_id", "sec").alias("_key"), "_path")
+    held = F.when(~F.col("_bare") & F.col("_path").isNotNull(), F.col("_path")).otherwise(F.array().cast(_STRINGS))
+    return bodies.join(paths, "_key", "left").select("_key.doc_id", "_key.sec", *carried, held.alias("heading_path"), "body")
+
+
+def _below(block: Column) -> Column:
+    """What stands below the heading that a block begins with, or all of it."""
+    return F.when(F.rlike(block, F.lit(FIRST_HEADING)), F.regexp_replace(block, r"^[^\n]*\n?", "")).otherwise(block)
+
+
+def _body(block: Column) -> Column:
+    return X.strip(_below(block))
+
+
+def _paths(heads: DataFrame) -> DataFrame:
+    """heads (doc_id, sec, part, level, title; rows that are no headings have neither) with the titles that hold at each row."""
+    w = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    heads = heads.select("*", *[F.max(F.when(F.col("level") == k, F.struct("sec", "title"))).over(w).alias(f"h{k}") for k in range(1, 7)])
     path, above = [], F.lit(0)
     for k in range(1, 7):
         own = F.coalesce(F.col(f"h{k}.sec"), F.lit(0))
         path.append(F.when(own > above, F.col(f"h{k}.title")))
         above = F.greatest(above, own)
-    paths = heads.select(F.struct("doc_id", "sec").alias("_key"), F.filter(F.array(*path), lambda t: t.isNotNull()).alias("_path"))
-    held = F.when(~F.col("_bare") & F.col("_path").isNotNull(), F.col("_path")).otherwise(F.array().cast(_STRINGS))
-    return bodies.join(paths, "_key", "left").select("_key.doc_id", "_key.sec", *carried, held.alias("heading_path"), "body")
+    return heads.withColumn("_path", F.filter(F.array(*path), lambda t: t.isNotNull())).drop(*[f"h{k}" for k in range(1, 7)])
 
 
-def _body(block: Column) -> Column:
-    """What stands below the heading that a block begins with, or all of it."""
-    return X.strip(F.when(F.rlike(block, F.lit(FIRST_HEADING)), F.regexp_replace(block, r"^[^\n]*\n?", "")).otherwise(block))
+def _fragments(docs: DataFrame) -> DataFrame:
+    """doc_id, sec, part, doc_title, heading_path, body of docs (doc_id, part, doc_title, markdown): as _sections, of texts in parts. A section has a row for each of its parts; what the headings
+    and their order say is found without the texts, which are dealt by (doc_id, sec) only.
+    """
+    docs = docs.where("markdown is not null")
+    line, first, below = F.substring_index("markdown", "\n", 1), F.rlike("markdown", F.lit(FIRST_HEADING)), _below(F.col("markdown"))
+    level, title = F.when(first, F.length(F.regexp_extract(line, HEADING, 1))), F.when(first, X.strip(F.regexp_extract(line, HEADING, 2)))
+    places = docs.select("doc_id", "part", level.alias("level"), title.alias("title"), X.has_text(below).alias("_filled"))
+    every = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    places = _paths(places.select("*", F.count("level").over(so_far).alias("sec"), (~F.max("_filled").over(every)).alias("_bare")))
+    places = tables.written(places.select(F.struct("doc_id", "part").alias("_key"), "sec", "_bare", "_path"), "places")
+    whole = docs.withColumn("_key", F.struct("doc_id", "part")).join(places, "_key")
+    bare = F.col("_bare")
+    return whole.select(
+        "doc_id", F.when(bare, 0).otherwise(F.col("sec")).cast("bigint").alias("sec"), "part", "doc_title", F.when(bare, F.array().cast(_STRINGS)).otherwise(F.col("_path")).alias("heading_path"),
+        F.when(bare, F.col("markdown")).otherwise(below).alias("body"),
+    )
 
 
 def split_sections(docs: DataFrame) -> DataFrame:
@@ -121,70 +162,126 @@ def split_by_size(body: Column, target: int, overlap: int) -> Column:
     return F.when(F.length(body) <= target, F.array(body)).otherwise(repair_urls(packed))
 
 
-def _pieces(target: int, overlap: int):
-    """split_by_size as an Arrow function: a fold whose time grows with a section's length, however many pieces it has (one over arrays copies what is done at each step)."""
-    ws = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"  # as Java's (?U)\\s
-    space = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-    blank, sentence, head = re.compile(rf"\n{ws}*\n"), re.compile(rf"([.!?]){ws}+"), re.compile(rf"(?s)(.*?[.!?]{ws}+)")
-    broken = re.compile(rf"(?s)(.*?)\]\({X.IMAGE_SCHEME}://[^)]+\)")
-    url = re.compile(r"""(?s)(.*?)(https?://[^ \t\n\x0b\f\r)\]"'<>]+)(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)""")
-
-    def hard(text: str) -> list[str]:
-        out, cur = [], ""
-        for s in sentence.sub("\\1\x01", text).split("\x01"):
-            longer = f"{cur} {s}" if cur else s
-            if len(longer) <= target:
-                cur = longer
-                continue
-            if cur:
-                out.append(cur.strip(space))
-            cur = s
-            if len(s) > target:
-                out += [s[i : i + target] for i in range(0, len(s), target - overlap)]
-                cur = ""
-        return [*out, cur.strip(space)] if cur.strip(space) else out
-
-    def lap(cur: str) -> str:
-        if overlap <= 0:
+class Fold:
+    """The pieces of one section, as split_by_size, from its text as it comes in runs of whole lines. A piece is given as soon as it is known, and of what came before no more than
+    the next ones need is kept: however long a section is, a few pieces. With short="" a text that is no longer than the target without white space at its ends is one piece.
+    """
+
+    def __init__(self, target: int, overlap: int, short: str | None = None):
+        self.target, self.overlap, self.short = target, overlap, short
+        self.cur, self.open, self.space, self.last = "", "", "", ""  # paragraphs packed, the one whose end hasn't come, white space after it, the piece that may lose a URL to the next
+        self.long = self.sliced = False  # whether the open paragraph is beyond the target, and its last sentence too
+        self.packed, self.tail = "", ""  # of a long one: sentences packed, the one whose end hasn't come
+
+    def feed(self, text: str) -> list[str]:
+        if self.short is not None:
+            own = (self.short + text).lstrip(SPACE)
+            self.short = None if len(own.rstrip(SPACE)) > self.target else own[: 2 * self.target + 1]
+        text = self.space + text
+        bare = text.rstrip(SPACE)
+        self.space = text[len(bare) :]
+        if _BLANK.search(self.space):
+            self.space = "\n\n"
+        out: list[str] = []
+        if bare:
+            *closed, last = _BLANK.split(bare)
+            for p in closed:
+                self._more(p.rstrip(SPACE), out)
+                self._close(out)
+            self._more(last, out)
+        return self._mended(out)
+
+    def end(self) -> list[str]:
+        if self.short is not None:
+            return [self.short.strip(SPACE)] if self.short.strip(SPACE) else []
+        out: list[str] = []
+        self._close(out)
+        self._put(self.cur, out)
+        pieces = self._mended(out)
+        return [*pieces, self.last] if self.last.strip(SPACE) else pieces
+
+    @staticmethod
+    def _put(cur: str, out: list[str]) -> None:
+        if cur.strip(SPACE):
+            out.append(cur.strip(SPACE))
+
+    def _more(self, p: str, out: list[str]) -> None:
+        """p goes on with the open paragraph, or begins it."""
+        if not self.long:
+            self.open = self.open + p if self.open else p.lstrip(SPACE)
+            if len(self.open) <= self.target:
+                return
+            if self.cur:
+                out.append(self.cur.strip(SPACE))
+            p, self.cur, self.open, self.long = self.open, "", "", True
+        *whole, self.tail = _SENTENCE.sub("\\1\x01", self.tail + p).split("\x01")
+        for s in whole:
+            self._sentence(s, out)
+        if self.sliced or len(self.tail) > self.target:
+            if self.packed:
+                out.append(self.packed.strip(SPACE))
+            at, self.packed, self.sliced = 0, "", True
+            while at + self.target < len(self.tail):
+                out.append(self.tail[at : at + self.target])
+                at += self.target - self.overlap
+            self.tail = self.tail[at:]
+
+    def _sentence(self, s: str, out: list[str]) -> None:
+        longer = f"{self.packed} {s}" if self.packed else s
+        if not self.sliced and len(longer) <= self.target:
+            self.packed = longer
+            return
+        if self.packed:
+            out.append(self.packed.strip(SPACE))
+        self.packed = s
+        if self.sliced or len(s) > self.target:
+            out += [s[i : i + self.target] for i in range(0, len(s), self.target - self.overlap)]
+            self.packed, self.sliced = "", False
+
+    def _close(self, out: list[str]) -> None:
+        """The open paragraph ends."""
+        if self.long:
+            self._sentence(self.tail, out)
+            self._put(self.packed, out)
+            self.packed, self.tail, self.long = "", "", False
+        elif self.open:
+            p, self.open = self.open, ""
+            longer = f"{self.cur}\n\n{p}" if self.cur else p
+            if len(longer) > self.target:
+                out.append(self.cur.strip(SPACE))
+                tail = self._lap(self.cur)
+                longer = f"{tail}\n\n{p}" if tail else p
+            self.cur = longer
+
+    def _lap(self, cur: str) -> str:
+        if self.overlap <= 0:
             return ""
-        tail = cur[-2 * overlap :]
+        tail = cur[-2 * self.overlap :]
         rest = tail[len(tail) // 2 :]
-        first = head.match(rest)
-        own = (rest[first.end() :] if first else tail[-overlap:]).strip(space)
-        cut = broken.match(own)
-        return own[cut.end() :].lstrip(space) if cut and "![" not in cut[1] else own
+        first = _LAP.match(rest)
+        own = (rest[first.end() :] if first else tail[-self.overlap :]).strip(SPACE)
+        cut = _BROKEN.match(own)
+        return own[cut.end() :].lstrip(SPACE) if cut and "![" not in cut[1] else own
 
-    def mended(pieces: list[str]) -> Iterator[str]:
-        cur = ""
+    def _mended(self, pieces: list[str]) -> list[str]:
+        out = []
         for p in pieces:
-            ends = url.match(cur) if p and p[0] in URL_GOES_ON and "://" in cur else None
-            own = ends[1].rstrip(space) if ends else cur
-            if own.strip(space):
-                yield own
-            cur = ends[2] + p if ends else p
-        if cur.strip(space):
-            yield cur
+            ends = _URL.match(self.last) if p and p[0] in URL_GOES_ON and "://" in self.last else None
+            own = ends[1].rstrip(SPACE) if ends else self.last
+            if own.strip(SPACE):
+                out.append(own)
+            self.last = ends[2] + p if ends else p
+        return out
+
+
+def _pieces(target: int, overlap: int):
+    """split_by_size as an Arrow function: a fold whose time grows with a section's length, however many pieces it has (one over arrays copies what is done at each step)."""
 
     def fold(body: str) -> list[str]:
         if len(body) <= target:
             return [body]
-        out, cur = [], ""
-        for p in filter(None, (x.strip(space) for x in blank.split(body))):
-            longer = f"{cur}\n\n{p}" if cur else p
-            if len(p) <= target and len(longer) <= target:
-                cur = longer
-                continue
-            if cur:
-                out.append(cur.strip(space))
-            if len(p) > target:
-                out += hard(p)
-                cur = ""
-            else:
-                tail = lap(cur)
-                cur = f"{tail}\n\n{p}" if tail else p
-        if cur.strip(space):
-            out.append(cur.strip(space))
-        return list(mended(out))
+        own = Fold(target, overlap)
+        return [*own.feed(body), *own.end()]
 
     @F.arrow_udf(_STRINGS)
     def pieces(bodies: pa.Array) -> pa.Array:
@@ -193,6 +290,44 @@ def _pieces(target: int, overlap: int):
     return pieces
 
 
+def _streamed(target: int, overlap: int):
+    """Streams fragments in order of document, section and part: the pieces of each section, k in order. A section passes one task, which holds a few of its parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = at = fold = None
+        k = 0
+        for rows in batches:
+            out: list[tuple] = []
+            kind = rows.schema.field("doc_id").type
+
+            def put(pieces: list[str]) -> None:
+                nonlocal k
+                for p in filter(None, (x.strip(SPACE) for x in pieces)):
+                    out.append((*own, k, p))
+                    k += 1
+
+            for doc, sec, title, path, body in zip(*(rows.column(n).to_pylist() for n in ("doc_id", "sec", "doc_title", "heading_path", "body"))):
+                if (doc, sec) != at:
+                    if fold is not None:
+                        put(fold.end())
+                    own, at, fold, k = (doc, sec, title, path), (doc, sec), Fold(target, overlap, ""), 0
+                put(fold.feed(body))
+            if out:
+                yield _batch(out, kind)
+        if fold is not None:
+            out = []
+            put(fold.end())
+            if out:
+                yield _batch(out, kind)
+
+    return run
+
+
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = (kind, pa.int64(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "sec", "doc_title", "heading_path", "k", "piece"])
+
+
 def merge_tiny(chunks: Column, least: int, target: int) -> Column:
     """array<struct<text, path>> where a chunk under `least` characters takes in the next, up to 1.5 targets; it keeps its path."""
     none = F.lit(None).cast("struct<text:string,path:array<string>>")
@@ -235,13 +370,21 @@ def chunk_documents(docs: DataFrame, target_tokens: int = TARGET, overlap_tokens
     A giant document spreads over tasks: its sections are split each on its own, and merging is decided on the sizes of
     the pieces, which alone pass one task in order. A chunk of min_chars or more never takes in the next, so its text
     goes straight on; only what begins below that is grouped. The pieces are a written table.
+
+    With a column `part` a document may be many rows (what _fragments says): its parts in that order, cut at ends of lines, and before each heading. No task holds the text of one then.
     """
     target, overlap = target_tokens * CHARS, overlap_tokens * CHARS
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sections = _sections(docs.select("doc_id", F.col("title").alias("doc_title"), "markdown"), "doc_title")
-    pieces = sections.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode(_pieces(target, overlap)("body")).alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
+    named = docs.withColumnRenamed("title", "doc_title")
+    if "part" in docs.columns:
+        dealt = _fragments(named.select("doc_id", "part", "doc_title", "markdown")).withColumn("_key", F.struct("doc_id", "sec")).repartition("_key").sortWithinPartitions("_key", "part")
+        pieces = dealt.select("doc_id", "sec", "doc_title", "heading_path", "body").mapInArrow(_streamed(target, overlap), f"doc_id {kind}, sec bigint, doc_title string, heading_path {_STRINGS}, k int, piece string")
+    else:
+        sections = _sections(named.select("doc_id", "doc_title", "markdown"), "doc_title")
+        pieces = sections.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode(_pieces(target, overlap)("body")).alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
     text = X.context_prefix(F.col("doc_title"), F.col("heading_path"), F.col("piece"))
-    pieces = tables.written(pieces.select("doc_id", "sec", "k", "heading_path", text.alias("text")).withColumn("size", F.length("text")), "pieces")
+    with tables.small_batches(docs.sparkSession):
+        pieces = tables.written(pieces.select("doc_id", "sec", "k", "heading_path", text.alias("text")).withColumn("size", F.length("text")), "pieces")
 
     w = Window.partitionBy("doc_id").orderBy("sec", "k")
     sizes = pieces.select("doc_id", "sec", "k", "size", (F.row_number().over(w) == 1).alias("first"))

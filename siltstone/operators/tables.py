@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,13 +20,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as Parquet in the shared folder, read again: its lineage ends there."""
+def written(df: DataFrame, name: str = "table", **options) -> DataFrame:
+    """df as Parquet in the shared folder, read again: its lineage ends there. options are the writer's."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """What runs inside passes Arrow batches of `size` at most, or of one row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def parts(spark: SparkSession, size: int, share: int) -> int:
     """Into how many tasks to deal `size` (rows, bytes), so that none gets much more than `share`; the session's number at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // share))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.functions import text as X
+from siltstone.operators import tables
+from siltstone.operators.chunk import begins_section
 from siltstone.sources.versions import VersionedTables
 
 # Which extension goes to which handler, in the order in which handlers are asked.
@@ -24,6 +26,11 @@ ROUTES = {
     "generic": (".docx", ".xlsx", ".pptx", ".html", ".htm", ".md", ".txt", ".csv", ".json", ".xml", ".rtf", ".epub"),
 }
 UPLOAD_MB, ENTRIES = 100, 2000
+#: Bytes after which a file's next line begins a new part, and bytes of parts that are handed on at once.
+PART_BYTES, BATCH_BYTES = 64 << 10, 4 << 20
+#: How parts are written: a reader holds up to 4,096 of one row group at once, so these are small.
+_SMALL = {"parquet.block.size": str(8 << 20)}
+_PART = "file string, size bigint, part bigint, bytes bigint, text binary"
 
 
 def extension(name: Column) -> Column:
@@ -40,6 +47,97 @@ def scan_sources(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", name.alias("name"), extension(name).alias("ext"), "length", F.col("modificationTime").alias("mtime"), "content").where(~F.startswith("name", F.lit(".")))
 
 
+def _parts_of_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of lines (file, size, start, line), which come block by block; each line gets back the end that the reader took from it."""
+    out: list[tuple] = []
+    held: list[bytes] = []
+    at, place, bytes_ = None, 0, 0
+
+    def put() -> None:
+        nonlocal place, bytes_
+        if held:
+            text = b"\n".join([*held, b""])
+            out.append((*at[:2], place, len(text), text))
+            held.clear()
+            place, bytes_ = place + len(text), 0
+
+    for rows in batches:
+        for *block, line in zip(*(rows.column(n).to_pylist() for n in ("file", "size", "start", "line"))):
+            if block != at:
+                put()
+                at, place = block, block[2] + (block[2] > 0)  # a block's first line begins beyond its first byte, but for the first block's
+            elif bytes_ >= PART_BYTES or begins_section(line):
+                put()
+            held.append(line)
+            bytes_ += len(line) + 1
+        if out:
+            yield from _batches(out)
+            out.clear()
+    put()
+    yield from _batches(out)
+
+
+def _parts_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of whole files (file, text)."""
+    for rows in batches:
+        for file, text in zip(rows.column("file").to_pylist(), rows.column("text").to_pylist()):
+            if text is None:
+                continue
+            out, begun, at = [], 0, 0
+            while at < len(text):
+                if at > begun and (at - begun >= PART_BYTES or begins_section(text[at : at + 16])):
+                    out.append((file, len(text), begun, at - begun, text[begun:at]))
+                    begun = at
+                at = text.find(b"\n", at) + 1 or len(text)
+            yield from _batches([*out, (file, len(text), begun, len(text) - begun, text[begun:])])
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batch: list[tuple] = []
+    size = 0
+    for i, row in enumerate(rows):
+        batch.append(row)
+        size += row[3]
+        if size >= BATCH_BYTES or i == len(rows) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*batch), kinds)], ["file", "size", "part", "bytes", "text"])
+            batch, size = [], 0
+
+
+def text_parts(files: DataFrame) -> DataFrame:
+    """path, size (of the file), part, text (binary) of files (path, length, or path, content), a path once: a file's texts in the order of part are its bytes. Parts are cut at ends of lines, before
+    each heading and where one has PART_BYTES, so that a file of any size is read by many tasks, and no row holds more than a part or one line.
+
+    Files whose content is given, and those that Spark's reader of lines would change (it unpacks archives by their names, and an empty text behind a mark of UTF-8 has no line) are cut from a whole row.
+    """
+    spark = files.sparkSession
+    with tables.small_batches(spark):
+        if "content" in files.columns:
+            return tables.written(files.select(F.col("path").alias("file"), F.col("content").alias("text")).mapInArrow(_parts_of_files, _PART), "parts", **_SMALL).select(F.col("file").alias("path"), "size", "part", "text")
+        exact = {"recursiveFileLookup": "true", "__globPaths__": "false"}  # the paths as they are
+        make = spark._jvm.org.apache.hadoop.fs.Path
+        codecs = spark._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(spark._jsc.hadoopConfiguration())
+        found = {r["path"]: r["length"] <= 3 or codecs.getCodec(make(r["path"])) is not None for r in files.select("path", "length").collect()}  # a batch's files
+        names = spark.createDataFrame([(make(p).toUri().toString(), p) for p in found] or [("", "")], "file string, path string")
+        parts = spark.createDataFrame([], _PART)
+        if lines := [p for p, whole in found.items() if not whole]:
+            m = F.col("_metadata")
+            read = spark.read.schema("line string").option("lineSep", "\n").options(**exact).format("text").load(lines)
+            read = read.select(m["file_path"].alias("file"), m["file_size"].alias("size"), m["file_block_start"].alias("start"), F.col("line").cast("binary").alias("line"))
+            parts = parts.unionByName(read.mapInArrow(_parts_of_lines, _PART))
+        if whole := [p for p, whole in found.items() if whole]:
+            read = spark.read.options(**exact).format("binaryFile").load(whole)
+            read = read.select(F.col("_metadata.file_path").alias("file"), F.col("content").alias("text"))
+            parts = parts.unionByName(read.mapInArrow(_parts_of_files, _PART))
+        parts = tables.written(parts, "parts", **_SMALL)
+        # Every line has got an end: the last one's is taken back where the file has none. A mark of UTF-8 before the first line, which the reader left out, comes back.
+        ends = parts.groupBy("file").agg(F.max("part").alias("_last"), (F.sum("bytes") - F.max("size")).alias("_more"))
+        ends = tables.written(ends.join(F.broadcast(names), "file"), "ends")
+    marked = F.when((F.col("part") == 0) & F.col("_more").isin(-2, -3), F.concat(F.lit(b"\xef\xbb\xbf"), F.col("text"))).otherwise(F.col("text"))
+    bare = F.when((F.col("part") == F.col("_last")) & F.col("_more").isin(1, -2), F.substring(marked, F.lit(1), F.octet_length(marked) - 1)).otherwise(marked)
+    return parts.join(F.broadcast(ends), "file").select("path", "size", "part", bare.alias("text"))
+
+
 def scan_url_lists(lines: DataFrame) -> DataFrame:
     """path, url of text files given by line (path, line): a file with a video URL gives its URLs, any other one row with a null url."""
     line = X.strip(F.col("line"))

@@ -197,3 +197,43 @@ def test_giant_sections_in_linear_time(spark):
     begun = time.time()
     n = spark.range(1).select(F.lit("d").alias("doc_id"), F.lit("t").alias("title"), body.alias("markdown"))
     assert C.chunk_documents(n).count() > 10_000 and time.time() - begun < 60
+
+
+def test_a_section_comes_in_runs_of_lines():
+    """Whatever runs of whole lines a text comes in, its pieces are those of the whole text."""
+    rng = random.Random(5)
+    parts = ["Word of it. ", "no end ", "\n", "\n", "\n\n", "\n  \n", " ", "\u0001", "x" * 70, "y" * 200, "See https://ex.com/a/b", "/c?d=1 ", "![a](rag-image://c/d/e.png)", "é! ", "? ", "\r\n", "\x85\n", "end.\n", "\n" * 40]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 80)))
+        for target, overlap in ((60, 10), (90, 0), (40, 15)):
+            body = text.strip(C.SPACE)
+            fold = C.Fold(target, overlap)
+            want = ([body] if body else []) if len(body) <= target else [*fold.feed(body), *fold.end()]
+            fold, got, held = C.Fold(target, overlap, ""), [], ""
+            for line in text.split("\n"):
+                held += line + "\n"
+                if rng.random() < 0.4:
+                    got, held = got + fold.feed(held), ""
+            assert [*got, *fold.feed(held), *fold.end()] == want
+            assert max(map(len, (fold.cur, fold.open, fold.packed, fold.tail))) <= target + 2 * overlap + 2
+
+
+def test_documents_in_parts(spark, corpus):
+    """Documents in parts give the chunks of whole ones."""
+    rng = random.Random(3)
+    odd = ["# A\n## B\n\n#  \n", "####### x\n#\n\n#  y \nbody\r\n## z\r\nmore", "intro\n# h\nb", " \n\n", "# a\nx\n### b\ny\n## c\n\n# d\nz\n#\t \nq\n", "# T\n\n\n" + "w. " * 900 + "\n\n\n \nend", "# Only\n## Headings", "\n \n" * 50 + "late"]
+    known = {f"o{i}": t for i, t in enumerate(odd)} | {f"c{i}": r.markdown for i, r in corpus[1].items()}
+    rows = []
+    for i, text in known.items():
+        lines, held = text.split("\n"), []
+        for n, line in enumerate(lines):
+            if held and (C.begins_section(line.encode()) or rng.random() < 0.2):
+                rows.append((i, "t", n * 3 - 1, "".join(held)))
+                held = []
+            held.append(line + "\n" * (n < len(lines) - 1))
+        rows.append((i, "t", len(lines) * 3, "".join(held)))
+    parts = spark.createDataFrame(rows, "doc_id string, title string, part bigint, markdown string").repartition(5)
+    whole = spark.createDataFrame([(i, "t", text) for i, text in known.items()], "doc_id string, title string, markdown string")
+    for tokens, overlap, least in ((60, 15, 80), (500, 60, 100)):
+        got, want = ([tuple(r) for r in C.chunk_documents(d, tokens, overlap, least).orderBy("doc_id", "chunk_index").collect()] for d in (parts, whole))
+        assert got == want and len({r[0] for r in got}) == len(known) - 1

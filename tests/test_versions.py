@@ -1,8 +1,11 @@
 """Versioned tables and the ingestion that writes them: nothing half done, nothing twice."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone.operators.chunk import chunk_documents
 from siltstone.sources import files as S
 from siltstone.sources.versions import Conflict, VersionedTables
 from siltstone.streaming import streams as T
@@ -173,3 +176,58 @@ def test_lines_of_a_giant_document_go_to_many_tasks(spark, tmp_path):
     single_chunks(docs).write.parquet(f"{tmp_path}/lines")
     by = spark.read.parquet(f"{tmp_path}/lines").groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.max("chunk_index").alias("last")).collect()
     assert len(by) > 1 and max(r.n for r in by) < 150_000 and sum(r.n for r in by) == 200_000 and max(r["last"] for r in by) == 199_999
+
+
+ODD = {
+    "x [1]{a}*?": b"one\ntwo\r\nthree", "mark": b"\xef\xbb\xbf# T\nbody\n", "mark_alone": b"\xef\xbb\xbf", "mark_open": b"\xef\xbb\xbfab", "a b%20+": b"# Name \xc2\xa0\nx", "line": b"\n", "bad": b"good\n\xff\xfe\nab\x00\n", "cr": b"a\rb\r\n\nc",
+    "late": b"text\n#\n \n\n  Title of it\nmore", "none": b"#   \n\n", "lines": b"\n" * 300, "long": b"a line of it.\n" * 40_000 + b"# H\n" + b"w" * 600_000 + b"\n## I\n### J\nend", "parts": ("é words of a part " * 20 + "\n").encode() * 3000 + b"#\n" + b"\n" * 300_000 + b"Last",
+}
+
+
+def test_files_are_read_in_parts(spark, tmp_path):
+    """The parts of a file are its bytes, and the index over files by path is the one over rows of content."""
+    land(tmp_path / "in" / "c=one two", **ODD)
+    (tmp_path / "in" / "c=one two" / "text.gz").write_bytes(b"no archive")
+    files = S.scan_sources(spark, str(tmp_path / "in")).select("path", "name", "length", "content")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")  # blocks end within lines
+    try:
+        for given in (files.select("path", "length"), files.select("path", "content")):
+            by = {}
+            for r in S.text_parts(given).orderBy("path", "part").collect():
+                by.setdefault(r.path, []).append(r)
+            assert {p: b"".join(bytes(r.text) for r in rows) for p, rows in by.items()} == {r.path: bytes(r.content) for r in files.collect()}
+            assert all(len({r.part for r in rows}) == len(rows) and {r.size for r in rows} == {sum(len(r.text) for r in rows)} for rows in by.values())
+            assert max(len(r.text) for rows in by.values() for r in rows) < 700_000
+        paths, rows_ = (Ingestion(str(tmp_path / n), buckets=2) for n in ("paths", "rows"))
+        paths.run(T.landing_stream(spark, str(tmp_path / "in")), str(tmp_path / "offsets")).awaitTermination()
+        rows_.batch(files, 0)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert state(spark, paths) == state(spark, rows_)
+    docs = {r.source_name.removesuffix(".md"): r for r in paths.tables(spark).table("documents").collect()}
+    assert {n: r.title for n, r in docs.items()} == {n: n for n in ODD} | {"text.gz": "text", "a b%20+": "Name", "late": "Title of it", "long": "H", "parts": "Last"}
+    assert {n for n, r in docs.items() if r.status == "failed"} == {"bad", "line", "lines"} and {n: r.bytes for n, r in docs.items() if n in ODD} == {n: len(b) for n, b in ODD.items()}
+    assert all(r.content_hash == hashlib.sha256(ODD[n]).hexdigest() for n, r in docs.items() if n in ODD and r.status == "indexed")
+
+
+@pytest.mark.parametrize("chunker", [chunk_documents, single_chunks])
+def test_a_file_beyond_what_a_row_may_hold_is_ingested(spark, tmp_path, chunker):
+    """A file that Spark refuses to read as one row (here: of more than 1 MB)."""
+    text = "".join(f"Line {i} has some words. And more.\n" + "## Part\n" * (i % 20_000 == 7) for i in range(100_000))
+    land(tmp_path / "in" / "c=one", big=text, small="words")
+    ingestion = Ingestion(str(tmp_path / "index"), chunker=chunker, buckets=2)
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 20))
+    try:
+        ingestion.run(T.landing_stream(spark, str(tmp_path / "in")), str(tmp_path / "offsets")).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    held = ingestion.tables(spark)
+    docs = {r.source_name: r for r in held.table("documents").collect()}
+    assert (docs["big.md"].status, docs["big.md"].bytes, docs["big.md"].content_hash) == ("indexed", len(text), hashlib.sha256(text.encode()).hexdigest())
+    got = [r.text for r in held.table("chunks").where(F.col("doc_id") == docs["big.md"].doc_id).orderBy("chunk_index").collect()]
+    assert len(got) == docs["big.md"].n_chunks == held.table("dense").where(F.col("doc_id") == docs["big.md"].doc_id).count()
+    if chunker is single_chunks:
+        assert got == text.split("\n")[:-1]
+    else:
+        whole = spark.createDataFrame([("d", "big", text)], "doc_id string, title string, markdown string")
+        assert got == [r.text for r in chunk_documents(whole).orderBy("chunk_index").collect()]
