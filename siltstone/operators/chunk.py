@@ -384,7 +384,7 @@ def chunk_documents(docs: DataFrame, target_tokens: int = TARGET, overlap_tokens
         pieces = sections.select("doc_id", "sec", "doc_title", "heading_path", F.posexplode(_pieces(target, overlap)("body")).alias("k", "piece")).withColumn("piece", X.strip(F.col("piece"))).where("piece <> ''")
     text = X.context_prefix(F.col("doc_title"), F.col("heading_path"), F.col("piece"))
     with tables.small_batches(docs.sparkSession):
-        pieces = tables.written(pieces.select("doc_id", "sec", "k", "heading_path", text.alias("text")).withColumn("size", F.length("text")), "pieces")
+        pieces = tables.written(pieces.select("doc_id", "sec", "k", "heading_path", text.alias("text")).withColumn("size", F.length("text")), "pieces", **tables.DENSE)
 
     w = Window.partitionBy("doc_id").orderBy("sec", "k")
     sizes = pieces.select("doc_id", "sec", "k", "size", (F.row_number().over(w) == 1).alias("first"))

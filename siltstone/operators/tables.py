@@ -10,6 +10,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A writer's options for texts that are written once and read a few times: a quarter less than by default, in the same time.
+DENSE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"}
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one of the session (spark.checkpoint.dir); a temporary one for local sessions only."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

@@ -29,7 +29,7 @@ UPLOAD_MB, ENTRIES = 100, 2000
 #: Bytes after which a file's next line begins a new part, and bytes of parts that are handed on at once.
 PART_BYTES, BATCH_BYTES = 64 << 10, 4 << 20
 #: How parts are written: a reader holds up to 4,096 of one row group at once, so these are small.
-_SMALL = {"parquet.block.size": str(8 << 20)}
+_SMALL = {"parquet.block.size": str(8 << 20), **tables.DENSE}
 _PART = "file string, size bigint, part bigint, bytes bigint, text binary"
 
 

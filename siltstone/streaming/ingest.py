@@ -119,7 +119,7 @@ class Ingestion:
         seen = {stage: Observation(f"{self.name}_{stage}") for stage in STAGES}
 
         def observed(df: DataFrame, stage: str) -> DataFrame:
-            return tables.written(df.observe(seen[stage], F.count(F.lit(1)).alias("rows")), stage)
+            return tables.written(df.observe(seen[stage], F.count(F.lit(1)).alias("rows")), stage, **tables.DENSE)
 
         docs = self._documents(files)
         parts = S.text_parts(docs)
